@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blobsight.llm import ledger, mixing, rans, rules, simhash, urls, winnowing
+from blobsight.llm import ledger, lm, mixing, pieces, quality, rans, rules, simhash, urls, winnowing
 from blobsight.llm.common import partitions
 
 
@@ -30,6 +30,16 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.repartitionByRange(partitions(rows), *order).sortWithinPartitions(*order)
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    """The quality classifier, fitted on the rated documents of the data set."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.train(documents(spark, sf_dir), labels.select("doc_id", quality.grade(F.col("quality"), F.col("toxic")).alias("grade")))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir), quality_model(spark, sf_dir))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(documents(spark, sf_dir))
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
@@ -39,6 +49,14 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_with_edited(documents(spark, sf_dir))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
+def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), keep_ids=False)
+
+
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger.scan(documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -60,7 +78,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op3_simhash, op4_winnowing, op7_secret_ledger, op8_token_files, op9_url_filter, op10_quality_rules)}
+    ops = (
+        op1_mix_sources,
+        op2_quality_classifier,
+        op3_simhash,
+        op4_winnowing,
+        op5_lm_score,
+        op6_sentence_pieces,
+        op7_secret_ledger,
+        op8_token_files,
+        op9_url_filter,
+        op10_quality_rules,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
