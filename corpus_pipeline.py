@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blobsight.llm import ledger, mixing, simhash
+from blobsight.llm import ledger, mixing, pieces, quality, queries, simhash
 from blobsight.scratch import materialise
 from blobsight.session import ship_package
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; it is fitted on the data set's rated documents."""
+    return quality.keep_good(docs, queries.quality_model(spark, sf_dir))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return simhash.keep_one(docs)
@@ -24,7 +29,18 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("SimHash near-dedup", near_copies), ("secret scans", secrets), ("mixing sources", mixture)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of the pieces of each text, with the columns that say where it came from."""
+    return pieces.encode(docs, queries.vocabulary("piece_bpe_32k.model"), keep=("doc_id", "lang", "source"))
+
+
+STAGES = [
+    ("quality classifier", good_documents),
+    ("SimHash near-dedup", near_copies),
+    ("secret scans", secrets),
+    ("mixing sources", mixture),
+    ("SentencePiece encoding", tokens),
+]
 
 #: Fingerprints, trained models and files are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
