@@ -10,10 +10,8 @@ documents of their own, and their weights are averaged; every training document
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +27,6 @@ HIDDEN, CLASSES, WIDTH = 16, 32, 64
 VOCABULARY = CLASSES * WIDTH
 #: The commonest words, which tasks look up by themselves; counts of all others are joined.
 HEAD = 1 << 17
-#: Different words that a task counts before it hands its counts on.
-MOST_WORDS = 400_000
 #: Steps of a window; documents side by side in training and in scoring; tokens that are dealt to them at once.
 STEPS, STREAMS, SCORED, CHUNK = 32, 256, 512, 1 << 20
 ROUNDS, RATE, CLIP = 3, 0.004, 5.0
@@ -39,7 +35,7 @@ FAN, PIECES = 64, 16
 #: Logits are held below this, so that their exponentials are finite.
 HIGHEST = 60.0
 END, RARE = 0, 1
-END_WORD = b"\n"  # no word has a line break
+END_WORD = "\n"  # no word has a line break
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -47,26 +43,24 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter = Counter()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of ``texts`` (A-Z lower-cased, split at ASCII white space) one after another, and each one's text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten()
+    there = np.asarray(pc.binary_length(words)) > 0  # white space at either end leaves an empty piece
+    doc = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(lists)))
+    return words.filter(pa.array(there)), doc[there]
 
-    def close() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_pydict({"word": pa.array(list(found), pa.binary()), "c": pa.array(list(found.values()), pa.int64())})
-        found.clear()
-        return out
 
-    for batch in slices(batches, "text"):
-        for x in batch.column("text").to_pylist():
-            found.update((x or "").encode().lower().split())
-        found[END_WORD] += batch.num_rows
-        if len(found) > MOST_WORDS:
-            yield close()
-    yield close()
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", 16 << 20):
+        found = pc.value_counts(words_of(batch.column("text"))[0])
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([found.field(0), pa.array([END_WORD])]), pa.concat_arrays([found.field(1), pa.array([batch.num_rows], pa.int64())])], ["word", "c"])
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word binary, c) over all rows of ``docs`` (text); the end of a document is a word of its own."""
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(_counted, "word binary, c long")
+    """(word, c) over all rows of ``docs`` (text); the end of a document is a word of its own."""
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(_counted, "word string, c long")
     return rows.groupBy("word").agg(F.sum("c").alias("c"))
 
 
@@ -74,10 +68,11 @@ def count_words(docs: DataFrame) -> DataFrame:
 class Head:
     """The commonest words by rank, their counts, and the sums over all words."""
 
-    words: list[bytes]
+    words: list[str]
     counts: np.ndarray
     total: int
     different: int
+    ends: int
 
     @property
     def network(self) -> int:
@@ -90,8 +85,6 @@ class Head:
         ends = int(self.ends > 0)
         return self.total - own - self.ends, self.different - self.network - ends
 
-    ends: int = 0
-
     def rare_total(self) -> float:
         """What the counts of rare words, each and an unseen one raised by 1, add up to."""
         tokens, words = self.rest()
@@ -101,51 +94,46 @@ class Head:
 def head(counts: DataFrame, most: int = HEAD) -> Head:
     n = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END_WORD), F.col("c"))), F.lit(0))).first()
     top = counts.where(F.col("word") != F.lit(END_WORD)).orderBy(F.desc("c"), "word").limit(most).toArrow()
-    return Head([bytes(x) for x in top.column("word").to_pylist()], top.column("c").to_numpy().astype(np.int64), int(n[0]), int(n[1]), ends=int(n[2]))
+    return Head(top.column("word").to_pylist(), top.column("c").to_numpy().astype(np.int64), *map(int, n))
 
 
 def _tokenised(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = shared.value
-        of = {w: i for i, w in enumerate(h.words)}
+        of = pa.array(h.words, pa.string())
         logs = np.append(np.log10(h.counts + 1.0), 0.0)
-        known = np.append(h.counts > 0, False)
-        for batch in slices(batches, "text", 2 << 20):
-            words, sizes = [], []
-            for x in batch.column("text").to_pylist():
-                own = (x or "").encode().lower().split()
-                words += own
-                sizes.append(len(own))
-            sizes = np.array(sizes, np.int64)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            rank = np.fromiter(map(of.get, words, repeat(len(h.words))), np.int64, len(words))
+        for batch in slices(batches, "text", 8 << 20):
+            words, doc = words_of(batch.column("text"))
+            n = batch.num_rows
+            sizes = np.bincount(doc, minlength=n)
+            rank = np.asarray(pc.fill_null(pc.index_in(words, value_set=of), len(h.words))).astype(np.int64)
             rare = rank >= h.network
-            n = len(sizes)
-            far = np.flatnonzero(rank == len(h.words))
-            cut = np.searchsorted(doc[far], np.arange(1, n))
-            others = [Counter(words[i] for i in part) for part in np.split(far, cut)]
+            beyond = np.flatnonzero(rank == len(h.words))
+            coded = words.take(pa.array(beyond)).dictionary_encode()
+            pairs, times = np.unique(doc[beyond] * max(1, len(coded.dictionary)) + np.asarray(coded.indices), return_counts=True)
+            lengths = np.searchsorted(pairs, np.arange(n + 1) * max(1, len(coded.dictionary))).astype(np.int32)
+            far = coded.dictionary.take(pa.array(pairs % max(1, len(coded.dictionary))))
             ends = np.cumsum(sizes)
             ids = np.insert(np.where(rare, RARE, rank + 2), ends, END).astype("<u2")
             offsets = np.concatenate([[0], ends + np.arange(1, n + 1)])
-            lengths = np.cumsum([0, *map(len, others)]).astype(np.int32)
             out = {
                 "doc_id": batch.column("doc_id"),
                 "held_out": batch.column("held_out"),
                 "n_tokens": pa.array(sizes + 1),
                 "n_rare": pa.array(np.bincount(doc[rare], minlength=n)),
-                "known": pa.array(np.bincount(doc, known[rank], n).astype(np.int64) + (1 if h.ends else 0)),
+                "known": pa.array(np.bincount(doc[rank < len(h.words)], minlength=n) + (h.ends > 0)),
                 "logs": pa.array(np.bincount(doc, logs[rank], n) + np.log10(h.ends + 1.0)),
                 "rare_logs": pa.array(np.bincount(doc[rare], logs[rank[rare]], n)),
                 "ids": pa.array([ids[a:b].tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary()),  # noqa: B905
-                "far": pa.ListArray.from_arrays(lengths, pa.array([w for x in others for w in x], pa.binary())),
-                "far_n": pa.ListArray.from_arrays(lengths, pa.array([c for x in others for c in x.values()], pa.int32())),
+                "far": pa.ListArray.from_arrays(lengths, far),
+                "far_n": pa.ListArray.from_arrays(lengths, pa.array(times.astype(np.int32))),
             }
             yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
-TOKENS = "doc_id long, held_out boolean, n_tokens long, n_rare long, known long, logs double, rare_logs double, ids binary, far array<binary>, far_n array<int>"
+TOKENS = "doc_id long, held_out boolean, n_tokens long, n_rare long, known long, logs double, rare_logs double, ids binary, far array<string>, far_n array<int>"
 
 
 def tokenise(docs: DataFrame, h: Head) -> DataFrame:
@@ -277,10 +265,11 @@ class Network:
         flat, of = dx.reshape(-1, 3 * n), ids.ravel()
         grads.u += before.T @ da.reshape(-1, 3 * n)
         grads.b += flat.sum(0)
-        grads.wx += self.e[of].T @ flat
         order = np.argsort(of, kind="stable")
-        which, first = np.unique(of[order], return_index=True)
-        grads.e[which] += np.add.reduceat((flat @ self.wx.T)[order], first)
+        first = np.flatnonzero(np.diff(of[order], prepend=-1))
+        which, sums = of[order[first]], np.add.reduceat(flat[order], first)
+        grads.wx += self.e[which].T @ sums
+        grads.e[which] += sums @ self.wx.T
 
 
 def dealt(docs: list[np.ndarray], streams: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -335,7 +324,7 @@ class Trainer:
         for inputs, y, keep, _, there in windows(docs, STREAMS):
             h = h[: inputs.shape[1]]
             saved: list = []
-            x = self.net.e[inputs] @ self.net.wx + self.net.b
+            x = self.net.inputs()[inputs]
             states = self.net.forward(x, h, keep, saved)
             at = np.flatnonzero(there.ravel())
             _, d = self.net.outputs(states.reshape(-1, HIDDEN)[at], y.ravel()[at], self.grads, 1.0 / len(at))
