@@ -1,11 +1,14 @@
-"""The query catalogue: every query with its DuckDB equivalent."""
+"""The query catalogue: every query with its DuckDB equivalent where SQL can express it."""
 
 from __future__ import annotations
 
+from blobsight.plans import blobs, components, flows  # noqa: F401  (each registers its queries)
+from blobsight.plans.registry import QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: q.run for name, q in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q.sql for name, q in QUERIES.items() if q.sql}
