@@ -64,10 +64,10 @@ def targets(sizes: DataFrame, repeats: int = REPEATS) -> DataFrame:
     rows = sizes.withColumn("mass", integral(F.lit(1.0))).withColumn("cap", F.lit(float(repeats)) * F.col("source_size"))
     rows = rows.withColumn("all", F.sum("source_size").over(everything)).withColumn("masses", F.sum("mass").over(everything))
     rows = rows.withColumn("level", (F.col("all") - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))) / (F.col("masses") - F.coalesce(F.sum("mass").over(upto), F.lit(0.0))))
-    rows = rows.withColumn("open", F.col("level") * F.col("mass") < F.col("cap"))
-    final = F.min(F.when(F.col("open"), F.struct(F.col("cap") / F.col("mass"), "level"))).over(everything)["level"]
-    rows = rows.withColumn("final", final)
-    return rows.withColumn("target", F.when(F.col("open"), F.col("final") * F.col("mass")).otherwise(F.col("cap"))).drop("all", "masses", "level", "open", "final", "cap")
+    rows = rows.withColumn("open", F.col("level") * F.col("mass") < F.col("cap")).withColumn("place", F.row_number().over(by))
+    final = F.min(F.when(F.col("open"), F.struct("place", "level"))).over(everything)["level"]  # of the first that is open
+    rows = rows.withColumn("open", F.col("place") >= F.min(F.when(F.col("open"), F.col("place"))).over(everything)).withColumn("final", final)
+    return rows.withColumn("target", F.when(F.col("open"), F.col("final") * F.col("mass")).otherwise(F.col("cap"))).drop("all", "masses", "level", "open", "final", "cap", "place")
 
 
 def position(words: Column) -> Column:

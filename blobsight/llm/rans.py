@@ -109,7 +109,7 @@ def decode(data: bytes, freq: np.ndarray) -> np.ndarray:
         x = slot_f[slot] * (x >> np.uint64(SCALE)) + slot_bias[slot]
         need = x < np.uint64(1 << 16)
         upto = np.cumsum(need, 1)
-        word = words[np.where(need, at_word[:, None] + upto - 1, len(words) - 1)]
+        word = words[np.minimum(np.where(need, at_word[:, None] + upto - 1, len(words) - 1), len(words) - 1)]
         x = np.where(need, (x << np.uint64(16)) | word, x)
         at_word = at_word + upto[:, -1]
     ids = out.reshape(-1)[:n]
