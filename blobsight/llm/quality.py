@@ -1,8 +1,9 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
 P(grade <= k) = sigmoid(threshold k - score). The score is one set of weights over hashed text features, shared by all
-thresholds; thresholds are ordered. Words count by presence, so that one word tells in a long text as in a short one;
-shapes of words and immediate repeats count by their share of the words.
+thresholds; thresholds are ordered. Words and their beginnings count by presence, so that one word tells in a long text as
+in a short one; shapes of words and immediate repeats count by their share of the words. Only features that tell grades
+apart in the rated sample get a weight.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,11 +26,16 @@ BITS = 18
 SIZE = 1 << BITS
 #: Rated documents that training takes, the first by the hash of their id: a bound on what is fitted only.
 MOST_RATED = 12_000
-EPOCHS, RATE, L2, BATCH = 12, 0.3, 1e-6, 256
+EPOCHS, RATE, L2, BATCH = 40, 0.2, 1e-6, 64
 #: Words whose features a task keeps.
 MOST_WORDS = 300_000
 #: A document stays if the odds of the highest grade are at least these.
-LIMIT = 0.4
+LIMIT = 0.6
+#: Lengths of the beginnings of words that are features too.
+BEGINNINGS = (4, 5, 6)
+#: A feature gets a weight if the shares of documents that have it, among those up to some grade and those above, are this
+#: many standard errors apart.
+APART = 6.0
 _SHAPE = str.maketrans({c: "0" for c in "0123456789"})
 _RUNS = re.compile(r"(.)\1+")
 REPEAT = xxhash.xxh64_intdigest("again", 1) % SIZE
@@ -39,11 +46,12 @@ def grade(quality: Column, toxic: Column) -> Column:
     return quality.cast("int") * (2 - F.coalesce(toxic.cast("int"), F.lit(0)))
 
 
-def _word(word: str) -> tuple[int, int]:
-    """Features of a word and of its shape."""
+def _word(word: str) -> tuple[int, ...]:
+    """Features of a word, of its beginnings, and of its shape."""
     bare = word.lower().strip(".,;:!?\"'()[]")
     shape = _RUNS.sub(r"\1", "".join("a" if c.islower() else "A" if c.isupper() else c for c in word.translate(_SHAPE)))
-    return xxhash.xxh64_intdigest(bare, 2) % SIZE, xxhash.xxh64_intdigest(shape, 3) % SIZE
+    digest = xxhash.xxh64_intdigest
+    return digest(bare, 2) % SIZE, *(digest(bare[:n], 10 + n) % SIZE for n in BEGINNINGS), digest(shape, 3) % SIZE
 
 
 class Features:
@@ -52,7 +60,7 @@ class Features:
 
     def clear(self) -> None:
         self.of: dict[str, int] = {}
-        self.table = np.zeros((0, 2), np.int64)
+        self.table = np.zeros((0, len(BEGINNINGS) + 2), np.int64)
 
     def rows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, feature, value), by document; none for a text without words."""
@@ -70,11 +78,15 @@ class Features:
             self.table = np.concatenate([self.table, np.array([_word(w) for w in new], np.int64)])
         codes = np.fromiter(map(self.of.__getitem__, words), np.int64, len(words))
         doc = np.repeat(np.arange(len(texts)), counts)
-        present = np.unique((doc << BITS) | self.table[codes, 0])
+        pairs, times = np.unique((doc << 32) | codes, return_counts=True)  # a document's different words
+        own, table = (pairs >> 32) << BITS, self.table[pairs & 0xFFFFFFFF]
+        present = np.unique((own[:, None] | table[:, :-1]).ravel())
         again = np.flatnonzero((codes[1:] == codes[:-1]) & (doc[1:] == doc[:-1])) + 1
-        shares, times = np.unique(np.concatenate([(doc << BITS) | self.table[codes, 1], (doc[again] << BITS) | REPEAT]), return_counts=True)
+        shape = np.concatenate([own | table[:, -1], (doc[again] << BITS) | REPEAT])
+        times = np.concatenate([times, np.ones(len(again), np.int64)])
+        shares, place = np.unique(shape, return_inverse=True)
         key = np.concatenate([present, shares])
-        value = np.concatenate([np.ones(len(present)), 4.0 * times / np.maximum(1, counts[shares >> BITS])])
+        value = np.concatenate([np.ones(len(present)), 4.0 * np.bincount(place, times, len(shares)) / np.maximum(1, counts[shares >> BITS])])
         order = np.argsort(key, kind="stable")
         return key[order] >> BITS, key[order] & (SIZE - 1), value[order]
 
@@ -92,6 +104,21 @@ class Model:
         return 1 / (1 + np.exp(np.clip(score[:, None] - self.thresholds[None, :], -50, 50)))
 
 
+def telling(feature: np.ndarray, doc: np.ndarray, grades: np.ndarray, levels: int, apart: float = APART) -> np.ndarray:
+    """Which features (each once a document) tell grades apart: a mask. Features that are spread alike over the grades only add noise."""
+    grades = np.asarray(grades, np.int64)
+    by_grade = np.bincount(grades[doc] * SIZE + feature, minlength=levels * SIZE).reshape(levels, SIZE)
+    n = np.bincount(grades, minlength=levels).astype(float)
+    out = np.zeros(SIZE, bool)
+    for k in range(1, levels):
+        a, b = n[:k].sum(), n[k:].sum()
+        if a and b:
+            x, y = by_grade[:k].sum(0), by_grade[k:].sum(0)
+            p = np.clip((x + y) / (a + b), 1e-9, 1 - 1e-9)
+            out |= np.abs(x / a - y / b) >= apart * np.sqrt(p * (1 - p) * (1 / a + 1 / b))
+    return out & (by_grade.sum(0) > 0)
+
+
 def fit(docs: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int) -> Model:
     """Adagrad on the cumulative likelihood. docs: (features, values) of each rated document."""
     grades = np.asarray(grades, np.int64)
@@ -138,15 +165,20 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, ratings: DataFrame, levels: int = 3, most: int = MOST_RATED) -> Model:
     """Fit on ``docs`` (doc_id, text) rated by ``ratings`` (doc_id, grade from 0 to levels - 1).
 
-    Of several ratings of a document the lowest counts. The sample of ratings has a fixed bound, so it is broadcast to
+    Of several ratings of a document the lowest counts; grades out of range are left out. The sample of ratings has a fixed bound, so it is broadcast to
     the documents; only the sample's features reach the driver. Without ratings all documents get the same odds.
     """
-    graded = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
+    graded = ratings.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, levels - 1)).groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     some = graded.withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(most)
     rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(some), "doc_id").select("text", "grade", "o")
-    found = rows.mapInArrow(_vectors, "grade int, o long, features array<int>, values array<float>").toArrow().sort_by("o")
-    vectors = [(f.values.to_numpy().astype(np.int64), v.values.to_numpy().astype(float)) for f, v in zip(found["features"], found["values"], strict=True)]
-    return fit(vectors, found["grade"].to_numpy(), levels)
+    found = rows.mapInArrow(_vectors, "grade int, o long, features array<int>, values array<float>").toArrow().sort_by("o").combine_chunks()
+    grades, lists = found["grade"].to_numpy(), found["features"]
+    doc = np.repeat(np.arange(len(found), dtype=np.int32), pc.list_value_length(lists).to_numpy())
+    feature, value = pc.list_flatten(lists).to_numpy(), pc.list_flatten(found["values"]).to_numpy()
+    told = telling(feature, doc, grades, levels)[feature]
+    cut = np.searchsorted(doc[told], np.arange(1, len(found)))
+    vectors = zip(np.split(feature[told], cut), np.split(value[told], cut), strict=True) if len(found) else ()
+    return fit(list(vectors), grades, levels)
 
 
 def _judged(shared):
