@@ -57,3 +57,18 @@ def range_bounds(df: DataFrame, column: str, ranges: int) -> list[int]:
     cuts = [i / ranges for i in range(1, ranges)]
     found = df.agg(F.percentile_approx(column, cuts, max(10_000, 10 * ranges)).alias("b")).first()["b"]
     return sorted({int(x) for x in found or []})
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of ``texts`` one after another, and the index of each one's text; null texts have none."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    words = lists.flatten()
+    there = np.asarray(pc.binary_length(words)) > 0  # white space at either end leaves an empty piece
+    doc = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(lists)))
+    return words.filter(pa.array(there)), doc[there]
+
+
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``start`` and have ``size`` items, one after another."""
+    upto = np.cumsum(size)
+    return flat[np.repeat(start - upto + size, size) + np.arange(int(upto[-1]) if len(upto) else 0)]

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blobsight.llm.common import slices
+from blobsight.llm.common import slices, words_of
 from blobsight.scratch import materialise
 
 #: Width of the state; classes and words in a class.
@@ -43,18 +43,9 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words of ``texts`` (A-Z lower-cased, split at ASCII white space) one after another, and each one's text."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-    words = lists.flatten()
-    there = np.asarray(pc.binary_length(words)) > 0  # white space at either end leaves an empty piece
-    doc = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(lists)))
-    return words.filter(pa.array(there)), doc[there]
-
-
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", 16 << 20):
-        found = pc.value_counts(words_of(batch.column("text"))[0])
+        found = pc.value_counts(words_of(pc.ascii_lower(batch.column("text")))[0])
         yield pa.RecordBatch.from_arrays([pa.concat_arrays([found.field(0), pa.array([END_WORD])]), pa.concat_arrays([found.field(1), pa.array([batch.num_rows], pa.int64())])], ["word", "c"])
 
 
@@ -103,7 +94,7 @@ def _tokenised(shared):
         of = pa.array(h.words, pa.string())
         logs = np.append(np.log10(h.counts + 1.0), 0.0)
         for batch in slices(batches, "text", 8 << 20):
-            words, doc = words_of(batch.column("text"))
+            words, doc = words_of(pc.ascii_lower(batch.column("text")))
             n = batch.num_rows
             sizes = np.bincount(doc, minlength=n)
             rank = np.asarray(pc.fill_null(pc.index_in(words, value_set=of), len(h.words))).astype(np.int64)
@@ -122,8 +113,8 @@ def _tokenised(shared):
                 "n_tokens": pa.array(sizes + 1),
                 "n_rare": pa.array(np.bincount(doc[rare], minlength=n)),
                 "known": pa.array(np.bincount(doc[rank < len(h.words)], minlength=n) + (h.ends > 0)),
-                "logs": pa.array(np.bincount(doc, logs[rank], n) + np.log10(h.ends + 1.0)),
-                "rare_logs": pa.array(np.bincount(doc[rare], logs[rank[rare]], n)),
+                "logs": pa.array(np.bincount(doc, logs[rank], n) + np.log10(h.ends + 1.0), pa.float64()),
+                "rare_logs": pa.array(np.bincount(doc[rare], logs[rank[rare]], n).astype(float)),
                 "ids": pa.array([ids[a:b].tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary()),  # noqa: B905
                 "far": pa.ListArray.from_arrays(lengths, far),
                 "far_n": pa.ListArray.from_arrays(lengths, pa.array(times.astype(np.int32))),
@@ -212,9 +203,8 @@ class Network:
         logp = own - np.log(total)
         dh = None
         if grads is not None:
-            s /= total[:, None]
-            s[rows, k] -= 1
-            s *= scale
+            s *= (scale / total)[:, None]
+            s[rows, k] -= scale
             grads.v += h.T @ s
             grads.bv += s.sum(0)
             dh = s @ self.v.T
@@ -234,9 +224,8 @@ class Network:
             total = q @ ones
             inner[part] = own - np.log(total)
             if grads is not None:
-                q /= total[:, None]
-                q[at, w[part]] -= 1
-                q *= scale
+                q *= (scale / total)[:, None]
+                q[at, w[part]] -= scale
                 grads.o[c] += hs[part].T @ q
                 grads.bo[c] += q.sum(0)
                 dhs[part] = q @ self.o[c].T

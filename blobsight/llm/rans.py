@@ -11,24 +11,26 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from blobsight.llm.common import partitions, range_bounds, slices
-from blobsight.scratch import new_path
+from blobsight.llm.common import gather, partitions, range_bounds, slices, words_of
+from blobsight.scratch import materialise, new_path
 
 #: The table's counts add up to 2^16; lanes of a block; steps of a lane; steps between checkpoints.
 SCALE, LANES, STEPS, CHECK = 16, 128, 512, 128
 BLOCK = LANES * STEPS
 #: A file is closed at the document at which it has so many ids.
 FILE_IDS = 1 << 20
-#: Words whose ids a task keeps.
-MOST_WORDS = 300_000
+#: Units whose ids a task keeps.
+MOST_WORDS = 1_000_000
+#: Punctuation that is cut off at the end of a word.
+CLOSING = ".,;:!?*#$%&|"
 MAGIC = b"BSR1"
 _U32 = np.uint64(0xFFFFFFFF)
 
@@ -122,7 +124,9 @@ def decode(data: bytes, freq: np.ndarray) -> np.ndarray:
 class WordIds:
     """Ids of white-space-delimited words by the tokenizers library, each different word encoded once.
 
-    The vocabulary's pattern never crosses white space, so the ids of a text are those of its words one after another.
+    The vocabulary's pattern never crosses white space, and it cuts between a letter or digit and ASCII punctuation after
+    it, so the ids of a text are those of its words one after another, and those of a word the ids of what comes before
+    its last punctuation and of that punctuation. Case is dropped by the vocabulary itself.
     """
 
     def __init__(self, path: str, end: int):
@@ -130,79 +134,64 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.clear()
 
     def clear(self) -> None:
-        self.of, self.flat, self.size, self.start = {b"\n": 0}, np.array([self.end], np.uint32), np.array([1]), np.array([0])
-
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        found = self.tokenizer.encode_batch([w.decode(errors="replace") for w in words], add_special_tokens=False)
-        return [x.ids for x in found]
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.of]
-        if not new:
-            return
-        ids = self.encode_words(new)
-        self.of.update(zip(new, range(len(self.of), len(self.of) + len(new)), strict=True))
-        size = np.array([len(x) for x in ids])
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))])
-
-    def documents(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text, the end id last."""
-        words, ends = [], []
-        for t in texts:
-            words += (t or "").encode().split()
-            words.append(b"\n")  # stands for the end: no word has a line break
-            ends.append(len(words))
-        if len(self.of) > MOST_WORDS:
+        """Unit 0 is empty."""
+        self.units, self.flat, self.size, self.start = pa.array([""]), np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def learn(self, units: pa.Array) -> np.ndarray:
+        """The number of each of ``units``; those not met before are encoded."""
+        new = pc.unique(units.filter(pc.invert(pc.is_in(units, value_set=self.units))))
+        if len(new):
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))])
+            self.units = pa.concat_arrays([self.units, new])
+        return np.asarray(pc.index_in(units, value_set=self.units)).astype(np.int64)
+
+    def documents(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``texts``, the end id after each, and where each text's ids end."""
+        if len(self.units) > MOST_WORDS:
             self.clear()
-        self.learn(set(words))
-        codes = np.fromiter(map(self.of.__getitem__, words), np.int64, len(words))
-        size = self.size[codes]
-        upto = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[codes] - upto + size, size) + np.arange(upto[-1])]
-        return np.split(ids, upto[np.array(ends[:-1], np.int64) - 1]) if len(ends) > 1 else [ids]
-
-
-def _counted(path: str, end: int):
+        found, doc = words_of(pc.ascii_lower(texts))
+        coded = found.dictionary_encode()
+        words = coded.dictionary
+        stems = pc.ascii_rtrim(words, CLOSING)
+        cut = pc.and_(pc.match_substring_regex(stems, r"[\p{L}\p{N}]$"), pc.less(pc.binary_length(stems), pc.binary_length(words)))
+        last = pc.replace_substring_regex(words, r"(?s)^.*[\p{L}\p{N}]", "")
+        parts = np.stack([self.learn(pc.if_else(cut, stems, words)), self.learn(pc.if_else(cut, last, ""))], 1).ravel()
+        own = gather(self.flat, self.start[parts], self.size[parts])
+        size = self.size[parts].reshape(-1, 2).sum(1)
+        size, start = np.append(size, 1), np.append(np.cumsum(size) - size, len(own))
+        own = np.append(own, np.uint32(self.end))
+        ends = np.cumsum(np.bincount(doc, minlength=len(texts)))
+        codes = np.insert(np.asarray(coded.indices).astype(np.int64), ends, len(words))
+        upto = np.cumsum(size[codes])
+        return gather(own, start[codes], size[codes]), upto[ends + np.arange(len(ends))]
+
+
+def _counted(kind: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n, encoder, total = Counter(), 0, WordIds(path, end), np.zeros(0, np.int64)
-
-        def flush() -> None:
-            nonlocal total
-            if not words:
-                return
-            many = list(words.values())
-            ids = encoder.encode_words(list(words))
-            flat = np.fromiter((i for x in ids for i in x), np.int64)
-            found = np.bincount(flat, np.repeat(many, [len(x) for x in ids]), minlength=len(total)).astype(np.int64)
-            found[: len(total)] += total
-            total = found
-            words.clear()
-
-        for batch in slices(batches, "text"):
-            for t in batch.column("text").to_pylist():
-                words.update((t or "").encode().split())
-                n += 1
-            if len(words) > MOST_WORDS:
-                flush()
-        flush()
-        if n:
-            total = np.pad(total, (0, max(0, end + 1 - len(total))))
-            total[end] += n
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for ids in batch.column("ids"):
+                found = np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=len(total))
+                found[: len(total)] += total
+                total = found
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(used, pa.int64()), "n": pa.array(total[used], pa.int64())})
 
     return count
 
 
-def frequencies(docs: DataFrame, path: str, end: int) -> np.ndarray:
+def frequencies(ids: DataFrame, kind: str) -> np.ndarray:
     """The shared table, from the counts of all ids of all documents: at most one row for each id of the vocabulary reaches the driver."""
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(_counted(path, end), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(max([end, *(r["id"] for r in rows)]) + 1, np.int64)
+    rows = ids.select("ids").mapInArrow(_counted(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(max([0, *(r["id"] for r in rows)]) + 1, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
     return quantise(counts)
@@ -211,10 +200,13 @@ def frequencies(docs: DataFrame, path: str, end: int) -> np.ndarray:
 def _tokenised(path: str, end: int, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordIds(path, end)
-        for batch in slices(batches, "text", 2 << 20):
-            ids = [x.astype("<u4" if x.max(initial=0) > 0xFFFF else "<u2") for x in encoder.documents(batch.column("text").to_pylist())]
+        for batch in slices(batches, "text", 8 << 20):
+            ids, ends = encoder.documents(batch.column("text"))
+            raw = ids.astype(encoder.kind)
+            offsets = np.concatenate([[0], ends]) * raw.itemsize
             key = pc_fill(batch.column("doc_id"))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "part": pa.array(np.searchsorted(bounds, key, "left").astype(np.int32)), "wide": pa.array([x.itemsize == 4 for x in ids]), "ids": pa.array([x.tobytes() for x in ids], pa.binary())})
+            column = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.searchsorted(bounds, key, "left").astype(np.int32)), column], ["doc_id", "part", "ids"])
 
     return run
 
@@ -223,7 +215,7 @@ def pc_fill(column: pa.Array) -> np.ndarray:
     return column.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
 
 
-def _written(freq: np.ndarray):
+def _written(freq: np.ndarray, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, parts, have, part, number = [], [], 0, -1, 0
 
@@ -240,14 +232,14 @@ def _written(freq: np.ndarray):
             return pa.RecordBatch.from_pydict(out)
 
         for batch in slices(batches, "ids", 2 << 20):
-            for doc, p, wide, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "wide", "ids")), strict=True):
+            for doc, p, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "ids")), strict=True):
                 if docs and (p != part or have >= FILE_IDS):
                     yield close()
                     number = number + 1 if p == part else 0
                     docs, parts, have = [], [], 0
                 part = p
                 docs.append(doc)
-                parts.append(np.frombuffer(ids, "<u4" if wide else "<u2"))
+                parts.append(np.frombuffer(ids, kind))
                 have += len(parts[-1])
         if docs:
             yield close()
@@ -262,18 +254,20 @@ def write(docs: DataFrame, vocabulary: str, end: int = 1, path: str | None = Non
     """Encode ``docs`` (doc_id, text; others are left out) in ascending doc_id order (null first) and write the files.
 
     Returns the folder and the frequency table (also written, beside the files). Documents are dealt out by ranges of
-    doc_id, so that each task writes a run of the order; ids, not texts, are shuffled.
+    doc_id, so that each task writes a run of the order; texts are tokenised once, into a table of ids, from which the
+    frequencies are counted and which alone is shuffled.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "ids")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    freq = frequencies(docs, vocabulary, end)
-    spark.createDataFrame([(i, int(f)) for i, f in enumerate(freq.tolist()) if f], "id int, freq int").coalesce(1).write.parquet(f"{path}/table")
+    kind = WordIds(vocabulary, end).kind
     ranges = partitions(docs, -(-docs.count() // 50_000))
     bounds = np.array(range_bounds(docs.select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("k")), "k", ranges), np.int64)
-    rows = docs.mapInArrow(_tokenised(vocabulary, end, bounds), "doc_id long, part int, wide boolean, ids binary")
+    rows = materialise(docs.mapInArrow(_tokenised(vocabulary, end, bounds), "doc_id long, part int, ids binary"), "tokenised")
+    freq = frequencies(rows, kind)
+    spark.createDataFrame([(i, int(f)) for i, f in enumerate(freq.tolist()) if f], "id int, freq int").coalesce(1).write.parquet(f"{path}/table")
     rows = rows.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
-    rows.mapInArrow(_written(freq), FILE).write.option("compression", "none").parquet(f"{path}/files")
+    rows.mapInArrow(_written(freq, kind), FILE).write.option("compression", "none").parquet(f"{path}/files")
     return path, freq
 
 
