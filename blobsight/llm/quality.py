@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blobsight.llm.common import slices
+from blobsight.llm.common import slices, words_of
 
 #: Features are hashed to 2^BITS weights.
 BITS = 18
@@ -62,27 +62,26 @@ class Features:
         self.of: dict[str, int] = {}
         self.table = np.zeros((0, len(BEGINNINGS) + 2), np.int64)
 
-    def rows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, feature, value), by document; none for a text without words."""
-        words: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            own = (t or "").split()
-            counts[i] = len(own)
-            words += own
+    def rows(self, texts: pa.Array, live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, feature, value), by document; none for a text without words. With ``live``, a mask, only those features."""
+        found, doc = words_of(texts)
+        counts = np.bincount(doc, minlength=len(texts))
+        coded = found.dictionary_encode()
+        words = coded.dictionary.to_pylist()
         if len(self.of) > MOST_WORDS:
             self.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.of]
+        new = [w for w in words if w not in self.of]
         if new:
             self.of.update(zip(new, range(len(self.of), len(self.of) + len(new)), strict=True))
             self.table = np.concatenate([self.table, np.array([_word(w) for w in new], np.int64)])
-        codes = np.fromiter(map(self.of.__getitem__, words), np.int64, len(words))
-        doc = np.repeat(np.arange(len(texts)), counts)
+        codes = np.fromiter(map(self.of.__getitem__, words), np.int64, len(words))[np.asarray(coded.indices)]
         pairs, times = np.unique((doc << 32) | codes, return_counts=True)  # a document's different words
         own, table = (pairs >> 32) << BITS, self.table[pairs & 0xFFFFFFFF]
-        present = np.unique((own[:, None] | table[:, :-1]).ravel())
+        every = live is None
+        plain = [column if every else column[live[column]] for column in table[:, :-1].T]
+        present = np.unique(np.concatenate([(own if every else own[live[c]]) | x for c, x in zip(table[:, :-1].T, plain, strict=True)]))
         again = np.flatnonzero((codes[1:] == codes[:-1]) & (doc[1:] == doc[:-1])) + 1
-        shape = np.concatenate([own | table[:, -1], (doc[again] << BITS) | REPEAT])
+        shape = np.concatenate([own | table[:, -1], (doc[again] << BITS) | REPEAT]).astype(np.int64)
         times = np.concatenate([times, np.ones(len(again), np.int64)])
         shares, place = np.unique(shape, return_inverse=True)
         key = np.concatenate([present, shares])
@@ -157,7 +156,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: i
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     features = Features()
     for batch in slices(batches, "text"):
-        doc, feature, value = features.rows(batch.column("text").to_pylist())
+        doc, feature, value = features.rows(batch.column("text"))
         cut = np.searchsorted(doc, np.arange(1, batch.num_rows))
         yield pa.RecordBatch.from_arrays([batch.column("grade"), batch.column("o"), pa.array(np.split(feature.astype(np.int32), cut), pa.list_(pa.int32())), pa.array(np.split(value.astype(np.float32), cut), pa.list_(pa.float32()))], ["grade", "o", "features", "values"])
 
@@ -184,8 +183,9 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int = 3, most: int = MOST
 def _judged(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, model = Features(), Model(*shared.value)
+        live = model.weights != 0
         for batch in slices(batches, "text"):
-            below = model.at_most(model.scores(batch.num_rows, *features.rows(batch.column("text").to_pylist())))
+            below = model.at_most(model.scores(batch.num_rows, *features.rows(batch.column("text"), live)))
             out = {c: batch.column(c) for c in batch.schema.names}
             out["expected_grade"] = pa.array((1 - below).sum(1))
             out["tail_probability"] = pa.array(1 - below[:, -1])
