@@ -29,6 +29,10 @@ BLOCK = LANES * STEPS
 FILE_IDS = 1 << 20
 #: Units whose ids a task keeps.
 MOST_WORDS = 1_000_000
+#: Words that are encoded in one text.
+TOGETHER = 512
+#: Letters and digits that stay one letter when composed and lower-cased: only after these is a word cut.
+PLAIN_END = r"[a-z0-9\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{012F}\x{0131}-\x{017E}]$"
 #: Punctuation that is cut off at the end of a word.
 CLOSING = ".,;:!?*#$%&|"
 MAGIC = b"BSR1"
@@ -124,8 +128,8 @@ def decode(data: bytes, freq: np.ndarray) -> np.ndarray:
 class WordIds:
     """Ids of white-space-delimited words by the tokenizers library, each different word encoded once.
 
-    The vocabulary's pattern never crosses white space, and it cuts between a letter or digit and ASCII punctuation after
-    it, so the ids of a text are those of its words one after another, and those of a word the ids of what comes before
+    The vocabulary's pattern never crosses white space, and it cuts between a plain letter or digit and ASCII punctuation
+    after it, so the ids of a text are those of its words one after another, and those of a word the ids of what comes before
     its last punctuation and of that punctuation. Case is dropped by the vocabulary itself.
     """
 
@@ -134,24 +138,66 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
+        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.isascii() and not t.content.isspace()]
+        self.mark = min(special, key=lambda x: x[1]) if special else None
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.clear()
 
     def clear(self) -> None:
         """Unit 0 is empty."""
         self.units, self.flat, self.size, self.start = pa.array([""]), np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.closings: dict[str, int] = {"": 0}
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``words`` one after another, and each one's number. Many words go into one text, parted by a special token
+        that white space sets off; a word that holds the token's own text goes by itself."""
+        mark = self.mark
+        own = [i for i, w in enumerate(words) if mark is None or mark[0] in w]
+        alone = [x.ids for x in self.tokenizer.encode_batch_fast([words[i] for i in own], add_special_tokens=False)]
+        if len(own) == len(words):
+            return np.fromiter((i for x in alone for i in x), np.uint32), np.fromiter(map(len, alone), np.int64, len(alone))
+        odd = set(own)
+        rest = [w for i, w in enumerate(words) if i not in odd]
+        texts = [f" {mark[0]} ".join([*rest[a : a + TOGETHER], ""]) for a in range(0, len(rest), TOGETHER)]
+        found = np.concatenate([np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.flatnonzero(found == mark[1])
+        size = np.diff(ends, prepend=-1) - 1
+        flat = found[found != mark[1]]
+        if odd:
+            sizes = np.zeros(len(words), np.int64)
+            kept = np.array([i for i in range(len(words)) if i not in odd])
+            sizes[kept], sizes[own] = size, [len(x) for x in alone]
+            starts = np.zeros(len(words), np.int64)
+            starts[kept], starts[own] = np.cumsum(size) - size, len(flat) + np.cumsum(sizes[own]) - sizes[own]
+            flat = gather(np.concatenate([flat, np.array([i for x in alone for i in x], np.uint32)]), starts, sizes)
+            size = sizes
+        return flat, size
+
+    def add(self, words: list[str]) -> None:
+        flat, size = self.encode_words(words)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
 
     def learn(self, units: pa.Array) -> np.ndarray:
         """The number of each of ``units``; those not met before are encoded."""
-        new = pc.unique(units.filter(pc.invert(pc.is_in(units, value_set=self.units))))
-        if len(new):
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))])
-            self.units = pa.concat_arrays([self.units, new])
-        return np.asarray(pc.index_in(units, value_set=self.units)).astype(np.int64)
+        at = pc.index_in(units, value_set=self.units)
+        unknown = np.asarray(at.is_null())
+        out = np.asarray(pc.fill_null(at, 0)).astype(np.int64)
+        if unknown.any():
+            new = units.filter(pa.array(unknown)).dictionary_encode()
+            out[unknown] = len(self.size) + np.asarray(new.indices)
+            self.add(new.dictionary.to_pylist())
+            self.units = pa.concat_arrays([self.units, new.dictionary])
+        return out
+
+    def learn_closings(self, closings: pa.DictionaryArray) -> np.ndarray:
+        """The same for the punctuation at words' ends, of which there is little: kept with the units, under no text."""
+        new = [x for x in closings.dictionary.to_pylist() if x not in self.closings]
+        if new:
+            self.closings.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
+            self.add(new)
+            self.units = pa.concat_arrays([self.units, pa.nulls(len(new), pa.string())])
+        return np.array([self.closings[x] for x in closings.dictionary.to_pylist()], np.int64)[np.asarray(closings.indices)]
 
     def documents(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all ``texts``, the end id after each, and where each text's ids end."""
@@ -161,9 +207,9 @@ class WordIds:
         coded = found.dictionary_encode()
         words = coded.dictionary
         stems = pc.ascii_rtrim(words, CLOSING)
-        cut = pc.and_(pc.match_substring_regex(stems, r"[\p{L}\p{N}]$"), pc.less(pc.binary_length(stems), pc.binary_length(words)))
+        cut = pc.and_(pc.match_substring_regex(stems, PLAIN_END), pc.less(pc.binary_length(stems), pc.binary_length(words)))
         last = pc.replace_substring_regex(words, r"(?s)^.*[\p{L}\p{N}]", "")
-        parts = np.stack([self.learn(pc.if_else(cut, stems, words)), self.learn(pc.if_else(cut, last, ""))], 1).ravel()
+        parts = np.stack([self.learn(pc.if_else(cut, stems, words)), self.learn_closings(pc.if_else(cut, last, "").dictionary_encode())], 1).ravel()
         own = gather(self.flat, self.start[parts], self.size[parts])
         size = self.size[parts].reshape(-1, 2).sum(1)
         size, start = np.append(size, 1), np.append(np.cumsum(size) - size, len(own))

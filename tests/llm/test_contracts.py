@@ -456,3 +456,14 @@ def test_pipeline(spark, sf):
     assert mixed.columns == docs.columns
     assert corpus_pipeline.run(spark, sf).count() == mixed.count()
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_words_together_are_encoded_as_alone():
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    tok, own = Tokenizer.from_file(path), rans.WordIds(path, 1)
+    texts = [r["text"] for r in table("documents")[:60]] + [None, "", "<|startoftext|> a<|startoftext|>. b!! <|endoftext|>", "don't. x'S, é. é! 12,3. 中文. a̸. ...", " x .  y　! KK. İ."]
+    for _ in range(2):  # the second time nothing is new
+        ids, ends = own.documents(__import__("pyarrow").array(texts))
+        assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [tok.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
