@@ -18,8 +18,10 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """In [0, 1]; 0 where a vector has no length."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))))
+    """In [0, 1]; both are cut to the shorter length; 0 where one has no length."""
+    n = F.least(F.size(a), F.size(b))
+    x, y = F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(dot(x, y), norm(x) * norm(y)), F.lit(0.0))))
 
 
 def normalised(a: Column) -> Column:
