@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blobsight.llm.common import slices
+from blobsight.llm.common import gather, slices
 
 _UNITS = re.compile(r"\n| *[^ \n]+| +")
 SPACE, NO_CODE = 0x2581, 0x110000
@@ -59,6 +59,9 @@ class Pieces:
         self.ids = np.array([i for _, _, i in plain], np.int32)[order]
         self.unknown = float(self.scores.min()) - 10.0
         self.by_text = {p: (s, i) for p, s, i in plain}
+        self.raw = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.raw_size = np.fromiter(map(len, self.bytes_of), np.int64, n)
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
         self.clear()
 
     @staticmethod
@@ -182,11 +185,11 @@ class Pieces:
         codes = np.fromiter(map(self.of.__getitem__, units), np.int64, len(units))
         size = self.size[codes]
         upto = np.concatenate([[0], np.cumsum(size)])
-        flat = self.flat[np.repeat(self.start[codes] - upto[:-1], size) + np.arange(upto[-1])]
+        flat = gather(self.flat, self.start[codes], size)
         return np.split(flat, upto[np.array(ends, np.int64)][:-1]) if ends else []
 
     def decode(self, ids: np.ndarray) -> str:
-        raw = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        raw = gather(self.raw, self.raw_start[ids], self.raw_size[ids]).tobytes()
         return raw.decode("utf-8", "surrogatepass")[1:]
 
 
