@@ -1,7 +1,10 @@
 """Language-model scoring: a gated recurrent network in numpy over the words of whole documents.
 
-Words are counted over all training documents; the commonest are the network's vocabulary, all others are one rare
-token whose mass is shared by their counts. The output is factored: first a class of words, then the word within it.
+Words are counted over all training documents; the commonest have tokens of their own, all others are spelt. The output
+is factored: first a class of words, then the word within it; for a spelt word this is the rare token, and then the
+digits of its code, each relative to what the counts say. Codes are the first digits of the word's hash, and there are
+more of them where there are more different words; the few words of a code share its mass by their counts. A spelt word
+goes into the state by its whole hash, so that each leaves a trace of its own.
 Training is truncated backpropagation over windows; the state is carried from window to window, so a document's
 log-likelihood is that of the whole document. Partitions train side by side for a round, on a part of the training
 documents of their own, and their weights are averaged; every training document is used once.
@@ -25,6 +28,10 @@ from blobsight.scratch import materialise
 #: Width of the state; classes and words in a class.
 HIDDEN, CLASSES, WIDTH = 16, 32, 64
 VOCABULARY = CLASSES * WIDTH
+#: Values of a code's digit as bits, different spelt words for each code at most (there are up to DIGIT times as many codes),
+#: and bytes of the hash, each with embeddings of its own.
+BITS, PER_CODE, BYTES = 3, 64, 4
+DIGIT = 1 << BITS
 #: The commonest words, which tasks look up by themselves; counts of all others are joined.
 HEAD = 1 << 17
 #: Steps of a window; documents side by side in training and in scoring; tokens that are dealt to them at once.
@@ -35,6 +42,8 @@ FAN, PIECES = 64, 16
 #: Logits are held below this, so that their exponentials are finite.
 HIGHEST = 60.0
 END, RARE = 0, 1
+#: A token in memory: the network's number in the low bits, above them the hash of a spelt word.
+LOW = 16
 END_WORD = "\n"  # no word has a line break
 
 
@@ -76,10 +85,12 @@ class Head:
         ends = int(self.ends > 0)
         return self.total - own - self.ends, self.different - self.network - ends
 
-    def rare_total(self) -> float:
-        """What the counts of rare words, each and an unseen one raised by 1, add up to."""
-        tokens, words = self.rest()
-        return float(tokens + words + 1)
+    def digits(self) -> int:
+        """Digits of a code, so that there is a code for every PER_CODE spelt words at least."""
+        n = 1
+        while PER_CODE << (BITS * n) < self.rest()[1]:
+            n += 1
+        return n
 
 
 def head(counts: DataFrame, most: int = HEAD) -> Head:
@@ -88,10 +99,58 @@ def head(counts: DataFrame, most: int = HEAD) -> Head:
     return Head(top.column("word").to_pylist(), top.column("c").to_numpy().astype(np.int64), *map(int, n))
 
 
+def hashes(words: pa.Array) -> np.ndarray:
+    """32 bits of each word."""
+    words = words.cast(pa.large_string())
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]].astype(np.uint64) if at[-1] > at[0] else np.zeros(0, np.uint64)
+    at = at - at[0]
+    sizes = np.diff(at)
+    powers = np.full(int(sizes.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64)
+    powers[0] = 1
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(powers, dtype=np.uint64)
+        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * powers[np.arange(len(raw)) - np.repeat(at[:-1], sizes)], dtype=np.uint64)])
+        x = upto[at[1:]] - upto[at[:-1]]
+        for by in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(by)
+    return (x >> np.uint64(32)).astype(np.uint32)
+
+
+def code_of(h: np.ndarray, digits: int) -> np.ndarray:
+    return np.asarray(h).astype(np.int64) >> (32 - BITS * digits)
+
+
+def _coded(digits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, n = np.zeros(DIGIT**digits), np.zeros(DIGIT**digits)
+        for batch in batches:
+            code = code_of(hashes(batch.column("word")), digits)
+            c += np.bincount(code, batch.column("c").to_numpy(), len(c))
+            n += np.bincount(code, minlength=len(c))
+        met = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"code": pa.array(met), "mass": pa.array((c + n)[met])})
+
+    return run
+
+
+def masses(counts: DataFrame, h: Head) -> np.ndarray:
+    """By code: what the counts of its spelt words, each and an unseen one raised by 1, add up to."""
+    digits = h.digits()
+    out = np.ones(DIGIT**digits)
+    found = counts.mapInArrow(_coded(digits), "code long, mass double").groupBy("code").agg(F.sum("mass").alias("mass")).toArrow()
+    out[found.column("code").to_numpy()] += found.column("mass").to_numpy()
+    own = code_of(hashes(pa.array([*h.words[: h.network], END_WORD], pa.string())), digits)
+    np.subtract.at(out, own, np.append(h.counts[: h.network] + 1, h.ends + 1 if h.ends else 0))
+    return out
+
+
 def _tokenised(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = shared.value
         of = pa.array(h.words, pa.string())
+        hashed = hashes(of)
         logs = np.append(np.log10(h.counts + 1.0), 0.0)
         for batch in slices(batches, "text", 8 << 20):
             words, doc = words_of(pc.ascii_lower(batch.column("text")))
@@ -101,6 +160,10 @@ def _tokenised(shared):
             rare = rank >= h.network
             beyond = np.flatnonzero(rank == len(h.words))
             coded = words.take(pa.array(beyond)).dictionary_encode()
+            spelt = np.append(hashed, np.uint32(0))[rank]
+            spelt[beyond] = hashes(coded.dictionary)[np.asarray(coded.indices)]
+            spelt = spelt[rare].astype("<u4")
+            parts = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=n))])
             pairs, times = np.unique(doc[beyond] * max(1, len(coded.dictionary)) + np.asarray(coded.indices), return_counts=True)
             lengths = np.searchsorted(pairs, np.arange(n + 1) * max(1, len(coded.dictionary))).astype(np.int32)
             far = coded.dictionary.take(pa.array(pairs % max(1, len(coded.dictionary))))
@@ -111,11 +174,11 @@ def _tokenised(shared):
                 "doc_id": batch.column("doc_id"),
                 "held_out": batch.column("held_out"),
                 "n_tokens": pa.array(sizes + 1),
-                "n_rare": pa.array(np.bincount(doc[rare], minlength=n)),
                 "known": pa.array(np.bincount(doc[rank < len(h.words)], minlength=n) + (h.ends > 0)),
                 "logs": pa.array(np.bincount(doc, logs[rank], n) + np.log10(h.ends + 1.0), pa.float64()),
                 "rare_logs": pa.array(np.bincount(doc[rare], logs[rank[rare]], n).astype(float)),
                 "ids": pa.array([ids[a:b].tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary()),  # noqa: B905
+                "spelt": pa.array([spelt[a:b].tobytes() for a, b in zip(parts, parts[1:])], pa.binary()),  # noqa: B905
                 "far": pa.ListArray.from_arrays(lengths, far),
                 "far_n": pa.ListArray.from_arrays(lengths, pa.array(times.astype(np.int32))),
             }
@@ -124,11 +187,11 @@ def _tokenised(shared):
     return run
 
 
-TOKENS = "doc_id long, held_out boolean, n_tokens long, n_rare long, known long, logs double, rare_logs double, ids binary, far array<string>, far_n array<int>"
+TOKENS = "doc_id long, held_out boolean, n_tokens long, known long, logs double, rare_logs double, ids binary, spelt binary, far array<string>, far_n array<int>"
 
 
 def tokenise(docs: DataFrame, h: Head) -> DataFrame:
-    """One row a document: ids of the network's tokens (16 bits each, the end last), sums of log10(count + 1) over the words
+    """One row a document: ids of the network's tokens (16 bits each, the end last), hashes of the rare ones (32 bits each), sums of log10(count + 1) over the words
     of the head, and the words that are beyond it with their numbers."""
     shared = docs.sparkSession.sparkContext.broadcast(h)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out().alias("held_out"))
@@ -137,7 +200,10 @@ def tokenise(docs: DataFrame, h: Head) -> DataFrame:
 
 @dataclass
 class Network:
-    """A gated recurrent unit: reset and update gates and a candidate state, with class-factored outputs."""
+    """A gated recurrent unit: reset and update gates and a candidate state, with class-factored outputs.
+
+    Without ``priors`` nothing is spelt, and a rare token is as any other.
+    """
 
     e: np.ndarray  # embeddings
     wx: np.ndarray  # embedding to gates
@@ -147,16 +213,24 @@ class Network:
     bv: np.ndarray
     o: np.ndarray  # state to words of a class
     bo: np.ndarray
-    names: tuple = field(default=("e", "wx", "b", "u", "v", "bv", "o", "bo"), repr=False)
+    d: np.ndarray  # embeddings of a spelt word's bytes
+    p: np.ndarray  # state to digits
+    priors: list | None = None  # by place of the digit: its logarithms by the digits before, from the counts
+    masses: np.ndarray | None = None  # logarithms by code
+    names: tuple = field(default=("e", "wx", "b", "u", "v", "bv", "o", "bo", "d", "p"), repr=False)
 
     @staticmethod
-    def start(counts: np.ndarray, seed: int = 42) -> Network:
-        """Small weights; output biases from the counts of all training tokens."""
+    def start(counts: np.ndarray, seed: int = 42, masses: np.ndarray | None = None) -> Network:
+        """Small weights; output biases from the counts of all training tokens, and for digits from the masses of codes."""
         rng = np.random.default_rng(seed)
         small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
         by_class = (counts + 1e-3).reshape(CLASSES, WIDTH)
         log = lambda x: np.log(x).astype(np.float32)
-        return Network(small(VOCABULARY, HIDDEN), small(HIDDEN, 3 * HIDDEN), np.zeros(3 * HIDDEN, np.float32), small(HIDDEN, 3 * HIDDEN), small(HIDDEN, CLASSES), log(by_class.sum(1) / by_class.sum()), small(CLASSES, HIDDEN, WIDTH), log(by_class / by_class.sum(1, keepdims=True)))
+        priors = []
+        while masses is not None and DIGIT ** len(priors) < len(masses):
+            below = masses.reshape(DIGIT ** (len(priors) + 1), -1).sum(1).reshape(-1, DIGIT)
+            priors.append(log(below / below.sum(1, keepdims=True)))
+        return Network(small(VOCABULARY, HIDDEN), small(HIDDEN, 3 * HIDDEN), np.zeros(3 * HIDDEN, np.float32), small(HIDDEN, 3 * HIDDEN), small(HIDDEN, CLASSES), log(by_class.sum(1) / by_class.sum()), small(CLASSES, HIDDEN, WIDTH), log(by_class / by_class.sum(1, keepdims=True)), small(BYTES * 256, HIDDEN), small(HIDDEN, DIGIT * len(priors)), priors or None, None if masses is None else log(masses))
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, x).ravel() for x in self.names])
@@ -167,10 +241,28 @@ class Network:
             like = getattr(self, x)
             parts.append(flat[at : at + like.size].reshape(like.shape).astype(np.float32))
             at += like.size
-        return Network(*parts)
-
-    def inputs(self) -> np.ndarray:
-        return self.e @ self.wx + self.b
+        return Network(*parts, self.priors, self.masses)
+
+    def inputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """To the gates: of tokens, and of a spelt word's bytes."""
+        return self.e @ self.wx + self.b, self.d @ self.wx
+
+    def entered(self, ids: np.ndarray, inputs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Inputs to the gates of each token."""
+        x = inputs[0][ids & ((1 << LOW) - 1)]
+        at, rows = self.bytes_of(ids.ravel())
+        if len(at):
+            flat = x.reshape(-1, x.shape[-1])
+            flat[at] += sum(inputs[1][r] for r in rows)
+        return x
+
+    def bytes_of(self, ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Places of the spelt words, and rows of their embeddings by byte."""
+        if self.priors is None:
+            return np.zeros(0, np.int64), []
+        at = np.flatnonzero((ids & ((1 << LOW) - 1)) == RARE)
+        h = ids[at] >> LOW
+        return at, [((h >> 8 * i) & 255) + 256 * i for i in range(BYTES)]
 
     def forward(self, x: np.ndarray, h: np.ndarray, keep: np.ndarray, saved: list | None = None) -> np.ndarray:
         """States after each step. x: inputs to the gates by step and stream; keep: 0 where a document starts."""
@@ -192,7 +284,13 @@ class Network:
         return out
 
     def outputs(self, h: np.ndarray, y: np.ndarray, grads: Network | None = None, scale: float = 0.0) -> tuple[np.ndarray, np.ndarray | None]:
-        """Log-probabilities of the tokens ``y`` after the states ``h``; with ``grads``, adds to them and returns the slope of the loss by h too."""
+        """Log-probabilities of the tokens ``y`` after the states ``h``; with ``grads``, adds to them and returns the slope of the loss by h too.
+
+        That of a spelt word is still to be raised by the logarithm of its count + 1, its share in its code.
+        """
+        at = np.flatnonzero((y & ((1 << LOW) - 1)) == RARE) if self.priors is not None else []
+        spelt = y[at] >> LOW if len(at) else None
+        y = y & ((1 << LOW) - 1)
         rows, k = np.arange(len(y)), y // WIDTH
         s = h @ self.v
         s += self.bv
@@ -208,6 +306,11 @@ class Network:
             grads.v += h.T @ s
             grads.bv += s.sum(0)
             dh = s @ self.v.T
+        if spelt is not None:
+            more, dmore = self.digits(h[at], spelt, grads, scale)
+            logp[at] += more
+            if grads is not None:
+                dh[at] += dmore
         order = np.argsort(k, kind="stable")
         cut = np.searchsorted(k[order], np.arange(CLASSES + 1))
         hs, w = h[order], (y % WIDTH)[order]
@@ -218,14 +321,14 @@ class Network:
             q = hs[part] @ self.o[c]
             q += self.bo[c]
             np.minimum(q, HIGHEST, out=q)
-            at = rows[: len(q)]
-            own = q[at, w[part]]
+            first = rows[: len(q)]
+            own = q[first, w[part]]
             np.exp(q, q)
             total = q @ ones
             inner[part] = own - np.log(total)
             if grads is not None:
                 q *= (scale / total)[:, None]
-                q[at, w[part]] -= scale
+                q[first, w[part]] -= scale
                 grads.o[c] += hs[part].T @ q
                 grads.bo[c] += q.sum(0)
                 dhs[part] = q @ self.o[c].T
@@ -234,6 +337,27 @@ class Network:
             dh[order] += dhs
         return logp, dh
 
+    def digits(self, h: np.ndarray, spelt: np.ndarray, grads: Network | None, scale: float) -> tuple[np.ndarray, np.ndarray | None]:
+        """Log-probabilities of the codes of the hashes ``spelt``, without the codes' masses, and the slope by h."""
+        n = len(self.priors)
+        code = code_of(spelt, n)
+        s = (h @ self.p).reshape(-1, n, DIGIT)
+        for i, prior in enumerate(self.priors):
+            s[:, i] += prior[code >> BITS * (n - i)]
+        np.minimum(s, HIGHEST, out=s)
+        own = (code[:, None] >> (BITS * np.arange(n)[::-1])) & (DIGIT - 1)
+        of = np.take_along_axis(s, own[:, :, None], 2)[:, :, 0]
+        np.exp(s, s)
+        total = s @ np.ones(DIGIT, s.dtype)
+        logp = (of - np.log(total)).sum(1) - self.masses[code]
+        if grads is None:
+            return logp, None
+        s *= (scale / total)[:, :, None]
+        s.reshape(-1, DIGIT)[np.arange(own.size), own.ravel()] -= scale
+        s = s.reshape(len(h), -1)
+        grads.p += h.T @ s
+        return logp, s @ self.p.T
+
     def backward(self, ids: np.ndarray, keep: np.ndarray, saved: list, dhs: np.ndarray, grads: Network) -> None:
         n, steps = HIDDEN, len(saved)
         dx = np.empty((steps, ids.shape[1], 3 * n), np.float32)
@@ -254,6 +378,16 @@ class Network:
         flat, of = dx.reshape(-1, 3 * n), ids.ravel()
         grads.u += before.T @ da.reshape(-1, 3 * n)
         grads.b += flat.sum(0)
+        at, rows = self.bytes_of(of)
+        if len(at):
+            some = flat[at]
+            grads.wx += sum(self.d[r] for r in rows).T @ some
+            de = some @ self.wx.T
+            for r in rows:
+                order = np.argsort((r & 255).astype(np.uint8), kind="stable")
+                first = np.flatnonzero(np.diff(r[order], prepend=-1))
+                grads.d[r[order[first]]] += np.add.reduceat(de[order], first)
+        of = of & ((1 << LOW) - 1)
         order = np.argsort(of, kind="stable")
         first = np.flatnonzero(np.diff(of[order], prepend=-1))
         which, sums = of[order[first]], np.add.reduceat(flat[order], first)
@@ -277,7 +411,7 @@ def dealt(docs: list[np.ndarray], streams: int) -> Iterator[tuple[np.ndarray, np
     many = 64 * STEPS
     for a in range(0, int(sizes[0]) if len(sizes) else 0, many):
         some = int((sizes > a).sum())
-        tokens, which = np.full((some, many), -1, np.int32), np.full((some, many), -1, np.int32)
+        tokens, which = np.full((some, many), -1, np.int64), np.full((some, many), -1, np.int32)
         before = np.array([of[i][a - 1] if a else -1 for i in range(some)], np.int32)
         for i in range(some):
             part = flat[i][a : a + many]
@@ -313,7 +447,7 @@ class Trainer:
         for inputs, y, keep, _, there in windows(docs, STREAMS):
             h = h[: inputs.shape[1]]
             saved: list = []
-            x = self.net.inputs()[inputs]
+            x = self.net.entered(inputs, self.net.inputs())
             states = self.net.forward(x, h, keep, saved)
             at = np.flatnonzero(there.ravel())
             _, d = self.net.outputs(states.reshape(-1, HIDDEN)[at], y.ravel()[at], self.grads, 1.0 / len(at))
@@ -340,7 +474,12 @@ class Trainer:
 
 
 def _lists(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u2").astype(np.int64) for x in batch.column("ids").to_pylist()]
+    out = []
+    for x, y in zip(batch.column("ids").to_pylist(), batch.column("spelt").to_pylist(), strict=True):
+        ids = np.frombuffer(x, "<u2").astype(np.int64)
+        ids[ids == RARE] |= np.frombuffer(y, "<u4").astype(np.int64) << LOW
+        out.append(ids)
+    return out
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,19 +517,19 @@ def _mean(table: pa.Table) -> pa.Table:
     return out
 
 
-def train(tokens: DataFrame, h: Head, rounds: int = ROUNDS) -> Network:
-    """Rounds over ``tokens`` (doc_id, ids): each takes a part of the documents, by the hash of their id.
+def train(tokens: DataFrame, h: Head, by_code: np.ndarray, rounds: int = ROUNDS) -> Network:
+    """Rounds over ``tokens`` (doc_id, ids, spelt): each takes a part of the documents, by the hash of their id.
 
     Only averaged weights reach the driver. Replicas' weights are averaged by groups of FAN first.
     """
     counts = np.zeros(VOCABULARY)
     counts[END], counts[RARE] = h.ends, max(0, h.rest()[0]) + 1
     counts[2 : 2 + h.network] = h.counts[: h.network]
-    net = start = Network.start(counts)
+    net = start = Network.start(counts, masses=by_code)
     sc = tokens.sparkSession.sparkContext
     for r in range(rounds):
         shared = sc.broadcast((start, net.flat()))
-        some = tokens.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == r).select("ids")
+        some = tokens.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == r).select("ids", "spelt")
         new = some.mapInArrow(_trained(shared), "piece int, n long, w binary").withColumn("fan", F.floor(F.spark_partition_id() / FAN))
         schema = "piece int, n long, w binary"
         once = new.groupBy("piece", "fan").applyInArrow(lambda t: _mean(t.drop_columns("fan")), schema)
@@ -401,12 +540,12 @@ def train(tokens: DataFrame, h: Head, rounds: int = ROUNDS) -> Network:
     return net
 
 
-def log_likelihoods(net: Network, docs: list[np.ndarray], inputs: np.ndarray | None = None) -> np.ndarray:
+def log_likelihoods(net: Network, docs: list[np.ndarray], inputs: tuple | None = None) -> np.ndarray:
     """Natural log of the probability of each document (token ids, the end last)."""
     x = net.inputs() if inputs is None else inputs
     out, h = np.zeros(len(docs)), np.zeros((SCORED, HIDDEN), np.float32)
     for ids, y, keep, which, there in windows(docs, SCORED):
-        states = net.forward(x[ids], h[: ids.shape[1]], keep)
+        states = net.forward(net.entered(ids, x), h[: ids.shape[1]], keep)
         at = np.flatnonzero(there.ravel())
         logp, _ = net.outputs(states.reshape(-1, HIDDEN)[at], y.ravel()[at])
         out += np.bincount(which.ravel()[at], logp, len(docs))
@@ -420,7 +559,7 @@ def _scored(shared):
         inputs = net.inputs()
         for batch in _chunks(batches):
             found = log_likelihoods(net, _lists(batch), inputs) / np.log(10)
-            kept = [c for c in batch.schema.names if c != "ids"]
+            kept = [c for c in batch.schema.names if c not in ("ids", "spelt")]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found)], [*kept, "network"])
 
     return run
@@ -431,17 +570,18 @@ def score(docs: DataFrame) -> DataFrame:
     are left out), learning from the rows that are not held out.
 
     Null and blank texts are one end token. Repeated rows count as often as they are there. An empty table gives none;
-    without a training document all words are unseen and the network stays as it started. A rare word's probability is
-    that of the rare token times its count's share among rare words, counts raised by 1 as in the base.
+    without a training document all words are unseen and the network stays as it started. A spelt word's probability is
+    that of the rare token, times that of its code's digits, times its count's share within the code, counts raised by 1
+    as in the base.
     """
     spark = docs.sparkSession
     counts = materialise(count_words(docs.where(~held_out())), "words")
     h = head(counts)
     tokens = materialise(tokenise(docs, h).withColumn("row", F.monotonically_increasing_id()), "tokens")
-    net = train(tokens.where("not held_out").select("doc_id", "ids"), h)
+    net = train(tokens.where("not held_out").select("doc_id", "ids", "spelt"), h, masses(counts, h))
     shared = spark.sparkContext.broadcast(net)
-    own = ["doc_id", "held_out", "n_tokens", "n_rare", "known", "logs", "rare_logs", "row"]
-    scored = tokens.select(*own, "ids").mapInArrow(_scored(shared), "doc_id long, held_out boolean, n_tokens long, n_rare long, known long, logs double, rare_logs double, row long, network double")
+    own = ["doc_id", "held_out", "n_tokens", "known", "logs", "rare_logs", "row"]
+    scored = tokens.select(*own, "ids", "spelt").mapInArrow(_scored(shared), "doc_id long, held_out boolean, n_tokens long, known long, logs double, rare_logs double, row long, network double")
     if h.different > len(h.words) + 1:  # words beyond the head; those that no training document has add log10(1)
         floor = int(h.counts[-1])
         far = tokens.select("row", F.explode(F.arrays_zip("far", "far_n")).alias("x")).select("row", F.col("x.far").alias("word"), F.col("x.far_n").alias("n"))
@@ -459,5 +599,5 @@ def score(docs: DataFrame) -> DataFrame:
         (F.col("known") + F.coalesce("far_known", F.lit(0))).alias("n_known"),
         F.lit(h.total).cast("long").alias("train_tokens"),
         (F.col("logs") + far_logs - n * every).alias("base_score"),
-        (F.col("network") + F.col("rare_logs") + far_logs - F.col("n_rare") * float(np.log10(h.rare_total()))).alias("score"),
+        (F.col("network") + F.col("rare_logs") + far_logs).alias("score"),
     )

@@ -257,6 +257,65 @@ def test_lm_state_is_carried_and_documents_are_apart():
     assert alone == pytest.approx([plain(d) for d in docs], rel=1e-4)
 
 
+def test_lm_tells_spelt_words_apart():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    many = lm.hashes(pa.array([f"w{i}" for i in range(20_000)]))
+    assert len(np.unique(many)) > 19_990
+    sliced = pa.array(["x", "", "w5", "\u00e9\u4e2d", "w19999"])[2:]
+    assert lm.hashes(sliced).tolist()[::2] == many[[5, 19999]].tolist()
+    few, more = (lm.Head(["a"], np.array([1]), 10**9, n, 0).digits() for n in (10_000, 10_000_000))
+    assert 0 < few < more  # codes grow with the different words
+    net = lm.Network.start(rng.integers(1, 100, lm.VOCABULARY).astype(float), masses=rng.integers(1, 50, lm.DIGIT**2).astype(float))
+    net.p *= 10
+    word = lambda h: lm.RARE | int(h) << lm.LOW
+    doc = [5, 9, word(many[0]), 9, 17, word(many[1]), 9, 0]
+    other = [5, 9, word(many[2]), 9, 17, word(many[1]), 9, 0]
+    a, b = lm.log_likelihoods(net, [np.array(doc)]), lm.log_likelihoods(net, [np.array(doc[:3] + other[3:])])
+    assert a == pytest.approx(b)
+    last = lambda d: lm.log_likelihoods(net, [np.array(d)])[0] - lm.log_likelihoods(net, [np.array(d[:-1])])[0]
+    assert abs(last(doc[:4]) - last(other[:4])) > 1e-6  # the trace of a spelt word is its own
+    # all codes' probabilities, the masses aside, add up to that of the rare token
+    h = rng.normal(0, 1, (1, lm.HIDDEN)).astype(np.float32)
+    codes = np.arange(lm.DIGIT**2)
+    logp, _ = net.digits(np.repeat(h, len(codes), 0), codes << (32 - 2 * lm.BITS), None, 0.0)
+    share = np.exp(logp + net.masses)
+    assert share.sum() == pytest.approx(1, rel=1e-4)
+    net.p[:] = 0  # without what the state adds, the counts alone
+    logp, _ = net.digits(h, np.array([codes[7] << (32 - 2 * lm.BITS)]), None, 0.0)
+    assert logp[0] == pytest.approx(-np.log(np.exp(net.masses).sum()), rel=1e-4)
+
+
+def test_lm_slopes_of_spelt_words():
+    rng = np.random.default_rng(1)
+    net = lm.Network.start(rng.integers(1, 100, lm.VOCABULARY).astype(float), masses=rng.integers(1, 50, lm.DIGIT**2).astype(float))
+    net = lm.Network(*[getattr(net, x).astype(float) for x in net.names], net.priors, net.masses)
+    ids = rng.integers(0, 3, (6, 2)) % 2
+    ids |= np.where(ids == lm.RARE, rng.integers(0, 1 << 32, ids.shape) << lm.LOW, 0)
+    y, keep = ids[::-1].copy(), np.ones(ids.shape)
+
+    def loss(grads=None):
+        saved: list = []
+        states = net.forward(net.entered(ids, net.inputs()), np.zeros((2, lm.HIDDEN)), keep, saved)
+        logp, d = net.outputs(states.reshape(-1, lm.HIDDEN), y.ravel(), grads, 1.0)
+        if grads is not None:
+            net.backward(ids, keep, saved, d.reshape(states.shape), grads)
+        return -float(logp.sum())
+
+    grads = lm.Network(*[np.zeros_like(getattr(net, x)) for x in net.names])
+    loss(grads)
+    for name in ("d", "p", "wx", "u"):
+        w = getattr(net, name)
+        for at in np.argsort(-np.abs(getattr(grads, name)).ravel())[:5]:
+            old, sides = w.flat[at], []
+            for step in (1e-2, -1e-2):
+                w.flat[at] = old + step
+                sides.append(loss())
+            w.flat[at] = old
+            assert getattr(grads, name).flat[at] == pytest.approx((sides[0] - sides[1]) / 2e-2, rel=0.05)
+
+
 ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
