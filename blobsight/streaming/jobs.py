@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,20 +18,69 @@ ATTEMPTS, PAUSE = 5, 0.5
 
 
 def claimed(messages: DataFrame, window: str = WINDOW) -> DataFrame:
-    """The first of the messages (topic, key, value, ts) with one topic and key within ``window``. State goes with the watermark."""
+    """The messages (topic, key, value, ts) that come more than ``window`` after the last one let in of their topic and key. State goes with the watermark."""
     rows = messages.withColumn("key", message_key(F.col("key"), F.col("value")))
     if rows.isStreaming:
-        return rows.withWatermark("ts", window).dropDuplicatesWithinWatermark(["topic", "key"])
+        one = rows.withColumn("at_us", F.unix_micros(F.col("ts").cast("timestamp"))).withWatermark("ts", window).groupBy("topic", "key")
+        return one.transformWithStateInPandas(Claims(window), outputStructType=rows.schema, outputMode="Append", timeMode="EventTime")
     return first_claims(rows, ["topic", "key"], "ts", window)
 
 
 def first_claims(rows: DataFrame, keys: list[str], ts: str, window: str = WINDOW) -> DataFrame:
-    """The same in batch: a message is let in if none with its keys came within ``window`` before it. Equal times count once."""
-    from pyspark.sql import Window
+    """The same in batch: a message is let in if none with its keys was let in within ``window`` before it; a refused one
+    renews nothing. Equal times count once; a message without a time is let in. Keys are read in order, a row at a time."""
+    length = pd.Timedelta(window) // pd.Timedelta("1us")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = last = None
+        for batch in batches:
+            names = batch.column("_claim").to_pylist()
+            times = batch.column(ts).cast(pa.int64()).to_pylist()
+            kept = []
+            for name, t in zip(names, times, strict=True):
+                if name != of:
+                    of, last = name, None
+                kept.append(t is None or last is None or t - last > length)
+                if kept[-1] and t is not None:
+                    last = t
+            yield batch.drop_columns(["_claim"]).filter(pa.array(kept, pa.bool_()))
+
+    name = F.to_json(F.struct(*[F.col(k).alias(str(i)) for i, k in enumerate(keys)]))  # a null has no field
+    return rows.withColumn("_claim", name).repartition("_claim").sortWithinPartitions("_claim", ts).mapInArrow(run, rows.schema)
+
+
+class Claims(StatefulProcessor):
+    """The same in a stream, a batch of it in order of time. A key's state is the last time that was let in, in microseconds."""
+
+    def __init__(self, window: str):
+        self.window = pd.Timedelta(window)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "us long")
 
-    order = Window.partitionBy(*keys).orderBy(ts)
-    gap = F.col(ts) - F.lag(ts).over(order)
-    return rows.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") > F.expr(f"interval {window}"))).drop("_gap")
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("at_us", kind="stable", ignore_index=True)
+        last, length = self.last.get()[0] if self.last.exists() else None, self.window // pd.Timedelta("1us")
+        kept, before = [], last
+        for us in batch.pop("at_us"):
+            us = None if pd.isna(us) else int(us)
+            kept.append(us is None or last is None or us - last > length)
+            if kept[-1] and us is not None:
+                last = us
+        if last != before:
+            self.last.update((last,))
+            if before is not None:
+                self.handle.deleteTimer((before + length) // 1000 + 1)
+            self.handle.registerTimer((last + length) // 1000 + 1)
+        if any(kept):
+            yield batch[kept]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
 
 
 class EmitOnce(StatefulProcessor):

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from blobsight.functions import binary, cpe, families, text, vectors
 from blobsight.operators import corpus, matching, report, static_analysis, triage, unpack
 from blobsight.plans import blobs as blob_plans
+from blobsight.plans import flows as flow_plans
+from blobsight.plans.registry import Tables
 from blobsight.plans.stages import Registry, subscriptions
 from blobsight.sources import events, nvd
 from blobsight.streaming import jobs
@@ -196,3 +198,47 @@ def test_streams(spark, tmp_path):
     (tmp_path / "msg/1.txt").write_text("\n".join([json.dumps(ok), "poison", json.dumps(ok | {"more": 1})]))
     jobs.run_stage(spark.readStream.text(str(tmp_path / "msg")), "firmware.completed", lambda df: df, str(tmp_path / "o"), str(tmp_path / "d"), str(tmp_path / "c2")).awaitTermination(100)
     assert spark.read.parquet(str(tmp_path / "o")).count() == 1 and spark.read.parquet(str(tmp_path / "d")).count() == 2
+
+
+def claims_by_hand(rows):
+    """SET NX EX: (key, hours) let in, in order of time."""
+    last, out = {}, []
+    for k, h in sorted(rows, key=lambda r: r[1]):
+        if k not in last or h - last[k] > 24:
+            last[k] = h
+            out.append((k, h))
+    return sorted(out)
+
+
+def test_claims_run_from_the_last_one_let_in(spark, tmp_path):
+    """A refused message renews nothing, in batch and in a stream."""
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    rows = [("a", 10 * i) for i in range(20)] + [("b", 0), ("b", 24), ("b", 25), ("c", 3), ("c", 3.5)]
+    want = claims_by_hand(rows)
+    assert ("a", 30) in want and ("b", 25) in want and len(want) > 8
+    hours = lambda t: (t - start).total_seconds() / 3600
+    made = [("t", k, "{}", start + timedelta(hours=h)) for k, h in sorted(rows, key=lambda r: r[1])]
+    schema = "topic string, key string, value string, ts timestamp"
+    found = jobs.claimed(spark.createDataFrame(made, schema))
+    assert sorted((r.key, hours(r.ts)) for r in found.collect()) == want
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (made[:8], made[8:]):  # the second batch goes on from the first one's state
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = jobs.claimed(spark.readStream.schema(schema).parquet(src))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(100)
+    assert sorted((r.key, hours(r.ts)) for r in spark.read.schema(schema).parquet(out).collect()) == want
+
+
+def test_idempotent_claim_is_the_rule_of_the_reference(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    rows = sorted(((r.ts, r.event_id, (r.user_id, r.event_type)) for r in events.collect()), key=lambda r: r[0])
+    last, want = {}, set()
+    for ts, event, k in rows:
+        if k not in last or (ts - last[k]).total_seconds() > 24 * 3600:
+            last[k] = ts
+            want.add(event)
+    assert {r.event_id for r in flow_plans.idempotent_claim(Tables(spark, sf)).collect()} == want
