@@ -54,7 +54,7 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), keep_ids=False)
+    return pieces.encode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

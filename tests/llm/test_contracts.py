@@ -483,6 +483,11 @@ def test_pieces_are_the_best_segmentation(spark, edge):
             assert ids.tolist() == [i for u in p.units(t) for i in p.plain(u)]
 
 
+def test_pieces_query_returns_the_ids(spark, sf):
+    rows = queries.op6_sentence_pieces(spark, sf).collect()
+    assert rows and all(len(r.ids) == r.n_tokens and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+
+
 def test_pieces_through_spark(spark, edge, empty):
     path = queries.vocabulary("piece_bpe_32k.model")
     rows = pieces.encode(edge, path)
