@@ -9,24 +9,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a fresh folder only where none is set (tests, local mode)."""
+    """The cluster's ``spark.checkpoint.dir``; a fresh folder only in local mode, where driver and tasks share one machine."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="blobsight-")
         sc.setCheckpointDir(folder)
     return folder
 
 
+def files(spark: SparkSession, path: str):
+    """The Hadoop file system that ``path`` is on, and the path in its form."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/blobsight/{name}-{uuid.uuid4().hex}"
+    """A path for a table that lasts as long as the application: its folder is removed when the driver ends."""
+    root = f"{shared_folder(spark).rstrip('/')}/blobsight/{spark.sparkContext.applicationId}"
+    fs, at = files(spark, root)
+    if not fs.exists(at):
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the written table.
+def materialise(df: DataFrame, name: str = "table", by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, in a folder for each value of ``by``, and return the written table.
 
     Lost executors cost nothing but a reread: what follows depends on files that every executor sees.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
