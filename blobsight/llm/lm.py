@@ -2,7 +2,7 @@
 
 Words are counted over all training documents; the commonest have tokens of their own, all others are spelt. The output
 is factored: first a class of words, then the word within it; for a spelt word this is the rare token, and then the
-digits of its code, each relative to what the counts say. Codes are the first digits of the word's hash, and there are
+bits of its code, each relative to what the counts say. Codes are the first bits of the word's hash, and there are
 more of them where there are more different words; the few words of a code share its mass by their counts. A spelt word
 goes into the state by its whole hash, so that each leaves a trace of its own.
 Training is truncated backpropagation over windows; the state is carried from window to window, so a document's
@@ -19,19 +19,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blobsight.llm.common import slices, words_of
 from blobsight.scratch import materialise
 
-#: Width of the state; classes and words in a class.
-HIDDEN, CLASSES, WIDTH = 16, 32, 64
+#: Width of the state; classes and words in a class. The first class holds the end and the rare token alone.
+HIDDEN, CLASSES, WIDTH, MARKS = 16, 33, 64, 2
 VOCABULARY = CLASSES * WIDTH
-#: Values of a code's digit as bits, different spelt words for each code at most (there are up to DIGIT times as many codes),
-#: and bytes of the hash, each with embeddings of its own.
-BITS, PER_CODE, BYTES = 3, 64, 4
-DIGIT = 1 << BITS
+#: Different spelt words for each code at most (on average over the codes), and bytes of the hash, each with embeddings of its own.
+PER_CODE, BYTES = 64, 4
 #: The commonest words, which tasks look up by themselves; counts of all others are joined.
 HEAD = 1 << 17
 #: Steps of a window; documents side by side in training and in scoring; tokens that are dealt to them at once.
@@ -77,7 +75,7 @@ class Head:
     @property
     def network(self) -> int:
         """Ranks from 0 that are in the network's vocabulary."""
-        return min(len(self.words), VOCABULARY - 2)
+        return min(len(self.words), VOCABULARY - WIDTH)
 
     def rest(self) -> tuple[int, int]:
         """Tokens and different words outside the network's vocabulary, the end token aside."""
@@ -85,12 +83,9 @@ class Head:
         ends = int(self.ends > 0)
         return self.total - own - self.ends, self.different - self.network - ends
 
-    def digits(self) -> int:
-        """Digits of a code, so that there is a code for every PER_CODE spelt words at least."""
-        n = 1
-        while PER_CODE << (BITS * n) < self.rest()[1]:
-            n += 1
-        return n
+    def bits(self) -> int:
+        """Bits of a code, so that there is a code for every PER_CODE spelt words at least."""
+        return min(31, max(1, (max(0, self.rest()[1]) // PER_CODE).bit_length()))
 
 
 def head(counts: DataFrame, most: int = HEAD) -> Head:
@@ -118,15 +113,20 @@ def hashes(words: pa.Array) -> np.ndarray:
     return (x >> np.uint64(32)).astype(np.uint32)
 
 
-def code_of(h: np.ndarray, digits: int) -> np.ndarray:
-    return np.asarray(h).astype(np.int64) >> (32 - BITS * digits)
+def highest(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """By class a bound on state @ weights + bias: states lie between -1 and 1."""
+    return (np.abs(weights).sum(1) + bias).max(1)
+
+
+def code_of(h: np.ndarray, bits: int) -> np.ndarray:
+    return np.asarray(h).astype(np.int64) >> (32 - bits)
 
 
-def _coded(digits: int):
+def _coded(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, n = np.zeros(DIGIT**digits), np.zeros(DIGIT**digits)
+        c, n = np.zeros(1 << bits), np.zeros(1 << bits)
         for batch in batches:
-            code = code_of(hashes(batch.column("word")), digits)
+            code = code_of(hashes(batch.column("word")), bits)
             c += np.bincount(code, batch.column("c").to_numpy(), len(c))
             n += np.bincount(code, minlength=len(c))
         met = np.flatnonzero(n)
@@ -137,11 +137,11 @@ def _coded(digits: int):
 
 def masses(counts: DataFrame, h: Head) -> np.ndarray:
     """By code: what the counts of its spelt words, each and an unseen one raised by 1, add up to."""
-    digits = h.digits()
-    out = np.ones(DIGIT**digits)
-    found = counts.mapInArrow(_coded(digits), "code long, mass double").groupBy("code").agg(F.sum("mass").alias("mass")).toArrow()
+    bits = h.bits()
+    out = np.ones(1 << bits)
+    found = counts.mapInArrow(_coded(bits), "code long, mass double").groupBy("code").agg(F.sum("mass").alias("mass")).toArrow()
     out[found.column("code").to_numpy()] += found.column("mass").to_numpy()
-    own = code_of(hashes(pa.array([*h.words[: h.network], END_WORD], pa.string())), digits)
+    own = code_of(hashes(pa.array([*h.words[: h.network], END_WORD], pa.string())), bits)
     np.subtract.at(out, own, np.append(h.counts[: h.network] + 1, h.ends + 1 if h.ends else 0))
     return out
 
@@ -168,7 +168,7 @@ def _tokenised(shared):
             lengths = np.searchsorted(pairs, np.arange(n + 1) * max(1, len(coded.dictionary))).astype(np.int32)
             far = coded.dictionary.take(pa.array(pairs % max(1, len(coded.dictionary))))
             ends = np.cumsum(sizes)
-            ids = np.insert(np.where(rare, RARE, rank + 2), ends, END).astype("<u2")
+            ids = np.insert(np.where(rare, RARE, rank + WIDTH), ends, END).astype("<u2")
             offsets = np.concatenate([[0], ends + np.arange(1, n + 1)])
             out = {
                 "doc_id": batch.column("doc_id"),
@@ -214,74 +214,82 @@ class Network:
     o: np.ndarray  # state to words of a class
     bo: np.ndarray
     d: np.ndarray  # embeddings of a spelt word's bytes
-    p: np.ndarray  # state to digits
-    priors: list | None = None  # by place of the digit: its logarithms by the digits before, from the counts
+    p: np.ndarray  # state to the bits of a code
+    priors: np.ndarray | None = None  # log-odds that the next bit is set, by the bits before it behind a leading 1, from the counts
     masses: np.ndarray | None = None  # logarithms by code
     names: tuple = field(default=("e", "wx", "b", "u", "v", "bv", "o", "bo", "d", "p"), repr=False)
 
     @staticmethod
     def start(counts: np.ndarray, seed: int = 42, masses: np.ndarray | None = None) -> Network:
-        """Small weights; output biases from the counts of all training tokens, and for digits from the masses of codes."""
+        """Small weights; output biases from the counts of all training tokens, and for bits from the masses of codes."""
         rng = np.random.default_rng(seed)
         small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
         by_class = (counts + 1e-3).reshape(CLASSES, WIDTH)
         log = lambda x: np.log(x).astype(np.float32)
-        priors = []
-        while masses is not None and DIGIT ** len(priors) < len(masses):
-            below = masses.reshape(DIGIT ** (len(priors) + 1), -1).sum(1).reshape(-1, DIGIT)
-            priors.append(log(below / below.sum(1, keepdims=True)))
-        return Network(small(VOCABULARY, HIDDEN), small(HIDDEN, 3 * HIDDEN), np.zeros(3 * HIDDEN, np.float32), small(HIDDEN, 3 * HIDDEN), small(HIDDEN, CLASSES), log(by_class.sum(1) / by_class.sum()), small(CLASSES, HIDDEN, WIDTH), log(by_class / by_class.sum(1, keepdims=True)), small(BYTES * 256, HIDDEN), small(HIDDEN, DIGIT * len(priors)), priors or None, None if masses is None else log(masses))
+        priors, bits = None, 0
+        if masses is not None:
+            bits = len(masses).bit_length() - 1
+            levels = [masses.reshape(1 << i, 2, -1).sum(2) for i in range(bits)]  # of those with i bits before
+            priors = np.concatenate([np.zeros(1, np.float32), *[log(x[:, 1]) - log(x[:, 0]) for x in levels]])
+        return Network(small(VOCABULARY, HIDDEN), small(HIDDEN, 3 * HIDDEN), np.zeros(3 * HIDDEN, np.float32), small(HIDDEN, 3 * HIDDEN), small(HIDDEN, CLASSES), log(by_class.sum(1) / by_class.sum()), small(CLASSES, HIDDEN, WIDTH), log(by_class / by_class.sum(1, keepdims=True)), small(BYTES * 256, HIDDEN), small(HIDDEN, bits), priors, None if masses is None else log(masses))
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, x).ravel() for x in self.names])
 
-    def load(self, flat: np.ndarray) -> Network:
+    def over(self, flat: np.ndarray) -> Network:
+        """A network of the same shape whose weights are views of ``flat``."""
         at, parts = 0, []
         for x in self.names:
             like = getattr(self, x)
-            parts.append(flat[at : at + like.size].reshape(like.shape).astype(np.float32))
+            parts.append(flat[at : at + like.size].reshape(like.shape))
             at += like.size
         return Network(*parts, self.priors, self.masses)
 
-    def inputs(self) -> tuple[np.ndarray, np.ndarray]:
-        """To the gates: of tokens, and of a spelt word's bytes."""
-        return self.e @ self.wx + self.b, self.d @ self.wx
+    def inputs(self) -> np.ndarray:
+        """Of tokens to the gates."""
+        return self.e @ self.wx + self.b
 
-    def entered(self, ids: np.ndarray, inputs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Inputs to the gates of each token."""
-        x = inputs[0][ids & ((1 << LOW) - 1)]
-        at, rows = self.bytes_of(ids.ravel())
+    def entered(self, ids: np.ndarray, inputs: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Inputs to the gates of each token, and what ``spelling`` found."""
+        x = inputs.take(ids & ((1 << LOW) - 1), 0)
+        spelt = at, _, embedded = self.spelling(ids.ravel())
         if len(at):
-            flat = x.reshape(-1, x.shape[-1])
-            flat[at] += sum(inputs[1][r] for r in rows)
-        return x
+            x.reshape(-1, x.shape[-1])[at] += embedded @ self.wx
+        return x, spelt
 
-    def bytes_of(self, ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Places of the spelt words, and rows of their embeddings by byte."""
+    def spelling(self, ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray | None]:
+        """Places of the spelt words, rows of their embeddings by byte, and these summed up."""
         if self.priors is None:
-            return np.zeros(0, np.int64), []
+            return np.zeros(0, np.int64), [], None
         at = np.flatnonzero((ids & ((1 << LOW) - 1)) == RARE)
         h = ids[at] >> LOW
-        return at, [((h >> 8 * i) & 255) + 256 * i for i in range(BYTES)]
-
-    def forward(self, x: np.ndarray, h: np.ndarray, keep: np.ndarray, saved: list | None = None) -> np.ndarray:
-        """States after each step. x: inputs to the gates by step and stream; keep: 0 where a document starts."""
-        n = HIDDEN
-        out = np.empty((*x.shape[:2], n), np.float32)
-        for t in range(len(x)):
-            h = h * keep[t][:, None]
-            a = h @ self.u
-            g = x[t, :, : 2 * n] + a[:, : 2 * n]
+        rows = [((h >> 8 * i) & 255) + 256 * i for i in range(BYTES)]
+        return at, rows, sum(self.d.take(r, 0) for r in rows)
+
+    def forward(self, x: np.ndarray, h: np.ndarray, keep: np.ndarray, saved: bool = False) -> tuple[np.ndarray, ...]:
+        """States after each step. x: inputs to the gates by step and stream; keep: 0 where a document starts. With ``saved``, also
+        what ``backward`` needs: the states that steps began with, their gates, candidates, and what the state added to these."""
+        n, (steps, streams) = HIDDEN, x.shape[:2]
+        rows = range(steps) if saved else [0] * steps
+        out, (began, gates, new, added) = np.empty((steps, streams, n), x.dtype), (np.empty((steps if saved else 1, streams, k), x.dtype) for k in (n, 2 * n, n, 3 * n))
+        kept = keep[:, :, None].astype(x.dtype)
+        for t, i in enumerate(rows):
+            b, g, c, a = began[i], gates[i], new[i], added[i]
+            np.multiply(h, kept[t], out=b)
+            np.matmul(b, self.u, out=a)
+            np.add(x[t, :, : 2 * n], a[:, : 2 * n], out=g)
             np.negative(g, g)
             np.exp(np.minimum(g, 60, out=g), g)
             g += 1
             np.reciprocal(g, g)
-            c = np.tanh(x[t, :, 2 * n :] + g[:, :n] * a[:, 2 * n :])
-            if saved is not None:
-                saved.append((h, g, c, a[:, 2 * n :]))
-            h = c + g[:, n:] * (h - c)
-            out[t] = h
-        return out
+            np.multiply(g[:, :n], a[:, 2 * n :], out=c)
+            c += x[t, :, 2 * n :]
+            np.tanh(c, c)
+            h = out[t]
+            np.subtract(b, c, out=h)
+            h *= g[:, n:]
+            h += c
+        return (out, began, gates, new, added[:, :, 2 * n :]) if saved else (out,)
 
     def outputs(self, h: np.ndarray, y: np.ndarray, grads: Network | None = None, scale: float = 0.0) -> tuple[np.ndarray, np.ndarray | None]:
         """Log-probabilities of the tokens ``y`` after the states ``h``; with ``grads``, adds to them and returns the slope of the loss by h too.
@@ -294,7 +302,8 @@ class Network:
         rows, k = np.arange(len(y)), y // WIDTH
         s = h @ self.v
         s += self.bv
-        np.minimum(s, HIGHEST, out=s)
+        if highest(self.v[None], self.bv[None])[0] > HIGHEST:
+            np.minimum(s, HIGHEST, out=s)
         own = s[rows, k]
         np.exp(s, s)
         total = s @ np.ones(CLASSES, s.dtype)
@@ -304,93 +313,102 @@ class Network:
             s *= (scale / total)[:, None]
             s[rows, k] -= scale
             grads.v += h.T @ s
-            grads.bv += s.sum(0)
+            grads.bv += np.ones(len(s), s.dtype) @ s
             dh = s @ self.v.T
         if spelt is not None:
-            more, dmore = self.digits(h[at], spelt, grads, scale)
+            more, dmore = self.bits(h.take(at, 0), spelt, grads, scale)
             logp[at] += more
             if grads is not None:
                 dh[at] += dmore
-        order = np.argsort(k, kind="stable")
+        order = np.argsort(k.astype(np.uint8), kind="stable")
         cut = np.searchsorted(k[order], np.arange(CLASSES + 1))
-        hs, w = h[order], (y % WIDTH)[order]
+        hs, w = h.take(order, 0), (y % WIDTH)[order]
         inner, ones = np.empty(len(y), np.float32), np.ones(WIDTH, h.dtype)
         dhs = np.zeros_like(hs) if grads is not None else None
+        bound = highest(self.o, self.bo)
         for c in np.flatnonzero(np.diff(cut)):
-            part = slice(cut[c], cut[c + 1])
-            q = hs[part] @ self.o[c]
-            q += self.bo[c]
-            np.minimum(q, HIGHEST, out=q)
+            part, wide = slice(cut[c], cut[c + 1]), WIDTH if c else MARKS
+            o, bo = self.o[c][:, :wide], self.bo[c][:wide]
+            q = hs[part] @ o
+            q += bo
+            if bound[c] > HIGHEST:
+                np.minimum(q, HIGHEST, out=q)
             first = rows[: len(q)]
             own = q[first, w[part]]
             np.exp(q, q)
-            total = q @ ones
+            total = q @ ones[:wide]
             inner[part] = own - np.log(total)
             if grads is not None:
                 q *= (scale / total)[:, None]
                 q[first, w[part]] -= scale
-                grads.o[c] += hs[part].T @ q
-                grads.bo[c] += q.sum(0)
-                dhs[part] = q @ self.o[c].T
+                grads.o[c][:, :wide] += hs[part].T @ q
+                grads.bo[c][:wide] += np.ones(len(q), q.dtype) @ q
+                dhs[part] = q @ o.T
         logp[order] += inner
         if grads is not None:
             dh[order] += dhs
         return logp, dh
 
-    def digits(self, h: np.ndarray, spelt: np.ndarray, grads: Network | None, scale: float) -> tuple[np.ndarray, np.ndarray | None]:
+    def bits(self, h: np.ndarray, spelt: np.ndarray, grads: Network | None, scale: float) -> tuple[np.ndarray, np.ndarray | None]:
         """Log-probabilities of the codes of the hashes ``spelt``, without the codes' masses, and the slope by h."""
-        n = len(self.priors)
+        n = self.p.shape[1]
         code = code_of(spelt, n)
-        s = (h @ self.p).reshape(-1, n, DIGIT)
-        for i, prior in enumerate(self.priors):
-            s[:, i] += prior[code >> BITS * (n - i)]
+        own = ((code | 1 << n)[:, None] >> np.arange(n, -1, -1)).astype(np.int32)  # the bits so far behind a leading 1
+        sign = 1 - 2 * (own[:, 1:] & 1).astype(h.dtype)  # -1 where the bit is set
+        s = h @ self.p
+        s += self.priors.take(own[:, :n])
+        s *= sign
         np.minimum(s, HIGHEST, out=s)
-        own = (code[:, None] >> (BITS * np.arange(n)[::-1])) & (DIGIT - 1)
-        of = np.take_along_axis(s, own[:, :, None], 2)[:, :, 0]
         np.exp(s, s)
-        total = s @ np.ones(DIGIT, s.dtype)
-        logp = (of - np.log(total)).sum(1) - self.masses[code]
+        s += 1
+        logp = -(np.log(s) @ np.ones(n, s.dtype)) - self.masses.take(code)
         if grads is None:
             return logp, None
-        s *= (scale / total)[:, :, None]
-        s.reshape(-1, DIGIT)[np.arange(own.size), own.ravel()] -= scale
-        s = s.reshape(len(h), -1)
+        np.reciprocal(s, s)
+        np.subtract(1, s, out=s)
+        s *= sign
+        s *= scale
         grads.p += h.T @ s
         return logp, s @ self.p.T
 
-    def backward(self, ids: np.ndarray, keep: np.ndarray, saved: list, dhs: np.ndarray, grads: Network) -> None:
-        n, steps = HIDDEN, len(saved)
-        dx = np.empty((steps, ids.shape[1], 3 * n), np.float32)
+    def backward(self, ids: np.ndarray, keep: np.ndarray, saved: tuple, dhs: np.ndarray, grads: Network, spelt: tuple) -> None:
+        """Slopes of a window's steps by all weights but those of the outputs. What no step hands on is worked out for all at once."""
+        n, (h, g, c, an) = HIDDEN, saved
+        steps = len(h)
+        r, z = g[:, :, :n], g[:, :, n:]
+        by_c = (1 - z) * (1 - c * c)
+        by_r, by_z = an * r * (1 - r), (h - c) * z * (1 - z)
+        dx = np.empty((steps, ids.shape[1], 3 * n), h.dtype)
         da = np.empty_like(dx)
-        after = np.zeros_like(dhs[0])
+        after, back, kept = np.zeros_like(dhs[0]), np.ascontiguousarray(self.u.T), keep[:, :, None].astype(h.dtype)
         for t in range(steps - 1, -1, -1):
-            h, g, c, an = saved[t]
-            r, z = g[:, :n], g[:, n:]
-            d = dhs[t] + after
-            dc = d * (1 - z) * (1 - c * c)
-            dx[t, :, :n] = dc * an * r * (1 - r)
-            dx[t, :, n : 2 * n] = d * (h - c) * z * (1 - z)
+            after += dhs[t]
+            dc = after * by_c[t]
+            d = da[t]
+            np.multiply(dc, by_r[t], out=d[:, :n])
+            np.multiply(after, by_z[t], out=d[:, n : 2 * n])
+            np.multiply(dc, r[t], out=d[:, 2 * n :])
             dx[t, :, 2 * n :] = dc
-            da[t, :, : 2 * n] = dx[t, :, : 2 * n]
-            da[t, :, 2 * n :] = dc * r
-            after = (d * z + da[t] @ self.u.T) * keep[t][:, None]
-        before = np.stack([x[0] for x in saved]).reshape(-1, n)
+            after *= z[t]
+            after += d @ back
+            after *= kept[t]
+        dx[:, :, : 2 * n] = da[:, :, : 2 * n]
         flat, of = dx.reshape(-1, 3 * n), ids.ravel()
-        grads.u += before.T @ da.reshape(-1, 3 * n)
-        grads.b += flat.sum(0)
-        at, rows = self.bytes_of(of)
+        grads.u += h.reshape(-1, n).T @ da.reshape(-1, 3 * n)
+        grads.b += np.ones(len(flat), flat.dtype) @ flat
+        at, rows, embedded = spelt
         if len(at):
-            some = flat[at]
-            grads.wx += sum(self.d[r] for r in rows).T @ some
+            some = flat.take(at, 0)
+            grads.wx += embedded.T @ some
             de = some @ self.wx.T
-            for r in rows:
-                order = np.argsort((r & 255).astype(np.uint8), kind="stable")
-                first = np.flatnonzero(np.diff(r[order], prepend=-1))
-                grads.d[r[order[first]]] += np.add.reduceat(de[order], first)
+            for x in rows:
+                order = np.argsort((x & 255).astype(np.uint8), kind="stable")
+                first = np.flatnonzero(np.diff(x[order], prepend=-1))
+                grads.d[x[order[first]]] += np.add.reduceat(de.take(order, 0), first)
         of = of & ((1 << LOW) - 1)
-        order = np.argsort(of, kind="stable")
+        order = np.argsort(of.astype(np.uint16), kind="stable")
         first = np.flatnonzero(np.diff(of[order], prepend=-1))
-        which, sums = of[order[first]], np.add.reduceat(flat[order], first)
+        which, sums = of[order[first]], np.add.reduceat(flat.take(order, 0), first)
         grads.wx += self.e[which].T @ sums
         grads.e[which] += sums @ self.wx.T
 
@@ -438,22 +456,22 @@ class Trainer:
     """Adam on windows; the state goes from each window to the next, gradients don't."""
 
     def __init__(self, net: Network):
-        self.net = net
-        zero = lambda: Network(*[np.zeros_like(getattr(net, x)) for x in net.names])
-        self.grads, self.m, self.s, self.t = zero(), zero(), zero(), 0
+        self.flat = net.flat()
+        self.net, self.t = net.over(self.flat), 0
+        self.slopes, self.m, self.s = (np.zeros_like(self.flat) for _ in range(3))
+        self.grads = net.over(self.slopes)
 
     def fit(self, docs: list[np.ndarray]) -> int:
         h, n = np.zeros((STREAMS, HIDDEN), np.float32), 0
         for inputs, y, keep, _, there in windows(docs, STREAMS):
             h = h[: inputs.shape[1]]
-            saved: list = []
-            x = self.net.entered(inputs, self.net.inputs())
-            states = self.net.forward(x, h, keep, saved)
+            x, spelt = self.net.entered(inputs, self.net.inputs())
+            states, *saved = self.net.forward(x, h, keep, True)
             at = np.flatnonzero(there.ravel())
             _, d = self.net.outputs(states.reshape(-1, HIDDEN)[at], y.ravel()[at], self.grads, 1.0 / len(at))
             dhs = np.zeros((states.shape[0] * states.shape[1], HIDDEN), np.float32)
             dhs[at] = d
-            self.net.backward(inputs, keep, saved, dhs.reshape(states.shape), self.grads)
+            self.net.backward(inputs, keep, saved, dhs.reshape(states.shape), self.grads, spelt)
             self.step(len(at) / (STEPS * STREAMS))
             h = states[-1]
             n += len(at)
@@ -462,15 +480,21 @@ class Trainer:
     def step(self, share: float) -> None:
         """Windows with few documents left, at the end of long ones, move the weights less."""
         self.t += 1
-        norm = np.sqrt(sum(float((getattr(self.grads, x) ** 2).sum()) for x in self.net.names))
+        g, m, s = self.slopes, self.m, self.s
+        g *= min(1.0, CLIP / max(float(np.sqrt(g @ g)), 1e-9))
         rate = RATE * min(1.0, 4 * share) * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
-        for x in self.net.names:
-            g, m, s, w = (getattr(o, x) for o in (self.grads, self.m, self.s, self.net))
-            g *= min(1.0, CLIP / max(norm, 1e-9))
-            m += 0.1 * (g - m)
-            s += 0.01 * (g * g - s)
-            w -= rate * m / (np.sqrt(s) + 1e-6)
-            g[...] = 0
+        m *= 0.9
+        m += 0.1 * g
+        s *= 0.99
+        np.square(g, g)
+        g *= 0.01
+        s += g
+        np.sqrt(s, g)
+        g += 1e-6
+        np.divide(m, g, g)
+        g *= np.float32(rate)
+        self.flat -= g
+        g.fill(0)
 
 
 def _lists(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -498,7 +522,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _trained(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, flat = shared.value
-        trainer, n = Trainer(start.load(flat)), 0
+        trainer, n = Trainer(start.over(flat.copy())), 0
         for batch in _chunks(batches):
             n += trainer.fit(_lists(batch))
         if n:
@@ -517,35 +541,40 @@ def _mean(table: pa.Table) -> pa.Table:
     return out
 
 
-def train(tokens: DataFrame, h: Head, by_code: np.ndarray, rounds: int = ROUNDS) -> Network:
-    """Rounds over ``tokens`` (doc_id, ids, spelt): each takes a part of the documents, by the hash of their id.
+def turn(rounds: int) -> Column:
+    """The round in which a document is learnt, by the hash of its id; -1 for one that is held out."""
+    return F.when(F.col("held_out"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)).cast("int"))
+
+
+def train(tokens: DataFrame, h: Head, by_code: np.ndarray, rounds: int) -> Network:
+    """Rounds over ``tokens`` (turn, ids, spelt): each takes the documents whose turn it is.
 
     Only averaged weights reach the driver. Replicas' weights are averaged by groups of FAN first.
     """
     counts = np.zeros(VOCABULARY)
     counts[END], counts[RARE] = h.ends, max(0, h.rest()[0]) + 1
-    counts[2 : 2 + h.network] = h.counts[: h.network]
+    counts[WIDTH : WIDTH + h.network] = h.counts[: h.network]
     net = start = Network.start(counts, masses=by_code)
     sc = tokens.sparkSession.sparkContext
     for r in range(rounds):
         shared = sc.broadcast((start, net.flat()))
-        some = tokens.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == r).select("ids", "spelt")
+        some = tokens.where(F.col("turn") == r).select("ids", "spelt")
         new = some.mapInArrow(_trained(shared), "piece int, n long, w binary").withColumn("fan", F.floor(F.spark_partition_id() / FAN))
         schema = "piece int, n long, w binary"
         once = new.groupBy("piece", "fan").applyInArrow(lambda t: _mean(t.drop_columns("fan")), schema)
         rows = sorted(once.groupBy("piece").applyInArrow(_mean, schema).collect(), key=lambda x: x["piece"])
         if rows:
-            net = start.load(np.concatenate([np.frombuffer(x["w"], np.float32) for x in rows]))
+            net = start.over(np.concatenate([np.frombuffer(x["w"], np.float32) for x in rows]))
         shared.unpersist()
     return net
 
 
-def log_likelihoods(net: Network, docs: list[np.ndarray], inputs: tuple | None = None) -> np.ndarray:
+def log_likelihoods(net: Network, docs: list[np.ndarray], inputs: np.ndarray | None = None) -> np.ndarray:
     """Natural log of the probability of each document (token ids, the end last)."""
     x = net.inputs() if inputs is None else inputs
     out, h = np.zeros(len(docs)), np.zeros((SCORED, HIDDEN), np.float32)
     for ids, y, keep, which, there in windows(docs, SCORED):
-        states = net.forward(net.entered(ids, x), h[: ids.shape[1]], keep)
+        states = net.forward(net.entered(ids, x)[0], h[: ids.shape[1]], keep)[0]
         at = np.flatnonzero(there.ravel())
         logp, _ = net.outputs(states.reshape(-1, HIDDEN)[at], y.ravel()[at])
         out += np.bincount(which.ravel()[at], logp, len(docs))
@@ -571,14 +600,15 @@ def score(docs: DataFrame) -> DataFrame:
 
     Null and blank texts are one end token. Repeated rows count as often as they are there. An empty table gives none;
     without a training document all words are unseen and the network stays as it started. A spelt word's probability is
-    that of the rare token, times that of its code's digits, times its count's share within the code, counts raised by 1
+    that of the rare token, times that of its code's bits, times its count's share within the code, counts raised by 1
     as in the base.
     """
     spark = docs.sparkSession
     counts = materialise(count_words(docs.where(~held_out())), "words")
     h = head(counts)
-    tokens = materialise(tokenise(docs, h).withColumn("row", F.monotonically_increasing_id()), "tokens")
-    net = train(tokens.where("not held_out").select("doc_id", "ids", "spelt"), h, masses(counts, h))
+    rounds = ROUNDS
+    tokens = materialise(tokenise(docs, h).withColumn("row", F.monotonically_increasing_id()).withColumn("turn", turn(rounds)), "tokens", by=("turn",))
+    net = train(tokens, h, masses(counts, h), rounds)
     shared = spark.sparkContext.broadcast(net)
     own = ["doc_id", "held_out", "n_tokens", "known", "logs", "rare_logs", "row"]
     scored = tokens.select(*own, "ids", "spelt").mapInArrow(_scored(shared), "doc_id long, held_out boolean, n_tokens long, known long, logs double, rare_logs double, row long, network double")
