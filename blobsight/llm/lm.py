@@ -607,7 +607,7 @@ def score(docs: DataFrame) -> DataFrame:
     counts = materialise(count_words(docs.where(~held_out())), "words")
     h = head(counts)
     rounds = ROUNDS
-    tokens = materialise(tokenise(docs, h).withColumn("row", F.monotonically_increasing_id()).withColumn("turn", turn(rounds)), "tokens", by=("turn",))
+    tokens = materialise(tokenise(docs, h).withColumn("row", F.monotonically_increasing_id()).withColumn("turn", turn(rounds)), "tokens")
     net = train(tokens, h, masses(counts, h), rounds)
     shared = spark.sparkContext.broadcast(net)
     own = ["doc_id", "held_out", "n_tokens", "known", "logs", "rare_logs", "row"]
