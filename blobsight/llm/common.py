@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,19 +46,34 @@ def partitions(df: DataFrame, least: int = 1) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), least)
 
 
-def range_bounds(df: DataFrame, column: str, ranges: int) -> list[int]:
-    """At most ``ranges`` - 1 rising values that cut ``column`` into ranges of about equal counts.
+#: Rows that bounds of ranges are drawn from at most, as many as Spark's own range partitioning takes, and ranges at most.
+SAMPLED, MOST_RANGES = 1_000_000, 50_000
 
-    Only the column itself is read, and only the bounds reach the driver, as for Spark's own range partitioning.
-    A value that many rows share stays within one range.
+
+def range_bounds(df: DataFrame, column: str, rows: int, per_range: int) -> list[int]:
+    """Rising values that cut ``column`` of ``df``, which has ``rows`` rows, into ranges of about ``per_range`` rows.
+
+    Only the column itself is read, of a bounded sample, and only the bounds reach the driver. They decide where a row
+    is worked on, not what comes out. A value that many rows share stays within one range.
     """
+    ranges = min(MOST_RANGES, partitions(df, -(-rows // per_range)))
     if ranges < 2:
         return []
+    share = min(1.0, 200 * ranges / max(1, rows), SAMPLED / max(1, rows))
+    some = df.select(column) if share == 1.0 else df.select(column).sample(share, 42)
     cuts = [i / ranges for i in range(1, ranges)]
-    found = df.agg(F.percentile_approx(column, cuts, max(10_000, 10 * ranges)).alias("b")).first()["b"]
+    found = some.agg(F.percentile_approx(column, cuts, max(10_000, 10 * ranges)).alias("b")).first()["b"]
     return sorted({int(x) for x in found or []})
 
 
+def fresh(taken: Iterable[str], name: str) -> str:
+    """``name`` behind as many underscores as set it apart from all ``taken`` names, case aside."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of ``texts`` one after another, and the index of each one's text; null texts have none."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))

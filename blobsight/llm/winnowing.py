@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blobsight.llm.common import partitions, range_bounds, slices
+from blobsight.llm.common import range_bounds, slices
 
 #: Code points in a gram and grams in a window (powers of two): shared passages of 47 code points are found.
 GRAM, WINDOW = 16, 32
@@ -112,8 +112,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-1 << 63)))
-    ranges = partitions(docs, -(-docs.count() // 20_000))
-    bounds = np.array(range_bounds(rows, "key", ranges), np.int64)
+    bounds = np.array(range_bounds(rows, "key", docs.count(), 20_000), np.int64)
 
     @F.pandas_udf("int")
     def part(key: pd.Series) -> pd.Series:
@@ -152,6 +151,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "edited_sha256": pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in changed], pa.string()),
             "fingerprint": pa.array([text_form(a[3]) for a, _ in pairs], pa.string()),
             "edited_fingerprint": pa.array([text_form(x) for x in others], pa.string()),
+            "positions": pa.array([a[3][1] for a, _ in pairs], pa.list_(pa.int32())),
             "near_edited": pa.array([likeness(a[3], x) for (a, _), x in zip(pairs, others, strict=True)], pa.float64()),
             "near_next": pa.array([likeness(a[3], b[3]) for a, b in pairs], pa.float64()),
         })
@@ -164,8 +164,8 @@ def text_form(m: Marks) -> str:
 
 def compare_with_edited(docs: DataFrame) -> DataFrame:
     """For every row of ``docs`` (doc_id, text; others are left out): doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next. The next document is the one with the next smaller doc_id, for the last
+    edited_fingerprint, positions (of the fingerprint's marks), near_edited, near_next. The next document is the one with the next smaller doc_id, for the last
     the first; null ids come last, null text is empty. A table of one row has itself as next; an empty one gives none.
     """
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, positions array<int>, near_edited double, near_next double"
     return neighbours(docs).select("doc_id", "text", "ahead").mapInArrow(_compared, schema)
