@@ -1,60 +1,74 @@
 """Secret scans over an incremental blob ledger.
 
-Every version of every path is content-addressed by SHA-256. The ledger is a table of (blob, rules, spans): which blobs
-have been scanned under which version of the rules, and what was found. A run scans only pairs that the ledger lacks
-and joins findings back to all paths that hold the blob, now or at an earlier version.
+Every version of every path is content-addressed by SHA-256. The ledger is a folder of two tables: which blobs have been
+scanned under which version of the rules, with what was found; and which path held which blob in which version. A run
+scans only the pairs of blob and rules that the ledger lacks, and joins findings back to all paths that hold the blob,
+now or in an earlier version. A ledger that is opened again goes on from what is in its folder.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blobsight.llm.common import slices
-from blobsight.scratch import new_path
+from blobsight.llm.common import fresh, slices
+from blobsight.scratch import files, new_path
 
 #: Raised whenever a rule below changes; findings under another version are not reused.
 RULES_VERSION = 1
 
-# Fixed values. kind, what must be in the text (lower case) for the rule to be tried, pattern, group that must have
-# the least length, least length. Base kinds first; spans of one start are listed in this order.
+
+class Rule(NamedTuple):
+    kind: str
+    needs: tuple[str, ...]  # one of these must be in the text (lower case) for the rule to be tried
+    pattern: str
+    group: int  # that must have the least length
+    least: int
+
+
+# Fixed values. Base kinds first; spans of one start are listed in this order.
 RULES = (
-    ("assign", ("passw", "secret", "token", "apikey", "api_key"), r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
-    ("access", ("akia",), r"AKIA[A-Z0-9]+", 0, 20),
-    ("hex", (), r"(?<![0-9a-f])[0-9a-f]{24,}", 0, 24),
-    ("private_key", ("private key",), r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?", 0, 1),
-    ("jwt", ("eyj",), r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
-    ("hub_token", ("gh",), r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
-    ("chat_token", ("xox",), r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
-    ("userinfo", ("://",), r"(?<=://)[^\s/:@]+:[^\s/@]{3,}(?=@)", 0, 1),
+    Rule("assign", ("passw", "secret", "token", "apikey", "api_key"), r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+    Rule("access", ("akia",), r"AKIA[A-Z0-9]+", 0, 20),
+    Rule("hex", (), r"(?<![0-9a-f])[0-9a-f]{24,}", 0, 24),
+    Rule("private_key", ("private key",), r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?", 0, 1),
+    Rule("jwt", ("eyj",), r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+    Rule("hub_token", ("gh",), r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    Rule("chat_token", ("xox",), r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+    Rule("userinfo", ("://",), r"(?<=://)[^\s/:@]+:[^\s/@]{3,}(?=@)", 0, 1),
 )
 BASE = ("assign", "access", "hex")
-_COMPILED = [(kind, needs, re.compile(pattern), group, least) for kind, needs, pattern, group, least in RULES]
 #: Bytes that may be in a hex run become "x", so that a run of 24 is found by one substring search.
 _HEX = bytes(ord("x") if chr(c) in "0123456789abcdef" else 32 for c in range(256))
 
 SPAN = "struct<kind: string, start: int, end: int>"
 
 
-def spans(text: str) -> list[tuple[str, int, int]]:
+def spans(text: str, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then kind as listed; leftmost and non-overlapping within a kind."""
     low, out = text.lower(), []
     long_hex = b"x" * 24 in text.encode(errors="replace").translate(_HEX)
-    for order, (kind, needs, pattern, group, least) in enumerate(_COMPILED):
-        if long_hex if kind == "hex" else any(x in low for x in needs):
-            out += [(m.start(), order, kind, m.end()) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
+    for order, rule in enumerate(rules):
+        if long_hex if rule.kind == "hex" else not rule.needs or any(x in low for x in rule.needs):
+            found = re.compile(rule.pattern).finditer(text)  # compiled once: re keeps it
+            out += [(m.start(), order, rule.kind, m.end()) for m in found if m.end(rule.group) - m.start(rule.group) >= rule.least]
     return [(kind, start, end) for start, _, kind, end in sorted(out)]
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scanned(rules: tuple[Rule, ...]):
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    for batch in slices(batches, "text"):
-        found = [[{"kind": k, "start": s, "end": e} for k, s, e in spans(x)] for x in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array(found, kind)], ["blob", "spans"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found = [[{"kind": k, "start": s, "end": e} for k, s, e in spans(x, rules)] for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array(found, kind)], ["blob", "spans"])
+
+    return run
 
 
 def body(text: str = "text") -> Column:
@@ -67,35 +81,69 @@ def address(text: str = "text") -> Column:
 
 
 class Ledger:
-    """A ledger kept as Parquet under ``path``, a part for each run (a failed run leaves nothing that is read)."""
+    """A ledger kept as Parquet under ``path``: rules=<version>/run=<n> has the blobs scanned by a run, versions/run=<n> the
+    paths that a run saw. Only runs that were finished are read; what is left of one that failed is written over. One driver
+    writes at a time. Without ``path`` the ledger lasts as long as the application."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, version: int = RULES_VERSION):
-        self.spark, self.version = spark, version
+    SCANNED = f"blob binary, spans array<{SPAN}>"
+
+    def __init__(self, spark: SparkSession, path: str | None = None, version: int = RULES_VERSION, rules: tuple[Rule, ...] = RULES):
+        self.spark, self.version, self.rules = spark, version, rules
         self.path = path or new_path(spark, "ledger")
-        self.runs: list[str] = []
+
+    def runs(self, part: str | None = None) -> list[tuple[int, str]]:
+        """(number, folder) of the finished runs under these rules (or of ``part``), in order."""
+        folder = f"{self.path}/{part or f'rules={self.version}'}"
+        fs, at = files(self.spark, folder)
+        names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+        numbers = sorted(int(n[4:]) for n in names if n.startswith("run="))
+        return [(n, f"{folder}/run={n}") for n in numbers if fs.exists(files(self.spark, f"{folder}/run={n}/_SUCCESS")[1])]
+
+    def _next(self, part: str | None = None) -> str:
+        done = self.runs(part)
+        return f"{self.path}/{part or f'rules={self.version}'}/run={done[-1][0] + 1 if done else 0}"
+
+    def _read(self, schema: str, runs: list[tuple[int, str]]) -> DataFrame:
+        if not runs:
+            return self.spark.createDataFrame([], schema + ", run int")
+        every = [self.spark.read.schema(schema).parquet(at).withColumn("run", F.lit(n)) for n, at in runs]
+        out = every[0]
+        for one in every[1:]:
+            out = out.unionAll(one)
+        return out
 
     def table(self) -> DataFrame:
-        """(blob, spans) under this version of the rules."""
-        schema = f"blob binary, spans array<{SPAN}>"
-        if not self.runs:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*self.runs)
+        """(blob, spans, run) of every blob scanned under this version of the rules."""
+        return self._read(self.SCANNED, self.runs())
 
     def update(self, texts: DataFrame) -> str:
-        """Scan the blobs of ``texts`` (text) that the ledger lacks. Copies meet before the shuffle: a task sends a blob
-        once, however often it holds it, so a blob that is a third of all rows is no hot key."""
-        blobs = texts.select(address().alias("blob"), body().alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
-        if self.runs:
+        """Scan the blobs of ``texts`` (text) that the ledger lacks under these rules. Copies meet before the shuffle: a task
+        sends a blob once, however often it holds it, so a blob that is a third of all rows is no hot key."""
+        blobs = texts.select(address().alias("blob"), body().alias("text"))
+        done = self.runs()
+        if done:
             blobs = blobs.join(self.table().select("blob"), "blob", "left_anti")
-        run = f"{self.path}/rules={self.version}/run={len(self.runs)}"
-        blobs.mapInArrow(_scan, f"blob binary, spans array<{SPAN}>").write.parquet(run)
-        self.runs.append(run)
+        run = self._next()
+        blobs.groupBy("blob").agg(F.first("text").alias("text")).mapInArrow(_scanned(self.rules), self.SCANNED).write.mode("overwrite").parquet(run)
         return run
 
+    def record(self, paths: DataFrame) -> str:
+        """Take up versions of paths: ``paths`` (path string, version long, text). New blobs are scanned; a version that is
+        recorded again counts once."""
+        self.update(paths)
+        rows = paths.select(F.col("path").cast("string"), F.col("version").cast("long"), address().alias("blob")).distinct()
+        rows = rows.join(self.history(), ["path", "version", "blob"], "left_anti")
+        rows.write.mode("overwrite").parquet(self._next("versions"))
+        return self.path
+
+    def history(self) -> DataFrame:
+        """(path, version, blob) of all versions that were recorded, whatever the rules."""
+        return self._read("path string, version long, blob binary", self.runs("versions")).drop("run")
+
     def findings(self, paths: DataFrame) -> DataFrame:
-        """``paths`` (blob and any other columns) with the spans of each path's blob. Only blobs with findings are
+        """``paths`` (blob and any other columns but spans) with the spans of each path's blob. Only blobs with findings are
         joined; every other path has an empty array."""
-        hits = self.table().where(F.size("spans") > 0)
+        hits = self.table().where(F.size("spans") > 0).select("blob", "spans")
         empty = F.array().cast(f"array<{SPAN}>")
         return paths.join(hits, "blob", "left").withColumn("spans", F.coalesce("spans", empty))
 
@@ -103,7 +151,8 @@ class Ledger:
 def scan(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
     """(doc_id, blob, spans) for every row of ``docs`` (doc_id, text; other columns are left out).
 
-    Null and empty texts have no spans; repeated rows each have theirs; an empty table gives an empty table.
+    Null and empty texts have no spans; repeated rows each have theirs; an empty table gives an empty table. With a
+    ``ledger``, what it has scanned before is not scanned again.
     """
     ledger = ledger or Ledger(docs.sparkSession)
     ledger.update(docs.select("text"))
@@ -118,21 +167,23 @@ def redact(docs: DataFrame, ledger: Ledger | None = None, mask: str = "[SECRET]"
     """``docs`` with each secret's span replaced by ``mask``; n_chars follows where that column is there.
 
     Every row stays: a document is not worse for the secret that is cut out of it. Overlapping spans are cut as one.
+    Other columns keep their names and values, whatever they are called.
     """
     ledger = ledger or Ledger(docs.sparkSession)
     ledger.update(docs.select("text"))
-    hits = ledger.table().where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    rows = docs.join(hits, address() == F.col("_blob"), "left")
+    blob, hit = fresh(docs.columns, "blob"), fresh(docs.columns, "spans")
+    hits = ledger.table().where(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(hit))
+    rows = docs.join(hits, address() == F.col(blob), "left")
     start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
 
     def cut(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
+        new = s["start"] >= acc["at"]
         upto = F.substring(F.col("text"), acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
-        done = F.when(fresh, F.concat(acc["done"], upto, F.lit(mask))).otherwise(acc["done"])
+        done = F.when(new, F.concat(acc["done"], upto, F.lit(mask))).otherwise(acc["done"])
         return F.struct(done.alias("done"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    whole = F.aggregate("_spans", start, cut, lambda acc: F.concat(acc["done"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    rows = rows.withColumn("text", F.when(F.col("_spans").isNotNull(), whole).otherwise(F.col("text")))
+    whole = F.aggregate(hit, start, cut, lambda acc: F.concat(acc["done"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    rows = rows.withColumn("text", F.when(F.col(hit).isNotNull(), whole).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        rows = rows.withColumn("n_chars", F.when(F.col(hit).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return rows.select(*[f"`{c}`" for c in docs.columns])
