@@ -106,7 +106,7 @@ def plan(docs: DataFrame, weighted=weights, repeats: int = REPEATS, keep: tuple[
     order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("start", F.coalesce(F.sum("n").over(order), F.lit(0))).select("source", "bucket", "start")
     starts = starts.alias("b").join(sources.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select("b.*", "source_size", "target", "mass", "w0", "w1", "w2")
-    within = Window.partitionBy("source", "bucket").orderBy("o", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("o", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     dealt = rows.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0))).alias("r")
     on = F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.bucket") == F.col("b.bucket"))
     out = dealt.join(starts.alias("b"), on).select("r.doc_id", "r.source", *[f"r.{c}" for c in keep], "r.size", "source_size", "target", "mass", "w0", "w1", "w2", (F.col("start") + F.col("within")).alias("before"))
@@ -124,19 +124,23 @@ def mix(docs: DataFrame, weighted=weights, repeats: int = REPEATS) -> DataFrame:
     """The mixed documents themselves, in training order: the columns of ``docs``, a row for each copy taken.
 
     A copy at which its source's demand ends has its text cut after the words taken, and n_chars to match where that
-    column is there. Rows are range-sorted by position. Documents share nothing but doc_id with the plan, so rows
-    that repeat an id take what the plan gives the rows of that id, in order of size.
+    column is there. Rows are range-sorted by position. The plan's rows find their documents by doc_id, source and the
+    text's hash; rows that agree in all three take what the plan gives them in turn. Columns keep their names and
+    values, whatever they are called: a row goes through the joins as one value.
     """
-    key = lambda size: [F.coalesce("doc_id", F.lit(-1 << 63)).alias("_id"), F.xxhash64("source", size).alias("_of")]
-    nth = lambda order: F.row_number().over(Window.partitionBy("_id", "_of").orderBy(order))
-    ids = docs.select("*", word_count(F.col("text")).alias("_size"))
-    ids = ids.select("*", *key("_size")).withColumn("_nth", nth("text"))
-    taken = plan(docs, weighted, repeats).select(*key("size"), "copies").withColumn("_row", nth("copies"))
-    rows = ids.join(taken, ["_id", "_of"]).where("_nth - _row = 0").withColumn("_c", F.explode("copies"))
-    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_c.words").cast("int")), "")
-    rows = rows.withColumn("text", F.when(F.col("_c.words") < F.col("_size"), cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_c.words") < F.col("_size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    rows = rows.withColumn("_position", F.col("_c.position"))
-    return rows.repartitionByRange(partitions(docs), "_position", "doc_id").sortWithinPartitions("_position", "doc_id").select(*docs.columns)
+    hashed = F.xxhash64("text")
+    nth = lambda *order: F.row_number().over(Window.partitionBy("id", "of").orderBy(*order))
+    key = lambda h: [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)).alias("id"), F.xxhash64("source", h).alias("of")]
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *key(hashed)).withColumn("nth", nth("doc.text"))
+    named = docs.select("doc_id", "source", "text", hashed.alias("hashed"))
+    taken = plan(named, weighted, repeats, keep=("hashed",)).select(*key("hashed"), "copies").withColumn("nth", nth("copies"))
+    rows = own.join(taken, ["id", "of", "nth"]).select("doc", F.explode("copies").alias("c"))
+    text = F.col("doc.text")
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    rows = rows.withColumn("less", F.col("c.words") < word_count(text))
+    rows = rows.withColumn("cut", F.when(F.col("less"), F.array_join(F.slice(pieces, F.lit(1), F.col("c.words").cast("int")), "")))
+    order = [F.col("c.position"), F.col("doc.doc_id")]
+    rows = rows.repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order)
+    instead = {"text": F.col("cut"), "n_chars": F.length("cut").cast("long")}
+    column = lambda c: F.when(F.col("less"), instead[c]).otherwise(F.col("doc").getField(c)) if c in instead else F.col("doc").getField(c)
+    return rows.select(*[column(c).alias(c) for c in docs.columns])
