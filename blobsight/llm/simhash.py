@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blobsight.llm.common import partitions, slices
+from blobsight.llm.common import fresh, partitions, slices
 from blobsight.llm.components import components
 from blobsight.scratch import materialise
 
@@ -37,6 +37,8 @@ TARGET, MOST_SALTS = 1 << 21, 1024
 LEAST_PREFIX = 4
 #: Hot slices are broadcast up to so many rows of 16 bytes; beyond, joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: A fingerprint of so many rows, as that of many exact copies or of all blank texts, is hot: its rows get their component by broadcast.
+HOT = 500
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -171,13 +173,18 @@ def classes(docs: DataFrame) -> DataFrame:
     has component_id null. Repeated rows and repeated ids each keep their row. An empty table gives an empty table.
     """
     rows = materialise(fingerprints(docs), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     found = materialise(components(links(nodes.select("fp"))).withColumnRenamed("node", "fp"), "roots")
-    linked = found.join(nodes, "fp")
+    linked = found.join(nodes.drop("n"), "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of_linked = materialise(linked.join(least, "root").select("fp", "component_id"), "linked")
-    of_all = nodes.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(of_all, "fp").select("doc_id", "fp", "component_id")
+    of_all = nodes.join(of_linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
+    often = max(HOT, -(-rows.count() // BROADCAST_ROWS))  # so many rows have at most BROADCAST_ROWS fingerprints
+    hot = F.broadcast(of_all.where(F.col("n") >= often).select("fp", F.struct("component_id").alias("hot")))
+    rows = rows.join(hot, "fp", "left")
+    done = rows.where("hot is not null").select("doc_id", "fp", "hot.component_id")
+    rest = rows.where("hot is null").select("doc_id", "fp").join(of_all.where(F.col("n") < often), "fp")
+    return done.unionAll(rest.select("doc_id", "fp", "component_id"))
 
 
 def hex_fingerprint(column: str = "fp"):
@@ -189,8 +196,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of several rows with that id the first by text stays. Rows without a doc_id can't stand for a component; they stay.
     """
-    firsts = classes(docs).select(F.col("component_id").alias("_first")).distinct()
-    named = docs.join(firsts, F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    one = named.withColumn("_place", place).where("_place = 1").drop("_place")
+    first, place = fresh(docs.columns, "first"), fresh(docs.columns, "place")
+    firsts = classes(docs).select(F.col("component_id").alias(first)).distinct()
+    named = docs.join(firsts, F.col("doc_id").cast("long") == F.col(first), "left_semi")
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    one = named.withColumn(place, order).where(F.col(place) == 1).drop(place)
     return one.unionAll(docs.where("doc_id is null"))
