@@ -18,8 +18,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from blobsight.llm.common import slices, words_of
+from blobsight.llm.common import fresh, slices, words_of
 
 #: Features are hashed to 2^BITS weights.
 BITS = 18
@@ -164,12 +165,14 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, ratings: DataFrame, levels: int = 3, most: int = MOST_RATED) -> Model:
     """Fit on ``docs`` (doc_id, text) rated by ``ratings`` (doc_id, grade from 0 to levels - 1).
 
-    Of several ratings of a document the lowest counts; grades out of range are left out. The sample of ratings has a fixed bound, so it is broadcast to
-    the documents; only the sample's features reach the driver. Without ratings all documents get the same odds.
+    Of several ratings of a document the lowest counts, of several rows of a rated id the one with the least text; grades
+    out of range are left out. The sample of ratings has a fixed bound, so it is broadcast to the documents; only the
+    features of its documents, one row each, reach the driver. Without ratings all documents get the same odds.
     """
     graded = ratings.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, levels - 1)).groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     some = graded.withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(most)
-    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(some), "doc_id").select("text", "grade", "o")
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("grade").alias("grade"), F.first("o").alias("o")).drop("doc_id")
     found = rows.mapInArrow(_vectors, "grade int, o long, features array<int>, values array<float>").toArrow().sort_by("o").combine_chunks()
     grades, lists = found["grade"].to_numpy(), found["features"]
     doc = np.repeat(np.arange(len(found), dtype=np.int32), pc.list_value_length(lists).to_numpy())
@@ -180,15 +183,15 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int = 3, most: int = MOST
     return fit(list(vectors), grades, levels)
 
 
-def _judged(shared):
+def _judged(shared, grade_name: str = "expected_grade", tail_name: str = "tail_probability"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, model = Features(), Model(*shared.value)
         live = model.weights != 0
         for batch in slices(batches, "text"):
             below = model.at_most(model.scores(batch.num_rows, *features.rows(batch.column("text"), live)))
             out = {c: batch.column(c) for c in batch.schema.names}
-            out["expected_grade"] = pa.array((1 - below).sum(1))
-            out["tail_probability"] = pa.array(1 - below[:, -1])
+            out[grade_name] = pa.array((1 - below).sum(1))
+            out[tail_name] = pa.array(1 - below[:, -1])
             yield pa.RecordBatch.from_pydict(out)
 
     return run
@@ -211,6 +214,6 @@ def judge(docs: DataFrame, model: Model, limit: float = LIMIT) -> DataFrame:
 def keep_good(docs: DataFrame, model: Model, limit: float = LIMIT) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns, in one pass and without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rows = docs.mapInArrow(_judged(shared), own + ", expected_grade double, tail_probability double")
-    return rows.where(F.col("tail_probability") >= limit).select(*docs.columns)
+    names = [fresh(docs.columns, c) for c in ("expected_grade", "tail_probability")]
+    schema = StructType([*docs.schema.fields, *[StructField(c, DoubleType()) for c in names]])
+    return docs.mapInArrow(_judged(shared, *names), schema).where(F.col(names[1]) >= limit).drop(*names)
