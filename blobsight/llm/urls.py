@@ -28,9 +28,11 @@ RULES = (
 # Words in a host that mark the labelled URLs as unwanted.
 UNWANTED = ("casino", "pills", "bets", "spam", "adult", "porn", "ads-", "viagra", "lottery")
 
-#: Labelled rows that training takes, the first by hash: a bound on what is fitted, not on what is judged.
+#: Labelled URLs that training takes, the first by hash: a bound on what is fitted, not on what is judged.
 MOST_LABELLED = 20_000
 TREES, DEPTH, BINS, RATE, L2 = 10, 3, 16, 0.4, 1.0
+#: So many URLs of the average kind are added to each suffix.
+SMOOTH = 4.0
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -115,12 +117,15 @@ class Model:
     def margin(self) -> Column:
         return sum((t.column() for t in self.trees), F.lit(self.base))
 
-    def with_suffixes(self, rows: DataFrame) -> DataFrame:
-        """Adds r_1, r_2: the share of unwanted URLs by suffix. The table has at most two rows a labelled row, so its
-        size has a bound and it is broadcast."""
+    def with_suffixes(self, rows: DataFrame, own: str | None = None) -> DataFrame:
+        """Adds r_1, r_2: the share of unwanted URLs by suffix, drawn towards the share of all. The table has at most two
+        rows a labelled URL, so its size has a bound and it is broadcast. ``own`` names a training row's label: it is left
+        out of that row's shares, which would give it away otherwise."""
+        less, one = (F.col(own), F.lit(1.0)) if own else (F.lit(0.0), F.lit(0.0))
         for i in (1, 2):
-            t = self.suffixes.where(F.col("labels") == i).select(F.col("suffix").alias(f"s_{i}"), F.col("rate").alias(f"r_{i}"))
-            rows = rows.join(F.broadcast(t), f"s_{i}", "left").withColumn(f"r_{i}", F.coalesce(f"r_{i}", F.lit(self.prior)))
+            t = self.suffixes.where(F.col("labels") == i).select(F.col("suffix").alias(f"s_{i}"), "bad", "n")
+            share = (F.col("bad") - less + SMOOTH * self.prior) / (F.col("n") - one + SMOOTH)
+            rows = rows.join(F.broadcast(t), f"s_{i}", "left").withColumn(f"r_{i}", F.coalesce(share, F.lit(self.prior))).drop("bad", "n")
         return rows
 
     def score(self, urls: DataFrame) -> DataFrame:
@@ -130,7 +135,7 @@ class Model:
 
 
 def labelled(urls: DataFrame, unwanted=UNWANTED) -> DataFrame:
-    """(url, label): distinct URLs labelled 1 if their host has an unwanted word."""
+    """(url, label): URLs labelled 1 if their host has an unwanted word; labels for want of better ones."""
     host, _ = parts(F.col("url").cast("string"))
     test = F.lit(False)
     for w in unwanted:
@@ -139,17 +144,18 @@ def labelled(urls: DataFrame, unwanted=UNWANTED) -> DataFrame:
 
 
 def train(rows: DataFrame, most: int = MOST_LABELLED, trees: int = TREES, depth: int = DEPTH, bins: int = BINS) -> Model:
-    """Boosted trees for ``rows`` (url, label 0/1). Takes the ``most`` rows that come first by the URL's hash; with none
-    the model allows everything."""
-    some = materialise(features(rows.select("url", F.col("label").cast("double").alias("y"), F.xxhash64("url").alias("o")).orderBy("o", "url", "y").limit(most)), "labelled")
+    """Boosted trees for ``rows`` (url, label 0/1). Takes the ``most`` different URLs that come first by their hash, each
+    with the highest of its labels; without any the model allows everything. Null URLs and labels are left out."""
+    once = rows.where("url is not null and label is not null").groupBy("url").agg(F.max("label").cast("double").alias("y"))
+    some = materialise(features(once.withColumn("o", F.xxhash64("url")).orderBy("o", "url").limit(most)), "labelled")
     n, y = some.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     prior = (y + 0.5) / (n + 1.0)
     model = Model(math.log(prior / (1 - prior)), prior)
-    stat = lambda i: some.groupBy(F.col(f"s_{i}").alias("suffix")).agg(((F.sum("y") + 4 * prior) / (F.count("*") + 4)).alias("rate")).withColumn("labels", F.lit(i))
+    stat = lambda i: some.groupBy(F.col(f"s_{i}").alias("suffix")).agg(F.sum("y").alias("bad"), F.count("*").cast("double").alias("n")).withColumn("labels", F.lit(i))
     model.suffixes = materialise(stat(1).unionByName(stat(2)), "suffixes")
     if n == 0 or y in (0, n):
         return model
-    data = model.with_suffixes(some)
+    data = model.with_suffixes(some, "y")
     cuts = [i / bins for i in range(1, bins)]
     bounds = data.agg(*[F.percentile_approx(c, cuts, 1000).alias(c) for c in INPUTS]).first()
     bounds = {c: sorted(set(bounds[c])) for c in INPUTS}
@@ -166,7 +172,7 @@ def _grow(data: DataFrame, model: Model, bounds: dict, depth: int) -> Node:
     root = Node()
     rows = data.withColumn("p", p).withColumn("g", F.col("p") - F.col("y")).withColumn("h", F.col("p") * (1 - F.col("p")))
     level = [root]
-    for d in range(depth + 1):
+    for _ in range(depth):  # the last level's leaves get their values from the sums of the one above
         at = _place(root, {id(x): i for i, x in enumerate(level)})
         kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(f"b_{c}").alias("b")) for c in INPUTS]))
         sums = rows.select(at.alias("node"), "g", "h", kinds.alias("k")).where("node >= 0").groupBy("node", "k.f", "k.b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
@@ -181,7 +187,7 @@ def _grow(data: DataFrame, model: Model, bounds: dict, depth: int) -> Node:
             one = next(iter(stats.values()))
             g, h = sum(x for x, _ in one.values()), sum(x for _, x in one.values())
             node.value = -RATE * g / (h + L2)
-            best = (1e-6, "", 0)
+            best, sides = (1e-6, "", 0), ((0.0, 0.0), (0.0, 0.0))
             for f in sorted(stats):
                 lg = lh = 0.0
                 for b in range(len(bounds[f])):
@@ -189,10 +195,10 @@ def _grow(data: DataFrame, model: Model, bounds: dict, depth: int) -> Node:
                     lg, lh = lg + x[0], lh + x[1]
                     gain = lg * lg / (lh + L2) + (g - lg) ** 2 / (h - lh + L2) - g * g / (h + L2)
                     if lh > 1e-3 and h - lh > 1e-3 and gain > best[0] + 1e-9:
-                        best = (gain, f, b)
-            if d < depth and best[1]:
+                        best, sides = (gain, f, b), ((lg, lh), (g - lg, h - lh))
+            if best[1]:
                 node.feature, node.bound = best[1], float(bounds[best[1]][best[2]])
-                node.low, node.high = Node(), Node()
+                node.low, node.high = (Node(value=-RATE * x / (y + L2)) for x, y in sides)
                 grown += [node.low, node.high]
         if not grown:
             break
@@ -207,13 +213,13 @@ def _place(node: Node, ids: dict) -> Column:
     return F.when(F.col(node.feature) <= node.bound, _place(node.low, ids)).otherwise(_place(node.high, ids))
 
 
-def judge(pages: DataFrame, model: Model | None = None, rules=RULES, limit: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, model: Model | None = None, rules=RULES, limit: float = 0.5, labels: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, p_block) for every row of ``pages`` (page_id, url; others are left out).
 
-    A rule's verdict stands; where none fits, the model blocks at p_block of ``limit`` and more. A null URL, or one
-    without ``://``, has empty host and path, fits no rule and is judged by the model like any other.
+    A rule's verdict stands; where none fits, the model blocks at p_block of ``limit`` and more. Without a ``model``, one
+    is trained on ``labels`` (url, label 0/1), and without these on ``labelled(pages)``. A null URL, or one without ``://``, has empty host and path, fits no rule and is judged by the model like any other.
     """
-    model = model or train(labelled(pages))
+    model = model or train(labelled(pages) if labels is None else labels)
     host, path = parts(F.col("url").cast("string"))
     name, verdict = rule(F.col("host"), F.col("path"), rules)
     rows = model.score(pages.select("page_id", "url")).withColumn("host", host).withColumn("path", path)
