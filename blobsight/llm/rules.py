@@ -50,9 +50,8 @@ def repeated_words(words: Column) -> Column:
     """How many words stand in a window of three words that is found twice or more; windows may overlap.
 
     Windows are hashed; a hash's upper bits and the window's place go into one long, so that one primitive sort brings
-    equal windows together and keeps their places. A place gets just the bits that the document needs, which leaves 54
-    for the hash at 1,000 words and 47 at 100,000: the odds that a document of 1,000 words holds two windows that only
-    look equal are under 1 in 10^10.
+    windows that may be equal together and keeps their places. A place gets just the bits that the document needs. The
+    few windows that look equal to another one are then compared by their words, so the count is exact.
     """
 
     def count(n: Column) -> Column:
@@ -64,8 +63,13 @@ def repeated_words(words: Column) -> Column:
     def covered(s: Column, bits: Column) -> Column:
         key = lambda x: srl(x, bits)
         as_next = lambda x, i, by: F.coalesce(key(x) == key(F.get(s, i + by)), F.lit(False))
-        twice = F.filter(s, lambda x, i: as_next(x, i, 1) | as_next(x, i, -1))
-        places = F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(sll(F.lit(1).cast("long"), bits) - 1)))
+        alike = F.filter(s, lambda x, i: as_next(x, i, 1) | as_next(x, i, -1))
+        place = lambda x: x.bitwiseAND(sll(F.lit(1).cast("long"), bits) - 1)
+        window = lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))  # noqa: E731  (no word has a space)
+        named = F.sort_array(F.transform(F.transform(alike, place), lambda i: F.struct(window(i.cast("int")).alias("w"), i.alias("i"))))
+        same = lambda v, x, i, by: F.coalesce(x["w"] == F.get(v, i + by)["w"], F.lit(False))
+        twice = let(named, lambda v: F.filter(v, lambda x, i: same(v, x, i, 1) | same(v, x, i, -1)))
+        places = F.sort_array(F.transform(twice, lambda x: x["i"]))
         return let(places, lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, b: a + b))
 
     n = F.size(words) - 2
