@@ -1,14 +1,19 @@
-"""SentencePiece encoding and decoding by batched Viterbi.
+"""SentencePiece encoding and decoding, batched in numpy.
 
-The best segmentation is the one with the greatest sum of the model's piece scores; of equal ones that whose last piece
-is longest, and so on towards the front. A text is escaped as usual (a leading space; spaces as U+2581) and falls into
-units that no piece crosses: a unit is a run of spaces and what follows it up to the next space or line break. Units of
-equal length advance together: substring hashes are looked up among the sorted hashes of the pieces, and row-wise maxima
-give scores and backpointers. Characters without a piece fall back to their bytes, so every text comes back exactly.
+A text is escaped as usual (a leading space; spaces as U+2581) and falls into units that no piece crosses: a unit is a run
+of spaces and what follows it up to the next space or line break. Units of equal length advance together; substring hashes
+are looked up among the sorted hashes of the pieces, and row-wise maxima choose.
+
+What is chosen goes by the model's own kind. For a unigram model it is Viterbi: the best segmentation has the greatest sum
+of scores, and maxima over where the last piece begins give scores and backpointers. The scores of a BPE model are the
+ranks of its merges, and sums of ranks say nothing: there each unit starts as its characters, and the maximum over its
+neighbours is the pair to join next, until none makes a piece. Both give the ids of the sentencepiece library.
+Characters without a piece fall back to their bytes, so every text comes back exactly.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,6 +30,51 @@ SPACE, NO_CODE = 0x2581, 0x110000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Units whose ids a task keeps; table cells that advance together; bytes of text worked on at once.
 MOST_UNITS, CELLS, CHUNK = 300_000, 1 << 19, 2 << 20
+#: Characters from which a unit is worked off alone, by a queue or a dictionary: few are so long.
+LONG = 256
+
+# Where a model's file says of which kind it is, how it treats texts, and what each piece is for.
+TRAINER, NORMALISER, PIECE = 2, 3, 1
+KIND, DUMMY_PREFIX, EXTRA_BLANKS, CHARACTER_MAP, SUFFIX, PIECE_TYPE = 3, 3, 4, 2, 24, 3
+UNIGRAM, BPE, USER_DEFINED = 1, 2, 4
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol-buffer message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            out |= (raw[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if raw[at - 1] < 128:
+                return out
+
+    while at < len(raw):
+        tag = number()
+        if tag & 7 == 0:
+            yield tag >> 3, number()
+            continue
+        size = {1: 8, 5: 4}.get(tag & 7) or number()
+        yield tag >> 3, raw[at : at + size]
+        at += size
+
+
+def kind_of(model: bytes) -> int:
+    """UNIGRAM or BPE; ValueError for a model that treats texts in a way that is not known here."""
+    parts = list(_fields(model))
+    spec = lambda n: dict(f for k, v in parts if k == n for f in _fields(v))
+    trainer, normaliser = spec(TRAINER), spec(NORMALISER)
+    kind = trainer.get(KIND, UNIGRAM)
+    if kind not in (UNIGRAM, BPE) or trainer.get(SUFFIX, 0):
+        raise ValueError("only unigram and BPE models with blanks before words are supported")
+    if normaliser.get(CHARACTER_MAP) or normaliser.get(EXTRA_BLANKS, 1) or not normaliser.get(DUMMY_PREFIX, 1):
+        raise ValueError("only models that keep texts as they are, behind one blank, are supported")
+    if any(dict(_fields(v)).get(PIECE_TYPE) == USER_DEFINED for k, v in parts if k == PIECE):
+        raise ValueError("pieces defined by a user are not supported")
+    return kind
 
 
 class Pieces:
@@ -33,7 +83,10 @@ class Pieces:
     def __init__(self, path: str):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        with open(path, "rb") as f:
+            model = f.read()
+        self.kind = kind_of(model)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.get_piece_size()
         self.bytes_of: list[bytes] = [b""] * n
         self.byte_id = [0] * 256
@@ -46,6 +99,8 @@ class Pieces:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 plain.append((p, sp.get_score(i), i))
                 self.bytes_of[i] = p.replace("▁", " ").encode()
+        if not any(self.bytes_of[i] and sp.is_byte(i) for i in range(n)):
+            raise ValueError("only models with pieces for bytes are supported")
         if any("▁" in p.lstrip("▁") or "\n" in p for p, _, _ in plain):
             raise ValueError("pieces that cross units are not supported")
         self.longest = max(len(p) for p, _, _ in plain)
@@ -78,14 +133,60 @@ class Pieces:
     def units(self, text: str | None) -> list[str]:
         return _UNITS.findall(" " + text) if text else []
 
+    @staticmethod
+    def _prefixes(codes: np.ndarray) -> np.ndarray:
+        """Hashes of the beginnings of each row."""
+        out = np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(codes.shape[1]):
+                out[:, j + 1] = out[:, j] * _BASE + (codes[:, j].astype(np.uint64) + np.uint64(1))
+        return out
+
+    def _found(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the substrings from ``start`` to ``end``, by row, are among the pieces, and whether they are."""
+        size = np.maximum(0, np.minimum(end - start, self.longest))
+        rows = np.arange(len(hashes))[:, None] if start.ndim == 2 else np.arange(len(hashes))
+        with np.errstate(over="ignore"):
+            key = hashes[rows, end] - hashes[rows, start] * self.powers[size]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return at, (self.keys[at] == key) & (end - start == size) & (size > 0)
+
+    def merges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same by joining neighbours: those whose piece has the greatest score, the leftmost of equal ones."""
+        n, length = codes.shape
+        hashes, rows = self._prefixes(codes), np.arange(n)
+        cuts = np.tile(np.arange(length + 2), (n, 1))  # where symbols begin; beyond the last one the end, twice
+        cuts[:, -1] = length
+        done = cuts.copy()
+        at, hit = self._found(hashes, cuts[:, : length - 1], cuts[:, 2 : length + 1])
+        score = np.where(hit, self.scores[at], -np.inf)
+        while score.shape[1]:
+            k = score.argmax(1)
+            live = score[np.arange(len(k)), k] > -np.inf
+            if not live.all():
+                done[rows[~live], : cuts.shape[1]], done[rows[~live], cuts.shape[1] :] = cuts[~live], length
+                rows, hashes, cuts, score, k = rows[live], hashes[live], cuts[live], score[live], k[live]
+                if not len(rows):
+                    break
+            of = np.arange(len(rows))
+            cuts = np.take_along_axis(cuts, np.arange(cuts.shape[1] - 1) + (np.arange(cuts.shape[1] - 1) > k[:, None]), 1)
+            score = np.take_along_axis(score, np.arange(score.shape[1] - 1) + (np.arange(score.shape[1] - 1) >= k[:, None]), 1)
+            for i in (k - 1, k):  # pairs that the new symbol is in
+                some = np.flatnonzero((i >= 0) & (i < score.shape[1]))
+                if len(some):
+                    p = i[some]
+                    at, hit = self._found(hashes[some], cuts[some, p], cuts[some, p + 2])
+                    score[some, p] = np.where(hit, self.scores[at], -np.inf)
+        done[rows, : cuts.shape[1]], done[rows, cuts.shape[1] :] = cuts, length
+        start, end = done[:, :-1], done[:, 1:]
+        at, hit = self._found(self._prefixes(codes), start, end)
+        count = (end > start).sum(1)
+        return np.where(hit, self.ids[at], -1)[:, :length], count
+
     def viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """codes: units of one length, a row each, escaped. Ids of each row from the right end (-1: by bytes), and their
-        number."""
+        """codes: units of one length, a row each, escaped. Ids of each row (-1: by bytes), and their number."""
         n, length = codes.shape
-        hashes = np.zeros((n, length + 1), np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(length):
-                hashes[:, j + 1] = hashes[:, j] * _BASE + (codes[:, j].astype(np.uint64) + np.uint64(1))
+        hashes = self._prefixes(codes)
         best = np.zeros((n, length + 1))
         back = np.zeros((n, length + 1), np.int32)
         piece = np.full((n, length + 1), -1, np.int32)
@@ -109,33 +210,70 @@ class Pieces:
             count[live] += 1
             pos[live] = back[live, pos[live]]
             live = live[pos[live] > 0]
-        return out, count
-
-    def encode_units(self, units: list[str]) -> list[np.ndarray]:
-        found: list[np.ndarray] = [np.zeros(0, np.int32)] * len(units)
-        by_length: dict[int, list[int]] = {}
-        for i, u in enumerate(units):
-            by_length.setdefault(len(u), []).append(i)
-        for length, places in by_length.items():
-            step = max(1, CELLS // (length + self.longest))
-            for a in range(0, len(places), step):
-                some = places[a : a + step]
-                codes = np.frombuffer("".join(units[i] for i in some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length)
-                codes = np.where(codes == SPACE, NO_CODE, np.where(codes == 32, SPACE, codes))
-                out, count = self.viterbi(codes)
-                for r, i in enumerate(some):
-                    ids = out[r, : count[r]][::-1]
-                    found[i] = self._checked(units[i], ids)
-        return found
+        turned = np.maximum(0, count[:, None] - 1 - np.arange(length))
+        return np.take_along_axis(out, turned, 1), count
+
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all ``units``, and by unit where its own begin and how many they are."""
+        start, size, flat, have = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), [np.zeros(0, np.int32)], 0
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        order = np.argsort(lengths, kind="stable")
+        cuts = np.flatnonzero(np.diff(lengths[order], prepend=-1, append=-1))
+        for first, beyond in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            length = int(lengths[order[first]])
+            step = 1 if length >= LONG else max(1, CELLS // (length + self.longest))
+            for a in range(first, beyond, step):
+                some = order[a : min(beyond, a + step)]
+                ids, count = self._together([units[i] for i in some.tolist()], length)
+                start[some], size[some] = have + np.cumsum(count) - count, count
+                flat.append(ids)
+                have += len(ids)
+        return np.concatenate(flat), start, size
+
+    def _together(self, units: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``units``, all of one length, one after another, and the number of each one's. That the ids spell the units is
+        checked, for two texts may have one hash; units for which they don't, as those with unknown characters, are gone
+        through one by one."""
+        if length >= LONG:
+            found = [np.array(self.plain(u), np.int32) for u in units]
+            return np.concatenate(found), np.array([len(x) for x in found])
+        plain = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length)
+        codes = np.where(plain == SPACE, NO_CODE, np.where(plain == 32, SPACE, plain))
+        ids, count = (self.merges if self.kind == BPE else self.viterbi)(codes)
+        there = np.arange(length) < count[:, None]
+        sizes = np.where(there & (ids >= 0), self.raw_size[ids], 0).sum(1)
+        want = (1 + (plain > 0x7F) + (plain > 0x7FF) + (plain > 0xFFFF)).sum(1)
+        good = (sizes == want) & ~((ids < 0) & there).any(1)
+        if good.all():
+            flat = ids[there]
+            text = np.frombuffer("".join(units).encode("utf-8", "surrogatepass"), np.uint8)
+            if np.array_equal(gather(self.raw, self.raw_start[flat], self.raw_size[flat]), text):
+                return flat, count
+            good[:] = False
+        if good.any():  # those apart, so that they are checked together
+            parts = [None, None]
+            for kind in (True, False):
+                rows = np.flatnonzero(good == kind)
+                own = [units[i] for i in rows.tolist()]
+                flat, n = self._together(own, length) if kind else self._one_by_one(own, ids[rows], count[rows])
+                parts[kind] = (rows, flat, n)
+            n, start = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+            for at, (rows, _, k) in zip((0, len(parts[0][1])), parts, strict=True):
+                n[rows], start[rows] = k, at + np.cumsum(k) - k
+            return gather(np.concatenate([parts[0][1], parts[1][1]]), start, n), n
+        return self._one_by_one(units, ids, count)
+
+    def _one_by_one(self, units: list[str], ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [self._checked(u, ids[i, : count[i]]) for i, u in enumerate(units)]
+        return np.concatenate(found), np.array([len(x) for x in found])
 
     def _checked(self, unit: str, ids: np.ndarray) -> np.ndarray:
-        """Fill in bytes of unknown characters. That the pieces spell the unit is checked, for two texts may have one
-        hash; such a unit is encoded without hashes."""
+        """Fill in bytes of unknown characters; a unit that the pieces don't spell is encoded without hashes."""
         out: list[int] = []
         at = 0
         for i in ids.tolist():
             if i < 0:
-                out += [self.byte_id[b] for b in unit[at].encode("utf-8", "surrogatepass")]
+                out += self._spelt(unit[at])
                 at += 1
                 continue
             text = self.bytes_of[i].decode()
@@ -146,13 +284,51 @@ class Pieces:
         return np.array(out, np.int32) if at == len(unit) else np.array(self.plain(unit), np.int32)
 
     def plain(self, unit: str) -> list[int]:
-        """The same segmentation by a dictionary, a character at a time."""
-        chars = [NO_CODE if ord(c) == SPACE else c.replace(" ", "▁") for c in unit]
+        """The same ids without batches or hashes: by a queue of pairs for a BPE model, by a dictionary for a unigram one."""
+        chars = [None if ord(c) == SPACE else c.replace(" ", "▁") for c in unit]  # U+2581 itself is no space: by bytes
+        return self._queued(unit, chars) if self.kind == BPE else self._best(unit, chars)
+
+    def _spelt(self, char: str) -> list[int]:
+        return [self.byte_id[b] for b in char.encode("utf-8", "surrogatepass")]
+
+    def _queued(self, unit: str, chars: list[str | None]) -> list[int]:
+        after, before = list(range(1, len(chars) + 1)), list(range(-1, len(chars) - 1))
+        symbols, queue = list(chars), []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < len(symbols) and symbols[i] is not None and symbols[j] is not None and len(symbols[i]) + len(symbols[j]) <= self.longest:
+                known = self.by_text.get(symbols[i] + symbols[j])
+                if known:
+                    heapq.heappush(queue, (-known[0], i, symbols[i], symbols[j]))
+
+        for i in range(len(chars)):
+            offer(i)
+        while queue:
+            _, i, a, b = heapq.heappop(queue)
+            j = after[i]
+            if symbols[i] != a or j >= len(symbols) or symbols[j] != b:
+                continue  # one of the two has been joined since
+            symbols[i], symbols[j], after[i] = a + b, "", after[j]
+            if after[j] < len(symbols):
+                before[after[j]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        out: list[int] = []
+        i = 0
+        while i < len(symbols):
+            known = self.by_text.get(symbols[i]) if symbols[i] is not None else None
+            out += [known[1]] if known else self._spelt(unit[i])
+            i = after[i]
+        return out
+
+    def _best(self, unit: str, chars: list[str | None]) -> list[int]:
         best, back = [0.0], [(0, -1)]
         for j in range(1, len(unit) + 1):
             top = (-np.inf, 0, -1)
             for i in range(max(0, j - self.longest), j):
-                key = None if NO_CODE in chars[i:j] else "".join(chars[i:j])
+                key = None if None in chars[i:j] else "".join(chars[i:j])
                 score, piece = self.by_text.get(key, (self.unknown, -1) if i == j - 1 else (-np.inf, -1))
                 if best[i] + score > top[0]:
                     top = (best[i] + score, i, piece)
@@ -162,7 +338,7 @@ class Pieces:
         j = len(unit)
         while j:
             i, piece = back[j]
-            out += [piece] if piece >= 0 else [self.byte_id[b] for b in reversed(unit[i].encode("utf-8", "surrogatepass"))]
+            out += [piece] if piece >= 0 else self._spelt(unit[i])[::-1]
             j = i
         return out[::-1]
 
@@ -176,12 +352,11 @@ class Pieces:
             self.clear()
         new = [u for u in dict.fromkeys(units) if u not in self.of]
         if new:
-            ids = self.encode_units(new)
+            flat, start, size = self.encode_units(new)
             self.of.update(zip(new, range(len(self.of), len(self.of) + len(new)), strict=True))
-            size = np.array([len(x) for x in ids], np.int64)
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+            self.start = np.concatenate([self.start, len(self.flat) + start])
             self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, *ids])
+            self.flat = np.concatenate([self.flat, flat])
         codes = np.fromiter(map(self.of.__getitem__, units), np.int64, len(units))
         size = self.size[codes]
         upto = np.concatenate([[0], np.cumsum(size)])
@@ -213,8 +388,10 @@ def _encoded(path: str, keep_ids: bool):
 
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), keep_ids: bool = True) -> DataFrame:
     """``keep`` columns of every row of ``docs`` (text), with n_tokens, ids_crc32 (of little-endian 32-bit ids),
-    round_trip (the ids decode to the text again) and ids. Null counts as empty and has no ids. No shuffle."""
-    rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    round_trip (the ids decode to the text again) and ids. Null counts as empty and has no ids. No shuffle. A column to
+    keep that is called like one of these, or text, is left out: the name is the result's."""
+    keep = tuple(c for c in keep if c.lower() not in ("text", "n_tokens", "ids_crc32", "round_trip", "ids"))
+    rows = docs.select(*[f"`{c}`" for c in keep], F.col("text").cast("string").alias("text"))
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "text")
     return rows.mapInArrow(_encoded(path, keep_ids), head + "n_tokens long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * keep_ids)
 
