@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from blobsight.llm import ledger, lm, mixing, pieces, quality, rans, rules, simhash, urls, winnowing
 from blobsight.llm.common import partitions
+from blobsight.scratch import new_path
 
 
 def vocabulary(name: str) -> str:
@@ -64,6 +65,27 @@ def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[count(k) for k in ledger.BASE], F.sha2(ledger.joined(base), 256).alias("base_sha256"), ledger.joined(F.col("spans")).alias("spans"))
 
 
+def secret_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version of every document under two versions of the rules: (path, version, rules, run, n_assign, n_access, n_hex), run
+    being the one of the rules' runs that scanned the blob. Each document's first version may hold a token that its second
+    one lacks. The ledger is opened again for each step: the second run scans only blobs that the first one hasn't seen, and
+    with the new rules all of them are scanned once more."""
+    docs, at = documents(spark, sf_dir), new_path(spark, "ledger")
+    path, odd = F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.pmod("doc_id", F.lit(2)) == 1
+    leak = F.when(odd, F.concat(F.lit(" token=abcdef"), F.col("doc_id").cast("string"))).otherwise("")
+    first = docs.select(path, F.lit(1).alias("version"), F.concat(ledger.body(), leak).alias("text"))
+    both = first.unionAll(docs.select(path, F.lit(2).alias("version"), ledger.body().alias("text")))
+    few, base = (tuple(r for r in ledger.RULES if r.kind in kinds) for kinds in (("assign", "access"), ledger.BASE))
+    ledger.Ledger(spark, at, 1, few).record(first)
+    old = ledger.Ledger(spark, at, 1, few)
+    old.record(both)
+    new = ledger.Ledger(spark, at, 2, base)
+    new.update(both)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    parts = [book.history().join(book.table(), "blob").select("path", "version", F.lit(book.version).alias("rules"), "run", *[count(k) for k in ledger.BASE]) for book in (old, new)]
+    return parts[0].unionAll(parts[1])
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, _ = rans.write(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
     return rans.read(spark, path)
@@ -86,6 +108,7 @@ def queries() -> dict:
         op5_lm_score,
         op6_sentence_pieces,
         op7_secret_ledger,
+        secret_history,
         op8_token_files,
         op9_url_filter,
         op10_quality_rules,
@@ -93,5 +116,32 @@ def queries() -> dict:
     return {f.__name__: f for f in ops}
 
 
+ASSIGN_SQL = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+SECRET_HISTORY_SQL = rf"""WITH v AS (SELECT 'doc/' || doc_id AS path, 1 AS version, coalesce(text, '') || CASE WHEN doc_id % 2 = 1 THEN ' token=abcdef' || doc_id ELSE '' END AS text FROM documents
+ UNION ALL SELECT 'doc/' || doc_id, 2, coalesce(text, '') FROM documents),
+ n AS (SELECT *, len(list_filter(regexp_extract_all(text, '{ASSIGN_SQL}', 1), lambda x: length(x) >= 6))::BIGINT AS n_assign,
+ len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::BIGINT AS n_access, len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 24))::BIGINT AS n_hex FROM v)
+ SELECT path, version, 1 AS rules, CASE WHEN text IN (SELECT text FROM v WHERE version = 1) THEN 0 ELSE 1 END AS run, n_assign, n_access, 0::BIGINT AS n_hex FROM n
+ UNION ALL SELECT path, version, 2, 0, n_assign, n_access, n_hex FROM n"""
+
+_STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(rules.STOP_WORDS))
+QUALITY_RULES_SQL = rf"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+ w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^ 	-
+]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM t),
+ win AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+ rep AS (SELECT r, count(DISTINCT p)::BIGINT AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM win) WHERE c > 1) GROUP BY r),
+ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[ 	-
+]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+ (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l)::BIGINT AS n_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+ len(list_filter(w, lambda x: lower(rtrim(x, '.,;:!?')) IN ({_STOP})))::DOUBLE AS n_stop, len(list_filter(w, lambda x: length(x) > 1 AND upper(x) = x AND lower(x) <> x))::DOUBLE AS n_shout FROM w LEFT JOIN rep USING (r)),
+ q AS (SELECT *, coalesce(word_chars::DOUBLE / nullif(n_words, 0), 0) AS mean_word, coalesce(n_symbols::DOUBLE / nullif(n_words, 0), 0) AS symbol_ratio, coalesce(n_stop / nullif(n_words, 0), 0) AS stop_ratio,
+ coalesce(n_shout / nullif(n_words, 0), 0) AS shout_ratio, coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0), 0) AS dup_line_ratio, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words <= 10000000 AND mean_word BETWEEN 2 AND 14 AND symbol_ratio <= 0.2 AND stop_ratio >= 0.02
+ AND dup_line_ratio <= 0.3 AND shout_ratio <= 0.4 AS kept, mean_word, symbol_ratio, stop_ratio, shout_ratio, dup_line_ratio FROM q"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """What DuckDB can express; the other operators are held against brute force in the tests."""
+    return {"secret_history": SECRET_HISTORY_SQL, "op10_quality_rules": QUALITY_RULES_SQL}
