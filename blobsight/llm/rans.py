@@ -1,13 +1,15 @@
 """Token ids in a binary format: a static range asymmetric numeral system (rANS).
 
 A file is a row of a Parquet table in the shared folder: a run of whole documents in order, with their ids coded in
-independent blocks. All files use one frequency table, made from the counts of all ids. A block's ids are dealt over
+independent blocks. All files use one frequency table, made from the counts of all ids; where there are more different ids
+than it has room for, the rare ones share one place in it and follow the blocks as they are. A block's ids are dealt over
 interleaved lanes, each a 32-bit rANS state that sheds 16-bit words; states at fixed steps are kept as checkpoints, so
 that blocks and the segments between checkpoints are decoded side by side. Each block has a checksum of its ids.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -19,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from blobsight.llm.common import gather, partitions, range_bounds, slices, words_of
+from blobsight.llm.common import gather, range_bounds, slices, words_of
 from blobsight.scratch import materialise, new_path
 
 #: The table's counts add up to 2^16; lanes of a block; steps of a lane; steps between checkpoints.
@@ -35,15 +37,21 @@ TOGETHER = 512
 PLAIN_END = r"[a-z0-9\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{012F}\x{0131}-\x{017E}]$"
 #: Punctuation that is cut off at the end of a word.
 CLOSING = ".,;:!?*#$%&|"
-MAGIC = b"BSR1"
-_U32 = np.uint64(0xFFFFFFFF)
+#: Words of these letters are one piece to the vocabulary's pattern, and its normaliser leaves them as they are.
+PLAIN_WORD = r"^[a-z\x{00DF}-\x{00F6}\x{00F8}-\x{00FF}]+$"
+MAGIC = b"BSR2"
+#: Ids that get a place of their own in the table at most.
+OWN = 3 << (SCALE - 2)
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
-    """Frequencies that add up to 2^16, at least 1 for each id that occurs."""
-    total, whole = int(counts.sum()), 1 << SCALE
+    """Frequencies that add up to 2^16, at least 1 for each id that occurs, and at the end that of the escape: all ids that
+    are beyond the ``OWN`` commonest."""
+    counts, whole = np.append(counts, 0).astype(np.int64), 1 << SCALE
     if (counts > 0).sum() > whole:
-        raise ValueError("more different ids than the table has room for")
+        rare = np.argsort(-counts, kind="stable")[OWN:]
+        counts[-1], counts[rare[rare < len(counts) - 1]] = counts[rare].sum(), 0
+    total = int(counts.sum())
     if not total:
         return np.zeros(len(counts), np.uint32)
     f = np.where(counts > 0, np.maximum(1, counts * whole // total), 0).astype(np.int64)
@@ -52,15 +60,18 @@ def quantise(counts: np.ndarray) -> np.ndarray:
             f[np.argmax(counts)] += rest
         else:  # what the rare ids took comes from those with most to spare
             order = np.argsort(-f, kind="stable")
-            spare = np.minimum(f[order] - 1, np.maximum(1, f[order] // 8))
+            spare = np.maximum(0, np.minimum(f[order] - 1, np.maximum(1, f[order] // 8)))
             take = np.minimum(spare, np.maximum(0, -rest - (np.cumsum(spare) - spare)))
             f[order] -= take
     return f.astype(np.uint32)
 
 
 def encode(ids: np.ndarray, freq: np.ndarray) -> bytes:
-    """Blocks of ``ids``: header, then the block table, states of all segments, words of all blocks."""
-    n = len(ids)
+    """Blocks of ``ids``: header, then the block table, states of all segments, words of all blocks, and escaped ids."""
+    n, plain, escape = len(ids), ids, len(freq) - 1
+    own = np.minimum(ids, escape)
+    ids = np.where((freq[own] > 0) & (own < escape), own, escape)
+    escaped = plain[ids == escape]
     blocks = -(-n // BLOCK)
     starts = (np.cumsum(freq, dtype=np.uint64) - freq).astype(np.uint64)
     steps = STEPS if blocks > 1 else max(CHECK, -(-n // LANES // CHECK) * CHECK + (CHECK if -(-n // LANES) % CHECK else 0)) if n else 0
@@ -82,16 +93,16 @@ def encode(ids: np.ndarray, freq: np.ndarray) -> bytes:
         if t % CHECK == 0:
             states[:, t // CHECK] = x
     per = shed.reshape(blocks, -1, CHECK * LANES).sum(2, dtype=np.uint32) if steps else np.zeros((blocks, 0), np.uint32)
-    sums = [zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4").tobytes()) for i in range(blocks)]
-    return MAGIC + struct.pack("<QII", n, blocks, steps) + np.array(sums, "<u4").tobytes() + per.astype("<u4").tobytes() + states.astype("<u4").tobytes() + words[shed].astype("<u2").tobytes()
+    sums = [zlib.crc32(plain[i * BLOCK : (i + 1) * BLOCK].astype("<u4").tobytes()) for i in range(blocks)]
+    return MAGIC + struct.pack("<QIIQ", n, blocks, steps, len(escaped)) + np.array(sums, "<u4").tobytes() + per.astype("<u4").tobytes() + states.astype("<u4").tobytes() + words[shed].astype("<u2").tobytes() + escaped.astype("<u4").tobytes()
 
 
 def decode(data: bytes, freq: np.ndarray) -> np.ndarray:
     """The ids (uint32) of ``encode``; ValueError where a checksum fails."""
     if data[:4] != MAGIC:
         raise ValueError("not a file of this format")
-    n, blocks, steps = struct.unpack_from("<QII", data, 4)
-    at = 20
+    n, blocks, steps, n_escaped = struct.unpack_from("<QIIQ", data, 4)
+    at = 28
 
     def take(count: int, kind: str) -> np.ndarray:
         nonlocal at
@@ -103,6 +114,7 @@ def decode(data: bytes, freq: np.ndarray) -> np.ndarray:
     sums, per = take(blocks, "<u4"), take(segments, "<u4").astype(np.int64)
     x = take(segments * LANES, "<u4").astype(np.uint64).reshape(segments, LANES)
     words = np.append(take(int(per.sum()), "<u2"), 0).astype(np.uint64)
+    escaped = take(n_escaped, "<u4")
     used = np.flatnonzero(freq)
     slot_id = np.repeat(used, freq[used])
     f64, starts = freq.astype(np.uint64), (np.cumsum(freq, dtype=np.uint64) - freq).astype(np.uint64)
@@ -119,27 +131,66 @@ def decode(data: bytes, freq: np.ndarray) -> np.ndarray:
         x = np.where(need, (x << np.uint64(16)) | word, x)
         at_word = at_word + upto[:, -1]
     ids = out.reshape(-1)[:n]
+    at_escape = np.flatnonzero(ids == len(freq) - 1)
+    if len(at_escape) != n_escaped:
+        raise ValueError("escaped ids are missing")
+    ids[at_escape] = escaped
     for i in range(blocks):
         if zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4").tobytes()) != sums[i]:
             raise ValueError(f"checksum of block {i}")
     return ids
 
 
+# What a vocabulary that drops case and white space and ends words by a suffix says of itself.
+NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITS = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def by_words(spec: dict) -> bool:
+    """Whether the ids of a text are those of its words one after another, as ``WordIds`` needs it, by the vocabulary's own
+    description: the normaliser and pattern are those above, words end by a suffix, and added tokens are found as
+    written, hold no white space, and take none beside them."""
+    model = spec["model"]
+    return bool(
+        (spec.get("normalizer") or {}).get("normalizers") == NORMALISERS
+        and (spec.get("pre_tokenizer") or {}).get("pretokenizers") == SPLITS
+        and model["type"] == "BPE"
+        and model.get("end_of_word_suffix")
+        and not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("unk_token") or spec.get("truncation") or spec.get("padding"))
+        and all(t["content"].isascii() and len(t["content"].split()) == 1 and t["content"].split()[0] == t["content"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec["added_tokens"])
+    )
+
+
 class WordIds:
-    """Ids of white-space-delimited words by the tokenizers library, each different word encoded once.
+    """Ids of texts by the tokenizers library.
 
-    The vocabulary's pattern never crosses white space, and it cuts between a plain letter or digit and ASCII punctuation
-    after it, so the ids of a text are those of its words one after another, and those of a word the ids of what comes before
-    its last punctuation and of that punctuation. Case is dropped by the vocabulary itself.
+    Where ``by_words`` says so, each different word is encoded once: the vocabulary's pattern never crosses white space,
+    and it cuts between a plain letter or digit and ASCII punctuation after it, so the ids of a text are those of its words
+    one after another, and those of a word the ids of what comes before its last punctuation and of that punctuation.
+    Case is dropped by the vocabulary itself, but for words that may hold an added token. Words of plain letters need
+    neither the normaliser nor the pattern, so they go to the model alone. Any other vocabulary encodes whole texts.
     """
 
     def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
-        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.isascii() and not t.content.isspace()]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.words = by_words(spec)
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        special = [(t["content"], t["id"]) for t in spec["added_tokens"] if t["special"]]
         self.mark = min(special, key=lambda x: x[1]) if special else None
+        if self.words:
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
+            self.last[[i for t, i in spec["model"]["vocab"].items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.clear()
 
@@ -173,8 +224,24 @@ class WordIds:
             size = sizes
         return flat, size
 
-    def add(self, words: list[str]) -> None:
-        flat, size = self.encode_words(words)
+    def encode_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of plain letters. Each is one piece, whose last id alone ends a word."""
+        texts = [" ".join(words[a : a + TOGETHER]) for a in range(0, len(words), TOGETHER)]
+        found = [np.array(x.ids, np.uint32) for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
+        size = np.diff(np.flatnonzero(self.last[flat]), prepend=-1)
+        return (flat, size) if len(size) == len(words) else self.encode_words(words)
+
+    def add(self, words: pa.Array) -> None:
+        plain = np.asarray(pc.match_substring_regex(words, PLAIN_WORD))
+        parts = [f(words.filter(pa.array(kind)).to_pylist()) for f, kind in ((self.encode_plain, plain), (self.encode_words, ~plain)) if kind.any()]
+        flat, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if plain.any() and not plain.all():
+            start = np.zeros(len(words), np.int64)
+            order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+            start[order] = np.cumsum(size) - size
+            size = size[np.argsort(order)]
+            flat = gather(flat, start, size)
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
 
@@ -186,7 +253,7 @@ class WordIds:
         if unknown.any():
             new = units.filter(pa.array(unknown)).dictionary_encode()
             out[unknown] = len(self.size) + np.asarray(new.indices)
-            self.add(new.dictionary.to_pylist())
+            self.add(new.dictionary)
             self.units = pa.concat_arrays([self.units, new.dictionary])
         return out
 
@@ -195,18 +262,25 @@ class WordIds:
         new = [x for x in closings.dictionary.to_pylist() if x not in self.closings]
         if new:
             self.closings.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
-            self.add(new)
+            self.add(pa.array(new, pa.string()))
             self.units = pa.concat_arrays([self.units, pa.nulls(len(new), pa.string())])
         return np.array([self.closings[x] for x in closings.dictionary.to_pylist()], np.int64)[np.asarray(closings.indices)]
 
     def documents(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all ``texts``, the end id after each, and where each text's ids end."""
+        if not self.words:
+            found = [np.array([*x.ids, self.end], np.uint32) for x in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *found]), np.cumsum([len(x) for x in found], dtype=np.int64)
         if len(self.units) > MOST_WORDS:
             self.clear()
-        found, doc = words_of(pc.ascii_lower(texts))
+        found, doc = words_of(texts)
         coded = found.dictionary_encode()
         words = coded.dictionary
-        stems = pc.ascii_rtrim(words, CLOSING)
+        as_written = pa.array(np.zeros(len(words), bool))
+        for token in self.added:  # found by their own case alone
+            as_written = pc.or_(as_written, pc.match_substring(words, token, ignore_case=True))
+        words = pc.if_else(as_written, words, pc.ascii_lower(words))
+        stems = pc.if_else(as_written, words, pc.ascii_rtrim(words, CLOSING))
         cut = pc.and_(pc.match_substring_regex(stems, PLAIN_END), pc.less(pc.binary_length(stems), pc.binary_length(words)))
         last = pc.replace_substring_regex(words, r"(?s)^.*[\p{L}\p{N}]", "")
         parts = np.stack([self.learn(pc.if_else(cut, stems, words)), self.learn_closings(pc.if_else(cut, last, "").dictionary_encode())], 1).ravel()
@@ -220,40 +294,40 @@ class WordIds:
         return gather(own, start[codes], size[codes]), upto[ends + np.arange(len(ends))]
 
 
-def _counted(kind: str):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for ids in batch.column("ids"):
-                found = np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=len(total))
-                found[: len(total)] += total
-                total = found
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"id": pa.array(used, pa.int64()), "n": pa.array(total[used], pa.int64())})
-
-    return count
-
-
-def frequencies(ids: DataFrame, kind: str) -> np.ndarray:
-    """The shared table, from the counts of all ids of all documents: at most one row for each id of the vocabulary reaches the driver."""
-    rows = ids.select("ids").mapInArrow(_counted(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+def frequencies(tokenised: DataFrame) -> np.ndarray:
+    """The shared table, from the counts of all ids of all documents, which each task of ``_tokenised`` leaves in a row of its
+    own: at most one row for each id of the vocabulary reaches the driver."""
+    rows = tokenised.where("part < 0").select(F.explode(F.arrays_zip("used", "times")).alias("x"))
+    rows = rows.groupBy(F.col("x.used").alias("id")).agg(F.sum("x.times").alias("n")).collect()
     counts = np.zeros(max([0, *(r["id"] for r in rows)]) + 1, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
     return quantise(counts)
 
 
+#: A row a document; and one a task, part -1, with the ids it met and how often.
+TOKENISED = "doc_id long, part int, ids binary, used array<long>, times array<long>"
+
+
 def _tokenised(path: str, end: int, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordIds(path, end)
+        encoder, total = WordIds(path, end), np.zeros(1, np.int64)
         for batch in slices(batches, "text", 8 << 20):
             ids, ends = encoder.documents(batch.column("text"))
+            found = np.bincount(ids, minlength=len(total))
+            found[: len(total)] += total
+            total = found
             raw = ids.astype(encoder.kind)
             offsets = np.concatenate([[0], ends]) * raw.itemsize
             key = pc_fill(batch.column("doc_id"))
             column = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.searchsorted(bounds, key, "left").astype(np.int32)), column], ["doc_id", "part", "ids"])
+            none = pa.nulls(len(ends), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.searchsorted(bounds, key, "left").astype(np.int32)), column, none, none], names)
+        used = np.flatnonzero(total)
+        lists = [pa.array([x], pa.list_(pa.int64())) for x in (used, total[used])]
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int32()), pa.nulls(1, pa.binary()), *lists], names)
 
+    names = [x.split()[0] for x in TOKENISED.split(", ")]
     return run
 
 
@@ -300,19 +374,19 @@ def write(docs: DataFrame, vocabulary: str, end: int = 1, path: str | None = Non
     """Encode ``docs`` (doc_id, text; others are left out) in ascending doc_id order (null first) and write the files.
 
     Returns the folder and the frequency table (also written, beside the files). Documents are dealt out by ranges of
-    doc_id, so that each task writes a run of the order; texts are tokenised once, into a table of ids, from which the
-    frequencies are counted and which alone is shuffled.
+    doc_id, so that each task writes a run of the order; texts are tokenised once, into a table of ids, which alone is
+    shuffled; ids are counted on the way. Without ``path`` the files last as long as the application.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "ids")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     kind = WordIds(vocabulary, end).kind
-    ranges = partitions(docs, -(-docs.count() // 50_000))
-    bounds = np.array(range_bounds(docs.select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("k")), "k", ranges), np.int64)
-    rows = materialise(docs.mapInArrow(_tokenised(vocabulary, end, bounds), "doc_id long, part int, ids binary"), "tokenised")
-    freq = frequencies(rows, kind)
-    spark.createDataFrame([(i, int(f)) for i, f in enumerate(freq.tolist()) if f], "id int, freq int").coalesce(1).write.parquet(f"{path}/table")
-    rows = rows.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
+    bounds = np.array(range_bounds(docs.select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("k")), "k", docs.count(), 50_000), np.int64)
+    rows = materialise(docs.mapInArrow(_tokenised(vocabulary, end, bounds), TOKENISED), "tokenised")
+    freq = frequencies(rows)
+    last = len(freq) - 1
+    spark.createDataFrame([(i, int(f)) for i, f in enumerate(freq.tolist()) if f or i == last], "id int, freq int").coalesce(1).write.parquet(f"{path}/table")
+    rows = rows.where("part >= 0").select("doc_id", "part", "ids").repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
     rows.mapInArrow(_written(freq, kind), FILE).write.option("compression", "none").parquet(f"{path}/files")
     return path, freq
 
@@ -343,7 +417,7 @@ def _read(freq: np.ndarray, keep_ids: bool):
 
 def table(spark: SparkSession, path: str) -> np.ndarray:
     rows = spark.read.parquet(f"{path}/table").collect()
-    freq = np.zeros(max([0, *(r["id"] for r in rows)]) + 1, np.uint32)
+    freq = np.zeros(max([0, *(r["id"] for r in rows)]) + 1, np.uint32)  # the last is the escape's
     for r in rows:
         freq[r["id"]] = r["freq"]
     return freq
