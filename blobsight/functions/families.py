@@ -83,6 +83,12 @@ def valid_match(name: Column, via: Column, score: Column, rationale: Column) ->
     return F.coalesce((exact | similar) & (rationale.isNull() | needs_rationale(name)) & (name != TIERS[0]), F.lit(False))
 
 
+def checked_thresholds(rows: DataFrame) -> DataFrame:
+    """``rows`` (high, possible, low); an error where they are not in order within [0, 1], rather than tiers that mean nothing."""
+    good = F.coalesce((F.col("low") >= 0) & (F.col("low") <= F.col("possible")) & (F.col("possible") <= F.col("high")) & (F.col("high") <= 1), F.lit(False))
+    return rows.withColumn("high", F.when(good, F.col("high")).otherwise(F.raise_error(F.lit("thresholds must satisfy 0 <= low <= possible <= high <= 1")).cast("double")))
+
+
 def fp_rate(confirmed: Column, false_positive: Column) -> Column:
     """Share of false positives among decided verdicts; 0 without any."""
     return F.coalesce(F.try_divide(false_positive.cast("double"), (confirmed + false_positive).cast("double")), F.lit(0.0))

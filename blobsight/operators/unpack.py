@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
+import lzma
 import posixpath
+import stat
 import tarfile
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from blobsight.scratch import materialise
+
 MOST_DEPTH, MOST_RATIO = 8, 100
 ENTRY = "job_id string, sub_blob_id string, parent_blob_id string, name string, depth int, size long, content binary, layer string"
 OUTPUT = "decompressed.bin"
@@ -25,13 +31,13 @@ class Unsafe(Exception):
 def inside(name: str) -> str:
     """The entry's normalised path; Unsafe if it is absolute or leaves the container."""
     path = posixpath.normpath(name.replace("\\", "/"))
-    if path.startswith(("/", "..")) or path[1:2] == ":":
+    if path.startswith("/") or path.split("/")[0] == ".." or path[1:2] == ":":
         raise Unsafe("zip_slip")
     return path
 
 
 def check_link(at: str, target: str) -> None:
-    if posixpath.isabs(target) or posixpath.normpath(posixpath.join(posixpath.dirname(at), target)).startswith(".."):
+    if posixpath.isabs(target) or posixpath.normpath(posixpath.join(posixpath.dirname(at), target)).split("/")[0] == "..":
         raise Unsafe("symlink")
 
 
@@ -49,7 +55,11 @@ def entries(data: bytes) -> list[tuple[str, bytes]]:
             infos = [i for i in z.infolist() if not i.is_dir()]
             names = [inside(i.filename) for i in infos]
             check_ratio(len(data), sum(i.file_size for i in infos))
-            return [(n, z.read(i)) for n, i in zip(names, infos, strict=True)]
+            links = [stat.S_ISLNK(i.external_attr >> 16 & 0xFFFF) for i in infos]
+            for i, link in zip(infos, links, strict=True):
+                if link:
+                    check_link(i.filename, z.read(i).decode(errors="replace"))
+            return [(n, z.read(i)) for n, i, link in zip(names, infos, links, strict=True) if not link]
     try:
         with tarfile.open(fileobj=io.BytesIO(data)) as t:
             members = t.getmembers()
@@ -57,26 +67,31 @@ def entries(data: bytes) -> list[tuple[str, bytes]]:
                 inside(m.name)
                 if m.issym() or m.islnk():
                     check_link(m.name, m.linkname)
-            check_ratio(len(data), sum(m.size for m in members))
+            check_ratio(len(data), sum(m.size for m in members if m.isreg()))
             return [(inside(m.name), t.extractfile(m).read()) for m in members if m.isreg()]
-    except tarfile.TarError:
-        pass
+    except (tarfile.TarError, zlib.error, lzma.LZMAError, EOFError, OSError):
+        pass  # no tar, or none that can be read; a gzip is tried as such
     if data[:2] == b"\x1f\x8b":
         out = bytearray()
-        try:
-            with gzip.open(io.BytesIO(data)) as g:
-                while part := g.read(1 << 20):
-                    out += part
-                    check_ratio(len(data), len(out))
-        except (OSError, EOFError):
-            return []
+        with gzip.open(io.BytesIO(data)) as g:
+            while part := g.read(1 << 20):
+                out += part
+                check_ratio(len(data), len(out))
         return [(OUTPUT, bytes(out))]
     return []
 
 
-def walk(job: str, path: str, data: bytes, digest) -> list[tuple]:
+#: What the readers above raise for a container that is cut short, damaged, locked or packed in a way they don't know.
+DAMAGED = (zipfile.BadZipFile, tarfile.TarError, zlib.error, lzma.LZMAError, EOFError, OSError, RuntimeError, ValueError)
+
+#: Takes a blob's bytes and gives its members, or none where it isn't its kind of container: for formats that need a tool of
+#: their own. Tried in order, after the containers above.
+Extractor = Callable[[bytes], "list[tuple[str, bytes]]"]
+
+
+def walk(job: str, path: str, data: bytes, digest, extractors: tuple[Extractor, ...] = ()) -> list[tuple]:
     """Leaves of a blob by depth-first order; ids are derived from the job and the path within, so reruns agree. A job that
-    trips a defence has one row with its layer in place of all its leaves."""
+    trips a defence, or holds a damaged container, has one row with its layer in place of all its leaves."""
     out: list[tuple] = []
     made = 0
 
@@ -86,6 +101,8 @@ def walk(job: str, path: str, data: bytes, digest) -> list[tuple]:
             raise Unsafe("recursion_depth")
         own = digest(f"{job}\n{trail}")
         children = entries(data)
+        for more in extractors:
+            children = children or [(inside(n), x) for n, x in more(data)]
         for name, body in children:
             made += len(body)
             check_ratio(len(root), made)
@@ -96,37 +113,37 @@ def walk(job: str, path: str, data: bytes, digest) -> list[tuple]:
     root = data
     try:
         step(data, path, None, 0)
-    except (Unsafe, zipfile.BadZipFile, RuntimeError) as e:
+    except (Unsafe, *DAMAGED) as e:
         layer = e.args[0] if isinstance(e, Unsafe) else "bad_container"
         return [(job, None, None, path, None, None, None, layer)]
     return out
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
-
+def _unpacked(batches: Iterator[pa.RecordBatch], extractors: tuple[Extractor, ...] = ()) -> Iterator[pa.RecordBatch]:
     digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
     kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.string()]
     names = [x.split()[0] for x in ENTRY.split(", ")]
     for batch in batches:
         for row in batch.to_pylist():  # a blob at a time: its leaves are as much as a task holds
-            leaves = walk(row["job_id"] or "", row["path"] or "", row["content"] or b"", digest)
+            leaves = walk(row["job_id"] or "", row["path"] or "", row["content"] or b"", digest, extractors)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*leaves, strict=True), kinds, strict=True)], names)
 
 
-def unpack(blobs: DataFrame) -> DataFrame:
+def unpack(blobs: DataFrame, extractors: tuple[Extractor, ...] = ()) -> DataFrame:
     """Leaves (layer null) and rejected jobs (layer set) of ``blobs`` (job_id, path, content)."""
-    return blobs.select("job_id", "path", "content").mapInArrow(_unpacked, ENTRY)
+    return blobs.select("job_id", "path", "content").mapInArrow(lambda batches: _unpacked(batches, extractors), ENTRY)
 
 
 def lineage(edges: DataFrame, most: int = MOST_DEPTH) -> DataFrame:
     """(id, root, depth) by following parents, ``edges`` (id, parent; null at a root). A node deeper than ``most`` keeps
     depth null: its job is turned away."""
-    found = edges.where("parent is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"))
-    level = found
-    for d in range(1, most + 1):
+    edges = materialise(edges.select("id", "parent"), "edges")
+    found = level = materialise(edges.where("parent is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth")), "level")
+    for d in range(1, most + 1):  # each level is written, so that the next one's plan is a single join
         up = level.select(F.col("id").alias("parent"), "root")
-        level = edges.join(up, "parent").select("id", "root", F.lit(d).alias("depth"))
+        level = materialise(edges.join(up, "parent").select("id", "root", F.lit(d).alias("depth")), "level")
+        if level.isEmpty():
+            break
         found = found.unionAll(level)
     return edges.select("id").join(found, "id", "left")
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blobsight.functions import binary, text
-from blobsight.operators import similarity, static_analysis, triage, unpack
+from blobsight.operators import embedding, similarity, static_analysis, triage, unpack
 from blobsight.plans.registry import Tables, query
 from blobsight.sources.events import sha256_ok
 
@@ -104,15 +104,9 @@ def tokenize(t: Tables) -> DataFrame:
 BUCKETS_SQL = f"tok AS (SELECT doc_id, unnest({TOKENS_SQL}) AS w FROM documents), buckets AS (SELECT doc_id, (('0x' || sha256(w)[1:8])::UBIGINT % 384)::INT AS bucket, count(*) AS n FROM tok GROUP BY ALL)"
 
 
-def hashed(rows: DataFrame, key: str) -> DataFrame:
-    """(id, bucket, n): a sparse vector of each text. Equal words are counted together before they are hashed."""
-    words = rows.select(F.col(key).alias("id"), F.explode(text.embedding_tokens(F.col("text"))).alias("w")).groupBy("id", "w").agg(F.count("*").alias("n"))
-    return words.groupBy("id", text.bucket(F.col("w")).alias("bucket")).agg(F.sum("n").alias("n"))
-
-
 @query(f"WITH {BUCKETS_SQL} SELECT doc_id, bucket, n FROM buckets")
 def hash_buckets(t: Tables) -> DataFrame:
-    return hashed(t.documents, "doc_id").select(F.col("id").alias("doc_id"), "bucket", "n")
+    return embedding.sparse(t.documents, "doc_id").select(F.col("id").alias("doc_id"), "bucket", "n")
 
 
 @query(rf"""WITH {BUCKETS_SQL}, btok AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}._-]+')) AS w FROM benchmark), bb AS (SELECT item_id, (('0x' || sha256(w)[1:8])::UBIGINT % 384)::INT AS bucket, count(*) AS n FROM btok GROUP BY ALL),
@@ -120,7 +114,7 @@ def hash_buckets(t: Tables) -> DataFrame:
  SELECT doc_id, item_id, round(d / (a * b), 6) AS score FROM (SELECT doc_id, item_id, sum(x.n::DOUBLE * y.n) AS d FROM buckets x JOIN bb y USING (bucket) GROUP BY ALL) JOIN na USING (doc_id) JOIN nb USING (item_id) WHERE d / (a * b) >= 0.3""")
 def sparse_cosine(t: Tables) -> DataFrame:
     """Documents against the reference texts, by hashed words."""
-    pairs = similarity.sparse_cosine(hashed(t.documents, "doc_id"), hashed(t.benchmark, "item_id"), 0.3)
+    pairs = similarity.sparse_cosine(embedding.sparse(t.documents, "doc_id"), embedding.sparse(t.benchmark, "item_id"), 0.3)
     return pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("item_id"), F.round("score", 6).alias("score"))
 
 
@@ -142,7 +136,7 @@ def wide_strings(t: Tables) -> DataFrame:
 
 @query("""SELECT doc_id, unnest(['busybox', 'curl', 'linux']) AS vendor, unnest(['busybox', 'libcurl', 'linux_kernel']) AS product, unnest(['1.' || (doc_id % 30) || '.0', '7.' || (doc_id % 70) || '.1', '4.' || (doc_id % 20) || '.9']) AS version FROM documents""")
 def version_banners(t: Tables) -> DataFrame:
-    s = F.concat(F.lit("BusyBox v1."), (F.col("doc_id") % 30).cast("string"), F.lit(".0 (2020) libcurl/7."), (F.col("doc_id") % 70).cast("string"), F.lit(".1 Linux version 4."), (F.col("doc_id") % 20).cast("string"), F.lit(".9"))
+    s = F.concat(F.coalesce("text", F.lit("")), F.lit(" BusyBox v1."), (F.col("doc_id") % 30).cast("string"), F.lit(".0 (2020) libcurl/7."), (F.col("doc_id") % 70).cast("string"), F.lit(".1 Linux version 4."), (F.col("doc_id") % 20).cast("string"), F.lit(".9"))
     return t.documents.select("doc_id", F.explode(text.banners(F.array(s, s))).alias("b")).select("doc_id", "b.vendor", "b.product", "b.version")
 
 
@@ -164,7 +158,9 @@ def shannon_entropy(t: Tables) -> DataFrame:
     return static_analysis.character_entropy(t.documents, "doc_id", "text").select("doc_id", F.round("entropy", 6).alias("entropy"))
 
 
-@query()
+@query("""WITH b AS (SELECT doc_id, hex(encode(text)) AS h FROM documents), s AS (SELECT doc_id, o, substr(h, 2 * o + 1, 131072) AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 65536)) AS o FROM b)),
+ n AS (SELECT doc_id, o, byte, count(*) AS k FROM (SELECT doc_id, o, substr(part, 2 * i + 1, 2) AS byte FROM (SELECT doc_id, o, part, unnest(range(length(part) // 2)) AS i FROM s)) GROUP BY ALL), e AS (SELECT doc_id, o, log2(sum(k)) - sum(k * log2(k)) / sum(k) AS e FROM n GROUP BY ALL)
+ SELECT doc_id, o AS "offset", round(abs(e), 4) AS entropy, e >= 7.2 AS flagged_packed FROM e""")
 def entropy_sections(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", F.explode(binary.entropy_sections(F.encode("text", "UTF-8"))).alias("s"))
     return rows.select("doc_id", "s.offset", "s.entropy", "s.flagged_packed")
@@ -187,7 +183,7 @@ def elf(pie: bool, nx: bool, relro: str, wide: bool = True) -> bytes:
     return head + table + struct.pack("<IIII", 0x6FFFFFFB, 1, 0, 0)
 
 
-@query()
+@query("""SELECT s_suppkey, k & 2 = 2 AS nx, k & 1 = 1 AS pie, ['none', 'partial', 'full'][k // 4 % 3 + 1] AS relro, s_suppkey % 2 = 0 AS canary FROM (SELECT s_suppkey, (s_suppkey % 24)::INT AS k FROM supplier)""")
 def hardening_flags(t: Tables) -> DataFrame:
     """Images with all flags, by supplier's key, and the analysis of each."""
     made = [(i, elf(bool(i & 1), bool(i & 2), ("none", "partial", "full")[i // 4 % 3], i < 12)) for i in range(24)]
@@ -234,10 +230,14 @@ def crafted_archives() -> list[tuple[str, bytes]]:
         ("link", tarred("w", ("a", a), link="/etc/passwd")),
         ("bomb", zipped(("zeros", b"\0" * (4 << 20)))),
         ("deep", nested),
+        ("broken", gzip.compress(a, mtime=0)[:20]),
     ]
 
 
-@query()
+@query("""WITH leaf AS (SELECT * FROM (VALUES (0, 'plain', 0, repeat('not a container, only text ', 4), NULL), (1, 'zip/a', 1, repeat('alpha', 30), NULL), (1, 'zip/b', 1, repeat('beta', 40), NULL), (1, 'zip/inner.zip/c', 2, repeat('alpha', 30), NULL),
+ (1, 'zip/inner.zip/d', 2, repeat('beta', 40), NULL), (2, 'tar/a', 1, repeat('alpha', 30), NULL), (2, 'tar/dir/b', 1, repeat('beta', 40), NULL), (3, 'tgz/a', 1, repeat('alpha', 30), NULL), (3, 'tgz/b', 1, repeat('beta', 40), NULL), (4, 'gzip/decompressed.bin', 1, repeat('alpha', 30), NULL),
+ (5, 'slip', NULL, NULL, 'zip_slip'), (6, 'link', NULL, NULL, 'symlink'), (7, 'bomb', NULL, NULL, 'decompression_ratio'), (8, 'deep', NULL, NULL, 'recursion_depth'), (9, 'broken', NULL, NULL, 'bad_container')) v(kind, name, depth, body, layer))
+ SELECT s_suppkey::VARCHAR AS job_id, name, depth, length(body) AS size, layer, sha256(body) AS sha256 FROM supplier JOIN leaf ON s_suppkey % 10 = kind""")
 def archive_entries(t: Tables) -> DataFrame:
     """Containers of all kinds, one for each supplier, unpacked."""
     made = crafted_archives()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blobsight.functions import cpe, families, text, vectors
-from blobsight.operators import corpus, matching, similarity
+from blobsight.operators import corpus, embedding, matching, similarity
 from blobsight.plans.registry import Tables, query
 from blobsight.sources.nvd import CVE
 
@@ -19,6 +19,8 @@ PART_FAMILIES = (
 # Thresholds of some families of vectors.
 LABEL_THRESHOLDS = ((0, 0.95, 0.8, 0.6), (1, 0.87, 0.67, 0.47), (2, 0.9, 0.5, 0.1))
 
+COUNTS = embedding.HashingEmbedder(unit=False)
+
 COMP = """comp AS (SELECT p_partkey, p_brand, lower(p_brand) AS vendor, split_part(p_name, ' ', 2) AS product,
  p_size || '.' || (p_partkey % 10) AS version, CASE WHEN split_part(p_name, ' ', 2) IN ('bolt', 'rod') THEN 'fasteners'
  WHEN split_part(p_name, ' ', 2) IN ('gear', 'ring') THEN 'rotary' WHEN split_part(p_name, ' ', 2) = 'plate' THEN 'sheet' END AS family, p_name FROM part)"""
@@ -26,7 +28,8 @@ DIM = """dim AS (SELECT * FROM (VALUES ('fasteners','brand#1','bolt'),('fastener
  ('rotary','brand#3','gear'),('rotary','brand#3','ring'),('sheet','brand#4','plate'),('sheet','brand#5','plate')) t(family, v, p))"""
 CANDIDATES = f"""{COMP}, {DIM}, cand AS (SELECT p_partkey, 'cpe:2.3:a:' || vendor || ':' || product || ':' || version || ':*:*:*:*:*:*:*' AS cpe_string FROM comp
  UNION SELECT p_partkey, 'cpe:2.3:a:' || v || ':' || p || ':' || version || ':*:*:*:*:*:*:*' FROM comp JOIN dim USING (family))"""
-RECORDS = "rec AS (SELECT DISTINCT 'CVE-' || (p_partkey % 500) AS cve_id, 'cpe:2.3:a:' || vendor || ':' || product || ':' || version || ':*:*:*:*:*:*:*' AS cpe_string, family, p_name FROM comp WHERE family IS NOT NULL AND p_partkey % 3 = 0)"
+RECORDS = """rec AS (SELECT DISTINCT 'CVE-' || p_partkey // 4 AS cve_id, 'cpe:2.3:a:' || vendor || ':' || product || ':' || v || ':*:*:*:*:*:*:*' AS cpe_string, family, p_name, vendor || ' ' || product || ' ' || v || ': ' || p_name AS text
+ FROM (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN version ELSE '9' || version END AS v FROM comp) WHERE family IS NOT NULL)"""
 SCORE = "least(1.0::DOUBLE, abs(embedding[1]::DOUBLE) * 4)"
 TIERED = f"""tiered AS (SELECT vec_id, label, {SCORE} AS s, CASE WHEN {SCORE} >= 0.9 THEN 'HIGH_CONFIDENCE' WHEN {SCORE} >= 0.7 THEN 'POSSIBLE'
  WHEN {SCORE} >= 0.5 THEN 'LOW_CONFIDENCE' ELSE 'NO_MATCH' END AS tier FROM embeddings)"""
@@ -41,10 +44,12 @@ def components(t: Tables) -> DataFrame:
 
 
 def feed(t: Tables, rows: DataFrame) -> DataFrame:
-    """Parts as records of a vulnerability feed, by way of its JSON."""
-    name = cpe.build(F.col("c.vendor"), F.col("c.product"), F.col("c.version"))
+    """Parts as records of a vulnerability feed, by way of its JSON; two thirds of them are listed with another version, so that
+    their components have no exact hit."""
+    version = F.when(F.col("p_partkey") % 3 == 0, F.col("c.version")).otherwise(F.concat(F.lit("9"), F.col("c.version")))
+    name = cpe.build(F.col("c.vendor"), F.col("c.product"), version)
     cve = F.struct(
-        F.concat(F.lit("CVE-"), (F.col("p_partkey") % 500).cast("string")).alias("id"),
+        F.concat(F.lit("CVE-"), F.floor(F.col("p_partkey") / 4).cast("string")).alias("id"),
         F.array(F.struct(F.lit("fr").alias("lang"), F.lit("x").alias("value")), F.struct(F.lit("en").alias("lang"), F.col("p_name").alias("value"))).alias("descriptions"),
         F.array(F.struct(F.array(F.struct(F.lit("OR").alias("operator"), F.array(F.struct(F.lit(True).alias("vulnerable"), name.alias("criteria"))).alias("cpeMatch"))).alias("nodes"))).alias("configurations"),
     )
@@ -52,7 +57,7 @@ def feed(t: Tables, rows: DataFrame) -> DataFrame:
 
 
 def part_records(t: Tables) -> DataFrame:
-    return corpus.records(feed(t, components(t).where(F.col("p_partkey") % 3 == 0)), PART_FAMILIES)
+    return corpus.records(feed(t, components(t)), PART_FAMILIES)
 
 
 def scored(t: Tables) -> DataFrame:
@@ -70,10 +75,11 @@ def corpus_upsert_latest(t: Tables) -> DataFrame:
     return corpus.latest(t.events, ["user_id", "event_type"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_type", "event_id", "value")
 
 
-@query("SELECT k, max(v) AS v FROM (SELECT event_id % 1000 AS k, 0 AS v FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id % 1500, 1 FROM events WHERE event_id % 3 = 0) GROUP BY k")
+@query("SELECT event_id AS k, CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END AS v FROM events WHERE event_type IN ('view', 'click', 'purchase')")
 def upsert_replaces(t: Tables) -> DataFrame:
-    side = lambda m, d, v: t.events.where(F.col("event_id") % d == 0).select((F.col("event_id") % m).alias("k"), F.lit(v).alias("v")).distinct()
-    return corpus.upsert(side(1000, 2, 0), side(1500, 3, 1), ("k",))
+    """Views and clicks, with clicks and purchases in their place."""
+    side = lambda v, *kinds: t.events.where(F.col("event_type").isin(*kinds)).select(F.col("event_id").alias("k"), F.lit(v).alias("v"))
+    return corpus.upsert(side(0, "view", "click"), side(1, "click", "purchase"), ("k",))
 
 
 @query("SELECT event_id, ts FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-12 12:00:00'")
@@ -117,22 +123,28 @@ def extract_version(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", cpe.extract_version(F.col("text"), F.lit(None).cast("string")).alias("version"))
 
 
-def line_candidates(t: Tables) -> DataFrame:
-    """(sub_blob_id, seq, cpes, vec) of the components of all sub-blobs; a component counts once a sub-blob."""
-    cands = components(t).select(F.col("p_partkey").alias("seq"), cpe.candidates(F.col("c"), PART_FAMILIES).alias("cpes"), F.col("c.family").alias("family"))
-    lines = t.lineitem.select(F.col("l_orderkey").alias("sub_blob_id"), F.col("l_partkey").alias("seq")).distinct()
-    return lines.join(cands, "seq")
+def lines(t: Tables) -> DataFrame:
+    """(sub_blob_id, seq): a component counts once a sub-blob."""
+    return t.lineitem.select(F.col("l_orderkey").alias("sub_blob_id"), F.col("l_partkey").alias("seq")).distinct()
+
+
+def candidates(t: Tables) -> DataFrame:
+    """(sub_blob_id, seq, cpes, family, v) of each component, whatever sub-blobs hold it. Counts of words in place of vectors of
+    length 1 make every cosine exact, so equal ones are equal in SQL too."""
+    v = embedding.embedded(F.col("c.raw_text"), COUNTS)
+    return components(t).select(F.lit("").alias("sub_blob_id"), F.col("p_partkey").alias("seq"), cpe.candidates(F.col("c"), PART_FAMILIES).alias("cpes"), F.col("c.family").alias("family"), v.alias("v"))
 
 
 @query(f"WITH {CANDIDATES}, {RECORDS}, lines AS (SELECT DISTINCT l_orderkey AS sub_blob_id, l_partkey AS p_partkey FROM lineitem) SELECT sub_blob_id, p_partkey AS seq, cve_id FROM (SELECT DISTINCT p_partkey, cve_id FROM cand JOIN rec USING (cpe_string)) JOIN lines USING (p_partkey)")
 def exact_cpe_join(t: Tables) -> DataFrame:
-    return matching.exact_matches(line_candidates(t), part_records(t)).select("sub_blob_id", "seq", "cve_id").distinct()
+    hits = matching.exact_matches(candidates(t), part_records(t)).select("seq", "cve_id").distinct()
+    return lines(t).join(hits, "seq").select("sub_blob_id", "seq", "cve_id")
 
 
 @query(f"WITH {CANDIDATES}, {RECORDS} SELECT DISTINCT l_orderkey AS sub_blob_id, l_partkey AS seq FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey NOT IN (SELECT p_partkey FROM cand JOIN rec USING (cpe_string))")
 def fallback_anti(t: Tables) -> DataFrame:
-    c = line_candidates(t)
-    return matching.unmatched(c, matching.exact_matches(c, part_records(t))).select("sub_blob_id", "seq")
+    c = candidates(t)
+    return lines(t).join(matching.unmatched(c, matching.exact_matches(c, part_records(t))).select("seq"), "seq").select("sub_blob_id", "seq")
 
 
 def _knn_sql(scoped: bool) -> str:
@@ -198,19 +210,34 @@ def match_invariants(t: Tables) -> DataFrame:
     return scored(t).select("vec_id", families.valid_match(tier, via, score, why).alias("valid"), families.needs_rationale(tier).alias("needs_rationale"))
 
 
-@query(f"""WITH {CANDIDATES}, {RECORDS}, {TIERED}, lines AS (SELECT DISTINCT l_orderkey AS sub_blob_id, l_partkey AS seq FROM lineitem JOIN part ON l_partkey = p_partkey), hits AS (SELECT DISTINCT p_partkey AS seq, cve_id FROM cand JOIN rec USING (cpe_string)),
- ex AS (SELECT sub_blob_id, seq, cve_id, 'CONFIRMED' AS tier, NULL::DOUBLE AS s FROM lines JOIN hits USING (seq)),
- fz AS (SELECT sub_blob_id, seq, 'VEC-' || vec_id AS cve_id, tier, s FROM lines JOIN tiered ON seq % 500 = vec_id WHERE tier <> 'NO_MATCH' AND seq NOT IN (SELECT seq FROM hits))
- SELECT sub_blob_id, cve_id, tier AS confidence_tier, round(s, 4) AS similarity_score FROM (SELECT * FROM ex UNION ALL SELECT * FROM fz) QUALIFY row_number() OVER (PARTITION BY sub_blob_id, cve_id ORDER BY {RANK} DESC, coalesce(s, 0) DESC, seq) = 1""")
+def _buckets(name: str, keys: str, text: str, source: str) -> str:
+    """Counts of hashed words, and their length, of a text in SQL."""
+    return rf"""{name} AS (SELECT {keys}, (('0x' || sha256(w)[1:8])::UBIGINT % 384)::INT AS bucket, count(*) AS n FROM (SELECT {keys}, unnest(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}._-]+')) AS w FROM {source}) GROUP BY ALL),
+ {name}_n AS (SELECT {keys}, sqrt(sum(n::DOUBLE * n)) AS len FROM {name} GROUP BY ALL)"""
+
+
+NEAREST = f"""{_buckets("cb", "p_partkey", "p_brand || ' ' || product || ' ' || version", "comp")}, {_buckets("rb", "cve_id, cpe_string", "text", "rec")},
+ near AS (SELECT p_partkey, cve_id, cpe_string, d / (cb_n.len * rb_n.len) AS s FROM (SELECT p_partkey, cve_id, cpe_string, sum(cb.n::DOUBLE * rb.n) AS d FROM cb JOIN rb USING (bucket) WHERE p_partkey NOT IN (SELECT seq FROM hits) GROUP BY ALL) JOIN cb_n USING (p_partkey) JOIN rb_n USING (cve_id, cpe_string)
+ QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY least(1, s) DESC, cve_id, cpe_string) <= 5),
+ fz AS (SELECT p_partkey AS seq, cve_id, CASE WHEN s >= 0.9 THEN 'HIGH_CONFIDENCE' WHEN s >= 0.7 THEN 'POSSIBLE' ELSE 'LOW_CONFIDENCE' END AS tier, round(least(1, s), 4) AS s FROM near WHERE s >= 0.5)"""
+
+
+@query(f"""WITH {CANDIDATES}, {RECORDS}, lines AS (SELECT DISTINCT l_orderkey AS sub_blob_id, l_partkey AS seq FROM lineitem), hits AS (SELECT DISTINCT p_partkey AS seq, cve_id FROM cand JOIN rec USING (cpe_string)), {NEAREST},
+ found AS (SELECT seq, cve_id, 'CONFIRMED' AS tier, NULL::DOUBLE AS s FROM hits UNION ALL SELECT * FROM fz)
+ SELECT sub_blob_id, cve_id, tier AS confidence_tier, s AS similarity_score FROM lines JOIN found USING (seq) QUALIFY row_number() OVER (PARTITION BY sub_blob_id, cve_id ORDER BY {RANK} DESC, coalesce(s, 0) DESC, seq) = 1""")
 def match_end_to_end(t: Tables) -> DataFrame:
-    """The flagship: exact hits of each component; those without one take the score of a vector; the best of each CVE."""
-    cands = line_candidates(t)
-    exact = matching.exact_matches(cands, part_records(t))
-    rest = matching.unmatched(cands, exact).withColumn("vec_id", F.col("seq") % 500)
-    near = scored(t).where("tier <> 'NO_MATCH'").select("vec_id", F.concat(F.lit("VEC-"), F.col("vec_id").cast("string")).alias("cve_id"), F.col("tier").alias("confidence_tier"), F.col("s").alias("similarity_score"), F.lit("embedding_similarity").alias("matched_via"))
-    similar = rest.join(near, "vec_id").select(*matching.MATCH)
-    found = matching.best_per_cve(exact.select(*matching.MATCH).unionByName(similar))
-    return found.select("sub_blob_id", "cve_id", "confidence_tier", F.round("similarity_score", 4).alias("similarity_score"))
+    """The flagship: exact hits of each component; for those without one the five nearest records by their texts' hashed words; the
+    best of each CVE in each sub-blob."""
+    records = corpus.with_embeddings(part_records(t), COUNTS)
+    found = matching.match_lines(lines(t), candidates(t).drop("sub_blob_id"), records)
+    return found.select("sub_blob_id", "cve_id", "confidence_tier", "similarity_score")
+
+
+@query(f"WITH {_buckets('b', 'p_partkey', 'p_name', 'part')} SELECT p_partkey, bucket, round((n / len)::FLOAT::DOUBLE, 6) AS value FROM b JOIN b_n USING (p_partkey)")
+def hash_embedding(t: Tables) -> DataFrame:
+    """Dense vectors of length 1, by their numbers above zero."""
+    v = t.part.select("p_partkey", F.posexplode(embedding.embedded(F.col("p_name"))).alias("bucket", "x"))
+    return v.where("x > 0").select("p_partkey", "bucket", F.round(F.col("x").cast("double"), 6).alias("value"))
 
 
 @query("SELECT DISTINCT l_orderkey AS source_sub_blob_id, p_brand AS vendor, split_part(p_name, ' ', 2) AS product, p_size::VARCHAR AS version FROM lineitem JOIN part ON l_partkey = p_partkey")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blobsight.functions import families
-from blobsight.operators import corpus, feedback, rag, report
+from blobsight.operators import corpus, embedding, feedback, rag, report
 from blobsight.plans.registry import Tables, query
 from blobsight.sources import events as contracts
 from blobsight.sources import stores
@@ -18,6 +18,12 @@ TOPIC_SQL = "CASE event_type WHEN 'signup' THEN 'extracted' WHEN 'view' THEN 'an
 CONTRACT_SQL = "CASE event_type WHEN 'signup' THEN 'firmware.uploaded' WHEN 'view' THEN 'firmware.extracted' WHEN 'click' THEN 'firmware.matched' WHEN 'purchase' THEN 'firmware.analyzed' ELSE 'firmware.dlq' END"
 
 
+def hashed_sql(name: str, key: str, source: str) -> str:
+    """Counts of hashed words of ``text``, and their length, in SQL; a text without words is one word of itself."""
+    return rf"""{name} AS (SELECT {key}, (('0x' || sha256(w)[1:8])::UBIGINT % 384)::INT AS bucket, count(*) AS n FROM (SELECT {key}, unnest(CASE WHEN len(ws) > 0 THEN ws ELSE [coalesce(nullif(text, ''), 'empty')] END) AS w
+ FROM (SELECT {key}, text, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}._-]+') AS ws FROM {source})) GROUP BY ALL), {name}_n AS (SELECT {key}, sqrt(sum(n::DOUBLE * n)) AS len FROM {name} GROUP BY ALL)"""
+
+
 def topic():
     pairs = [F.lit(x) for p in TOPIC.items() for x in p]
     return F.create_map(*pairs)[F.col("event_type")]
@@ -39,7 +45,8 @@ def completion_gate(t: Tables) -> DataFrame:
     return report.gate(job_events(t))
 
 
-@query("SELECT event_id FROM (SELECT event_id, ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS gap FROM events) WHERE gap IS NULL OR gap > INTERVAL 24 HOURS")
+@query("""WITH RECURSIVE nxt AS (SELECT a.event_id, arg_min(b.event_id, b.ts) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type AND b.ts > a.ts + INTERVAL 24 HOURS GROUP BY 1),
+ let_in AS (SELECT arg_min(event_id, ts) AS event_id FROM events GROUP BY user_id, event_type UNION ALL SELECT nxt.n FROM let_in JOIN nxt USING (event_id)) SELECT event_id FROM let_in""")
 def idempotent_claim(t: Tables) -> DataFrame:
     return streams.first_claims(t.events, ["user_id", "event_type"], "ts").select("event_id")
 
@@ -143,6 +150,31 @@ def rag_context(t: Tables) -> DataFrame:
     return rows.select("job_id", F.md5(F.array_join("c.chunks", "\n")).alias("chunks_md5"), F.array_join("c.sources", ",").alias("sources"), "c.grounded")
 
 
+@query(rf"""WITH q AS (SELECT conv_id, arg_min(text, (turn, text)) AS text FROM conversations GROUP BY 1), {hashed_sql("qb", "conv_id", "q")}, {hashed_sql("ib", "item_id", "benchmark")}
+ SELECT conv_id AS job_id, item_id AS id, round(s, 6) AS score, rank FROM (SELECT conv_id, item_id, coalesce(d / (qb_n.len * ib_n.len), 0) AS s, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(d / (qb_n.len * ib_n.len), 0) DESC, item_id) AS rank
+ FROM qb_n CROSS JOIN ib_n LEFT JOIN (SELECT conv_id, item_id, sum(qb.n::DOUBLE * ib.n) AS d FROM qb JOIN ib USING (bucket) GROUP BY ALL) USING (conv_id, item_id)) WHERE rank <= 5""")
+def rag_retrieve(t: Tables) -> DataFrame:
+    """The five reference texts nearest to the first turn of each conversation."""
+    first = t.conversations.groupBy(F.col("conv_id").alias("job_id")).agg(F.min(F.struct("turn", "text"))["text"].alias("question"))
+    counts = embedding.HashingEmbedder(unit=False)
+    index = t.benchmark.select(F.col("item_id").alias("id"), "text", embedding.embedded(F.col("text"), counts).alias("embedding"))
+    return rag.retrieve(first, index, 5, counts).select("job_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT job_id, count(*) AS finding_count, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS cve_ids FROM f GROUP BY 1")
+def cve_counts(t: Tables) -> DataFrame:
+    rows = line_findings(t).withColumn("cve_id", F.col("cve_id").cast("string"))
+    return report.cve_counts(rows).select("job_id", "finding_count", F.array_join("cve_ids", ",").alias("cve_ids"))
+
+
+@query(f"""SELECT user_id::VARCHAR AS job_id, arg_max({TOPIC_SQL}, (ts, {TOPIC_SQL})) AS stage, 'running' AS status, count(*) FILTER ({TOPIC_SQL} = 'matched') AS matched, count(*) FILTER ({TOPIC_SQL} = 'extracted') AS total, bool_or({TOPIC_SQL} = 'extraction_complete') AS total_final,
+ count(*) FILTER ({TOPIC_SQL} = 'matched') || '/' || count(*) FILTER ({TOPIC_SQL} = 'extracted') AS progress, CASE WHEN count(*) FILTER ({TOPIC_SQL} = 'extracted') > 0 THEN round(100.0::DOUBLE * count(*) FILTER ({TOPIC_SQL} = 'matched') / count(*) FILTER ({TOPIC_SQL} = 'extracted'), 1) ELSE 0 END AS percent FROM events GROUP BY 1""")
+def progress_fold(t: Tables) -> DataFrame:
+    """What the stream of progress adds up to, in batch."""
+    rows = t.events.select(F.col("user_id").cast("string").alias("job_id"), topic().alias("topic"), F.col("ts").cast("timestamp").alias("ts"))
+    return streams.snapshots(streams.progress_of(rows))
+
+
 @query("SELECT event_id FROM events WHERE TIMESTAMP '2024-01-20 12:00:00' - ts <= INTERVAL 3600 SECONDS")
 def index_ttl_sweep(t: Tables) -> DataFrame:
     return rag.alive(t.events.withColumnRenamed("ts", "created_at"), F.expr("timestamp_ntz'2024-01-20 12:00:00'")).select("event_id")
@@ -160,12 +192,13 @@ def missing_topics(t: Tables) -> DataFrame:
     return contracts.missing_topics(t.events.select(contract().alias("topic")))
 
 
-@query("SELECT user_id AS job_id, event_type AS sub_blob_id, arg_max(event_id, event_id) AS event_id FROM events WHERE user_id % 10 <> 0 OR event_id < 5000 GROUP BY ALL")
+@query("""SELECT user_id AS job_id, event_type AS sub_blob_id, max(event_id) AS event_id FROM events WHERE user_id % 10 <> 0 OR ts < TIMESTAMP '2024-01-16 00:00:00'
+ OR user_id NOT IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-16 00:00:00') GROUP BY ALL""")
 def slot_merge(t: Tables) -> DataFrame:
-    """Slots written in two parts; a job that was finished after the first keeps what it had."""
-    rows = t.events.select(F.col("user_id").alias("job_id"), F.col("event_type").alias("sub_blob_id"), "event_id", (F.col("user_id") % 10 == 0).alias("finalized"))
-    early = corpus.latest(rows.where("event_id < 5000"), ["job_id", "sub_blob_id"], F.desc("event_id"))
-    late = corpus.latest(rows.where("event_id >= 5000 and job_id % 10 <> 0 or event_id >= 5000"), ["job_id", "sub_blob_id"], F.desc("event_id")).drop("finalized")
+    """Slots written in two parts; a job that was finished after the first, as every tenth is, keeps what it had."""
+    rows = t.events.select(F.col("user_id").alias("job_id"), F.col("event_type").alias("sub_blob_id"), "event_id", (F.col("user_id") % 10 == 0).alias("finalized"), "ts")
+    part = lambda test: corpus.latest(rows.where(test), ["job_id", "sub_blob_id"], F.desc("event_id")).drop("ts")
+    early, late = part("ts < timestamp_ntz'2024-01-16 00:00:00'"), part("ts >= timestamp_ntz'2024-01-16 00:00:00'").drop("finalized")
     return stores.merge_slots(early, late, "event_id").select("job_id", "sub_blob_id", "event_id")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -83,6 +83,17 @@ def emitted(events: DataFrame, topic: str) -> DataFrame:
     return events.select(partition_key(F.lit(topic), job, sub).alias("key"), F.to_json(F.struct("*")).alias("value"), F.lit(topic).alias("topic"))
 
 
+def lint(spark: SparkSession, path: str) -> DataFrame:
+    """(topic, error) of sample events, a JSON file named after its topic each: error is null for a good one, ``missing`` for a
+    topic without a file."""
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)[.]json$", 1)
+    files = spark.read.text(f"{path.rstrip('/')}/*.json", wholetext=True).select(name.alias("topic"), "value")
+    out = files.where(~F.col("topic").isin(*SCHEMAS)).select("topic", F.lit("unknown topic").alias("error"))
+    for topic in SCHEMAS:
+        out = out.unionAll(validated(files.where(F.col("topic") == topic), topic).select("topic", "error"))
+    return out.unionAll(missing_topics(files).select("topic", F.lit("missing").alias("error")))
+
+
 def missing_topics(samples: DataFrame, column: str = "topic", topics: tuple[str, ...] = tuple(SCHEMAS)) -> DataFrame:
     """Topics without a sample."""
     every = samples.sparkSession.createDataFrame([(t,) for t in topics], f"{column} string")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from blobsight.operators import rag
+from blobsight.operators.embedding import Embedder, embedded
+from blobsight.scratch import materialise
 from blobsight.sources.events import message_key, validated
+from blobsight.sources.stores import Versions, merge_slots
 
 WINDOW = "24 hours"
 #: Attempts of a replay and the first pause in seconds, doubled each time.
@@ -128,17 +133,86 @@ def split(messages: DataFrame, topic: str) -> tuple[DataFrame, DataFrame]:
 
 
 def run_stage(messages: DataFrame, topic: str, stage: Callable[[DataFrame], DataFrame], out: str, dead: str, checkpoint: str):
-    """A stage as a streaming query: each micro-batch is validated and split, results and dead letters are appended to their
-    tables. ``availableNow`` suits an external scheduler."""
+    """A stage as a streaming query: each micro-batch is validated and split, results and dead letters go to their tables, in a
+    folder (and column) ``batch`` by its number. A batch that is tried again after a failure writes over what it left.
+    ``availableNow`` suits an external scheduler."""
 
     def each(batch: DataFrame, number: int) -> None:
         batch.persist()
         good, bad = split(batch, topic)
-        stage(good).write.mode("append").parquet(out)
-        bad.write.mode("append").parquet(dead)
+        stage(good).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        bad.write.mode("overwrite").parquet(f"{dead}/batch={number}")
         batch.unpersist()
 
-    return messages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _started(messages, each, checkpoint)
+
+
+def _started(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"):
+    return stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def source(spark: SparkSession, format: str = "kafka", schema: str | None = None, latest: bool = False, **options: str) -> DataFrame:
+    """A stream of messages (topic, key, value, ts): from Kafka, where its connector is there, or from files of these columns. A second
+    reader, such as one for progress, is another call with ``latest``: it has its own checkpoint, starts with what is new
+    and holds up nobody."""
+    reader = spark.readStream.format(format).options(**options)
+    if format != "kafka":
+        return reader.schema(schema or "topic string, key string, value string, ts timestamp").load()
+    rows = reader.option("startingOffsets", "latest" if latest else "earliest").option("failOnDataLoss", str(not latest).lower()).load()
+    return rows.select("topic", F.col("key").cast("string"), F.col("value").cast("string"), F.col("timestamp").alias("ts"))
+
+
+def sink(messages: DataFrame, format: str = "parquet", **options: str) -> None:
+    """Emit messages (key, value, topic), as ``emitted`` makes them: to Kafka, or to files by topic."""
+    writer = messages.write.format(format).options(**options)
+    (writer if format == "kafka" else writer.mode("append").partitionBy("topic")).save()
+
+
+def slots(stream: DataFrame, table: Versions, checkpoint: str, order: str = "updated_at"):
+    """Partial results of a stream merged into a table of slots, a version a batch: the last write of a slot wins, and a finished
+    job's slots stay."""
+    return _started(stream, lambda batch, n: table.write(merge_slots(table.current(below=n), batch, order), n), checkpoint)
+
+
+#: A job's progress as it is kept from batch to batch.
+PROGRESS = "job_id string, extracted long, analyzed long, matched long, events long, marker boolean, last struct<ts: timestamp, topic: string>, status string"
+
+
+def progress_of(events: DataFrame) -> DataFrame:
+    """A row of PROGRESS for each job of ``events`` (job_id, topic, ts): what they add up to. Events without a job are left out."""
+    n = lambda t: F.count_if(F.col("topic") == t).alias(t)
+    ended = F.max(F.when(F.col("topic") == "dlq", F.struct("ts", F.lit("error").alias("s"))).when(F.col("topic") == "completed", F.struct("ts", F.lit("complete").alias("s"))))["s"]
+    return events.where("job_id is not null").groupBy("job_id").agg(n("extracted"), n("analyzed"), n("matched"), F.count("*").alias("events"), F.bool_or(F.col("topic") == "extraction_complete").alias("marker"), F.max(F.struct("ts", "topic")).alias("last"), ended.alias("status"))
+
+
+def progress(stream: DataFrame, table: Versions, checkpoint: str):
+    """Progress of jobs folded from a stream of events, one row a job and the last one only, a version a batch."""
+
+    def each(batch: DataFrame, n: int) -> None:
+        both = table.current(below=n).unionByName(progress_of(batch))
+        add = [F.sum(c).alias(c) for c in ("extracted", "analyzed", "matched", "events")]
+        table.write(both.groupBy("job_id").agg(*add, F.bool_or("marker").alias("marker"), F.max("last").alias("last"), F.max_by("status", F.when(F.col("status").isNotNull(), F.col("last"))).alias("status")), n)
+
+    return _started(stream, each, checkpoint)
+
+
+def snapshots(progress: DataFrame) -> DataFrame:
+    """(job_id, stage, status, matched, total, total_final, progress, percent) as a client is shown it."""
+    percent = F.when(F.col("extracted") > 0, F.round(100.0 * F.col("matched") / F.col("extracted"), 1)).otherwise(0.0)
+    text = F.concat_ws("/", F.col("matched").cast("string"), F.col("extracted").cast("string"))
+    return progress.select("job_id", F.col("last.topic").alias("stage"), F.coalesce("status", F.lit("running")).alias("status"), "matched", F.col("extracted").alias("total"), F.coalesce("marker", F.lit(False)).alias("total_final"), text.alias("progress"), percent.alias("percent"))
+
+
+def index_completed(stream: DataFrame, reports: DataFrame, path: str, checkpoint: str, embedder: Embedder | None = None, now: Column | None = None):
+    """An index of its report for each job that a stream of firmware.completed events names: its chunks and their embeddings, in
+    a folder of the job's own, which a second completion replaces."""
+
+    def each(batch: DataFrame, n: int) -> None:
+        chunks = rag.index_chunks(reports.join(batch.select("job_id").distinct(), "job_id", "left_semi"))
+        rows = chunks.select("job_id", F.sha2("text", 256).alias("id"), "text", embedded(F.col("text"), embedder).alias("embedding"), (now if now is not None else F.current_timestamp()).alias("created_at"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(path)
+
+    return _started(stream, each, checkpoint)
 
 
 def pauses(attempts: Column | int = ATTEMPTS, first: float = PAUSE) -> Column:
@@ -157,3 +231,19 @@ def replay_plan(letters: DataFrame, most: int = ATTEMPTS) -> DataFrame:
     order = Window.partitionBy(F.coalesce("job_id", F.sha2("payload", 256)), own).orderBy("attempt", "payload")
     place = F.row_number().over(order)
     return rows.withColumn("action", F.when(own, "SKIPPED").when(F.col("attempt") >= most, "EXHAUSTED").when(place > 1, "BLOCKED").otherwise("RETRIED"))
+
+
+def replay(letters: DataFrame, emit: Callable[[DataFrame], None], most: int = ATTEMPTS, first: float = PAUSE, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Emit again what ``replay_plan`` lets through, as messages (key, value, topic) handed to ``emit`` at once, and give all letters
+    with what became of them. An emit that fails is tried again after pauses that double; one that fails ``most`` times leaves
+    its letters EXHAUSTED."""
+    plan = materialise(replay_plan(letters, most), "replay")
+    messages = plan.where("action = 'RETRIED'").select(F.col("job_id").alias("key"), F.col("payload").alias("value"), F.col("original_topic").alias("topic"))
+    for attempt in range(1, most + 1):
+        try:
+            emit(messages)
+            return plan
+        except Exception:  # whatever the sink raises
+            if attempt < most:
+                sleep(first * 2 ** (attempt - 1))
+    return plan.withColumn("action", F.when(F.col("action") == "RETRIED", "EXHAUSTED").otherwise(F.col("action")))

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import os
+import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from blobsight.functions import binary, cpe, families, text, vectors
-from blobsight.operators import corpus, matching, report, static_analysis, triage, unpack
+from blobsight.operators import corpus, embedding, matching, rag, report, similarity, static_analysis, triage, unpack
 from blobsight.plans import blobs as blob_plans
 from blobsight.plans import flows as flow_plans
 from blobsight.plans.registry import Tables
 from blobsight.plans.stages import Registry, subscriptions
-from blobsight.sources import events, nvd
+from blobsight.sources import events, nvd, stores
 from blobsight.streaming import jobs
 
 
@@ -63,7 +66,8 @@ def test_cpe_and_versions(spark):
     of = lambda s: one(spark, cpe.parse(F.lit(s)).alias("c")).c
     assert tuple(of("cpe:2.3:a:gnu:zlib:1.2:*:*:*:*:*:*:*")) == ("a", "gnu", "zlib", "1.2")
     assert tuple(of("cpe:/a:gnu:zlib")) == ("a", "gnu", "zlib", "*") and tuple(of("cpe:/o:x:y:3")) == ("o", "x", "y", "3")
-    assert of("garbage") is None and of("cpe:2.3:a:b") is None
+    assert of("garbage") is None and of("cpe:2.3:a:b") is None and of("cpe:/a:gnu:") is None and of("cpe:/a") is None
+    assert tuple(of("CPE:2.3:A:GNU:ZLib:1.2B")) == ("a", "gnu", "zlib", "1.2B") and tuple(of("CPE:/:GNU:Zlib")) == ("a", "gnu", "zlib", "*")
     version = lambda t, f: one(spark, cpe.extract_version(F.lit(t), F.lit(f)).alias("v")).v
     assert version("BusyBox v1.31.1 (2020)", "busybox") == "1.31.1" and version("OpenSSL 1.0.2h  3 May", "openssl") == "1.0.2h"
     assert version("10.0", None) == "10.0" and version("n/a", None) is None and version("2019.78", "dropbear") == "2019.78"
@@ -130,6 +134,7 @@ def test_bloom(spark):
 def test_archives(spark):
     rows = spark.createDataFrame(blob_plans.crafted_archives(), "path string, content binary").withColumn("job_id", F.col("path"))
     found = unpack.unpack(rows).collect()
+    assert [r.layer for r in found if r.job_id == "broken"] == ["bad_container"]
     leaves = {}
     for r in found:
         leaves.setdefault(r.job_id, []).append(r.layer or r.name)
@@ -198,6 +203,12 @@ def test_streams(spark, tmp_path):
     (tmp_path / "msg/1.txt").write_text("\n".join([json.dumps(ok), "poison", json.dumps(ok | {"more": 1})]))
     jobs.run_stage(spark.readStream.text(str(tmp_path / "msg")), "firmware.completed", lambda df: df, str(tmp_path / "o"), str(tmp_path / "d"), str(tmp_path / "c2")).awaitTermination(100)
     assert spark.read.parquet(str(tmp_path / "o")).count() == 1 and spark.read.parquet(str(tmp_path / "d")).count() == 2
+    import shutil
+
+    shutil.copytree(tmp_path / "c2/sources", tmp_path / "c3/sources")  # the same batch once more, as after a failure before its commit
+    shutil.copytree(tmp_path / "c2/offsets", tmp_path / "c3/offsets")
+    jobs.run_stage(spark.readStream.text(str(tmp_path / "msg")), "firmware.completed", lambda df: df, str(tmp_path / "o"), str(tmp_path / "d"), str(tmp_path / "c3")).awaitTermination(100)
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 1 and spark.read.parquet(str(tmp_path / "d")).count() == 2
 
 
 def claims_by_hand(rows):
@@ -242,3 +253,218 @@ def test_idempotent_claim_is_the_rule_of_the_reference(spark, sf):
             last[k] = ts
             want.add(event)
     assert {r.event_id for r in flow_plans.idempotent_claim(Tables(spark, sf)).collect()} == want
+
+
+def cosine_by_hand(a, b):
+    n = min(len(a), len(b))
+    dot, x, y = (sum(p * q for p, q in zip(u[:n], v[:n], strict=True)) for u, v in ((a, b), (a, a), (b, b)))
+    return max(0.0, min(1.0, dot / math.sqrt(x * y))) if x and y else 0.0
+
+
+@pytest.mark.parametrize("small", [0, 1 << 30])
+def test_top_k_of_ragged_vectors(spark, small):
+    """By both ways: a side that is sent, and pairs of blocks. Each pair is cut to its own shorter width."""
+    rng = random.Random(1)
+    vector = lambda: [float(rng.randint(-2, 3)) for _ in range(rng.choice([0, 1, 3, 5]))]
+    q, c = [(i, vector(), i % 2) for i in range(20)] + [(99, None, 0)], [(i, vector(), i % 2) for i in range(60)] + [(98, None, 1)]
+    for scoped in (False, True):
+        frames = (spark.createDataFrame(rows, f"{name} int, v array<double>, scope int") for rows, name in ((q, "qid"), (c, "id")))
+        a, b = (f if scoped else f.drop("scope") for f in frames)
+        found = {}
+        for r in similarity.top_k(a, b, 4, block=7, small=small).collect():
+            found.setdefault(r.qid, []).append((r["rank"], r.id, round(r.score, 9)))
+        want = {}
+        for i, v, s in q[:-1]:
+            near = sorted(((-round(cosine_by_hand(v, w), 9), j) for j, w, t in c[:-1] if not scoped or s == t))[:4]
+            want[i] = [(n + 1, j, -x + 0.0) for n, (x, j) in enumerate(near)]
+        assert {k: sorted(v) for k, v in found.items()} == want
+
+
+def test_sparse_cosines_in_blocks(spark):
+    rng = random.Random(2)
+    rows = lambda n: spark.createDataFrame([(i, b, rng.randint(1, 4)) for i in range(n) for b in rng.sample(range(20), 4)], "id int, bucket int, n int")
+    a, b = rows(30), rows(12)
+    one, other = (sorted((r.a, r.b, round(r.score, 9)) for r in similarity.sparse_cosine(a, b, 0.4, small=size, block=5).collect()) for size in (0, 1 << 30))
+    vectors = lambda df: {i: {r.bucket: r.n for r in df.collect() if r.id == i} for i in {r.id for r in df.collect()}}
+    x, y = vectors(a), vectors(b)
+    size = lambda v: math.sqrt(sum(n * n for n in v.values()))
+    want = [(i, j, round(sum(n * w.get(k, 0) for k, n in v.items()) / (size(v) * size(w)), 9)) for i, v in x.items() for j, w in y.items()]
+    assert one == other == sorted(t for t in want if t[2] >= 0.4)
+
+
+def test_containers_that_are_damaged_or_odd(spark):
+    import gzip
+    import io
+    import zipfile
+
+    def zipped(name, body, mode=None):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            info = zipfile.ZipInfo(name)
+            info.compress_type = zipfile.ZIP_DEFLATED
+            info.external_attr = (mode or 0) << 16
+            z.writestr(info, body)
+        return out.getvalue()
+
+    good = zipped("a", bytes(range(256)) * 8)
+    at = good.index(b"a", 30) + 1
+    broken = good[:at] + bytes(x ^ 255 for x in good[at : at + 40]) + good[at + 40 :]
+    squeezed = gzip.compress(bytes(range(256)) * 8)
+    rows = [("zip", broken), ("gz", squeezed[:30] + b"\xff" * 30 + squeezed[60:]), ("cut", squeezed[:-20]), ("safe", zipped("..data/x", b"fine")), ("up", zipped("a/../../x", b"bad")), ("link", zipped("l", b"../../etc", 0o120777)), ("mine", b"OWN:body")]
+    own = lambda data: [("inner", data[4:])] if data[:4] == b"OWN:" else []
+    found = {r.job_id: r.layer or r.name for r in unpack.unpack(spark.createDataFrame([(n, n, x) for n, x in rows], "job_id string, path string, content binary"), (own,)).collect()}
+    assert found == {"zip": "bad_container", "gz": "bad_container", "cut": "bad_container", "safe": "safe/..data/x", "up": "zip_slip", "link": "symlink", "mine": "mine/inner"}
+
+
+def test_embedders(spark):
+    rows = spark.createDataFrame([("a b a",), ("",), ("!?",), (None,)], "text string")
+    found = [r.v for r in rows.select(embedding.embedded(F.col("text")).alias("v")).collect()]
+    at = lambda t: int.from_bytes(hashlib.sha256(t.encode()).digest()[:4]) % 384
+    assert found[0][at("a")] == pytest.approx(2 / math.sqrt(5)) and found[0][at("b")] == pytest.approx(1 / math.sqrt(5))
+    assert found[1][at("empty")] == found[3][at("empty")] == 1 and found[2][at("!?")] == 1
+    assert all(sum(x * x for x in v) == pytest.approx(1) and len(v) == 384 for v in found)
+
+    class Lengths:
+        width = 2
+
+        def encode(self, texts):
+            return [[len(t), 1.0] for t in texts]
+
+    assert isinstance(Lengths(), embedding.Embedder)
+    assert rows.select(embedding.embedded(F.col("text"), Lengths()).alias("v")).first().v == [5.0, 1.0]
+    wrong = Lengths()
+    wrong.width = 3
+    with pytest.raises(Exception, match="in place of 3"):
+        rows.select(embedding.embedded(F.col("text"), wrong)).collect()
+
+
+def test_components_are_matched_once(spark):
+    key = "cpe:2.3:a:busybox:busybox:1.31.1:*:*:*:*:*:*:*"
+    records = corpus.with_embeddings(spark.createDataFrame([("CVE-1", key, "busybox", "busybox busybox 1.31.1: gzip flaw"), ("CVE-2", "x", "openssl", "openssl openssl 1.0.2: tls flaw")], "cve_id string, cpe_string string, family string, text string"))
+    comps = spark.createDataFrame([(1, [key], "busybox", "busybox busybox 1.31.1"), (2, ["none"], "openssl", "openssl openssl 1.0.2"), (3, ["none"], None, "other thing")], "seq int, cpes array<string>, family string, text string").withColumn("v", embedding.embedded(F.col("text")))
+    lines = spark.createDataFrame([("s1", 1), ("s1", 2), ("s2", 2), ("s3", 3)], "sub_blob_id string, seq int")
+    found = {(r.sub_blob_id, r.cve_id): (r.confidence_tier, r.matched_via, r.place) for r in matching.match_lines(lines, comps, records).collect()}
+    assert found == {("s1", "CVE-1"): ("CONFIRMED", "exact_cpe", 1), ("s1", "CVE-2"): ("POSSIBLE", "embedding_similarity", 2), ("s2", "CVE-2"): ("POSSIBLE", "embedding_similarity", 1)}
+    bad = spark.createDataFrame([("openssl", 0.5, 0.7, 0.1)], "family string, high double, possible double, low double")
+    with pytest.raises(Exception, match="thresholds must satisfy"):
+        matching.match_lines(lines, comps, records, bad).collect()
+
+
+def test_refresh_and_upsert(spark, tmp_path):
+    from datetime import UTC, datetime
+
+    asked, made = str(tmp_path / "asked"), feed()
+
+    def fetch(params):
+        with open(asked, "w") as f:
+            f.write(params.get("lastModStartDate", ""))
+        return {"totalResults": 4, "vulnerabilities": made[params["startIndex"] :]}
+
+    nvd.register_paged(spark, fetch, "feed_of_changes")
+    old = corpus.with_embeddings(spark.createDataFrame([("CVE-2016-2107", "cpe:2.3:a:openssl:openssl:1.0.2:*:*:*:*:*:*:*", "old", "openssl", "old"), ("CVE-1", "c", "kept", "zlib", "kept")], "cve_id string, cpe_string string, description string, family string, text string"))
+    new = corpus.refresh(old, datetime(2026, 7, 12, tzinfo=UTC), source="feed_of_changes")
+    rows = {r.cve_id: r for r in new.collect()}
+    assert len(rows) == 4 and rows["CVE-2016-2107"].description == "no" and rows["CVE-1"].description == "kept" and len(rows["CVE-2021-28831"].embedding) == 384
+    assert open(asked).read().startswith("2026-07-10T22:00:00")
+    with pytest.raises(ValueError):
+        corpus.upsert(old, old.drop("embedding"))
+    with pytest.raises(Exception, match="no embedding"):
+        corpus.upsert(old, old.withColumn("embedding", F.array().cast("array<float>"))).collect()
+    assert corpus.ingested(spark.range(5), new).first() == (5, 4)
+
+
+def test_retrieval_and_contexts(spark):
+    finding = "struct<cve_id: string, confidence_tier: string, llm_rationale: string>"
+    reports = spark.createDataFrame([("j1", "PARTIAL", "all bad", [("CVE-9", "HIGH_CONFIDENCE", None), (None, None, None)], [("", "", ""), ("gnu", "zlib", "1.2")]), ("j2", "COMPLETE", " ", [], [])], f"job_id string, status string, executive_summary string, findings array<{finding}>, components array<struct<vendor: string, product: string, version: string>>")
+    assert sorted(r.text for r in rag.index_chunks(reports).collect()) == ["Component: gnu zlib 1.2", "Executive summary: all bad", "Finding: CVE-9 HIGH_CONFIDENCE"]
+    records = corpus.with_embeddings(spark.createDataFrame([("CVE-1", "a", "gzip flaw", "gzip flaw"), ("CVE-2", "b", "tls flaw", "tls flaw")], "cve_id string, cpe_string string, description string, text string"))
+    questions = spark.createDataFrame([("j1", "which gzip flaw?"), ("j2", "tls"), ("j3", "tls flaw")], "job_id string, question string")
+    found = {r.job_id: r for r in rag.grounded(questions, reports, records, 1).collect()}
+    assert found["j1"].chunks == ["Report summary: all bad", "This job's findings: CVE-9 [HIGH_CONFIDENCE], None [None]", "CVE-1 (a): gzip flaw"]
+    assert (found["j1"].status, found["j1"].finding_count, found["j1"].sources) == ("PARTIAL", 2, ["CVE-9", "CVE-1"])
+    assert found["j2"].chunks == ["CVE-2 (b): tls flaw"] and found["j3"].sources == ["CVE-2"] and found["j3"].status is None
+
+
+def test_narrators(spark):
+    class Narrator:
+        def triage_rationale(self, component, cve_id, description, tier, score):
+            if cve_id == "CVE-2":
+                raise OSError("no model")
+            return f"{component} may have {cve_id}"
+
+        def executive_summary(self, job_id, findings):
+            return f"{job_id}: {len(findings)}, first {findings[0]}"
+
+    rows = spark.createDataFrame([("c", f"CVE-{i}", "d", t, 0.6) for i, t in enumerate(["POSSIBLE", "HIGH_CONFIDENCE", "LOW_CONFIDENCE"])], "component string, cve_id string, description string, confidence_tier string, similarity_score double")
+    assert [r.llm_rationale for r in report.with_rationales(rows, Narrator()).orderBy("cve_id").collect()] == ["c may have CVE-0", None, None]
+    assert report.with_rationales(rows).where("llm_rationale is not null").count() == 0
+    jobs_ = spark.createDataFrame([("j", [("CVE-1", "POSSIBLE")] * 60), ("k", [])], "job_id string, findings array<struct<cve_id: string, confidence_tier: string>>")
+    assert [r.executive_summary for r in report.with_summaries(jobs_, Narrator()).orderBy("job_id").collect()] == ["j: 50, first - CVE-1 [POSSIBLE]", None]
+
+
+def test_lint_of_samples(spark, tmp_path):
+    (tmp_path / "firmware.completed.json").write_text(json.dumps({"job_id": "j", "status": "COMPLETE", "report_s3_key": "r", "sbom_s3_key": "s"}, indent=1))
+    (tmp_path / "firmware.triaged.json").write_text("{}")
+    (tmp_path / "other.json").write_text("{}")
+    found = {r.topic: r.error for r in events.lint(spark, str(tmp_path)).collect()}
+    assert found.pop("firmware.completed") is None and found.pop("firmware.triaged") and found.pop("other") == "unknown topic"
+    assert set(found.values()) == {"missing"} and len(found) == 5
+
+
+def test_tables_of_jobs_and_feedback(spark, tmp_path):
+    table, uploaded = stores.register_upload(spark.createDataFrame([("j", "me")], "job_id string, uploaded_by string"))
+    assert uploaded.first().s3_key == "raw-uploads/j/original.bin" and table.first().status == "UPLOADED"
+    assert stores.get(table, "j").count() == 1 and stores.get(table, "k").count() == 0
+    path = str(tmp_path / "feedback")
+    say = lambda verdict: spark.createDataFrame([("j", "CVE-1", verdict, "me")], "job_id string, cve_id string, verdict string, submitted_by string")
+    stores.append_feedback(path, say("confirmed"))
+    with pytest.raises(Exception, match="verdict must be one of"):
+        stores.append_feedback(path, say("maybe"))
+    assert spark.read.parquet(path).count() == 1
+    moved = spark.createDataFrame([("zlib", 0.95, 0.75, 0.55)], "family string, high double, possible double, low double")
+    rows = {r.family: r.high for r in stores.current_thresholds(moved, spark).collect()}
+    assert rows["zlib"] == 0.95 and rows["openssl"] == families.HIGH and len(rows) == len(families.FAMILIES)
+
+
+def test_replay_emits(spark, tmp_path):
+    ok = json.dumps({"job_id": "j"})
+    letters = spark.createDataFrame([("firmware.matched", ok, 0), ("firmware.matched", ok, 1), ("firmware.dlq", ok, 0), ("firmware.triaged", json.dumps({"job_id": "k"}), 7)], "original_topic string, payload string, attempt int")
+    out, waits = str(tmp_path / "sent"), []
+    found = jobs.replay(letters, lambda m: jobs.sink(m, path=out))
+    assert sorted(r.action for r in found.collect()) == ["BLOCKED", "EXHAUSTED", "RETRIED", "SKIPPED"]
+    assert [(r.topic, r.key, r.value) for r in spark.read.parquet(out).collect()] == [("firmware.matched", "j", ok)]
+
+    def fails(m):
+        raise OSError("no broker")
+
+    assert sorted(r.action for r in jobs.replay(letters, fails, sleep=waits.append).collect()) == ["BLOCKED", "EXHAUSTED", "EXHAUSTED", "SKIPPED"] and waits == [0.5, 1.0, 2.0, 4.0]
+
+
+def test_progress_slots_and_indexes_of_streams(spark, tmp_path):
+    def feed_in(name, schema, *rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        return spark.readStream.schema(schema).parquet(str(tmp_path / name))
+
+    at = lambda s: datetime(2024, 1, 1, 0, 0, s)
+    table = stores.Versions(spark, str(tmp_path / "progress"), jobs.PROGRESS)
+    schema = "job_id string, topic string, ts timestamp"
+    jobs.progress(feed_in("e", schema, ("a", "extracted", at(1)), ("a", "extracted", at(2)), ("a", "matched", at(3)), (None, "dlq", at(4))), table, str(tmp_path / "cp1")).awaitTermination(100)
+    one = jobs.snapshots(table.current()).first()
+    assert (one.progress, one.percent, one.total_final, one.stage, one.status) == ("1/2", 50.0, False, "matched", "running")
+    jobs.progress(feed_in("e", schema, ("a", "extraction_complete", at(5)), ("a", "matched", at(6)), ("a", "completed", at(7)), ("b", "dlq", at(1))), table, str(tmp_path / "cp1")).awaitTermination(100)
+    rows = {r.job_id: (r.progress, r.total_final, r.status) for r in jobs.snapshots(table.current()).collect()}
+    assert rows == {"a": ("2/2", True, "complete"), "b": ("0/0", False, "error")} and table.numbers() == [0, 1]
+
+    slots = stores.Versions(spark, str(tmp_path / "slots"), "job_id string, sub_blob_id string, found int, updated_at timestamp, finalized boolean")
+    slots.write(spark.createDataFrame([("done", "1", 1, at(1), True)], slots.schema), -1)
+    schema = "job_id string, sub_blob_id string, found int, updated_at timestamp"
+    jobs.slots(feed_in("s", schema, ("a", "1", 1, at(1)), ("a", "1", 2, at(3)), ("done", "1", 9, at(9))), slots, str(tmp_path / "cp2")).awaitTermination(100)
+    jobs.slots(feed_in("s", schema, ("a", "1", 3, at(2)), ("a", "2", 4, at(4))), slots, str(tmp_path / "cp2")).awaitTermination(100)
+    assert sorted((r.job_id, r.sub_blob_id, r.found) for r in slots.current().collect()) == [("a", "1", 2), ("a", "2", 4), ("done", "1", 1)]
+
+    reports = spark.createDataFrame([("a", "summary", [], []), ("b", "other", [], [])], "job_id string, executive_summary string, findings array<struct<cve_id: string, confidence_tier: string, llm_rationale: string>>, components array<struct<vendor: string, product: string, version: string>>")
+    for _ in range(2):
+        jobs.index_completed(feed_in("c", "job_id string", ("a",)), reports, str(tmp_path / "index"), str(tmp_path / "cp3")).awaitTermination(100)
+    index = spark.read.parquet(str(tmp_path / "index"))
+    assert [(r.job_id, r.text, len(r.embedding)) for r in index.collect()] == [("a", "Executive summary: summary", 384)]
+    assert rag.retrieve(spark.createDataFrame([("a", "summary"), ("b", "summary")], "job_id string, question string"), index).count() == 1
