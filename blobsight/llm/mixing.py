@@ -125,16 +125,20 @@ def mix(docs: DataFrame, weighted=weights, repeats: int = REPEATS) -> DataFrame:
 
     A copy at which its source's demand ends has its text cut after the words taken, and n_chars to match where that
     column is there. Rows are range-sorted by position. The plan's rows find their documents by doc_id, source and the
-    text's hash; rows that agree in all three take what the plan gives them in turn. Columns keep their names and
-    values, whatever they are called: a row goes through the joins as one value.
+    text's hash; rows that agree in all three, where there are any, take what the plan gives them in turn. Columns keep
+    their names and values, whatever they are called: a row goes through the join as one value.
     """
     hashed = F.xxhash64("text")
     nth = lambda *order: F.row_number().over(Window.partitionBy("id", "of").orderBy(*order))
     key = lambda h: [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)).alias("id"), F.xxhash64("source", h).alias("of")]
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *key(hashed)).withColumn("nth", nth("doc.text"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *key(hashed))
     named = docs.select("doc_id", "source", "text", hashed.alias("hashed"))
-    taken = plan(named, weighted, repeats, keep=("hashed",)).select(*key("hashed"), "copies").withColumn("nth", nth("copies"))
-    rows = own.join(taken, ["id", "of", "nth"]).select("doc", F.explode("copies").alias("c"))
+    taken = materialise(plan(named, weighted, repeats, keep=("hashed",)).select(*key("hashed"), "copies").withColumn("nth", nth("copies")), "taken")
+    if taken.where("nth > 1").isEmpty():  # no need to number the texts' rows as well, which would shuffle them once more
+        rows = own.join(taken, ["id", "of"])
+    else:
+        rows = own.withColumn("nth", nth("doc.text")).join(taken, ["id", "of", "nth"])
+    rows = rows.select("doc", F.explode("copies").alias("c"))
     text = F.col("doc.text")
     pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     rows = rows.withColumn("less", F.col("c.words") < word_count(text))
