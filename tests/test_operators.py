@@ -278,6 +278,8 @@ def test_top_k_of_ragged_vectors(spark, small):
             near = sorted(((-round(cosine_by_hand(v, w), 9), j) for j, w, t in c[:-1] if not scoped or s == t))[:4]
             want[i] = [(n + 1, j, -x + 0.0) for n, (x, j) in enumerate(near)]
         assert {k: sorted(v) for k, v in found.items()} == want
+    named = similarity.top_k(a.select(F.struct(F.lit("").alias("blob"), "qid").alias("qid"), "v"), b.select(F.struct("id").alias("id"), "v"), 1, block=7, small=small)
+    assert named.count() == 20 and named.first().qid.blob == ""
 
 
 def test_sparse_cosines_in_blocks(spark):
