@@ -22,6 +22,8 @@ from blobsight.scratch import materialise
 MOST_DEPTH, MOST_RATIO = 8, 100
 ENTRY = "job_id string, sub_blob_id string, parent_blob_id string, name string, depth int, size long, content binary, layer string"
 OUTPUT = "decompressed.bin"
+#: Bytes of leaves, and leaves, that a task holds at a time. They bound memory, not what is found.
+KEPT, MOST_ROWS = 32 << 20, 1000
 
 
 class Unsafe(Exception):
@@ -46,9 +48,24 @@ def check_ratio(size_in: int, size_out: int, most: int = MOST_RATIO) -> None:
         raise Unsafe("decompression_ratio")
 
 
-def entries(data: bytes) -> list[tuple[str, bytes]]:
-    """Regular members of a zip, tar (also compressed) or gzip; empty for anything else. Declared sizes are checked before
-    a byte is unpacked, gzip as it streams; links are checked and left out."""
+def _tar_checked(data: bytes) -> bool:
+    """Whether ``data`` is a tar that can be read to its end; Unsafe if a member, a link or the declared sizes are."""
+    try:
+        with tarfile.open(fileobj=io.BytesIO(data)) as t:
+            members = t.getmembers()
+    except (tarfile.TarError, zlib.error, lzma.LZMAError, EOFError, OSError):
+        return False  # no tar, or none that can be read; a gzip is tried as such
+    for m in members:
+        inside(m.name)
+        if m.issym() or m.islnk():
+            check_link(m.name, m.linkname)
+    check_ratio(len(data), sum(m.size for m in members if m.isreg()))
+    return True
+
+
+def entries(data: bytes) -> Iterator[tuple[str, bytes]]:
+    """Regular members of a zip, tar (also compressed) or gzip, one at a time; none for anything else. Names, links and declared
+    sizes are checked before a byte is unpacked, gzip as it streams; links are left out."""
     stream = io.BytesIO(data)
     if zipfile.is_zipfile(stream):
         with zipfile.ZipFile(stream) as z:
@@ -59,26 +76,21 @@ def entries(data: bytes) -> list[tuple[str, bytes]]:
             for i, link in zip(infos, links, strict=True):
                 if link:
                     check_link(i.filename, z.read(i).decode(errors="replace"))
-            return [(n, z.read(i)) for n, i, link in zip(names, infos, links, strict=True) if not link]
-    try:
+            for name, i, link in zip(names, infos, links, strict=True):
+                if not link:
+                    yield name, z.read(i)
+    elif _tar_checked(data):
         with tarfile.open(fileobj=io.BytesIO(data)) as t:
-            members = t.getmembers()
-            for m in members:
-                inside(m.name)
-                if m.issym() or m.islnk():
-                    check_link(m.name, m.linkname)
-            check_ratio(len(data), sum(m.size for m in members if m.isreg()))
-            return [(inside(m.name), t.extractfile(m).read()) for m in members if m.isreg()]
-    except (tarfile.TarError, zlib.error, lzma.LZMAError, EOFError, OSError):
-        pass  # no tar, or none that can be read; a gzip is tried as such
-    if data[:2] == b"\x1f\x8b":
+            for m in t:
+                if m.isreg():
+                    yield inside(m.name), t.extractfile(m).read()
+    elif data[:2] == b"\x1f\x8b":
         out = bytearray()
         with gzip.open(io.BytesIO(data)) as g:
             while part := g.read(1 << 20):
                 out += part
                 check_ratio(len(data), len(out))
-        return [(OUTPUT, bytes(out))]
-    return []
+        yield OUTPUT, bytes(out)
 
 
 #: What the readers above raise for a container that is cut short, damaged, locked or packed in a way they don't know.
@@ -89,44 +101,80 @@ DAMAGED = (zipfile.BadZipFile, tarfile.TarError, zlib.error, lzma.LZMAError, EOF
 Extractor = Callable[[bytes], "list[tuple[str, bytes]]"]
 
 
-def walk(job: str, path: str, data: bytes, digest, extractors: tuple[Extractor, ...] = ()) -> list[tuple]:
-    """Leaves of a blob by depth-first order; ids are derived from the job and the path within, so reruns agree. A job that
-    trips a defence, or holds a damaged container, has one row with its layer in place of all its leaves."""
-    out: list[tuple] = []
+def members(data: bytes, extractors: tuple[Extractor, ...] = ()) -> Iterator[tuple[str, bytes]]:
+    """Members by the first reader that finds any."""
+    found = False
+    for name, body in entries(data):
+        found = True
+        yield name, body
+    for more in extractors:
+        if not found:
+            for name, body in more(data):
+                found = True
+                yield inside(name), body
+
+
+def leaves(job: str, path: str, data: bytes, digest, extractors: tuple[Extractor, ...] = ()) -> Iterator[tuple]:
+    """Leaves of a blob by depth-first order, holding one member a level; ids are derived from the job and the path within, so
+    reruns agree. Raises where a defence trips or a container is damaged."""
     made = 0
 
-    def step(data: bytes, trail: str, parent: str | None, depth: int) -> None:
+    def step(body: bytes, trail: str, parent: str | None, depth: int) -> Iterator[tuple]:
         nonlocal made
         if depth > MOST_DEPTH:
             raise Unsafe("recursion_depth")
-        own = digest(f"{job}\n{trail}")
-        children = entries(data)
-        for more in extractors:
-            children = children or [(inside(n), x) for n, x in more(data)]
-        for name, body in children:
-            made += len(body)
-            check_ratio(len(root), made)
-            step(body, f"{trail}/{name}", own, depth + 1)
-        if not children:
-            out.append((job, own, parent, trail, depth, len(data), data, None))
-
-    root = data
+        own, container = digest(f"{job}\n{trail}"), False
+        for name, child in members(body, extractors):
+            container = True
+            made += len(child)
+            check_ratio(len(data), made)
+            yield from step(child, f"{trail}/{name}", own, depth + 1)
+        if not container:
+            yield (job, own, parent, trail, depth, len(body), body, None)
+
+    return step(data, path, None, 0)
+
+
+def walk(job: str, path: str, data: bytes, digest, extractors: tuple[Extractor, ...] = ()) -> Iterator[tuple]:
+    """Leaves of a blob. A job that trips a defence, or holds a damaged container, has one row with its layer in place of all its
+    leaves: leaves over ``KEPT`` bytes are not kept until that is known, but unpacked again."""
+    kept: list[tuple] = []
+    size = 0
     try:
-        step(data, path, None, 0)
+        for leaf in leaves(job, path, data, digest, extractors):
+            size += leaf[5]
+            if size <= KEPT:
+                kept.append(leaf)
+            else:
+                kept.clear()
     except (Unsafe, *DAMAGED) as e:
         layer = e.args[0] if isinstance(e, Unsafe) else "bad_container"
-        return [(job, None, None, path, None, None, None, layer)]
-    return out
+        yield (job, None, None, path, None, None, None, layer)
+        return
+    yield from kept if size <= KEPT else leaves(job, path, data, digest, extractors)
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch], extractors: tuple[Extractor, ...] = ()) -> Iterator[pa.RecordBatch]:
     digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
     kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.string()]
     names = [x.split()[0] for x in ENTRY.split(", ")]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    rows: list[tuple] = []
+    size = 0
     for batch in batches:
-        for row in batch.to_pylist():  # a blob at a time: its leaves are as much as a task holds
-            leaves = walk(row["job_id"] or "", row["path"] or "", row["content"] or b"", digest, extractors)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*leaves, strict=True), kinds, strict=True)], names)
+        for i in range(batch.num_rows):
+            job, path, content = (c[0].as_py() for c in batch.slice(i, 1).columns)
+            for leaf in walk(job or "", path or "", content or b"", digest, extractors):
+                rows.append(leaf)
+                size += leaf[5] or 0
+                if size >= KEPT or len(rows) >= MOST_ROWS:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+    if rows:
+        yield batch_of(rows)
 
 
 def unpack(blobs: DataFrame, extractors: tuple[Extractor, ...] = ()) -> DataFrame:

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from blobsight.streaming.jobs import run_stage
+
 # Stages, what they take and give.
 TOPOLOGY = (
     ("triage", ("firmware.uploaded",), ("firmware.triaged", "firmware.dlq")),
@@ -36,6 +38,10 @@ class Registry:
 
         return add
 
+    def run(self, topic: str, messages: DataFrame, out: str, dead: str, checkpoint: str):
+        """The stage of ``topic`` as a streaming query over its messages; results and dead letters go to two tables."""
+        return run_stage(messages, topic, self.stages[topic].transform, out, dead, checkpoint)
+
     def missing(self, services: list[str]) -> list[str]:
         return [t for t in subscriptions(services) if t not in self.stages]
 
