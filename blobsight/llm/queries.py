@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blobsight.llm import ledger, lm, mixing, pieces, quality, rans, rules, simhash, urls, winnowing
+from blobsight.llm import blocks, impact, ledger, lm, mixing, negatives, pieces, quality, rans, rules, simhash, spelling, urls, winnowing
 from blobsight.llm.common import partitions
 from blobsight.scratch import new_path
 
@@ -99,6 +99,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(documents(spark, sf_dir))
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, label, v): whole numbers of the embeddings that are there and finite."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(blocks.usable(F.col("embedding")))
+    return rows.select(F.col("vec_id").alias("id"), "label", blocks.integers(F.col("embedding")).alias("v"))
+
+
+def op11_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir)
+    return impact.top_k(rows, rows.where("id % 50 = 0"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir).withColumn("label", F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(rows, rows.where("id % 50 = 0"))
+
+
 def queries() -> dict:
     ops = (
         op1_mix_sources,
@@ -112,6 +132,9 @@ def queries() -> dict:
         op8_token_files,
         op9_url_filter,
         op10_quality_rules,
+        op11_top_k_search,
+        op12_spelling_variants,
+        op13_hard_negatives,
     )
     return {f.__name__: f for f in ops}
 
@@ -142,6 +165,19 @@ QUALITY_RULES_SQL = rf"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, co
  AND dup_line_ratio <= 0.3 AND shout_ratio <= 0.4 AS kept, mean_word, symbol_ratio, stop_ratio, shout_ratio, dup_line_ratio FROM q"""
 
 
+_VECTORS = "SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+TOP_K_SQL = f"""WITH v AS ({_VECTORS}),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
+
+HARD_NEGATIVES_SQL = f"""WITH u AS ({_VECTORS}),
+ v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM u WHERE label IS NOT NULL),
+ s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+ SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+ FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
     """What DuckDB can express; the other operators are held against brute force in the tests."""
-    return {"secret_history": SECRET_HISTORY_SQL, "op10_quality_rules": QUALITY_RULES_SQL}
+    return {"secret_history": SECRET_HISTORY_SQL, "op10_quality_rules": QUALITY_RULES_SQL, "op11_top_k_search": TOP_K_SQL, "op13_hard_negatives": HARD_NEGATIVES_SQL}
