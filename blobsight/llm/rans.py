@@ -37,6 +37,8 @@ TOGETHER = 512
 PLAIN_END = r"[a-z0-9\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{012F}\x{0131}-\x{017E}]$"
 #: Punctuation that is cut off at the end of a word.
 CLOSING = ".,;:!?*#$%&|"
+#: A combining mark. Letters are put together with it before case is dropped, so what holds one goes as it is written.
+MARK = r"\p{M}"
 #: Words of these letters are one piece to the vocabulary's pattern, and its normaliser leaves them as they are.
 PLAIN_WORD = r"^[a-z\x{00DF}-\x{00F6}\x{00F8}-\x{00FF}]+$"
 MAGIC = b"BSR2"
@@ -170,7 +172,7 @@ class WordIds:
     Where ``by_words`` says so, each different word is encoded once: the vocabulary's pattern never crosses white space,
     and it cuts between a plain letter or digit and ASCII punctuation after it, so the ids of a text are those of its words
     one after another, and those of a word the ids of what comes before its last punctuation and of that punctuation.
-    Case is dropped by the vocabulary itself, but for words that may hold an added token. Words of plain letters need
+    Case is dropped by the vocabulary itself, but for words that may hold an added token or a combining mark. Words of plain letters need
     neither the normaliser nor the pattern, so they go to the model alone. Any other vocabulary encodes whole texts.
     """
 
@@ -277,6 +279,7 @@ class WordIds:
         coded = found.dictionary_encode()
         words = coded.dictionary
         as_written = pa.array(np.zeros(len(words), bool))
+        as_written = pc.or_(as_written, pc.match_substring_regex(words, MARK))  # some marks go together with a small letter alone
         for token in self.added:  # found by their own case alone
             as_written = pc.or_(as_written, pc.match_substring(words, token, ignore_case=True))
         words = pc.if_else(as_written, words, pc.ascii_lower(words))

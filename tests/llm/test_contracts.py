@@ -808,6 +808,24 @@ def test_words_together_are_encoded_as_alone():
         assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [tok.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
 
 
+def test_letters_with_combining_marks_are_encoded_as_the_library_does():
+    """Y, W, H, T and J go together with some marks in lower case alone."""
+    import random
+    import unicodedata
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path, rng = queries.vocabulary("word_bpe_49k.json"), random.Random(8)
+    tok, own = Tokenizer.from_file(path), rans.WordIds(path, 1)
+    marks = [chr(c) for c in [*range(0x300, 0x370), 0x483, 0x5B0, 0x93C, 0x1AB0, 0x20D0, 0xFE20] if unicodedata.category(chr(c)).startswith("M")]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcxyz"
+    texts = [f"{a}{m}" for a in letters for m in marks] + [f"x{a}{m}. {a}{n}{m}b" for a in letters for m, n in zip(marks, reversed(marks), strict=True)]
+    texts += ["".join(rng.choice(letters + "é. ,!" + "".join(marks)) for _ in range(30)) for _ in range(3000)]
+    ids, ends = own.documents(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [x.ids + [1] for x in tok.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_other_vocabularies_encode_whole_texts():
     from tokenizers import Tokenizer
 
