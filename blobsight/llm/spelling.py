@@ -34,9 +34,9 @@ LEAST_SIZE, LEAST_N = 5, 3
 #: How many times as frequent as a word its form is.
 FORM_RATIO = 2
 #: Different words that a task counts before it hands them on; rows of a shard; words of one segment in a shard.
-COUNTED, TARGET, HOT = 500_000, 40_000, 20_000
+COUNTED, TARGET, HOT = 300_000, 40_000, 20_000
 #: Pairs looked at, and bytes compared, at once.
-TILE = 1 << 22
+TILE = 1 << 20
 #: Hot segments are broadcast up to so many rows of about 30 bytes; beyond, joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -85,8 +85,21 @@ class _Words:
         self.size = np.array([len(x) for x in raw], np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.flat = np.frombuffer(b"".join(raw) + b"\0", np.uint8)
-        letters = np.bitwise_or.reduceat(np.uint64(1) << (self.flat[:-1] % 61).astype(np.uint64), self.start) if len(raw) else np.zeros(0, np.uint64)
-        self.letters = letters  # a bit for each letter that occurs; one edit changes two at most
+        # a bit for each letter that occurs; one edit changes two at most
+        self.letters = np.bitwise_or.reduceat(np.uint64(1) << (self.flat[:-1] % 61).astype(np.uint64), self.start)
+
+    def near(self, a: np.ndarray, b: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """The near pairs of ``a`` and ``b``, whose segments of this kind are the same; pairs that share the first segment too are
+        left to that one."""
+        may = np.bitwise_count(self.letters[a][:, None] ^ self.letters[b]) <= 2
+        size, other = self.size[a].astype(np.int32)[:, None], self.size[b].astype(np.int32)
+        may &= (size - other <= 1) & (other - size <= 1) & (a[:, None] != b)
+        x, y = np.nonzero(may)
+        a, b = a[x], b[y]
+        first, last = self.ends(a, b)
+        near = first + last >= np.maximum(self.size[a], self.size[b]) - 1
+        near &= (kind == 0) | (first < self.size[b] // 2)
+        return a[near], b[near]
 
     def ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Code points that each pair of words has in common at the beginning and at the end."""
@@ -117,7 +130,7 @@ def _pairs_of_shard(words: list[str], kinds: list[int], sizes: list[int], holds:
             held[kind, word[:size] if kind == 0 else word[-size:]].append(i)
     every = list(index)
     if not held:
-        return every, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return every, np.zeros(0, np.int32), np.zeros(0, np.int32)
     automaton = ahocorasick.Automaton()
     for segment in {s for _, s in held}:
         automaton.add_word(segment, segment)
@@ -129,23 +142,15 @@ def _pairs_of_shard(words: list[str], kinds: list[int], sizes: list[int], holds:
                 met[0, segment].append(i)
             if end + 1 == len(word) and (1, segment) in held:  # at its end
                 met[1, segment].append(i)
-    table, out = _Words(every), []
+    table, none = _Words(every), np.zeros(0, np.int32)
+    scanned_at, held_at = [none], [none]
     for (kind, segment), scanned in met.items():
-        a, b = np.array(scanned), np.array(held[kind, segment])
+        a, b = np.array(scanned, np.int32), np.array(held[kind, segment], np.int32)
         for at in range(0, len(a), max(1, TILE // len(b))):
-            some = a[at : at + max(1, TILE // len(b))]
-            near = np.bitwise_count(table.letters[some][:, None] ^ table.letters[b]) <= 2
-            near &= np.abs(table.size[some][:, None] - table.size[b]) <= 1
-            near &= some[:, None] != b
-            x, y = np.nonzero(near)
-            out.append((some[x], b[y], np.full(len(x), kind)))
-    if not out:
-        return every, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b, kind = (np.concatenate(x) for x in zip(*out, strict=True))
-    first, last = table.ends(a, b)
-    near = first + last >= np.maximum(table.size[a], table.size[b]) - 1
-    near &= (kind == 0) | (first < table.size[b] // 2)  # pairs that share the first segment too are met by that one
-    return every, a[near], b[near]
+            x, y = table.near(a[at : at + max(1, TILE // len(b))], b, kind)
+            scanned_at.append(x)
+            held_at.append(y)
+    return every, np.concatenate(scanned_at), np.concatenate(held_at)
 
 
 def _best(table: pa.Table) -> pa.Table:
