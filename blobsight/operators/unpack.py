@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gzip
-import hashlib
 import io
 import lzma
 import posixpath
@@ -12,17 +11,17 @@ import tarfile
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blobsight.scratch import materialise
+from blobsight.scratch import materialise, spread
 
 MOST_DEPTH, MOST_RATIO = 8, 100
-ENTRY = "job_id string, sub_blob_id string, parent_blob_id string, name string, depth int, size long, content binary, layer string"
 OUTPUT = "decompressed.bin"
-#: Bytes of leaves, and leaves, that a task holds at a time. They bound memory, not what is found.
+#: Bytes of members, and members, that a task hands on at a time.
 KEPT, MOST_ROWS = 32 << 20, 1000
 
 
@@ -32,8 +31,8 @@ class Unsafe(Exception):
 
 def inside(name: str) -> str:
     """The entry's normalised path; Unsafe if it is absolute or leaves the container."""
-    path = posixpath.normpath(name.replace("\\", "/"))
-    if path.startswith("/") or path.split("/")[0] == ".." or path[1:2] == ":":
+    path = posixpath.normpath(name)
+    if name.startswith(("/", "\\")) or path.split("/")[0] == "..":
         raise Unsafe("zip_slip")
     return path
 
@@ -48,138 +47,168 @@ def check_ratio(size_in: int, size_out: int, most: int = MOST_RATIO) -> None:
         raise Unsafe("decompression_ratio")
 
 
-def _tar_checked(data: bytes) -> bool:
-    """Whether ``data`` is a tar that can be read to its end; Unsafe if a member, a link or the declared sizes are."""
+def _tar(data: bytes) -> tarfile.TarFile | None:
     try:
-        with tarfile.open(fileobj=io.BytesIO(data)) as t:
-            members = t.getmembers()
+        return tarfile.open(fileobj=io.BytesIO(data))
     except (tarfile.TarError, zlib.error, lzma.LZMAError, EOFError, OSError):
-        return False  # no tar, or none that can be read; a gzip is tried as such
-    for m in members:
-        inside(m.name)
-        if m.issym() or m.islnk():
-            check_link(m.name, m.linkname)
-    check_ratio(len(data), sum(m.size for m in members if m.isreg()))
-    return True
-
-
-def entries(data: bytes) -> Iterator[tuple[str, bytes]]:
-    """Regular members of a zip, tar (also compressed) or gzip, one at a time; none for anything else. Names, links and declared
-    sizes are checked before a byte is unpacked, gzip as it streams; links are left out."""
-    stream = io.BytesIO(data)
-    if zipfile.is_zipfile(stream):
-        with zipfile.ZipFile(stream) as z:
-            infos = [i for i in z.infolist() if not i.is_dir()]
-            names = [inside(i.filename) for i in infos]
-            check_ratio(len(data), sum(i.file_size for i in infos))
-            links = [stat.S_ISLNK(i.external_attr >> 16 & 0xFFFF) for i in infos]
-            for i, link in zip(infos, links, strict=True):
-                if link:
-                    check_link(i.filename, z.read(i).decode(errors="replace"))
-            for name, i, link in zip(names, infos, links, strict=True):
-                if not link:
-                    yield name, z.read(i)
-    elif _tar_checked(data):
-        with tarfile.open(fileobj=io.BytesIO(data)) as t:
-            for m in t:
-                if m.isreg():
-                    yield inside(m.name), t.extractfile(m).read()
-    elif data[:2] == b"\x1f\x8b":
-        out = bytearray()
-        with gzip.open(io.BytesIO(data)) as g:
-            while part := g.read(1 << 20):
-                out += part
-                check_ratio(len(data), len(out))
-        yield OUTPUT, bytes(out)
+        return None
+
 
+def is_container(data: bytes) -> bool:
+    """Whether ``members`` can open it by itself: a zip by its header, a tar, also a compressed one, or a gzip."""
+    return data[:4] == b"PK\x03\x04" and zipfile.is_zipfile(io.BytesIO(data)) or data[:2] == b"\x1f\x8b" or _tar(data) is not None
 
-#: What the readers above raise for a container that is cut short, damaged, locked or packed in a way they don't know.
+
+#: What readers raise for a container that is cut short, damaged, locked or packed in a way they don't know.
 DAMAGED = (zipfile.BadZipFile, tarfile.TarError, zlib.error, lzma.LZMAError, EOFError, OSError, RuntimeError, ValueError)
 
 #: Takes a blob's bytes and gives its members, or none where it isn't its kind of container: for formats that need a tool of
-#: their own. Tried in order, after the containers above.
+#: their own, such as ``carving.extractor``. Tried in order, after the containers above.
 Extractor = Callable[[bytes], "list[tuple[str, bytes]]"]
 
 
 def members(data: bytes, extractors: tuple[Extractor, ...] = ()) -> Iterator[tuple[str, bytes]]:
-    """Members by the first reader that finds any."""
-    found = False
-    for name, body in entries(data):
-        found = True
-        yield name, body
-    for more in extractors:
-        if not found:
-            for name, body in more(data):
-                found = True
-                yield inside(name), body
-
-
-def leaves(job: str, path: str, data: bytes, digest, extractors: tuple[Extractor, ...] = ()) -> Iterator[tuple]:
-    """Leaves of a blob by depth-first order, holding one member a level; ids are derived from the job and the path within, so
-    reruns agree. Raises where a defence trips or a container is damaged."""
-    made = 0
-
-    def step(body: bytes, trail: str, parent: str | None, depth: int) -> Iterator[tuple]:
-        nonlocal made
-        if depth > MOST_DEPTH:
-            raise Unsafe("recursion_depth")
-        own, container = digest(f"{job}\n{trail}"), False
-        for name, child in members(body, extractors):
-            container = True
-            made += len(child)
-            check_ratio(len(data), made)
-            yield from step(child, f"{trail}/{name}", own, depth + 1)
-        if not container:
-            yield (job, own, parent, trail, depth, len(body), body, None)
-
-    return step(data, path, None, 0)
-
-
-def walk(job: str, path: str, data: bytes, digest, extractors: tuple[Extractor, ...] = ()) -> Iterator[tuple]:
-    """Leaves of a blob. A job that trips a defence, or holds a damaged container, has one row with its layer in place of all its
-    leaves: leaves over ``KEPT`` bytes are not kept until that is known, but unpacked again."""
-    kept: list[tuple] = []
-    size = 0
+    """Regular members of a container in the order of their names, one at a time; of equal names the last. None for anything else.
+    Names, links and declared sizes are checked before a byte is unpacked, gzip as it streams; links are left out."""
+    if data[:4] == b"PK\x03\x04" and zipfile.is_zipfile(io.BytesIO(data)):
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            infos = [i for i in z.infolist() if not i.is_dir()]
+            check_ratio(len(data), sum(i.file_size for i in infos))
+            kept = {}
+            for i in infos:
+                name = inside(i.filename)
+                if stat.S_ISLNK(i.external_attr >> 16 & 0xFFFF):
+                    check_link(i.filename, z.read(i).decode(errors="replace"))
+                else:
+                    kept[name] = i
+            yield from ((name, z.read(kept[name])) for name in sorted(kept))
+    elif (t := _tar(data)) is not None:
+        with t:
+            try:
+                infos = t.getmembers()
+            except DAMAGED:
+                if data[:2] == b"\x1f\x8b":  # a gzip that only looked like a tar
+                    yield OUTPUT, _gunzipped(data)
+                    return
+                raise
+            check_ratio(len(data), sum(m.size for m in infos if m.isreg()))
+            kept = {}
+            for m in infos:
+                name = inside(m.name)
+                if m.issym() or m.islnk():
+                    check_link(m.name, m.linkname)
+                elif m.isreg():
+                    kept[name] = m
+            yield from ((name, t.extractfile(kept[name]).read()) for name in sorted(kept))
+    elif data[:2] == b"\x1f\x8b":
+        yield OUTPUT, _gunzipped(data)
+    else:
+        for more in extractors:
+            found = sorted(dict((inside(name), body) for name, body in more(data)).items())
+            yield from found
+            if found:
+                return
+
+
+def _gunzipped(data: bytes) -> bytes:
+    out = bytearray()
+    with gzip.open(io.BytesIO(data)) as g:
+        while part := g.read(1 << 20):
+            out += part
+            check_ratio(len(data), len(out))
+    return bytes(out)
+
+
+#: What opening a blob gives. ``place`` orders a job's entries as a walk that goes down first meets them; ``kind`` is leaf,
+#: container (perhaps: it is to be opened at the next level) or error.
+OPENED = "root long, job_id string, path string, size_in long, name string, parent string, place string, depth int, size long, kind string, layer string, content binary"
+KINDS = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+NAMES = [x.split()[0] for x in OPENED.split(", ")]
+
+
+def _of(row: dict, extractors: tuple[Extractor, ...]) -> Iterator[tuple]:
+    """Rows of OPENED for one blob: its members, or itself as a leaf where it has none. What a container gave before it turned out
+    to be unsafe comes too: places behind the error's don't count."""
+    own = (row["root"], row["job_id"], row["path"], row["size_in"])
+    any_member = False
     try:
-        for leaf in leaves(job, path, data, digest, extractors):
-            size += leaf[5]
-            if size <= KEPT:
-                kept.append(leaf)
+        for i, (name, body) in enumerate(members(row["content"], extractors)):
+            any_member, depth = True, row["depth"] + 1
+            at = (*own, f"{row['name']}/{name}", row["name"], f"{row['place']}/{i:08d}", depth, len(body))
+            if depth > MOST_DEPTH:
+                yield (*at, "error", "recursion_depth", None)
             else:
-                kept.clear()
+                yield (*at, "container" if extractors or is_container(body) else "leaf", None, body)
+        if not any_member:
+            yield (*own, row["name"], row["parent"], row["place"], row["depth"], len(row["content"]), "leaf", None, row["content"])
     except (Unsafe, *DAMAGED) as e:
         layer = e.args[0] if isinstance(e, Unsafe) else "bad_container"
-        yield (job, None, None, path, None, None, None, layer)
-        return
-    yield from kept if size <= KEPT else leaves(job, path, data, digest, extractors)
-
-
-def _unpacked(batches: Iterator[pa.RecordBatch], extractors: tuple[Extractor, ...] = ()) -> Iterator[pa.RecordBatch]:
-    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.string()]
-    names = [x.split()[0] for x in ENTRY.split(", ")]
+        yield (*own, row["name"], row["parent"], row["place"], row["depth"], 0, "error", layer, None)
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
+def _opened(batches: Iterator[pa.RecordBatch], extractors: tuple[Extractor, ...]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     size = 0
+    batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], NAMES)
     for batch in batches:
         for i in range(batch.num_rows):
-            job, path, content = (c[0].as_py() for c in batch.slice(i, 1).columns)
-            for leaf in walk(job or "", path or "", content or b"", digest, extractors):
-                rows.append(leaf)
-                size += leaf[5] or 0
+            for found in _of(batch.slice(i, 1).to_pylist()[0], extractors):
+                rows.append(found)
+                size += found[8]
                 if size >= KEPT or len(rows) >= MOST_ROWS:
-                    yield batch_of(rows)
+                    yield batch_of()
                     rows, size = [], 0
     if rows:
-        yield batch_of(rows)
+        yield batch_of()
+
+
+def rejections(entries: DataFrame, most: int = MOST_RATIO) -> DataFrame:
+    """(root, place, layer): what turns a job away first, of ``entries`` (root, place, depth, size, size_in, kind, layer) known so far: an
+    error, or the entry with which the output of the whole job is over ``most`` times its input. Only such jobs' entries are put in order."""
+    errors = entries.where("kind = 'error'").select("root", "place", F.lit(1).alias("turn"), "layer")
+    made = entries.where("depth > 0")
+    over = made.groupBy("root").agg(F.sum("size").alias("made"), F.first("size_in").alias("size_in")).where((F.col("size_in") > 0) & (F.col("made") > F.col("size_in") * most)).select("root")
+    walked = running_output(made.join(over, "root", "left_semi"), "root", ["place"], "size", "size_in", most)
+    tripped = walked.where("tripped").select("root", "place", F.lit(0).alias("turn"), F.lit("decompression_ratio").alias("layer"))
+    first = errors.unionAll(tripped).groupBy("root").agg(F.min(F.struct("place", "turn", "layer")).alias("first"))
+    return first.select("root", "first.place", "first.layer")
 
 
 def unpack(blobs: DataFrame, extractors: tuple[Extractor, ...] = ()) -> DataFrame:
-    """Leaves (layer null) and rejected jobs (layer set) of ``blobs`` (job_id, path, content)."""
-    return blobs.select("job_id", "path", "content").mapInArrow(lambda batches: _unpacked(batches, extractors), ENTRY)
+    """Leaves (layer null) and rejected jobs (layer set) of ``blobs`` (job_id, path, content): (job_id, sub_blob_id, parent_blob_id, name,
+    depth, size, content, layer).
+
+    Containers are opened level by level, all of one level together, so the members of one large blob are worked on by many
+    tasks. A blob that trips a defence, or holds a damaged container, has one row with the layer that a walk through it, down
+    first, meets first; what comes later in that order is no longer opened. Ids are derived from the job and the path within,
+    so reruns agree; rows that are repeated are unpacked each. Null contents count as empty, null ids and paths as ''.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    body = F.coalesce("content", F.lit(b""))
+    level = blobs.select(F.monotonically_increasing_id().alias("root"), text("job_id").alias("job_id"), text("path").alias("path"), F.length(body).cast("long").alias("size_in"), body.alias("content"))
+    level = level.withColumns({"name": F.col("path"), "parent": F.lit(None).cast("string"), "place": F.lit(""), "depth": F.lit(0)})
+    levels, first = [], None
+    while True:
+        level = level.select("root", "job_id", "path", "size_in", "name", "parent", "place", "depth", "content")
+        found = materialise(level.mapInArrow(lambda batches: _opened(batches, extractors), OPENED), "level")
+        levels.append(found)
+        # a container without members comes a second time, as a leaf: its size counts where it was made
+        made = [x.drop("content").withColumn("size", F.when(F.col("depth") == i + 1, F.col("size")).otherwise(0)) for i, x in enumerate(levels)]
+        entries = reduce(DataFrame.unionAll, made)
+        first = materialise(rejections(entries), "rejected")
+        level = found.where("kind = 'container'")
+        if level.isEmpty():
+            break
+        on = first.select("root", F.col("place").alias("stop"))
+        level = spread(level.join(on, "root", "left").where(F.col("stop").isNull() | (F.col("place") < F.col("stop"))), "root", "place")
+        if level.isEmpty():
+            break
+    digest = lambda c: F.when(F.col(c).isNotNull(), F.sha2(F.concat_ws("\n", "job_id", c), 256))
+    leaves = reduce(DataFrame.unionAll, levels).where("kind = 'leaf'").join(first, "root", "left_anti")
+    leaves = leaves.select("job_id", digest("name").alias("sub_blob_id"), digest("parent").alias("parent_blob_id"), "name", "depth", "size", "content", F.lit(None).cast("string").alias("layer"))
+    turned = levels[0].select("root", "job_id", "path").distinct().join(first, "root")
+    none = lambda kind: F.lit(None).cast(kind)
+    return leaves.unionAll(turned.select("job_id", none("string"), none("string"), "path", none("int"), none("long"), none("binary"), "layer"))
 
 
 def lineage(edges: DataFrame, most: int = MOST_DEPTH) -> DataFrame:

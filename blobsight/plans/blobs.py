@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import bz2
 import gzip
 import io
+import lzma
 import struct
 import tarfile
 import zipfile
+import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blobsight.functions import binary, text
-from blobsight.operators import embedding, similarity, static_analysis, triage, unpack
+from blobsight.operators import carving, embedding, similarity, static_analysis, triage, unpack
 from blobsight.plans.registry import Tables, query
 from blobsight.sources.events import sha256_ok
 
@@ -246,6 +249,73 @@ def archive_entries(t: Tables) -> DataFrame:
     return unpack.unpack(jobs.join(F.broadcast(archives), "kind")).select("job_id", "name", "depth", "size", "layer", F.sha2("content", 256).alias("sha256"))
 
 
+def crafted_images() -> list[tuple[str, int | None, bytes]]:
+    """An image of each format, with the length that its headers give (None: they don't), and its bytes."""
+    body, pad = b"firmware " * 20, lambda x, n: x + b"\0" * (-len(x) % n)
+
+    def node(kind: int, size: int) -> bytes:
+        head = struct.pack("<HHI", 0x1985, kind, size)
+        return pad(head + struct.pack("<I", zlib.crc32(head, 0xFFFFFFFF) ^ 0xFFFFFFFF) + b"n" * (size - 12), 4)
+
+    def newc(name: bytes, data: bytes) -> bytes:
+        fields = [1, 0o100644, 0, 0, 1, 0, len(data), 0, 0, 0, 0, len(name) + 1, 0]
+        return pad(pad(b"070701" + b"".join(b"%08X" % f for f in fields) + name + b"\0", 4) + data, 4)
+
+    uimage = struct.pack(">IIIIIIIBBBB32s", 0x27051956, 0, 0, len(body), 0, 0, 0, 5, 5, 2, 1, b"linux")
+    uimage = uimage[:4] + struct.pack(">I", zlib.crc32(uimage)) + uimage[8:] + body
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as z:
+        z.writestr(zipfile.ZipInfo("a"), body)
+        z.writestr(zipfile.ZipInfo("b"), body * 2)
+    tarred = io.BytesIO()
+    with tarfile.open(fileobj=tarred, mode="w") as z:
+        for name in ("a", "b"):
+            info = tarfile.TarInfo(name)
+            info.size = len(body)
+            z.addfile(info, io.BytesIO(body))
+    elf_image = elf(True, True, "full")
+    pe = b"MZ" + b"\0" * 58 + struct.pack("<I", 64) + b"PE\0\0" + struct.pack("<HHIIIHH", 0x14C, 1, 0, 0, 0, 0, 2) + struct.pack("<8sIIIIIIHHI", b".text", 1, 1, len(body), 128, 0, 0, 0, 0, 0) + body
+    return [
+        ("elf", len(elf_image) - 32, elf_image),
+        ("squashfs", 300, b"hsqs" + b"\1" * 24 + struct.pack("<HH", 4, 0) + b"\1" * 8 + struct.pack("<Q", 300) + b"\1" * 252),
+        ("jffs2", 136, node(0x2003, 12) + node(0xE001, 41) + node(0xE002, 80)),
+        ("ubi", None, b"UBI#\1\0\0\0" + b"\1" * 56),
+        ("ubifs", None, b"UBI!\1\1" + b"\1" * 58),
+        ("cramfs", 200, struct.pack("<III4x16s", 0x28CD3D45, 200, 0, b"Compressed ROMFS") + b"\1" * 168),
+        ("uimage", len(uimage), uimage),
+        ("dtb", 120, struct.pack(">10I", 0xD00DFEED, 120, 56, 100, 40, 17, 16, 0, 10, 20) + b"\1" * 80),
+        ("zip", len(made.getvalue()), made.getvalue()),
+        ("gzip", None, gzip.compress(body, mtime=0)),
+        ("bzip2", None, bz2.compress(body)),
+        ("xz", None, lzma.compress(body)),
+        ("lzma", None, lzma.compress(body, lzma.FORMAT_ALONE)),
+        ("zstd", None, bytes.fromhex("28B52FFD20") + b"\1" * 20),
+        ("cpio", len(newc(b"a", body) + newc(b"TRAILER!!!", b"")), newc(b"a", body) + newc(b"TRAILER!!!", b"")),
+        ("pe", 128 + len(body), pe),
+        ("tar", 2 * (512 + -(-len(body) // 512) * 512), tarred.getvalue()),
+    ]
+
+
+IMAGES = ", ".join(f"({i}, '{name}', {'NULL' if length is None else length}, {len(data)})" for i, (name, length, data) in enumerate(crafted_images()))
+
+
+def with_images(t: Tables) -> DataFrame:
+    """Blobs of a document's text, an image, the text again and the next image, by turns of the document's id."""
+    made = crafted_images()
+    images = t.spark.createDataFrame([(i, made[i][2], made[(i + 1) % len(made)][2]) for i in range(len(made))], "kind int, one binary, two binary")
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    rows = t.documents.withColumn("kind", F.pmod("doc_id", F.lit(len(made))).cast("int")).join(F.broadcast(images), "kind")
+    return rows.select(F.col("doc_id").cast("string").alias("job_id"), F.lit("blob").alias("path"), F.concat(text, "one", text, "two").alias("content"))
+
+
+@query(f"""WITH i AS (SELECT * FROM (VALUES {IMAGES}) v(kind, format, length, size)), d AS (SELECT doc_id, (doc_id % {len(crafted_images())})::INT AS k, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+ w AS (SELECT doc_id, n, a.format AS fa, a.length AS la, a.size AS sa, b.format AS fb, b.length AS lb, b.size AS sb FROM d JOIN i a ON a.kind = k JOIN i b ON b.kind = (k + 1) % {len(crafted_images())})
+ SELECT doc_id::VARCHAR AS job_id, n AS "offset", fa AS format, la::BIGINT AS length, n + coalesce(la, sa + n) AS until FROM w UNION ALL SELECT doc_id::VARCHAR, 2 * n + sa, fb, lb, 2 * n + sa + coalesce(lb, sb) FROM w""")
+def carve_offsets(t: Tables) -> DataFrame:
+    """Images of all formats found between the documents' texts, wherever they begin."""
+    return carving.carve(with_images(t)).select("job_id", "offset", "format", "length", "until")
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, total, total > 3 * 20 AS tripped FROM (SELECT *, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS UNBOUNDED PRECEDING) AS total FROM lineitem)")
 def cumulative_ratio(t: Tables) -> DataFrame:
     rows = unpack.running_output(t.lineitem.withColumn("size_in", F.lit(20)), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], "l_quantity", "size_in", 3)
