@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blobsight.functions import families
 from blobsight.operators import corpus, embedding, feedback, rag, report
 from blobsight.plans.registry import Tables, query
+from blobsight.scratch import materialise
 from blobsight.sources import events as contracts
 from blobsight.sources import stores
+from blobsight.streaming import failures
 from blobsight.streaming import jobs as streams
 
 #: Topics in place of the driver's event types.
@@ -74,13 +78,36 @@ def dlq_split(t: Tables) -> DataFrame:
     return contracts.validated(t.events.select("event_id", value.alias("value")), "firmware.completed").select("event_id", "error")
 
 
-@query("""SELECT event_id, CASE WHEN own THEN 'SKIPPED' WHEN attempt >= 5 THEN 'EXHAUSTED' WHEN row_number() OVER (PARTITION BY user_id, own ORDER BY attempt, event_id) > 1 THEN 'BLOCKED' ELSE 'RETRIED' END AS action,
- CASE WHEN attempt > 1 THEN 0.5 * (2 ** (attempt - 1) - 1) ELSE 0.0 END AS waited FROM (SELECT event_id, user_id, event_type = 'error' AS own, event_id % 7 AS attempt FROM events)""")
+@query("""WITH l AS (SELECT event_id, ts, coalesce(CASE WHEN user_id % 3 <> 0 THEN user_id::VARCHAR END, 'unknown') AS job, event_type = 'error' AS own FROM events),
+ h AS (SELECT user_id::VARCHAR AS job, max(ts) AS until FROM events WHERE event_type = 'signup' GROUP BY 1)
+ SELECT event_id, l.job AS job_id, CASE WHEN own THEN 'SKIPPED' WHEN until > ts THEN 'BLOCKED' ELSE 'RETRIED' END AS action FROM l LEFT JOIN h USING (job)""")
 def dlq_replay_status(t: Tables) -> DataFrame:
-    payload = F.to_json(F.struct(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("at"), F.col("user_id").cast("string").alias("job_id")))
-    letters = t.events.select("event_id", F.when(F.col("event_type") == "error", "firmware.dlq").otherwise("firmware.matched").alias("original_topic"), payload.alias("payload"), (F.col("event_id") % 7).cast("int").alias("attempt"))
-    waited = F.aggregate(streams.pauses(F.col("attempt")), F.lit(0.0), lambda a, x: a + x)
-    return streams.replay_plan(letters).select("event_id", "action", waited.alias("waited"))
+    """What becomes of dead letters at the time of their events, where a user's last signup is the end of a lease on the user's letters."""
+    payload = F.to_json(F.struct(F.when(F.col("user_id") % 3 != 0, F.col("user_id").cast("string")).alias("job_id")))
+    letters = t.events.select("event_id", "ts", F.when(F.col("event_type") == "error", "firmware.dlq").otherwise("firmware.matched").alias("original_topic"), payload.alias("payload"))
+    held = t.events.where("event_type = 'signup'").select(F.col("user_id").cast("string").alias("job_id"), F.col("ts").alias("until"))
+    return failures.replay_plan(letters, held, F.col("ts")).select("event_id", "job_id", "action")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 > 1 THEN 0.5 * (2 ** (event_id % 7 - 1) - 1) ELSE 0.0 END AS waited FROM events")
+def backoff(t: Tables) -> DataFrame:
+    waited = F.aggregate(failures.pauses((F.col("event_id") % 7).cast("int")), F.lit(0.0), lambda a, x: a + x)
+    return t.events.select("event_id", waited.alias("waited"))
+
+
+@query("""WITH m AS (SELECT max(value) AS v FROM events) SELECT event_id, CASE WHEN value = v THEN 'letter' ELSE 'result' END AS became, CASE WHEN value < v THEN round(1 / (v - value), 6) END AS result FROM events, m""")
+def stage_failures(t: Tables) -> DataFrame:
+    """A stage that divides by what an event lacks to the greatest value, and so fails with the greatest: these alone become letters."""
+    most = t.events.agg(F.max("value")).first()[0]
+    rows, done = t.events.select("event_id", "value"), []
+
+    def stage(some: DataFrame) -> None:
+        gap = F.lit(most) - F.col("value")
+        checked = F.when(gap > 0, 1 / gap).otherwise(F.raise_error(F.lit("no gap")).cast("double"))
+        done.append(materialise(some.select("event_id", F.lit("result").alias("became"), F.round(checked, 6).alias("result")), "stage"))
+
+    failed = failures.isolated(rows, stage)
+    return reduce(DataFrame.unionAll, done).unionAll(failed.select("event_id", F.lit("letter"), F.lit(None).cast("double")))
 
 
 def verdicts(t: Tables) -> tuple[DataFrame, DataFrame]:

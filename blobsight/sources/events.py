@@ -43,7 +43,7 @@ def message_key(key: Column, value: Column) -> Column:
 
 def validated(rows: DataFrame, topic: str, value: str = "value") -> DataFrame:
     """Adds ``event`` (null if invalid) and ``error`` (null if valid) to JSON rows: not an object, an unknown field, a missing
-    one, a value of the wrong type, or one out of range."""
+    one, a value of the wrong type, or one out of range. A SHA-256 comes out in lower case, without blanks around it."""
     kind = schema(topic)
     names = [f.name for f in kind]
     keys = F.map_keys(F.from_json(value, "map<string, string>"))
@@ -72,6 +72,8 @@ def validated(rows: DataFrame, topic: str, value: str = "value") -> DataFrame:
     error = F.lit(None).cast("string")
     for bad, name in reversed(checks):
         error = F.when(bad, name).otherwise(error)
+    if "sha256" in names:
+        e = e.withField("sha256", F.lower(F.trim(e["sha256"])))
     rows = rows.withColumn("error", error).withColumn("event", F.when(F.col("error").isNull(), e))
     return rows.drop("_keys", "_event")
 

@@ -1,9 +1,9 @@
-"""Streams: idempotent intake, the completion gate, dead letters and their replay, progress."""
+"""Streams: idempotent intake, the completion gate, stages and their dead letters, progress."""
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -16,10 +16,9 @@ from blobsight.operators.embedding import Embedder, embedded
 from blobsight.scratch import materialise
 from blobsight.sources.events import message_key, validated
 from blobsight.sources.stores import Versions, merge_slots
+from blobsight.streaming.failures import isolated
 
 WINDOW = "24 hours"
-#: Attempts of a replay and the first pause in seconds, doubled each time.
-ATTEMPTS, PAUSE = 5, 0.5
 
 
 def claimed(messages: DataFrame, window: str = WINDOW) -> DataFrame:
@@ -128,21 +127,36 @@ def split(messages: DataFrame, topic: str) -> tuple[DataFrame, DataFrame]:
     """Valid events, and the dead letters of all others; a bad message never holds up the rest."""
     rows = validated(messages, topic)
     good = rows.where("error is null").select("event.*")
-    bad = rows.where("error is not null").select(F.lit(topic).alias("original_topic"), F.col("value").alias("payload"), "error", F.current_timestamp().alias("failed_at"))
-    return good, bad
+    return good, _letters(rows.where("error is not null"), topic)
+
+
+def _letters(rows: DataFrame, topic: str) -> DataFrame:
+    return rows.select(F.lit(topic).alias("original_topic"), F.col("value").alias("payload"), "error", F.current_timestamp().alias("failed_at"))
 
 
 def run_stage(messages: DataFrame, topic: str, stage: Callable[[DataFrame], DataFrame], out: str, dead: str, checkpoint: str):
     """A stage as a streaming query: each micro-batch is validated and split, results and dead letters go to their tables, in a
     folder (and column) ``batch`` by its number. A batch that is tried again after a failure writes over what it left.
-    ``availableNow`` suits an external scheduler."""
+    Messages with which the stage fails become dead letters with its error, and the rest goes on; the stage maps events on
+    their own, then. ``availableNow`` suits an external scheduler."""
 
     def each(batch: DataFrame, number: int) -> None:
         batch.persist()
-        good, bad = split(batch, topic)
-        stage(good).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        bad.write.mode("overwrite").parquet(f"{dead}/batch={number}")
-        batch.unpersist()
+        try:
+            good, bad = split(batch, topic)
+            put = lambda rows: rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+            try:
+                put(stage(good))
+            except Exception:  # whatever the stage raises: told apart by rows below, or raised again
+                sound = validated(batch, topic).where("error is null").drop("event", "error")
+                done: list[DataFrame] = []
+                failed = isolated(sound, lambda some: done.append(materialise(stage(split(some, topic)[0]), "stage")))
+                put(reduce(DataFrame.unionByName, done) if done else stage(good.limit(0)))
+                if failed is not None:
+                    bad = bad.unionByName(_letters(failed, topic))
+            bad.write.mode("overwrite").parquet(f"{dead}/batch={number}")
+        finally:
+            batch.unpersist()
 
     return _started(messages, each, checkpoint)
 
@@ -213,37 +227,3 @@ def index_completed(stream: DataFrame, reports: DataFrame, path: str, checkpoint
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(path)
 
     return _started(stream, each, checkpoint)
-
-
-def pauses(attempts: Column | int = ATTEMPTS, first: float = PAUSE) -> Column:
-    """Seconds before each further attempt: doubled from ``first``."""
-    n = attempts if isinstance(attempts, Column) else F.lit(attempts)
-    return F.when(n > 1, F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.lit(first) * F.pow(F.lit(2.0), i))).otherwise(F.array().cast("array<double>"))
-
-
-def replay_plan(letters: DataFrame, most: int = ATTEMPTS) -> DataFrame:
-    """Adds ``action`` to dead letters (original_topic, payload, attempt): SKIPPED for letters about letters, BLOCKED behind another
-    letter of the job, EXHAUSTED from ``most`` attempts on, else RETRIED; one letter of a job at a time."""
-    from pyspark.sql import Window
-
-    rows = letters.withColumn("job_id", F.get_json_object("payload", "$.job_id"))
-    own = F.coalesce(F.col("original_topic") == "firmware.dlq", F.lit(False))
-    order = Window.partitionBy(F.coalesce("job_id", F.sha2("payload", 256)), own).orderBy("attempt", "payload")
-    place = F.row_number().over(order)
-    return rows.withColumn("action", F.when(own, "SKIPPED").when(F.col("attempt") >= most, "EXHAUSTED").when(place > 1, "BLOCKED").otherwise("RETRIED"))
-
-
-def replay(letters: DataFrame, emit: Callable[[DataFrame], None], most: int = ATTEMPTS, first: float = PAUSE, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """Emit again what ``replay_plan`` lets through, as messages (key, value, topic) handed to ``emit`` at once, and give all letters
-    with what became of them. An emit that fails is tried again after pauses that double; one that fails ``most`` times leaves
-    its letters EXHAUSTED."""
-    plan = materialise(replay_plan(letters, most), "replay")
-    messages = plan.where("action = 'RETRIED'").select(F.col("job_id").alias("key"), F.col("payload").alias("value"), F.col("original_topic").alias("topic"))
-    for attempt in range(1, most + 1):
-        try:
-            emit(messages)
-            return plan
-        except Exception:  # whatever the sink raises
-            if attempt < most:
-                sleep(first * 2 ** (attempt - 1))
-    return plan.withColumn("action", F.when(F.col("action") == "RETRIED", "EXHAUSTED").otherwise(F.col("action")))

@@ -430,20 +430,6 @@ def test_tables_of_jobs_and_feedback(spark, tmp_path):
     assert rows["zlib"] == 0.95 and rows["openssl"] == families.HIGH and len(rows) == len(families.FAMILIES)
 
 
-def test_replay_emits(spark, tmp_path):
-    ok = json.dumps({"job_id": "j"})
-    letters = spark.createDataFrame([("firmware.matched", ok, 0), ("firmware.matched", ok, 1), ("firmware.dlq", ok, 0), ("firmware.triaged", json.dumps({"job_id": "k"}), 7)], "original_topic string, payload string, attempt int")
-    out, waits = str(tmp_path / "sent"), []
-    found = jobs.replay(letters, lambda m: jobs.sink(m, path=out))
-    assert sorted(r.action for r in found.collect()) == ["BLOCKED", "EXHAUSTED", "RETRIED", "SKIPPED"]
-    assert [(r.topic, r.key, r.value) for r in spark.read.parquet(out).collect()] == [("firmware.matched", "j", ok)]
-
-    def fails(m):
-        raise OSError("no broker")
-
-    assert sorted(r.action for r in jobs.replay(letters, fails, sleep=waits.append).collect()) == ["BLOCKED", "EXHAUSTED", "EXHAUSTED", "SKIPPED"] and waits == [0.5, 1.0, 2.0, 4.0]
-
-
 def test_progress_slots_and_indexes_of_streams(spark, tmp_path):
     def feed_in(name, schema, *rows):
         spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
