@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from blobsight.functions import families
 from blobsight.operators import corpus, embedding, feedback, rag, report
 from blobsight.plans.registry import Tables, query
-from blobsight.scratch import materialise
+from blobsight.scratch import materialise, new_path
 from blobsight.sources import events as contracts
 from blobsight.sources import stores
+from blobsight.sources.tables import MergeTable, replacing
 from blobsight.streaming import failures
 from blobsight.streaming import jobs as streams
 
@@ -110,6 +111,19 @@ def stage_failures(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionAll, done).unionAll(failed.select("event_id", F.lit("letter"), F.lit(None).cast("double")))
 
 
+@query("""WITH e AS (SELECT user_id, event_type, event_id, value, ts, (event_id * 4) // (SELECT max(event_id) + 1 FROM events) AS part FROM events)
+ SELECT user_id, event_type, event_id, value FROM e WHERE part < 3 OR event_type <> 'view' QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""")
+def merged_table(t: Tables) -> DataFrame:
+    """The last event of each user and kind, from four batches merged into a table; the last batch comes without its views, and the second one twice."""
+    table = MergeTable(t.spark, new_path(t.spark, "merged"), "user_id long, event_type string, event_id long, value double, last struct<ts: timestamp, event_id: long>", ["user_id", "event_type"], buckets=8)
+    rows = t.events.select(F.col("user_id").cast("long"), "event_type", "event_id", "value", F.struct("ts", "event_id").alias("last"))
+    most = t.events.agg(F.max("event_id") + 1).first()[0]
+    for part in (0, 1, 1, 2, 3):
+        some = rows.where(F.floor(F.col("event_id") * 4 / F.lit(most)) == part).where(F.lit(part < 3) | (F.col("event_type") != "view"))
+        table.merge(some, replacing(["user_id", "event_type"], "last"), "parts", part)
+    return table.read().drop("last")
+
+
 def verdicts(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Labels as verdicts on documents, and languages as families of these."""
     verdict = F.when(F.col("toxic") == 1, "false_positive").when(F.col("quality") == 1, "confirmed").otherwise("needs_review")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from blobsight.functions import families
 from blobsight.operators.corpus import latest
 from blobsight.operators.feedback import VERDICTS
-from blobsight.scratch import files
 
 # Where a job's files are.
 KEYS = {"upload": "raw-uploads/%s/original.bin", "report": "reports/%s/report.json", "sbom": "reports/%s/sbom.json", "sub_blob": "extracted/%s/%s.bin"}
@@ -43,28 +42,6 @@ def merge_slots(old: DataFrame, new: DataFrame, order: str = "updated_at") -> Da
     return latest(old.unionByName(fresh), keys, F.desc(order))
 
 
-class Versions:
-    """A table that is replaced as a whole, by numbered versions under ``path``. A version that is written again replaces itself, so a
-    batch that is tried again changes nothing; readers see the last one that was finished."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def numbers(self) -> list[int]:
-        fs, at = files(self.spark, self.path)
-        names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
-        return sorted(n for n in (int(x[8:]) for x in names if x.startswith("version=")) if fs.exists(files(self.spark, f"{self.path}/version={n}/_SUCCESS")[1]))
-
-    def current(self, below: int | None = None) -> DataFrame:
-        known = [n for n in self.numbers() if below is None or n < below]
-        if not known:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/version={known[-1]}")
-
-    def write(self, rows: DataFrame, number: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/version={number}")
-
-
 def register_upload(jobs: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows of the jobs table and firmware.uploaded events for ``jobs`` (job_id, uploaded_by): the object's key follows from the job."""
     rows = jobs.select("job_id", "uploaded_by", key("upload", F.col("job_id")).alias("s3_key"), (now if now is not None else F.current_timestamp()).alias("uploaded_at"))

@@ -15,7 +15,8 @@ from blobsight.operators import rag
 from blobsight.operators.embedding import Embedder, embedded
 from blobsight.scratch import materialise
 from blobsight.sources.events import message_key, validated
-from blobsight.sources.stores import Versions, merge_slots
+from blobsight.sources.stores import merge_slots
+from blobsight.sources.tables import MergeTable
 from blobsight.streaming.failures import isolated
 
 WINDOW = "24 hours"
@@ -182,10 +183,10 @@ def sink(messages: DataFrame, format: str = "parquet", **options: str) -> None:
     (writer if format == "kafka" else writer.mode("append").partitionBy("topic")).save()
 
 
-def slots(stream: DataFrame, table: Versions, checkpoint: str, order: str = "updated_at"):
-    """Partial results of a stream merged into a table of slots, a version a batch: the last write of a slot wins, and a finished
-    job's slots stay."""
-    return _started(stream, lambda batch, n: table.write(merge_slots(table.current(below=n), batch, order), n), checkpoint)
+def slots(stream: DataFrame, table: MergeTable, checkpoint: str, order: str = "updated_at"):
+    """Partial results of a stream merged into a table of slots by job: the last write of a slot wins, and a finished job's slots
+    stay. A batch rewrites the buckets of its jobs alone, and once, however often it is tried."""
+    return _started(stream, lambda batch, n: table.merge(batch, lambda old, new: merge_slots(old, new, order), "slots", n), checkpoint)
 
 
 #: A job's progress as it is kept from batch to batch.
@@ -199,17 +200,6 @@ def progress_of(events: DataFrame) -> DataFrame:
     return events.where("job_id is not null").groupBy("job_id").agg(n("extracted"), n("analyzed"), n("matched"), F.count("*").alias("events"), F.bool_or(F.col("topic") == "extraction_complete").alias("marker"), F.max(F.struct("ts", "topic")).alias("last"), ended.alias("status"))
 
 
-def progress(stream: DataFrame, table: Versions, checkpoint: str):
-    """Progress of jobs folded from a stream of events, one row a job and the last one only, a version a batch."""
-
-    def each(batch: DataFrame, n: int) -> None:
-        both = table.current(below=n).unionByName(progress_of(batch))
-        add = [F.sum(c).alias(c) for c in ("extracted", "analyzed", "matched", "events")]
-        table.write(both.groupBy("job_id").agg(*add, F.bool_or("marker").alias("marker"), F.max("last").alias("last"), F.max_by("status", F.when(F.col("status").isNotNull(), F.col("last"))).alias("status")), n)
-
-    return _started(stream, each, checkpoint)
-
-
 def snapshots(progress: DataFrame) -> DataFrame:
     """(job_id, stage, status, matched, total, total_final, progress, percent) as a client is shown it."""
     percent = F.when(F.col("extracted") > 0, F.round(100.0 * F.col("matched") / F.col("extracted"), 1)).otherwise(0.0)

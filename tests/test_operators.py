@@ -18,7 +18,7 @@ from blobsight.plans import blobs as blob_plans
 from blobsight.plans import flows as flow_plans
 from blobsight.plans.registry import Tables
 from blobsight.plans.stages import Registry, subscriptions
-from blobsight.sources import events, nvd, stores
+from blobsight.sources import events, nvd, stores, tables
 from blobsight.streaming import jobs
 
 
@@ -430,27 +430,18 @@ def test_tables_of_jobs_and_feedback(spark, tmp_path):
     assert rows["zlib"] == 0.95 and rows["openssl"] == families.HIGH and len(rows) == len(families.FAMILIES)
 
 
-def test_progress_slots_and_indexes_of_streams(spark, tmp_path):
+def test_slots_and_indexes_of_streams(spark, tmp_path):
     def feed_in(name, schema, *rows):
         spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
         return spark.readStream.schema(schema).parquet(str(tmp_path / name))
 
     at = lambda s: datetime(2024, 1, 1, 0, 0, s)
-    table = stores.Versions(spark, str(tmp_path / "progress"), jobs.PROGRESS)
-    schema = "job_id string, topic string, ts timestamp"
-    jobs.progress(feed_in("e", schema, ("a", "extracted", at(1)), ("a", "extracted", at(2)), ("a", "matched", at(3)), (None, "dlq", at(4))), table, str(tmp_path / "cp1")).awaitTermination(100)
-    one = jobs.snapshots(table.current()).first()
-    assert (one.progress, one.percent, one.total_final, one.stage, one.status) == ("1/2", 50.0, False, "matched", "running")
-    jobs.progress(feed_in("e", schema, ("a", "extraction_complete", at(5)), ("a", "matched", at(6)), ("a", "completed", at(7)), ("b", "dlq", at(1))), table, str(tmp_path / "cp1")).awaitTermination(100)
-    rows = {r.job_id: (r.progress, r.total_final, r.status) for r in jobs.snapshots(table.current()).collect()}
-    assert rows == {"a": ("2/2", True, "complete"), "b": ("0/0", False, "error")} and table.numbers() == [0, 1]
-
-    slots = stores.Versions(spark, str(tmp_path / "slots"), "job_id string, sub_blob_id string, found int, updated_at timestamp, finalized boolean")
-    slots.write(spark.createDataFrame([("done", "1", 1, at(1), True)], slots.schema), -1)
+    slots = tables.MergeTable(spark, str(tmp_path / "slots"), "job_id string, sub_blob_id string, found int, updated_at timestamp, finalized boolean", ["job_id", "sub_blob_id"])
+    slots.merge(spark.createDataFrame([("done", "1", 1, at(1), True)], slots.schema), tables.replacing(["job_id", "sub_blob_id"]))
     schema = "job_id string, sub_blob_id string, found int, updated_at timestamp"
     jobs.slots(feed_in("s", schema, ("a", "1", 1, at(1)), ("a", "1", 2, at(3)), ("done", "1", 9, at(9))), slots, str(tmp_path / "cp2")).awaitTermination(100)
     jobs.slots(feed_in("s", schema, ("a", "1", 3, at(2)), ("a", "2", 4, at(4))), slots, str(tmp_path / "cp2")).awaitTermination(100)
-    assert sorted((r.job_id, r.sub_blob_id, r.found) for r in slots.current().collect()) == [("a", "1", 2), ("a", "2", 4), ("done", "1", 1)]
+    assert sorted((r.job_id, r.sub_blob_id, r.found) for r in slots.read().collect()) == [("a", "1", 2), ("a", "2", 4), ("done", "1", 1)]
 
     reports = spark.createDataFrame([("a", "summary", [], []), ("b", "other", [], [])], "job_id string, executive_summary string, findings array<struct<cve_id: string, confidence_tier: string, llm_rationale: string>>, components array<struct<vendor: string, product: string, version: string>>")
     for _ in range(2):
