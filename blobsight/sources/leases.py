@@ -14,7 +14,6 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from blobsight.scratch import files
@@ -23,27 +22,28 @@ from blobsight.scratch import files
 SECONDS = 30.0
 
 
-def create_new(spark: SparkSession, path: str, body: bytes) -> bool:
-    """Write a file that isn't there yet; False if it is. The file system decides between two writers at the same time."""
+def publish(spark: SparkSession, path: str, body: bytes) -> bool:
+    """Give a file that isn't there yet its name and its whole content in one step; False if it is there. The file system
+    decides between two writers at the same time."""
     fs, at = files(spark, path)
     fs.mkdirs(at.getParent())
-    local = fs.makeQualified(at).toUri()
-    if local.getScheme() == "file":
+    aside = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+    out = fs.create(files(spark, aside)[1], False)
+    out.write(bytearray(body))
+    out.close()
+    if fs.makeQualified(at).toUri().getScheme() == "file":  # where a rename would replace what is there
+        source, target = (files(spark, p)[1].toUri().getPath() for p in (aside, path))
         try:
-            with os.fdopen(os.open(local.getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY), "wb") as f:
-                f.write(body)
+            os.link(source, target)
+            return True
         except FileExistsError:
             return False
+        finally:
+            fs.delete(files(spark, aside)[1], False)
+    if not fs.exists(at) and fs.rename(files(spark, aside)[1], at):
         return True
-    try:
-        out = fs.create(at, False)
-    except Py4JJavaError as e:
-        if fs.exists(at):
-            return False
-        raise e
-    out.write(bytearray(body))
-    out.close()
-    return True
+    fs.delete(files(spark, aside)[1], False)
+    return False
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -79,16 +79,12 @@ class Leases:
         last = max(turns)
         if f"{last}.back" in names:
             return last, False
-        try:
-            until = json.loads(read_text(self.spark, f"{self.folder}/{name}/{last}"))["until"]
-        except (ValueError, KeyError):  # its owner was lost, or is, between creating and writing it
-            until = fs.getFileStatus(files(self.spark, f"{self.folder}/{name}/{last}")[1]).getModificationTime() / 1000 + self.seconds
-        return last, self.clock() < until
+        return last, self.clock() < json.loads(read_text(self.spark, f"{self.folder}/{name}/{last}"))["until"]
 
     def _take(self, name: str, turn: int) -> Lease | None:
         lease = Lease(name, turn, uuid.uuid4().hex, self.clock() + self.seconds)
         body = json.dumps({"token": lease.token, "until": lease.until}).encode()
-        return lease if create_new(self.spark, f"{self.folder}/{name}/{turn}", body) else None
+        return lease if publish(self.spark, f"{self.folder}/{name}/{turn}", body) else None
 
     def acquire(self, name: str) -> Lease | None:
         """The lease, or None where another one holds it."""
@@ -101,7 +97,7 @@ class Leases:
         return self._take(lease.name, last + 1) if last == lease.turn and runs else None
 
     def release(self, lease: Lease) -> None:
-        create_new(self.spark, f"{self.folder}/{lease.name}/{lease.turn}.back", lease.token.encode())
+        publish(self.spark, f"{self.folder}/{lease.name}/{lease.turn}.back", lease.token.encode())
         fs, _ = files(self.spark, self.folder)
         for turn in range(max(0, lease.turn - 8), lease.turn - 1):  # turns long over
             for name in (str(turn), f"{turn}.back"):

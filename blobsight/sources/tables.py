@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import time
 import uuid
 from collections.abc import Callable
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from blobsight.scratch import files
-from blobsight.sources.leases import create_new, read_text
+from blobsight.sources.leases import publish, read_text
 
 BUCKETS = 64
 #: Versions whose files stay, for readers that have begun with them.
@@ -90,28 +89,11 @@ class MergeTable:
             folders |= {b: f"{new}/_bucket={b}" for b in there}
         batches = was["batches"] | ({writer: number} if number is not None else {})
         body = json.dumps({"buckets": self.buckets, "folders": folders, "batches": batches}).encode()
-        if not self._commit(version + 1, body):
+        if not publish(self.spark, f"{self.path}/manifests/{version + 1}.json", body):
             raise Conflict(f"{self.path}: version {version + 1} is there already")
         self._clean(version + 1)
         return True
 
-    def _commit(self, version: int, body: bytes) -> bool:
-        """Write a manifest aside and give it its name in one step, so that it is whole or not there."""
-        fs, at = files(self.spark, f"{self.path}/manifests/{version}.json")
-        if fs.exists(at) or not create_new(self.spark, f"{self.path}/manifests/{version}.claim", b""):
-            return self._abandoned(version) and self._commit(version, body)
-        aside = f"{self.path}/manifests/.{uuid.uuid4().hex}"
-        create_new(self.spark, aside, body)
-        return fs.rename(files(self.spark, aside)[1], at)
-
-    def _abandoned(self, version: int, seconds: float = 60.0) -> bool:
-        """Whether a claim on a version was left by a writer that is gone; it is removed then."""
-        fs, claim = files(self.spark, f"{self.path}/manifests/{version}.claim")
-        _, done = files(self.spark, f"{self.path}/manifests/{version}.json")
-        if fs.exists(done) or not fs.exists(claim) or time.time() - fs.getFileStatus(claim).getModificationTime() / 1000 < seconds:
-            return False
-        return fs.delete(claim, False)
-
     def _clean(self, version: int) -> None:
         """Remove versions before the last ``KEPT``, and the folders that none of those left names."""
         kept = [n for n in self._numbers() if version - KEPT < n <= version]
@@ -128,8 +110,7 @@ class MergeTable:
                         fs.delete(files(self.spark, f"{self.path}/{f}")[1], True)
                     if f.rsplit("/", 1)[0] not in named:
                         fs.delete(files(self.spark, f"{self.path}/{f.rsplit('/', 1)[0]}")[1], True)
-                for end in ("json", "claim"):
-                    fs.delete(files(self.spark, f"{self.path}/manifests/{n}.{end}")[1], False)
+                fs.delete(files(self.spark, f"{self.path}/manifests/{n}.json")[1], False)
 
 
 def replacing(keys: list[str], order: str | None = None) -> Callable[[DataFrame, DataFrame], DataFrame]:
