@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blobsight.functions import cpe, families, text, vectors
-from blobsight.operators import cells, corpus, embedding, matching, similarity
+from blobsight.operators import cells, corpus, embedding, matching, prefilter, similarity
 from blobsight.plans.registry import Tables, query
 from blobsight.sources.nvd import CVE
 
@@ -141,6 +141,14 @@ def exact_cpe_join(t: Tables) -> DataFrame:
     return lines(t).join(hits, "seq").select("sub_blob_id", "seq", "cve_id")
 
 
+@query("SELECT l_orderkey, l_linenumber, o_totalprice FROM lineitem JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 200000) ON l_orderkey = o_orderkey")
+def prefiltered_join(t: Tables) -> DataFrame:
+    """Lines of costly urgent orders: a filter of these orders' keys drops other lines before the shuffle."""
+    chosen = t.orders.where("o_orderpriority = '1-URGENT' and o_totalprice > 200000").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")
+    left, right = prefilter.prefiltered(t.lineitem.select("l_orderkey", "l_linenumber"), chosen, "l_orderkey")
+    return left.join(right, "l_orderkey").select("l_orderkey", "l_linenumber", "o_totalprice")
+
+
 @query(f"WITH {CANDIDATES}, {RECORDS} SELECT DISTINCT l_orderkey AS sub_blob_id, l_partkey AS seq FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey NOT IN (SELECT p_partkey FROM cand JOIN rec USING (cpe_string))")
 def fallback_anti(t: Tables) -> DataFrame:
     c = candidates(t)
