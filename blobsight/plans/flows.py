@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -13,6 +14,7 @@ from blobsight.plans.registry import Tables, query
 from blobsight.scratch import materialise, new_path
 from blobsight.sources import events as contracts
 from blobsight.sources import stores
+from blobsight.sources.indexes import JobIndexes
 from blobsight.sources.tables import MergeTable, replacing
 from blobsight.streaming import failures
 from blobsight.streaming import jobs as streams
@@ -69,6 +71,20 @@ def latest_wins(t: Tables) -> DataFrame:
     return t.events.groupBy(F.col("user_id").alias("job_id")).agg(last, (F.count("*") - 1).alias("dropped")).select("job_id", "last.event_id", "last.value", "dropped")
 
 
+@query("""WITH j AS (SELECT conv_id, timestamp '2024-01-01 00:00:00' + to_minutes((conv_id % 600)::INT) AS created, turn, text FROM conversations)
+ SELECT conv_id::VARCHAR AS job_id, count(DISTINCT turn || ':' || coalesce(text, '')) AS chunks FROM j WHERE timestamp '2024-01-01 05:30:00' - created <= INTERVAL 1 HOUR GROUP BY 1""")
+def index_sweep(t: Tables) -> DataFrame:
+    """Indexes of conversations, built through ten hours by turns; what a sweep after five and a half leaves of them."""
+    kept, now = JobIndexes(t.spark, new_path(t.spark, "indexes")), datetime(2024, 1, 1, 5, 30, tzinfo=UTC)
+    began = F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.col("job_id").cast("long"), F.lit(600)) * 60)
+    body = F.concat_ws(":", F.col("turn").cast("string"), F.coalesce("text", F.lit("")))
+    chunks = t.conversations.select(F.col("conv_id").cast("string").alias("job_id"), body.alias("text")).distinct()
+    kept.build(chunks.select("job_id", F.sha2("text", 256).alias("id"), "text", F.array().cast("array<float>").alias("embedding")), began)
+    kept.sweep(now)
+    rows = t.spark.read.schema(kept.SCHEMA).option("basePath", kept.path).parquet(kept.path)  # files that are left, alive or not
+    return rows.groupBy("job_id").agg(F.count("*").alias("chunks"))
+
+
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'not a JSON object' WHEN 1 THEN 'unknown field' WHEN 2 THEN 'missing field' WHEN 3 THEN 'status' END AS error FROM events""")
 def dlq_split(t: Tables) -> DataFrame:
     """Messages of one topic, four fifths of them bad in one way each."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from blobsight.scratch import files
+from blobsight.scratch import files, materialise
 from blobsight.sources.leases import publish, read_text
 
 BUCKETS = 64
@@ -75,6 +75,7 @@ class MergeTable:
         version, was = self.manifest()
         if number is not None and was["batches"].get(writer, -1) >= number:
             return False
+        batch = materialise(batch, "batch")  # read for its buckets and again for its rows
         touched = [str(r[0]) for r in batch.select(self.bucket()).distinct().collect()]  # ``buckets`` at most
         folders = dict(was["folders"])
         if touched:

@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from blobsight.operators import rag
+from blobsight.functions import families
+from blobsight.operators import corpus, rag
 from blobsight.operators.embedding import Embedder, embedded
 from blobsight.scratch import materialise
 from blobsight.sources.events import message_key, validated
+from blobsight.sources.indexes import JobIndexes
 from blobsight.sources.stores import merge_slots
-from blobsight.sources.tables import MergeTable
+from blobsight.sources.tables import MergeTable, replacing
 from blobsight.streaming.failures import isolated
 
 WINDOW = "24 hours"
@@ -207,13 +209,24 @@ def snapshots(progress: DataFrame) -> DataFrame:
     return progress.select("job_id", F.col("last.topic").alias("stage"), F.coalesce("status", F.lit("running")).alias("status"), "matched", F.col("extracted").alias("total"), F.coalesce("marker", F.lit(False)).alias("total_final"), text.alias("progress"), percent.alias("percent"))
 
 
-def index_completed(stream: DataFrame, reports: DataFrame, path: str, checkpoint: str, embedder: Embedder | None = None, now: Column | None = None):
-    """An index of its report for each job that a stream of firmware.completed events names: its chunks and their embeddings, in
-    a folder of the job's own, which a second completion replaces."""
+def index_completed(stream: DataFrame, reports: DataFrame, indexes: JobIndexes, checkpoint: str, embedder: Embedder | None = None, now: Column | None = None):
+    """An index of its report for each job that a stream of firmware.completed events names: its chunks and their embeddings. A
+    second completion replaces it."""
 
     def each(batch: DataFrame, n: int) -> None:
         chunks = rag.index_chunks(reports.join(batch.select("job_id").distinct(), "job_id", "left_semi"))
-        rows = chunks.select("job_id", F.sha2("text", 256).alias("id"), "text", embedded(F.col("text"), embedder).alias("embedding"), (now if now is not None else F.current_timestamp()).alias("created_at"))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(path)
+        indexes.build(chunks.select("job_id", F.sha2("text", 256).alias("id"), "text", embedded(F.col("text"), embedder).alias("embedding")), now)
 
     return _started(stream, each, checkpoint)
+
+
+def refreshed(changes: DataFrame, to: MergeTable, checkpoint: str, known=families.FAMILIES, embedder: Embedder | None = None):
+    """A corpus kept up to date from a stream of changed records (``nvd.read_paged(streaming=True)``): flattened, embedded where the table
+    has embeddings, and merged by (cve_id, cpe_string). Changes that are read again, as windows overlap, change nothing."""
+
+    def each(batch: DataFrame, n: int) -> None:
+        new = corpus.records(corpus.latest(batch, ["id"], F.desc_nulls_last("lastModified")), known)
+        new = corpus.with_embeddings(new, embedder) if "embedding" in to.schema.names else new
+        to.merge(new.select(to.schema.names), replacing(["cve_id", "cpe_string"]), "refresh", n)
+
+    return _started(changes, each, checkpoint)

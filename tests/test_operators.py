@@ -18,7 +18,7 @@ from blobsight.plans import blobs as blob_plans
 from blobsight.plans import flows as flow_plans
 from blobsight.plans.registry import Tables
 from blobsight.plans.stages import Registry, subscriptions
-from blobsight.sources import events, nvd, stores, tables
+from blobsight.sources import events, indexes, nvd, stores, tables
 from blobsight.streaming import jobs
 
 
@@ -444,8 +444,9 @@ def test_slots_and_indexes_of_streams(spark, tmp_path):
     assert sorted((r.job_id, r.sub_blob_id, r.found) for r in slots.read().collect()) == [("a", "1", 2), ("a", "2", 4), ("done", "1", 1)]
 
     reports = spark.createDataFrame([("a", "summary", [], []), ("b", "other", [], [])], "job_id string, executive_summary string, findings array<struct<cve_id: string, confidence_tier: string, llm_rationale: string>>, components array<struct<vendor: string, product: string, version: string>>")
+    kept = indexes.JobIndexes(spark, str(tmp_path / "index"))
     for _ in range(2):
-        jobs.index_completed(feed_in("c", "job_id string", ("a",)), reports, str(tmp_path / "index"), str(tmp_path / "cp3")).awaitTermination(100)
-    index = spark.read.parquet(str(tmp_path / "index"))
+        jobs.index_completed(feed_in("c", "job_id string", ("a",)), reports, kept, str(tmp_path / "cp3"), now=F.lit(at(1)).cast("timestamp")).awaitTermination(100)
+    index = kept.read(at(1))
     assert [(r.job_id, r.text, len(r.embedding)) for r in index.collect()] == [("a", "Executive summary: summary", 384)]
     assert rag.retrieve(spark.createDataFrame([("a", "summary"), ("b", "summary")], "job_id string, question string"), index).count() == 1
