@@ -1,13 +1,17 @@
 """Secret scans over an incremental blob ledger.
 
 Every version of every path is content-addressed by SHA-256. The ledger is a folder of two tables: which blobs have been
-scanned under which version of the rules, with what was found; and which path held which blob in which version. A run
-scans only the pairs of blob and rules that the ledger lacks, and joins findings back to all paths that hold the blob,
-now or in an earlier version. A ledger that is opened again goes on from what is in its folder.
+scanned under which version of the rules, with what was found; and which path held which blob in which version. A version
+of the rules is a hash of what they say, so findings are never taken for those of other rules. A run scans only the pairs
+of blob and rules that the ledger lacks, and joins findings back to all paths that hold the blob, now or in an earlier
+version. A ledger that is opened again goes on from what is in its folder. Runs that have nothing new are not written, and
+many runs are put together into one, so a ledger that is used for long stays a few folders.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -19,8 +23,8 @@ from pyspark.sql import functions as F
 from blobsight.llm.common import fresh, slices
 from blobsight.scratch import files, new_path
 
-#: Raised whenever a rule below changes; findings under another version are not reused.
-RULES_VERSION = 1
+#: Finished runs under one version of the rules that are put together into one.
+MOST_RUNS = 16
 
 
 class Rule(NamedTuple):
@@ -49,6 +53,12 @@ _HEX = bytes(ord("x") if chr(c) in "0123456789abcdef" else 32 for c in range(256
 SPAN = "struct<kind: string, start: int, end: int>"
 
 
+def version_of(rules: tuple[Rule, ...]) -> str:
+    """The rules' version: a hash of their kinds, patterns, groups and least lengths, in order."""
+    said = json.dumps([[r.kind, sorted(r.needs), r.pattern, r.group, r.least] for r in rules])
+    return hashlib.sha256(said.encode()).hexdigest()[:16]
+
+
 def spans(text: str, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then kind as listed; leftmost and non-overlapping within a kind."""
     low, out = text.lower(), []
@@ -82,50 +92,60 @@ def address(text: str = "text") -> Column:
 
 class Ledger:
     """A ledger kept as Parquet under ``path``: rules=<version>/run=<n> has the blobs scanned by a run, versions/run=<n> the
-    paths that a run saw. Only runs that were finished are read; what is left of one that failed is written over. One driver
-    writes at a time. Without ``path`` the ledger lasts as long as the application."""
+    paths that a run saw. A run whose folder has a number ``upto`` stands for all runs up to it. Only runs that were finished are
+    read; what is left of one that failed is written over. One driver writes at a time. Without ``path`` the ledger lasts as
+    long as the application."""
 
-    SCANNED = f"blob binary, spans array<{SPAN}>"
+    SCANNED = f"blob binary, spans array<{SPAN}>, run int"
+    SEEN = "path string, version long, blob binary, run int"
 
-    def __init__(self, spark: SparkSession, path: str | None = None, version: int = RULES_VERSION, rules: tuple[Rule, ...] = RULES):
-        self.spark, self.version, self.rules = spark, version, rules
+    def __init__(self, spark: SparkSession, path: str | None = None, rules: tuple[Rule, ...] = RULES, most_runs: int = MOST_RUNS):
+        self.spark, self.rules, self.version, self.most_runs = spark, rules, version_of(rules), most_runs
         self.path = path or new_path(spark, "ledger")
 
     def runs(self, part: str | None = None) -> list[tuple[int, str]]:
-        """(number, folder) of the finished runs under these rules (or of ``part``), in order."""
+        """(number, folder) of the finished runs under these rules (or of ``part``), in order; those put together are one."""
         folder = f"{self.path}/{part or f'rules={self.version}'}"
         fs, at = files(self.spark, folder)
         names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
-        numbers = sorted(int(n[4:]) for n in names if n.startswith("run="))
-        return [(n, f"{folder}/run={n}") for n in numbers if fs.exists(files(self.spark, f"{folder}/run={n}/_SUCCESS")[1])]
-
-    def _next(self, part: str | None = None) -> str:
+        done = [n for n in names if n.startswith(("run=", "upto=")) and fs.exists(files(self.spark, f"{folder}/{n}/_SUCCESS")[1])]
+        upto = max((int(n[5:]) for n in done if n.startswith("upto=")), default=-1)
+        kept = [(int(n[4:]), n) for n in done if n.startswith("run=") and int(n[4:]) > upto]
+        return [(n, f"{folder}/{name}") for n, name in sorted(kept + ([(upto, f"upto={upto}")] if upto >= 0 else []))]
+
+    def _read(self, schema: str, part: str | None = None) -> DataFrame:
+        folders = [at for _, at in self.runs(part)]
+        rows = self.spark.read.schema(schema)
+        return rows.parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def _write(self, rows: DataFrame, schema: str, part: str | None = None) -> None:
+        """A run with these rows, unless there are none; then all runs together, where they have become many."""
         done = self.runs(part)
-        return f"{self.path}/{part or f'rules={self.version}'}/run={done[-1][0] + 1 if done else 0}"
-
-    def _read(self, schema: str, runs: list[tuple[int, str]]) -> DataFrame:
-        if not runs:
-            return self.spark.createDataFrame([], schema + ", run int")
-        every = [self.spark.read.schema(schema).parquet(at).withColumn("run", F.lit(n)) for n, at in runs]
-        out = every[0]
-        for one in every[1:]:
-            out = out.unionAll(one)
-        return out
+        folder, number = f"{self.path}/{part or f'rules={self.version}'}", done[-1][0] + 1 if done else 0
+        rows = rows.withColumn("run", F.lit(number))
+        rows.select(self.spark.createDataFrame([], schema).columns).write.mode("overwrite").parquet(f"{folder}/run={number}")
+        fs, _ = files(self.spark, folder)
+        if self.spark.read.schema(schema).parquet(f"{folder}/run={number}").isEmpty() and done:
+            fs.delete(files(self.spark, f"{folder}/run={number}")[1], True)
+        elif len(done) + 1 > self.most_runs:
+            whole = self._read(schema, part)
+            whole.repartitionByRange(*(["path"] if part else ["blob"])).write.mode("overwrite").parquet(f"{folder}/upto={number}")
+            for n in [x.getPath() for x in fs.listStatus(files(self.spark, folder)[1])]:
+                if n.getName() != f"upto={number}":
+                    fs.delete(n, True)
 
     def table(self) -> DataFrame:
-        """(blob, spans, run) of every blob scanned under this version of the rules."""
-        return self._read(self.SCANNED, self.runs())
+        """(blob, spans, run) of every blob scanned under these rules; ``run`` is the one that scanned it."""
+        return self._read(self.SCANNED)
 
-    def update(self, texts: DataFrame) -> str:
+    def update(self, texts: DataFrame) -> None:
         """Scan the blobs of ``texts`` (text) that the ledger lacks under these rules. Copies meet before the shuffle: a task
         sends a blob once, however often it holds it, so a blob that is a third of all rows is no hot key."""
         blobs = texts.select(address().alias("blob"), body().alias("text"))
-        done = self.runs()
-        if done:
+        if self.runs():
             blobs = blobs.join(self.table().select("blob"), "blob", "left_anti")
-        run = self._next()
-        blobs.groupBy("blob").agg(F.first("text").alias("text")).mapInArrow(_scanned(self.rules), self.SCANNED).write.mode("overwrite").parquet(run)
-        return run
+        found = blobs.groupBy("blob").agg(F.first("text").alias("text")).mapInArrow(_scanned(self.rules), f"blob binary, spans array<{SPAN}>")
+        self._write(found, self.SCANNED)
 
     def record(self, paths: DataFrame) -> str:
         """Take up versions of paths: ``paths`` (path string, version long, text). New blobs are scanned; a version that is
@@ -133,12 +153,12 @@ class Ledger:
         self.update(paths)
         rows = paths.select(F.col("path").cast("string"), F.col("version").cast("long"), address().alias("blob")).distinct()
         rows = rows.join(self.history(), ["path", "version", "blob"], "left_anti")
-        rows.write.mode("overwrite").parquet(self._next("versions"))
+        self._write(rows, self.SEEN, "versions")
         return self.path
 
     def history(self) -> DataFrame:
         """(path, version, blob) of all versions that were recorded, whatever the rules."""
-        return self._read("path string, version long, blob binary", self.runs("versions")).drop("run")
+        return self._read(self.SEEN, "versions").drop("run")
 
     def findings(self, paths: DataFrame) -> DataFrame:
         """``paths`` (blob and any other columns but spans) with the spans of each path's blob. Only blobs with findings are
@@ -166,7 +186,8 @@ def joined(chosen: Column) -> Column:
 def redact(docs: DataFrame, ledger: Ledger | None = None, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with each secret's span replaced by ``mask``; n_chars follows where that column is there.
 
-    Every row stays: a document is not worse for the secret that is cut out of it. Overlapping spans are cut as one.
+    Every row stays, repeated ones too: a document is not worse for the secret that is cut out of it. Overlapping spans are
+    cut as one; null and empty texts stay as they are, texts of any length are read whole, an empty table gives an empty one.
     Other columns keep their names and values, whatever they are called.
     """
     ledger = ledger or Ledger(docs.sparkSession)

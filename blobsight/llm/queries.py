@@ -76,13 +76,13 @@ def secret_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = docs.select(path, F.lit(1).alias("version"), F.concat(ledger.body(), leak).alias("text"))
     both = first.unionAll(docs.select(path, F.lit(2).alias("version"), ledger.body().alias("text")))
     few, base = (tuple(r for r in ledger.RULES if r.kind in kinds) for kinds in (("assign", "access"), ledger.BASE))
-    ledger.Ledger(spark, at, 1, few).record(first)
-    old = ledger.Ledger(spark, at, 1, few)
+    ledger.Ledger(spark, at, few).record(first)
+    old = ledger.Ledger(spark, at, few)
     old.record(both)
-    new = ledger.Ledger(spark, at, 2, base)
+    new = ledger.Ledger(spark, at, base)
     new.update(both)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    parts = [book.history().join(book.table(), "blob").select("path", "version", F.lit(book.version).alias("rules"), "run", *[count(k) for k in ledger.BASE]) for book in (old, new)]
+    parts = [book.history().join(book.table(), "blob").select("path", "version", F.lit(n).alias("rules"), "run", *[count(k) for k in ledger.BASE]) for n, book in ((1, old), (2, new))]
     return parts[0].unionAll(parts[1])
 
 
