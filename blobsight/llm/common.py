@@ -87,3 +87,11 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The runs of ``flat`` that begin at ``start`` and have ``size`` items, one after another."""
     upto = np.cumsum(size)
     return flat[np.repeat(start - upto + size, size) + np.arange(int(upto[-1]) if len(upto) else 0)]
+
+
+def contents(path: str | bytes) -> bytes:
+    """A vocabulary file's bytes, or these as they are. Files are read by the driver and sent to the tasks, which need not have them."""
+    if isinstance(path, bytes):
+        return path
+    with open(path, "rb") as f:
+        return f.read()

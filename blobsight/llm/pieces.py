@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blobsight.llm.common import gather, slices
+from blobsight.llm.common import contents, gather, slices
 
 _UNITS = re.compile(r"\n| *[^ \n]+| +")
 SPACE, NO_CODE = 0x2581, 0x110000
@@ -78,14 +78,14 @@ def kind_of(model: bytes) -> int:
 
 
 class Pieces:
-    """The vocabulary as arrays, and a cache of units that were already encoded."""
+    """The vocabulary as arrays, and a cache of units that were already encoded. With ``by_scores`` the segmentation is the one of
+    the greatest sum of scores, whatever the model's kind."""
 
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: str | bytes, by_scores: bool = False):
         import sentencepiece
 
-        with open(path, "rb") as f:
-            model = f.read()
-        self.kind = kind_of(model)
+        model = contents(vocabulary)
+        self.kind = UNIGRAM if kind_of(model) == UNIGRAM or by_scores else BPE
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.get_piece_size()
         self.bytes_of: list[bytes] = [b""] * n
@@ -368,9 +368,9 @@ class Pieces:
         return raw.decode("utf-8", "surrogatepass")[1:]
 
 
-def _encoded(path: str, keep_ids: bool):
+def _encoded(vocabulary, keep_ids: bool, by_scores: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+        pieces = Pieces(vocabulary.value, by_scores)
         for batch in slices(batches, "text", CHUNK):
             texts = batch.column("text").to_pylist()
             ids = pieces.documents(texts)
@@ -386,19 +386,21 @@ def _encoded(path: str, keep_ids: bool):
     return run
 
 
-def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), keep_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), keep_ids: bool = True, by_scores: bool = False) -> DataFrame:
     """``keep`` columns of every row of ``docs`` (text), with n_tokens, ids_crc32 (of little-endian 32-bit ids),
-    round_trip (the ids decode to the text again) and ids. Null counts as empty and has no ids. No shuffle. A column to
-    keep that is called like one of these, or text, is left out: the name is the result's."""
+    round_trip (the ids decode to the text again) and ids. By the model's kind, or with ``by_scores`` by Viterbi for a BPE
+    model too. Null counts as empty and has no ids; repeated rows have theirs each; texts of any length are encoded whole. No
+    shuffle. A column to keep that is called like one of these, or text, is left out: the name is the result's."""
     keep = tuple(c for c in keep if c.lower() not in ("text", "n_tokens", "ids_crc32", "round_trip", "ids"))
     rows = docs.select(*[f"`{c}`" for c in keep], F.col("text").cast("string").alias("text"))
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(_encoded(path, keep_ids), head + "n_tokens long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * keep_ids)
+    sent = docs.sparkSession.sparkContext.broadcast(contents(path))
+    return rows.mapInArrow(_encoded(sent, keep_ids, by_scores), head + "n_tokens long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * keep_ids)
 
 
-def _decoded(path: str):
+def _decoded(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+        pieces = Pieces(vocabulary.value)
         for batch in batches:
             texts = [pieces.decode(np.array(x, np.int32)) if x else "" for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -408,4 +410,5 @@ def _decoded(path: str):
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) for every row of ``tokens`` (doc_id, ids); null ids give an empty text."""
-    return tokens.select("doc_id", "ids").mapInArrow(_decoded(path), "doc_id long, text string")
+    sent = tokens.sparkSession.sparkContext.broadcast(contents(path))
+    return tokens.select("doc_id", "ids").mapInArrow(_decoded(sent), "doc_id long, text string")

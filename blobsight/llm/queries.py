@@ -58,6 +58,11 @@ def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
+def viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pieces, in the segmentation of the greatest sum of their scores."""
+    return pieces.encode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), by_scores=True)
+
+
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger.scan(documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -127,6 +132,7 @@ def queries() -> dict:
         op4_winnowing,
         op5_lm_score,
         op6_sentence_pieces,
+        viterbi_pieces,
         op7_secret_ledger,
         secret_history,
         op8_token_files,

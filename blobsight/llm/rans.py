@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from blobsight.llm.common import gather, range_bounds, slices, words_of
+from blobsight.llm.common import contents, gather, range_bounds, slices, words_of
 from blobsight.scratch import materialise, new_path
 
 #: The table's counts add up to 2^16; lanes of a block; steps of a lane; steps between checkpoints.
@@ -176,14 +176,13 @@ class WordIds:
     neither the normaliser nor the pattern, so they go to the model alone. Any other vocabulary encodes whole texts.
     """
 
-    def __init__(self, path: str, end: int):
+    def __init__(self, vocabulary: str | bytes, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-        self.tokenizer, self.end = Tokenizer.from_file(path), end
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        raw = contents(vocabulary)
+        self.tokenizer, self.end, spec = Tokenizer.from_buffer(raw), end, json.loads(raw)
         self.words = by_words(spec)
         self.added = [t["content"] for t in spec["added_tokens"]]
         special = [(t["content"], t["id"]) for t in spec["added_tokens"] if t["special"]]
@@ -312,9 +311,9 @@ def frequencies(tokenised: DataFrame) -> np.ndarray:
 TOKENISED = "doc_id long, part int, ids binary, used array<long>, times array<long>"
 
 
-def _tokenised(path: str, end: int, bounds: np.ndarray):
+def _tokenised(vocabulary, end: int, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, total = WordIds(path, end), np.zeros(1, np.int64)
+        encoder, total = WordIds(vocabulary.value, end), np.zeros(1, np.int64)
         for batch in slices(batches, "text", 8 << 20):
             ids, ends = encoder.documents(batch.column("text"))
             found = np.bincount(ids, minlength=len(total))
@@ -383,9 +382,10 @@ def write(docs: DataFrame, vocabulary: str, end: int = 1, path: str | None = Non
     spark = docs.sparkSession
     path = path or new_path(spark, "ids")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    kind = WordIds(vocabulary, end).kind
+    sent = spark.sparkContext.broadcast(contents(vocabulary))
+    kind = WordIds(sent.value, end).kind
     bounds = np.array(range_bounds(docs.select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("k")), "k", docs.count(), 50_000), np.int64)
-    rows = materialise(docs.mapInArrow(_tokenised(vocabulary, end, bounds), TOKENISED), "tokenised")
+    rows = materialise(docs.mapInArrow(_tokenised(sent, end, bounds), TOKENISED), "tokenised")
     freq = frequencies(rows)
     last = len(freq) - 1
     spark.createDataFrame([(i, int(f)) for i, f in enumerate(freq.tolist()) if f or i == last], "id int, freq int").coalesce(1).write.parquet(f"{path}/table")

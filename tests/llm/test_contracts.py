@@ -533,7 +533,9 @@ def test_url_trees_learn(spark):
     found = model.score(labels.where(held)).select("label", (F.col("p_block") >= 0.5).cast("int").alias("said")).collect()
     bad = sum(r.label for r in found)
     print("hosts not seen:", len(found), "bad", bad, "right", sum(r.label == r.said for r in found), "found", sum(r.label and r.said for r in found))
-    assert bad > 20 and sum(r.label == r.said for r in found) >= 0.9 * len(found)
+    said, both = sum(r.said for r in found), sum(r.label and r.said for r in found)
+    # a model that blocks nothing has most right too, as few URLs are bad: recall and precision of the bad ones
+    assert bad > 20 and both >= 0.8 * bad and both >= 0.8 * said and sum(r.label == r.said for r in found) >= 0.97 * len(found)
 
 
 def test_url_verdicts_by_walking_the_trees(spark, sf):
@@ -741,6 +743,47 @@ def test_pieces_of_the_public_file(spark, edge):
     assert len(p.documents(["x" * 1_000_000])[0]) > 10_000  # one word
 
 
+def test_viterbi_by_a_plain_dictionary(spark, edge, sf):
+    """The greatest sum of scores over all segmentations, of equal ones the one whose last pieces are longest; whole texts come back."""
+    import sentencepiece
+
+    path = queries.vocabulary("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    known = {sp.id_to_piece(i): (sp.get_score(i), i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+    of_byte = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
+    longest, unknown = max(map(len, known)), min(s for s, _ in known.values()) - 10
+
+    def best(unit):
+        marked = ["" if c == "\u2581" else "\u2581" if c == " " else c for c in unit]  # the mark itself goes by bytes
+        top = [(0.0, None, None)]
+        for j in range(1, len(unit) + 1):
+            options = []
+            for i in range(max(0, j - longest), j):
+                piece = "".join(marked[i:j]) if all(marked[i:j]) else None
+                if piece in known:
+                    options.append((top[i][0] + known[piece][0], -i, [known[piece][1]]))
+                elif i == j - 1:
+                    options.append((top[i][0] + unknown, -i, [of_byte[f"<0x{b:02X}>"] for b in unit[i].encode()]))
+            score, i, ids = max(options, key=lambda o: o[:2])
+            top.append((score, -i, ids))
+        out, j = [], len(unit)
+        while j:
+            out = top[j][2] + out
+            j = top[j][1]
+        return out
+
+    cache: dict[str, list[int]] = {}
+    for docs in (queries.documents(spark, sf), edge):
+        rows = {(r.doc_id, r.text) for r in docs.collect()}
+        found = pieces.encode(docs, path, keep=("doc_id",), by_scores=True).collect()
+        want = Counter()
+        for doc_id, text in [(r.doc_id, r.text) for r in docs.collect()]:
+            units = re.findall(r"\n| *[^ \n]+| +", " " + text) if text else []
+            want[doc_id, tuple(i for u in units for i in (cache.get(u) or cache.setdefault(u, best(u))))] += 1
+        assert Counter((r.doc_id, tuple(r.ids)) for r in found) == want and all(r.round_trip for r in found) and rows
+    assert queries.viterbi_pieces(spark, sf).count() == queries.documents(spark, sf).count()
+
+
 def test_pieces_query_returns_the_ids(spark, sf):
     rows = queries.op6_sentence_pieces(spark, sf).collect()
     assert rows and all(len(r.ids) == r.n_tokens and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
