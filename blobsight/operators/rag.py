@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from blobsight.operators.embedding import Embedder, embedded
 from blobsight.operators.similarity import top_k
+from blobsight.scratch import materialise
 
 MOST_FINDINGS = 20
 TTL_SECONDS = 3600
@@ -36,7 +37,7 @@ def retrieve(questions: DataFrame, index: DataFrame, k: int = 5, embedder: Embed
     scope = ["job_id"] if "job_id" in index.columns else []
     q = questions.select(F.col("job_id").alias("qid"), embedded(F.col("question"), embedder).alias("v"), *[F.col(s).alias("scope") for s in scope])
     c = index.select("id", F.col("embedding").alias("v"), *[F.col(s).alias("scope") for s in scope])
-    near = top_k(q, c, k).withColumnRenamed("qid", "job_id")
+    near = top_k(materialise(q, "questions"), c, k).withColumnRenamed("qid", "job_id")  # embedded once
     return near.join(index.select("id", "text", *scope), ["id", *scope]).select("job_id", "id", "text", "score", "rank")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from blobsight.functions import families
 
 #: Findings that a summary is made of.
+MOST_CHUNKS = 20
 MOST_LINES = 50
 
 
@@ -46,6 +47,8 @@ class Narrator(Protocol):
 
     def executive_summary(self, job_id: str, findings: list[str]) -> str | None: ...
 
+    def rag_answer(self, question: str, chunks: list[str]) -> str | None: ...
+
 
 def with_rationales(findings: DataFrame, narrator: Narrator | None = None) -> DataFrame:
     """``findings`` (component, cve_id, description, confidence_tier, similarity_score) with llm_rationale where the tier is an
@@ -68,6 +71,17 @@ def with_summaries(reports: DataFrame, narrator: Narrator | None = None) -> Data
     return reports.withColumn("executive_summary", F.pandas_udf(run, "string")("job_id", lines) if narrator else F.lit(None).cast("string"))
 
 
+def with_answers(contexts: DataFrame, narrator: Narrator | None = None) -> DataFrame:
+    """``contexts`` (question, chunks), as ``rag.grounded`` makes them beside their questions, with an answer from the first MOST_CHUNKS
+    chunks alone; null without chunks, so that nothing is answered out of thin air, and without a narrator."""
+
+    def run(question: pd.Series, chunks: pd.Series) -> pd.Series:
+        return pd.Series([_told(narrator.rag_answer, q, list(c)) if c is not None and len(c) else None for q, c in zip(question, chunks, strict=True)], dtype="object")
+
+    told = F.pandas_udf(run, "string")("question", F.slice("chunks", 1, MOST_CHUNKS)) if narrator else F.lit(None).cast("string")
+    return contexts.withColumn("answer", told)
+
+
 def _told(ask, *what) -> str | None:
     try:
         return ask(*what)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +29,20 @@ def analyse(blobs: DataFrame) -> DataFrame:
     )
 
 
+def _entropies(texts: pd.Series) -> pd.Series:
+    def of(text: str | None) -> float | None:
+        if not text:
+            return None
+        _, n = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
+        p = n / n.sum()
+        return float(-(p * np.log2(p)).sum()) + 0.0
+
+    return texts.map(of).astype("float64")
+
+
 def character_entropy(rows: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, entropy) of characters, by two group-bys: long texts are counted in parts before the shuffle."""
-    chars = rows.select(key, F.explode(F.filter(F.split(body, ""), lambda c: c != "")).alias("c"))
-    counts = chars.groupBy(key, "c").agg(F.count("*").alias("n"))
-    total = counts.groupBy(key).agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    return total.select(key, (F.log2("t") - F.col("s") / F.col("t")).alias("entropy"))
+    """(key, entropy) of the characters of each text, counted in its own task; empty texts have none."""
+    return rows.select(key, F.pandas_udf(_entropies, "double")(F.col(body)).alias("entropy")).where("entropy is not null and not isnan(entropy)")
 
 
 def joined(items: Column) -> Column:

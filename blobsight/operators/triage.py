@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blobsight.functions import binary
@@ -19,10 +19,13 @@ def triage(blobs: DataFrame, key: str = "job_id", order: tuple[str, ...] = ("upl
     return rows.withColumn("reason", F.coalesce("reason", F.when(F.col("_first")[key] != F.col(key), "duplicate"))).drop("_first")
 
 
-def occurrences(rows: DataFrame, text: str, order: str) -> DataFrame:
-    """Adds sha256 and place: 1 for the first row with its content by ``order``."""
+def duplicates(rows: DataFrame, text: str, order: str) -> DataFrame:
+    """Adds sha256 and is_duplicate: whether a row with this content comes before by ``order``. Firsts are found by an aggregation, so
+    a content that most rows share is no hot key."""
     rows = rows.withColumn("sha256", F.sha2(text, 256))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("sha256").orderBy(order)))
+    first = rows.groupBy("sha256").agg(F.min(order).alias("_first"))
+    rows = rows.join(first, rows["sha256"].eqNullSafe(first["sha256"])).drop(first["sha256"])
+    return rows.withColumn("is_duplicate", F.col(order) > F.col("_first")).drop("_first")
 
 
 class Bloom:

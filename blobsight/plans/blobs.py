@@ -23,7 +23,6 @@ KINDS = len(binary.MAGIC) + 2
 NAMES = [n for _, n in binary.MAGIC]
 FORMAT_SQL = "CASE WHEN doc_id % 21 < 19 THEN [" + ", ".join(f"'{n}'" for n in NAMES) + "][(doc_id % 21 + 1)::INT] WHEN doc_id % 21 = 19 THEN 'tar' END"
 TOKENS_SQL = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}._-]+')"
-BANNER = "'BusyBox v1.' || (doc_id % 30) || '.0 (2020) libcurl/7.' || (doc_id % 70) || '.1 Linux version 4.' || (doc_id % 20) || '.9'"
 
 
 def with_header() -> Column:
@@ -59,8 +58,7 @@ def precheck_reason(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, sha256(text) AS sha256, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) > 1 AS is_duplicate FROM documents")
 def triage_dedup(t: Tables) -> DataFrame:
-    rows = triage.occurrences(t.documents.select("doc_id", "text"), "text", "doc_id")
-    return rows.select("doc_id", "sha256", (F.col("place") > 1).alias("is_duplicate"))
+    return triage.duplicates(t.documents.select("doc_id", "text"), "text", "doc_id").select("doc_id", "sha256", "is_duplicate")
 
 
 @query("""SELECT job_id, sha256, size_bytes, CASE WHEN size_bytes < 64 THEN 'too_small' WHEN row_number() OVER (PARTITION BY sha256, size_bytes < 64 ORDER BY job_id) > 1 THEN 'duplicate' END AS reason
@@ -91,7 +89,7 @@ def bloom_fpr_probe(t: Tables) -> DataFrame:
     return found.groupBy("inserted").agg(F.count("*").alias("probes"), F.count_if("positive").alias("positives"), F.avg(F.col("positive").cast("double")).alias("rate"))
 
 
-@query("SELECT doc_id, doc_id % 4 <> 2 AS ok FROM documents")
+@query("SELECT doc_id, regexp_full_match(lower(trim(CASE doc_id % 4 WHEN 0 THEN s WHEN 1 THEN upper(s) WHEN 2 THEN s[1:63] ELSE '  ' || s || ' ' END)), '[0-9a-f]{64}') AS ok FROM (SELECT doc_id, sha256(text) AS s FROM documents)")
 def sha_format_check(t: Tables) -> DataFrame:
     s, kind = F.sha2("text", 256), F.col("doc_id") % 4
     shown = F.when(kind == 0, s).when(kind == 1, F.upper(s)).when(kind == 2, F.substring(s, 1, 63)).otherwise(F.concat(F.lit("  "), s, F.lit(" ")))
@@ -137,10 +135,24 @@ def wide_strings(t: Tables) -> DataFrame:
     return s.select("doc_id", pick("ascii").alias("a"), pick("wide-").alias("le"), pick("big--").alias("be"))
 
 
-@query("""SELECT doc_id, unnest(['busybox', 'curl', 'linux']) AS vendor, unnest(['busybox', 'libcurl', 'linux_kernel']) AS product, unnest(['1.' || (doc_id % 30) || '.0', '7.' || (doc_id % 70) || '.1', '4.' || (doc_id % 20) || '.9']) AS version FROM documents""")
+def banner() -> Column:
+    """A banner of each kind by turns of the document's id."""
+    n = lambda m: F.pmod("doc_id", F.lit(m)).cast("string")
+    kinds = [F.concat(F.lit(a), n(m), F.lit(b)) for a, m, b in TURNS]
+    return F.element_at(F.array(*kinds), (F.pmod("doc_id", F.lit(len(kinds))) + 1).cast("int"))
+
+
+#: Text before and after a number, which is the document's id modulo the one between.
+TURNS = (("BusyBox v1.", 30, ".0 (2020)"), ("openssl 1.0.", 9, "n"), ("libcurl/7.", 70, ".1"), ("curl 7.", 70, ".2"), ("dropbear SSH_2019.", 90, ""), ("uClibc-ng 1.0.", 50, ""), ("Linux version 4.", 20, ".9"))
+BANNER_SQL = "CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN '{a}' || doc_id % {m} || '{b}'" for i, (a, m, b) in enumerate(TURNS)) + " END"
+
+
+@query(rf"WITH s AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(coalesce(text, '') || ' ' || {BANNER_SQL}, '[\x20-\x7e]{{4,}}'))) AS s FROM documents), b AS ("
+ + " UNION ALL ".join(f"SELECT doc_id, '{v}' AS vendor, '{p}' AS product, regexp_extract(s, '{pattern}', 1) AS version FROM s" for v, p, pattern in text.BANNERS) + ") SELECT DISTINCT * FROM b WHERE version <> ''")
 def version_banners(t: Tables) -> DataFrame:
-    s = F.concat(F.coalesce("text", F.lit("")), F.lit(" BusyBox v1."), (F.col("doc_id") % 30).cast("string"), F.lit(".0 (2020) libcurl/7."), (F.col("doc_id") % 70).cast("string"), F.lit(".1 Linux version 4."), (F.col("doc_id") % 20).cast("string"), F.lit(".9"))
-    return t.documents.select("doc_id", F.explode(text.banners(F.array(s, s))).alias("b")).select("doc_id", "b.vendor", "b.product", "b.version")
+    """Banners in the documents' own strings, of all seven kinds."""
+    s = text.ascii_strings(F.concat(F.coalesce("text", F.lit("")), F.lit(" "), banner()))
+    return t.documents.select("doc_id", F.explode(text.banners(s)).alias("b")).select("doc_id", "b.vendor", "b.product", "b.version")
 
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"

@@ -85,6 +85,28 @@ def index_sweep(t: Tables) -> DataFrame:
     return rows.groupBy("job_id").agg(F.count("*").alias("chunks"))
 
 
+@query("""SELECT 'raw-uploads/' || doc_id || '/original.bin' AS key, octet_length(b)::BIGINT AS size_bytes, sha256(substr(hex(b), 1, 2000)) AS head FROM (SELECT doc_id, encode(coalesce(CASE WHEN doc_id % 3 = 0 THEN text || ' put again' ELSE text END, '')) AS b FROM documents)""")
+def blob_store(t: Tables) -> DataFrame:
+    """Documents put as blobs, a third of them again with another content, and read back, a thousand bytes of each."""
+    kept, named = stores.Blobs(t.spark, new_path(t.spark, "blobs"), 8), stores.key("upload", F.col("doc_id").cast("string")).alias("key")
+    body = lambda more: F.encode(F.coalesce(F.concat("text", F.lit(more)), F.lit("")), "UTF-8").alias("content")
+    kept.put(t.documents.select(named, body("")))
+    for _ in range(2):  # the second time changes nothing
+        kept.put(t.documents.where("doc_id % 3 = 0").select(named, body(" put again")), "again", 0)
+    return kept.read(most=1000).select("key", "size_bytes", F.sha2(F.hex("content"), 256).alias("head"))
+
+
+@query("SELECT o_custkey::VARCHAR AS job_id, count(*) AS findings, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def report_store(t: Tables) -> DataFrame:
+    """Reports of customers' orders put as JSON, a folder a job, put again, and read back."""
+    path = new_path(t.spark, "reports")
+    rows = t.orders.groupBy(F.col("o_custkey").cast("string").alias("job_id")).agg(F.collect_list(F.struct(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))).alias("findings"))
+    stores.put_json(rows.where("job_id < '5'").withColumn("findings", F.slice("findings", 1, 1)), path)
+    stores.put_json(rows, path)
+    found = stores.get_json(t.spark, path, "findings array<struct<id: long, price: double>>, job_id string")
+    return found.select("job_id", F.size("findings").cast("long").alias("findings"), F.round(F.aggregate("findings", F.lit(0.0), lambda a, f: a + f["price"]), 2).alias("total"))
+
+
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'not a JSON object' WHEN 1 THEN 'unknown field' WHEN 2 THEN 'missing field' WHEN 3 THEN 'status' END AS error FROM events""")
 def dlq_split(t: Tables) -> DataFrame:
     """Messages of one topic, four fifths of them bad in one way each."""
@@ -200,7 +222,9 @@ def report_assembly(t: Tables) -> DataFrame:
  SELECT job_id, md5(chunks) AS chunks_md5, 'CVE-' || (job_id % 3) || ',CVE-' || (job_id % 3 + 5) || ',CORPUS-' || (job_id % 4) AS sources, n > 0 AS grounded FROM c""")
 def rag_context(t: Tables) -> DataFrame:
     """A context for each conversation: its turns as chunks, the first twenty; sources of the job before those of the corpus."""
-    chunks = t.conversations.where("trim(text) <> ''").groupBy(F.col("conv_id").alias("job_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "text")))["text"].alias("chunks"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text"))
+    first = t.conversations.where("trim(text) <> ''").withColumn("place", place).where(F.col("place") <= rag.MOST_FINDINGS)  # before turns are brought together
+    chunks = first.groupBy(F.col("conv_id").alias("job_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "text")))["text"].alias("chunks"))
     cve = lambda p, x: F.concat(F.lit(p), x.cast("string"))
     job, found = F.array(cve("CVE-", F.col("job_id") % 3 + 5), cve("CVE-", F.col("job_id") % 3)), F.array(cve("CVE-", F.col("job_id") % 3), cve("CORPUS-", F.col("job_id") % 4))
     rows = chunks.select("job_id", rag.context(job, found, F.col("chunks")).alias("c"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from blobsight.functions import families
 from blobsight.operators.corpus import latest
 from blobsight.operators.feedback import VERDICTS
+from blobsight.sources.tables import MergeTable
 
 # Where a job's files are.
 KEYS = {"upload": "raw-uploads/%s/original.bin", "report": "reports/%s/report.json", "sbom": "reports/%s/sbom.json", "sub_blob": "extracted/%s/%s.bin"}
@@ -23,6 +24,30 @@ def read_blobs(spark: SparkSession, path: str, most: int | None = 64 << 20) -> D
     return rows.select("path", F.col("length").alias("size_bytes"), (F.substring("content", 1, most) if most else F.col("content")).alias("content"))
 
 
+class Blobs:
+    """Contents by key, in a merged table: a key that is put again is replaced, and a few keys are read without the others."""
+
+    SCHEMA = "key string, content binary"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.table = MergeTable(spark, path, self.SCHEMA, ["key"], buckets=buckets)
+
+    def put(self, rows: DataFrame, writer: str = "", number: int | None = None) -> bool:
+        """``rows`` (key, content), each key once; a batch that is put again by its writer and number changes nothing."""
+        return self.table.merge(rows.select("key", "content"), lambda old, new: old.join(new, "key", "left_anti").unionByName(new), writer, number)
+
+    def read(self, keys: DataFrame | None = None, most: int | None = 64 << 20) -> DataFrame:
+        """(key, size_bytes, content) of all blobs or those of ``keys`` (key), the first ``most`` bytes of each."""
+        rows = self.table.read() if keys is None else self.table.read().join(keys.select("key").distinct(), "key", "left_semi")
+        body = F.substring("content", 1, most) if most else F.col("content")
+        return rows.select("key", F.length("content").cast("long").alias("size_bytes"), body.alias("content"))
+
+    def get(self, key: str, most: int | None = 64 << 20) -> bytes | None:
+        """One blob's first bytes; None for a key that isn't there."""
+        found = self.table.get(key).select(F.substring("content", 1, most) if most else F.col("content")).first()
+        return None if found is None else bytes(found[0])
+
+
 def put_json(rows: DataFrame, path: str, by: str = "job_id") -> None:
     """Artifacts as JSON, a folder for each job; a job that is written again is replaced."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).json(path)

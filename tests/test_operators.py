@@ -406,6 +406,29 @@ def test_narrators(spark):
     assert [r.executive_summary for r in report.with_summaries(jobs_, Narrator()).orderBy("job_id").collect()] == ["j: 50, first - CVE-1 [POSSIBLE]", None]
 
 
+def test_answers_are_grounded(spark):
+    class Narrator:
+        def rag_answer(self, question, chunks):
+            if question == "broken?":
+                raise OSError("no model")
+            return f"{question} {len(chunks)} {chunks[0]}"
+
+    rows = spark.createDataFrame([("j", "why?", [f"c{i}" for i in range(30)]), ("k", "broken?", ["c"]), ("l", "what?", []), ("m", "who?", None)], "job_id string, question string, chunks array<string>")
+    assert [r.answer for r in report.with_answers(rows, Narrator()).orderBy("job_id").collect()] == ["why? 20 c0", None, None, None]
+    assert report.with_answers(rows).where("answer is not null").count() == 0
+
+
+def test_blobs_by_key(spark, tmp_path):
+    kept = stores.Blobs(spark, str(tmp_path), 4)
+    rows = lambda *x: spark.createDataFrame([(k, bytearray(v)) for k, v in x], stores.Blobs.SCHEMA)
+    assert kept.get("a") is None and kept.read().count() == 0
+    assert kept.put(rows(("a", b"one"), ("b", b"")), "w", 0) and not kept.put(rows(("a", b"two")), "w", 0)
+    assert kept.put(rows(("a", b"three")), "w", 1)
+    assert kept.get("a") == b"three" and kept.get("a", 2) == b"th" and kept.get("b") == b"" and kept.get("none") is None
+    found = kept.read(spark.createDataFrame([("a",), ("none",), ("a",)], "key string"), most=3).collect()
+    assert [(r.key, r.size_bytes, bytes(r.content)) for r in found] == [("a", 5, b"thr")]
+
+
 def test_lint_of_samples(spark, tmp_path):
     (tmp_path / "firmware.completed.json").write_text(json.dumps({"job_id": "j", "status": "COMPLETE", "report_s3_key": "r", "sbom_s3_key": "s"}, indent=1))
     (tmp_path / "firmware.triaged.json").write_text("{}")
