@@ -30,9 +30,9 @@ CANDIDATES = f"""{COMP}, {DIM}, cand AS (SELECT p_partkey, 'cpe:2.3:a:' || vendo
  UNION SELECT p_partkey, 'cpe:2.3:a:' || v || ':' || p || ':' || version || ':*:*:*:*:*:*:*' FROM comp JOIN dim USING (family))"""
 RECORDS = """rec AS (SELECT DISTINCT 'CVE-' || p_partkey // 4 AS cve_id, 'cpe:2.3:a:' || vendor || ':' || product || ':' || v || ':*:*:*:*:*:*:*' AS cpe_string, family, p_name, vendor || ' ' || product || ' ' || v || ': ' || p_name AS text
  FROM (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN version ELSE '9' || version END AS v FROM comp) WHERE family IS NOT NULL)"""
-SCORE = "least(1.0::DOUBLE, abs(embedding[1]::DOUBLE) * 4)"
-TIERED = f"""tiered AS (SELECT vec_id, label, {SCORE} AS s, CASE WHEN {SCORE} >= 0.9 THEN 'HIGH_CONFIDENCE' WHEN {SCORE} >= 0.7 THEN 'POSSIBLE'
- WHEN {SCORE} >= 0.5 THEN 'LOW_CONFIDENCE' ELSE 'NO_MATCH' END AS tier FROM embeddings)"""
+TIERED = """means AS (SELECT label, list(m ORDER BY i) AS mean FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY ALL) GROUP BY label),
+ scored AS (SELECT vec_id, label, least(1.0::DOUBLE, 4 * greatest(0.0::DOUBLE, list_cosine_similarity(embedding::DOUBLE[], mean))) AS s FROM embeddings JOIN means USING (label)),
+ tiered AS (SELECT vec_id, label, s, CASE WHEN s >= 0.9 THEN 'HIGH_CONFIDENCE' WHEN s >= 0.7 THEN 'POSSIBLE' WHEN s >= 0.5 THEN 'LOW_CONFIDENCE' ELSE 'NO_MATCH' END AS tier FROM scored)"""
 RANK = "CASE tier WHEN 'CONFIRMED' THEN 4 WHEN 'HIGH_CONFIDENCE' THEN 3 WHEN 'POSSIBLE' THEN 2 WHEN 'LOW_CONFIDENCE' THEN 1 WHEN 'NO_MATCH' THEN 0 END"
 
 
@@ -61,8 +61,11 @@ def part_records(t: Tables) -> DataFrame:
 
 
 def scored(t: Tables) -> DataFrame:
-    s = F.least(F.lit(1.0), F.abs(F.col("embedding")[0].cast("double")) * 4)
-    return t.embeddings.select("vec_id", "label", s.alias("s")).withColumn("tier", families.tier(F.col("s")))
+    """(vec_id, label, s, tier): each vector by four times its cosine to the mean of its label's, as vectors lie far apart here."""
+    parts = t.embeddings.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    means = parts.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "m")))["m"].alias("mean"))  # a vector's width each
+    s = F.least(F.lit(1.0), 4 * vectors.cosine(F.col("embedding"), F.col("mean")))
+    return t.embeddings.join(means, "label").select("vec_id", "label", s.alias("s")).withColumn("tier", families.tier(F.col("s")))
 
 
 @query(f"WITH {COMP}, {RECORDS} SELECT cve_id, cpe_string, family, p_name AS description FROM rec")
