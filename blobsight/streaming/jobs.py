@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -35,22 +37,26 @@ def claimed(messages: DataFrame, window: str = WINDOW) -> DataFrame:
 
 def first_claims(rows: DataFrame, keys: list[str], ts: str, window: str = WINDOW) -> DataFrame:
     """The same in batch: a message is let in if none with its keys was let in within ``window`` before it; a refused one
-    renews nothing. Equal times count once; a message without a time is let in. Keys are read in order, a row at a time."""
+    renews nothing. Equal times count once; a message without a time is let in. Keys are read in order, by leaps from one
+    message that is let in to the next."""
     length = pd.Timedelta(window) // pd.Timedelta("1us")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = last = None
         for batch in batches:
-            names = batch.column("_claim").to_pylist()
-            times = batch.column(ts).cast(pa.int64()).to_pylist()
-            kept = []
-            for name, t in zip(names, times, strict=True):
-                if name != of:
-                    of, last = name, None
-                kept.append(t is None or last is None or t - last > length)
-                if kept[-1] and t is not None:
-                    last = t
-            yield batch.drop_columns(["_claim"]).filter(pa.array(kept, pa.bool_()))
+            names, column = batch.column("_claim"), batch.column(ts).cast(pa.int64())
+            times, kept = column.fill_null(0).to_numpy(), column.is_null().to_numpy(zero_copy_only=False)  # nulls come first
+            starts = np.flatnonzero(np.r_[True, pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)])
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(times)], strict=True):
+                if names[a].as_py() != of:
+                    of, last = names[a].as_py(), None
+                at = a + int(kept[a:b].sum())
+                if last is not None:
+                    at += int(np.searchsorted(times[at:b], last + length, "right"))
+                while at < b:  # from one that is let in straight to the next
+                    last, kept[at] = int(times[at]), True
+                    at += int(np.searchsorted(times[at:b], last + length, "right"))
+            yield batch.drop_columns(["_claim"]).filter(pa.array(kept))
 
     name = F.to_json(F.struct(*[F.col(k).alias(str(i)) for i, k in enumerate(keys)]))  # a null has no field
     return rows.withColumn("_claim", name).repartition("_claim").sortWithinPartitions("_claim", ts).mapInArrow(run, rows.schema)
