@@ -132,10 +132,8 @@ def lines(t: Tables) -> DataFrame:
 
 
 def candidates(t: Tables) -> DataFrame:
-    """(sub_blob_id, seq, cpes, family, v) of each component, whatever sub-blobs hold it. Counts of words in place of vectors of
-    length 1 make every cosine exact, so equal ones are equal in SQL too."""
-    v = embedding.embedded(F.col("c.raw_text"), COUNTS)
-    return components(t).select(F.lit("").alias("sub_blob_id"), F.col("p_partkey").alias("seq"), cpe.candidates(F.col("c"), PART_FAMILIES).alias("cpes"), F.col("c.family").alias("family"), v.alias("v"))
+    """(sub_blob_id, seq, cpes, family, text) of each component, whatever sub-blobs hold it."""
+    return components(t).select(F.lit("").alias("sub_blob_id"), F.col("p_partkey").alias("seq"), cpe.candidates(F.col("c"), PART_FAMILIES).alias("cpes"), F.col("c.family").alias("family"), F.col("c.raw_text").alias("text"))
 
 
 @query(f"WITH {CANDIDATES}, {RECORDS}, lines AS (SELECT DISTINCT l_orderkey AS sub_blob_id, l_partkey AS p_partkey FROM lineitem) SELECT sub_blob_id, p_partkey AS seq, cve_id FROM (SELECT DISTINCT p_partkey, cve_id FROM cand JOIN rec USING (cpe_string)) JOIN lines USING (p_partkey)")
@@ -255,8 +253,8 @@ NEAREST = f"""{_buckets("cb", "p_partkey", "p_brand || ' ' || product || ' ' ||
 def match_end_to_end(t: Tables) -> DataFrame:
     """The flagship: exact hits of each component; for those without one the five nearest records by their texts' hashed words; the
     best of each CVE in each sub-blob."""
-    records = corpus.with_embeddings(part_records(t), COUNTS)
-    found = matching.match_lines(lines(t), candidates(t).drop("sub_blob_id"), records)
+    records = corpus.with_embeddings(part_records(t), COUNTS)  # counts, not vectors of length 1, make cosines exact: equal ones are equal in SQL too
+    found = matching.match_lines(lines(t), candidates(t).drop("sub_blob_id"), records, embedder=COUNTS)
     return found.select("sub_blob_id", "cve_id", "confidence_tier", "similarity_score")
 
 
