@@ -107,13 +107,18 @@ def report_store(t: Tables) -> DataFrame:
     return found.select("job_id", F.size("findings").cast("long").alias("findings"), F.round(F.aggregate("findings", F.lit(0.0), lambda a, f: a + f["price"]), 2).alias("total"))
 
 
-@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'not a JSON object' WHEN 1 THEN 'unknown field' WHEN 2 THEN 'missing field' WHEN 3 THEN 'status' END AS error FROM events""")
+@query("""WITH v AS (SELECT event_id, CASE (event_id + user_id) % 7 WHEN 0 THEN 'oops ' || props WHEN 1 THEN '[' || props || ']' WHEN 2 THEN '{' || job || s || r || ', "more": 1}' WHEN 3 THEN '{' || job || r || '}' WHEN 4 THEN '{' || job || ', "status": "' || event_type || '"' || r || '}' WHEN 5 THEN props ELSE '{' || job || s || r || '}' END AS value
+ FROM (SELECT *, '"job_id": "' || user_id || '"' AS job, ', "status": "COMPLETE"' AS s, ', "report_s3_key": "r", "sbom_s3_key": "s"' AS r FROM events)),
+ k AS (SELECT *, CASE WHEN json_valid(value) THEN json_keys(value) ELSE [] END AS keys FROM v)
+ SELECT event_id, CASE WHEN NOT json_valid(value) THEN 'not a JSON object' WHEN json_type(value) <> 'OBJECT' THEN 'not a JSON object' WHEN len(list_filter(keys, lambda k: k NOT IN ('job_id', 'status', 'report_s3_key', 'sbom_s3_key'))) > 0 THEN 'unknown field'
+ WHEN len(list_filter(['job_id', 'status', 'report_s3_key', 'sbom_s3_key'], lambda k: NOT list_contains(keys, k))) > 0 THEN 'missing field' WHEN json_extract_string(value, '$.status') <> 'COMPLETE' THEN 'status' END AS error FROM k""")
 def dlq_split(t: Tables) -> DataFrame:
-    """Messages of one topic, four fifths of them bad in one way each."""
-    kind, job = F.col("event_id") % 5, F.concat(F.lit('"job_id": "'), F.col("user_id").cast("string"), F.lit('"'))
-    body = lambda *x: F.concat(F.lit("{"), job, *[F.lit(y) for y in x], F.lit("}"))
+    """Messages of one topic, most of them bad in one way each."""
+    kind, job = F.pmod(F.col("event_id") + F.col("user_id"), F.lit(7)), F.concat(F.lit('"job_id": "'), F.col("user_id").cast("string"), F.lit('"'))
+    body = lambda *x: F.concat(F.lit("{"), job, *[F.lit(y) if isinstance(y, str) else y for y in x], F.lit("}"))
     rest = ', "report_s3_key": "r", "sbom_s3_key": "s"'
-    value = F.when(kind == 0, F.concat(F.lit("oops "), "props")).when(kind == 1, body(', "status": "COMPLETE"', rest, ', "more": 1')).when(kind == 2, body(rest)).when(kind == 3, body(', "status": "HALF"', rest)).otherwise(body(', "status": "COMPLETE"', rest))
+    value = F.when(kind == 0, F.concat(F.lit("oops "), "props")).when(kind == 1, F.concat(F.lit("["), "props", F.lit("]"))).when(kind == 2, body(', "status": "COMPLETE"', rest, ', "more": 1')).when(kind == 3, body(rest))
+    value = value.when(kind == 4, body(', "status": "', F.col("event_type"), '"', rest)).when(kind == 5, F.col("props")).otherwise(body(', "status": "COMPLETE"', rest))
     return contracts.validated(t.events.select("event_id", value.alias("value")), "firmware.completed").select("event_id", "error")
 
 
