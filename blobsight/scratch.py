@@ -36,14 +36,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
+    """The same as ``materialise``, with the table's path, for those who ``remove`` it before the application ends."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = files(spark, path)
+    fs.delete(at, True)
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the written table.
 
     Lost executors cost nothing but a reread: what follows depends on files that every executor sees.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, name)[0]
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
