@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from blobsight.llm import ledger, mixing, pieces, quality, queries, simhash
-from blobsight.scratch import materialise
+from blobsight.scratch import remove, written
 from blobsight.session import ship_package
 
 
@@ -47,11 +47,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written and read again by the next."""
+    """All stages over documents; each stage's rows are written and read again by the next, after which they go."""
     ship_package(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = materialise(docs, "stage")
+            docs, path = written(docs, "stage")
+            if before:
+                remove(spark, before)
+            before = path
     return docs
