@@ -212,7 +212,8 @@ def judge(docs: DataFrame, model: Model, limit: float = LIMIT) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, limit: float = LIMIT) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns, in one pass and without a shuffle."""
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns, in one pass and without a shuffle. Null and empty texts have
+    the grade of a text without features; repeated rows are kept or left each; an empty table gives an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
     names = [fresh(docs.columns, c) for c in ("expected_grade", "tail_probability")]
     schema = StructType([*docs.schema.fields, *[StructField(c, DoubleType()) for c in names]])

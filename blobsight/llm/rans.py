@@ -378,6 +378,10 @@ def write(docs: DataFrame, vocabulary: str, end: int = 1, path: str | None = Non
     Returns the folder and the frequency table (also written, beside the files). Documents are dealt out by ranges of
     doc_id, so that each task writes a run of the order; texts are tokenised once, into a table of ids, which alone is
     shuffled; ids are counted on the way. Without ``path`` the files last as long as the application.
+
+    A null, empty or blank text has the end id alone. Repeated rows and rows of one doc_id each have their place, in an order of
+    their own among equal ids; so do rows without a doc_id. A text of any length is encoded whole. An empty table gives files
+    without documents. Columns other than doc_id and text are not read, whatever they are called.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "ids")
@@ -429,7 +433,9 @@ def table(spark: SparkSession, path: str) -> np.ndarray:
 def read(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) of all documents in the files under ``path``, decoded in parallel.
 
-    start counts all ids before the document: of the ranges before, of the files before in its range, and in its file.
+    start counts all ids before the document: of the ranges before, of the files before in its range, and in its file. What
+    ``write`` was given comes back row by row: null doc_ids, repeated rows, texts without ids but the end's. Files without
+    documents give no rows.
     """
     files = spark.read.schema(FILE).parquet(f"{path}/files")
     sizes = files.select("part", "number", "n_ids")

@@ -111,7 +111,9 @@ def judge(docs: DataFrame, rules=RULES) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, ratios) for every row.
 
     base_failed: under 50 words, or over half the words in repeated windows. kept: not base_failed, and every rule
-    holds. Columns of ``docs`` other than doc_id and text are left out, so their names can't clash.
+    holds. Null, empty and blank texts have no words, counts of 0, and fail. Repeated rows, and rows of one doc_id or none, are
+    judged each on its own; texts of any length are judged whole, by built-in functions on one row. An empty table gives an
+    empty one. Columns of ``docs`` other than doc_id and text are left out, so their names can't clash.
     """
     found = measures(docs.select("doc_id", "text"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

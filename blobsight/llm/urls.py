@@ -217,7 +217,10 @@ def judge(pages: DataFrame, model: Model | None = None, rules=RULES, limit: floa
     """(page_id, host, path, rule, verdict, p_block) for every row of ``pages`` (page_id, url; others are left out).
 
     A rule's verdict stands; where none fits, the model blocks at p_block of ``limit`` and more. Without a ``model``, one
-    is trained on ``labels`` (url, label 0/1), and without these on ``labelled(pages)``. A null URL, or one without ``://``, has empty host and path, fits no rule and is judged by the model like any other.
+    is trained on ``labels`` (url, label 0/1), and without these on ``labelled(pages)``. A null URL, or one without ``://``, has
+    empty host and path, fits no rule and is judged by the model like any other, and so are empty and very long ones. Of the
+    rules that fit, the one with the longest host and path wins, of equal ones the last listed. Repeated rows, and rows of one
+    page_id or none, each have their verdict. An empty table gives an empty one.
     """
     model = model or train(labelled(pages) if labels is None else labels)
     host, path = parts(F.col("url").cast("string"))

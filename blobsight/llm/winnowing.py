@@ -165,7 +165,8 @@ def text_form(m: Marks) -> str:
 def compare_with_edited(docs: DataFrame) -> DataFrame:
     """For every row of ``docs`` (doc_id, text; others are left out): doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, positions (of the fingerprint's marks), near_edited, near_next. The next document is the one with the next smaller doc_id, for the last
-    the first; null ids come last, null text is empty. A table of one row has itself as next; an empty one gives none.
+    the first; null ids come last, null text is empty. A table of one row has itself as next; an empty one gives none. Repeated
+    rows follow each other and each have a row; texts of any length are fingerprinted whole.
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, positions array<int>, near_edited double, near_next double"
     return neighbours(docs).select("doc_id", "text", "ahead").mapInArrow(_compared, schema)
