@@ -126,7 +126,8 @@ def mix(docs: DataFrame, weighted=weights, repeats: int = REPEATS) -> DataFrame:
     A copy at which its source's demand ends has its text cut after the words taken, and n_chars to match where that
     column is there. Rows are range-sorted by position. The plan's rows find their documents by doc_id, source and the
     text's hash; rows that agree in all three, where there are any, take what the plan gives them in turn. Columns keep
-    their names and values, whatever they are called: a row goes through the join as one value.
+    their names and values, whatever they are called: a row goes through the join as one value. Null and empty texts hold no words
+    to be taken. An empty table gives an empty one.
     """
     hashed = F.xxhash64("text")
     nth = lambda *order: F.row_number().over(Window.partitionBy("id", "of").orderBy(*order))
