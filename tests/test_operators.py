@@ -19,7 +19,7 @@ from blobsight.plans import flows as flow_plans
 from blobsight.plans.registry import Tables
 from blobsight.plans.stages import Registry, subscriptions
 from blobsight.sources import events, indexes, nvd, stores, tables
-from blobsight.streaming import jobs
+from blobsight.streaming import failures, jobs
 
 
 def one(spark, *columns):
@@ -156,7 +156,7 @@ def test_vectors_and_text(spark):
     assert cos([1.0, 0.0], [2.0, 0.0, 9.0]) == 1.0 and cos([0.0], [1.0]) == 0.0 and cos([1.0], [-1.0]) == 0.0
     assert one(spark, text.bucket(F.lit("openssl")).alias("b")).b == int.from_bytes(hashlib.sha256(b"openssl").digest()[:4]) % 384
     assert one(spark, text.redacted(F.lit("abc")).alias("r")).r == "[redacted — 3 chars]" and one(spark, text.redacted(F.lit("")).alias("r")).r == "[redacted]"
-    assert one(spark, jobs.pauses(4).alias("p")).p == [0.5, 1.0, 2.0]
+    assert one(spark, failures.pauses(4).alias("p")).p == [0.5, 1.0, 2.0]
 
 
 def test_event_contracts(spark):
