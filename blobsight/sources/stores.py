@@ -49,14 +49,20 @@ class Blobs:
 
 
 def put_json(rows: DataFrame, path: str, by: str = "job_id") -> None:
-    """Artifacts as JSON, a folder for each job; a job that is written again is replaced."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).json(path)
+    """Artifacts as JSON, in a table merged by the job's bucket: as many files as buckets, however many jobs. A job that is written
+    again is replaced."""
+
+    def how(old: DataFrame, new: DataFrame) -> DataFrame:
+        again = new.select(F.col(by).alias("_by")).distinct()
+        return old.join(again, F.col(by).eqNullSafe(F.col("_by")), "left_anti").unionByName(new)
+
+    MergeTable(rows.sparkSession, path, rows.schema, [by], kind="json").merge(rows, how)
 
 
 def get_json(spark: SparkSession, path: str, schema: str, job: str | None = None, by: str = "job_id") -> DataFrame:
-    """Artifacts; of one job by a filter on the folder."""
-    rows = spark.read.schema(schema).json(path)
-    return rows if job is None else rows.where(F.col(by) == job)
+    """Artifacts; of one job from its bucket alone."""
+    table = MergeTable(spark, path, schema, [by], kind="json")
+    return table.read() if job is None else table.get(job)
 
 
 def merge_slots(old: DataFrame, new: DataFrame, order: str = "updated_at") -> DataFrame:

@@ -23,17 +23,18 @@ class Conflict(RuntimeError):
 
 
 class MergeTable:
-    """Rows of ``schema`` by ``keys`` under ``path``, in buckets by the hash of ``by`` (the first key), each a folder of Parquet files.
+    """Rows of ``schema`` by ``keys`` under ``path``, in buckets by the hash of ``by`` (the first key), each a folder of files.
 
     A version is a manifest: which folder holds each bucket, and the last batch of each writer. A write puts the buckets it
     touches in new folders and then creates the next manifest, which only one writer can: until then nobody sees them, so a
     crash at any step loses nothing and leaves at most folders that no manifest names. A batch that comes again, by its
-    writer's name and number, is not merged twice. Folders of versions older than the last ``KEPT`` are removed.
+    writer's name and number, is not merged twice. Folders of versions older than the last ``KEPT`` are removed. ``kind`` is
+    the format of the files.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], by: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.path, self.keys, self.by, self.buckets = spark, path.rstrip("/"), keys, by or keys[0], buckets
-        self.schema = StructType.fromDDL(schema)
+    def __init__(self, spark: SparkSession, path: str, schema: str | StructType, keys: list[str], by: str | None = None, buckets: int = BUCKETS, kind: str = "parquet"):
+        self.spark, self.path, self.keys, self.by, self.buckets, self.kind = spark, path.rstrip("/"), keys, by or keys[0], buckets, kind
+        self.schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def _numbers(self) -> list[int]:
         fs, at = files(self.spark, f"{self.path}/manifests")
@@ -51,8 +52,8 @@ class MergeTable:
         return number, found
 
     def _read(self, folders: list[str]) -> DataFrame:
-        rows = self.spark.read.schema(self.schema)
-        return rows.parquet(*[f"{self.path}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(self.schema).format(self.kind)
+        return rows.load([f"{self.path}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], self.schema)
 
     def read(self, number: int | None = None) -> DataFrame:
         """All rows of the last version, or of another one that is still there."""
@@ -82,7 +83,7 @@ class MergeTable:
             old = self._read([folders[b] for b in touched if b in folders])
             new = f"data/{version + 1}-{uuid.uuid4().hex}"
             merged = how(old, batch).select(self.schema.names).withColumn("_bucket", self.bucket())
-            merged.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{new}")
+            merged.repartition("_bucket").write.partitionBy("_bucket").format(self.kind).save(f"{self.path}/{new}")
             fs, at = files(self.spark, f"{self.path}/{new}")
             there = {x.getPath().getName().partition("=")[2] for x in fs.listStatus(at) if x.isDirectory()}
             for b in touched:

@@ -11,7 +11,7 @@ from compare import duck_rows, spark_rows
 from pyspark.sql import functions as F
 
 from blobsight.plans import catalogue
-from blobsight.sources import tables
+from blobsight.sources import stores, tables
 from blobsight.sources.tables import Conflict, MergeTable, replacing
 from blobsight.streaming import jobs, progress
 
@@ -154,3 +154,14 @@ def test_progress_of_events_that_come_twice_and_out_of_order(spark, tmp_path):
     assert [(r.job_id, r.dropped) for r in boxes.take("late").collect()] == [("b", 0)]  # the last one at once
     boxes.unsubscribe(spark.createDataFrame([("late", "b")], "subscriber string, job_id string"))
     assert boxes.read.read().where("subscriber = 'late'").count() == 1
+
+
+def test_json_reports_take_no_file_a_job(spark, tmp_path):
+    path = str(tmp_path / "reports")
+    rows = lambda a, b, n: spark.range(a, b).select(F.when(F.col("id") > 0, F.col("id").cast("string")).alias("job_id"), F.array(F.lit(n)).alias("found"))
+    stores.put_json(rows(0, 500, 1), path)
+    stores.put_json(rows(0, 100, 2), path)
+    assert len(list((tmp_path / "reports").rglob("part-*.json"))) < 200  # the 64 buckets of each of two versions
+    kept = {r.job_id: r.found for r in stores.get_json(spark, path, "found array<int>, job_id string").collect()}
+    assert kept == {(str(i) if i else None): [2 if i < 100 else 1] for i in range(500)}
+    assert [tuple(r) for r in stores.get_json(spark, path, "found array<int>, job_id string", "7").collect()] == [([2], "7")]
