@@ -473,3 +473,19 @@ def test_slots_and_indexes_of_streams(spark, tmp_path):
     index = kept.read(at(1))
     assert [(r.job_id, r.text, len(r.embedding)) for r in index.collect()] == [("a", "Executive summary: summary", 384)]
     assert rag.retrieve(spark.createDataFrame([("a", "summary"), ("b", "summary")], "job_id string, question string"), index).count() == 1
+
+
+@pytest.mark.parametrize("sent", [True, False])
+def test_top_k_of_many_copies_compares_each_vector_once(spark, monkeypatch, sent):
+    plain, asked = similarity.top_k, []
+
+    def counted(q, c, k, **how):
+        asked.append((q.count(), c.count()))
+        return plain(q, c, k, **({} if sent else {"small": 0, "block": 7}))
+
+    monkeypatch.setattr(similarity, "top_k", counted)
+    rows = spark.range(400).select(F.col("id"), F.array(F.lit(1.0), (F.col("id") % 4).cast("double")).alias("v"))
+    q = rows.where("id % 3 = 0").select(F.struct("id").alias("qid"), F.when(F.col("id") != 9, F.col("v")).alias("v"))
+    shown = lambda df: sorted((r.qid.id, r["rank"], r.id, round(r.score, 12)) for r in df.collect())
+    assert shown(similarity.top_k_distinct(q, rows, 3)) == shown(plain(q, rows, 3))
+    assert asked == [(4, 12)]
