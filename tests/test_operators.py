@@ -9,6 +9,8 @@ import os
 import random
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -489,3 +491,15 @@ def test_top_k_of_many_copies_compares_each_vector_once(spark, monkeypatch, sent
     shown = lambda df: sorted((r.qid.id, r["rank"], r.id, round(r.score, 12)) for r in df.collect())
     assert shown(similarity.top_k_distinct(q, rows, 3)) == shown(plain(q, rows, 3))
     assert asked == [(4, 12)]
+
+
+def test_scores_of_long_sides_come_in_tiles(monkeypatch):
+    rng, most, plain = np.random.default_rng(3), [], similarity.cosines
+    monkeypatch.setattr(similarity, "cosines", lambda a, b: most.append(len(a[0]) * len(b[0])) or plain(a, b))
+    side = lambda name, n: pa.table({name: np.arange(n), "v": pa.array(list(rng.integers(0, 3, (n, 3)).astype(np.float64)))})
+    q, c = side("qid", 1200), side("id", 9000)
+    found = similarity._nearest(q, c, 4)
+    assert max(most) <= similarity.TILE[0] * similarity.TILE[1]
+    score = plain(similarity._dense(q["v"]), similarity._dense(c["v"]))
+    row, column = similarity._best(score, 4)
+    assert found["qid"].to_pylist() == row.tolist() and found["id"].to_pylist() == column.tolist()
