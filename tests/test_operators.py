@@ -503,3 +503,16 @@ def test_scores_of_long_sides_come_in_tiles(monkeypatch):
     score = plain(similarity._dense(q["v"]), similarity._dense(c["v"]))
     row, column = similarity._best(score, 4)
     assert found["qid"].to_pylist() == row.tolist() and found["id"].to_pylist() == column.tolist()
+
+
+def test_hashed_words_are_dealt_once_by_id(spark):
+    rows = spark.createDataFrame([(1, "a b a"), (1, "a c"), (None, "b"), (None, "b B"), (2, ""), (3, None), (4, "?!")], "k long, text string")
+    found = embedding.sparse(rows, "k")
+    got = {(r.id, r.bucket): r.n for r in found.collect()}
+    want = {}
+    for k, words in ((1, "abaac"), (None, "bbb"), (2, ["empty"]), (3, ["empty"]), (4, ["?!"])):
+        for w in words:
+            at = (k, embedding._bucket(w, 384))
+            want[at] = want.get(at, 0) + 1
+    assert got == want and dict(found.dtypes) == {"id": "bigint", "bucket": "int", "n": "bigint"}
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == 1
