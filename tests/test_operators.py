@@ -20,6 +20,7 @@ from blobsight.plans import blobs as blob_plans
 from blobsight.plans import flows as flow_plans
 from blobsight.plans.registry import Tables
 from blobsight.plans.stages import Registry, subscriptions
+from blobsight.scratch import dealt
 from blobsight.sources import events, indexes, nvd, stores, tables
 from blobsight.streaming import failures, jobs
 
@@ -516,3 +517,24 @@ def test_hashed_words_are_dealt_once_by_id(spark):
             want[at] = want.get(at, 0) + 1
     assert got == want and dict(found.dtypes) == {"id": "bigint", "bucket": "int", "n": "bigint"}
     assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == 1
+
+
+def test_exact_lines_look_up_each_set_of_names_once(spark):
+    """4,000 components under two sets of names: pairs with their CVEs are made in the last join alone."""
+    components = spark.range(4000).select(F.col("id").alias("seq"), F.when(F.col("id") % 2 == 0, F.array(F.lit("CPE:a"), F.lit("cpe:b"))).otherwise(F.array(F.lit("cpe:c"))).alias("cpes"))
+    components = components.unionAll(spark.sql("select 1L, array('cpe:a')")).unionAll(spark.sql("select 4000L, cast(array() as array<string>)"))
+    corpus = spark.range(300).select(F.concat(F.lit("CVE-"), F.floor(F.col("id") / 2)).alias("cve_id"), F.when(F.col("id") % 2 == 0, "cpe:a").otherwise("cpe:b").alias("cpe_string"))
+    lines = spark.range(0, 4001).select((F.col("id") % 7).alias("sub_blob_id"), F.col("id").alias("seq"))
+    members, once = matching.by_names(components)
+    assert once.count() == 4 and members.count() == 4001 and matching.exact_of(once, corpus).count() == 2 * 150  # of a and b; of a and c, in two rows
+    want = {(i % 7, i, f"CVE-{c}") for i in [*range(0, 4000, 2), 1] for c in range(150)}
+    found = matching.exact_lines(lines, components, corpus).collect()
+    assert len(found) == len(want) and {tuple(r) for r in found} == want
+    assert {r.seq for r in matching.lines_without_hit(lines, components, corpus).collect()} == {*range(3, 4000, 2), 4000}
+
+
+def test_lines_are_dealt_by_their_number(spark):
+    rows = spark.range(5000).select(F.col("id").alias("k"))
+    counts = dealt(rows, 5000, "k", most=100).groupBy(F.spark_partition_id()).count().collect()
+    assert len(counts) == 50 and max(r["count"] for r in counts) < 200
+    assert dealt(rows.limit(0), 0, "k").count() == 0
