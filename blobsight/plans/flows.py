@@ -14,7 +14,7 @@ from blobsight.plans.registry import Tables, query
 from blobsight.scratch import materialise, new_path
 from blobsight.sources import events as contracts
 from blobsight.sources import stores
-from blobsight.sources.indexes import JobIndexes
+from blobsight.sources.indexes import BucketIndexes
 from blobsight.sources.tables import MergeTable, replacing
 from blobsight.streaming import failures
 from blobsight.streaming import jobs as streams
@@ -75,7 +75,7 @@ def latest_wins(t: Tables) -> DataFrame:
  SELECT conv_id::VARCHAR AS job_id, count(DISTINCT turn || ':' || coalesce(text, '')) AS chunks FROM j WHERE timestamp '2024-01-01 05:30:00' - created <= INTERVAL 1 HOUR GROUP BY 1""")
 def index_sweep(t: Tables) -> DataFrame:
     """Indexes of conversations, built through ten hours by turns; what a sweep after five and a half leaves of them."""
-    kept, now = JobIndexes(t.spark, new_path(t.spark, "indexes")), datetime(2024, 1, 1, 5, 30, tzinfo=UTC)
+    kept, now = BucketIndexes(t.spark, new_path(t.spark, "indexes")), datetime(2024, 1, 1, 5, 30, tzinfo=UTC)
     began = F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.col("job_id").cast("long"), F.lit(600)) * 60)
     body = F.concat_ws(":", F.col("turn").cast("string"), F.coalesce("text", F.lit("")))
     chunks = t.conversations.select(F.col("conv_id").cast("string").alias("job_id"), body.alias("text")).distinct()

@@ -114,3 +114,26 @@ def test_indexes_end_and_leave_others_alone(spark, tmp_path):
 
 def test_sweep_as_sql_has_it(spark, sf):
     assert spark_rows(catalogue.queries()["index_sweep"](spark, sf)) == duck_rows(catalogue.oracle_sql()["index_sweep"], sf)
+
+
+def test_indexes_of_many_jobs_take_no_folder_a_job(spark, tmp_path):
+    """What folders by job give, with as many files as hours and buckets."""
+    at = lambda minutes: datetime(2024, 1, 1, tzinfo=UTC) + timedelta(minutes=minutes)
+    kept = indexes.BucketIndexes(spark, str(tmp_path / "i"), buckets=4)
+    put = lambda minutes, a, b: kept.build(spark.range(a, b).selectExpr("cast(id as string) as job_id", "explode(array('x', 'y')) as id", "'text' as text", "array(1.0) as embedding").unionAll(spark.sql("select null, 'x', 'text', array(1.0)")), F.lit(at(minutes)))
+    alive = lambda minutes: {int(r.job_id): r.n for r in kept.read(at(minutes)).groupBy("job_id").agg(F.count("*").alias("n")).collect()}
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "i").rglob("*.parquet")}
+    jobs_of = lambda df: sorted(int(r.job_id) for r in df.collect())
+    assert alive(0) == {} and jobs_of(kept.sweep(at(0))) == [] and not kept.teardown("1")
+    put(0, 0, 300)
+    put(5, 300, 400)
+    put(90, 0, 100)  # built again: lives longer, and once
+    assert len(files()) <= 8 and alive(59) == dict.fromkeys(range(400), 2) and alive(62) == dict.fromkeys([*range(100), *range(300, 400)], 2)
+    assert jobs_of(kept.sweep(at(62))) == [*range(100, 300)] and jobs_of(kept.sweep(at(62))) == [] and alive(59) == dict.fromkeys([*range(100), *range(300, 400)], 2)
+    before = files()
+    assert jobs_of(kept.sweep(at(121))) == [*range(300, 400)]  # an hour that is over is dropped whole
+    assert files().items() <= before.items() and alive(121) == dict.fromkeys(range(100), 2)
+    assert kept.read(at(121), "7").count() == 2 and kept.teardown("7") and not kept.teardown("7") and kept.read(at(121), "7").count() == 0
+    put(90, 0, 100)
+    put(200, 0, 100)  # all jobs of an hour move on: its folders go
+    assert alive(121) == dict.fromkeys(range(100), 2) and {p.parts[-3] for p in files()} == {f"expires={(1_704_067_200 + 260 * 60) // 3600}"}
