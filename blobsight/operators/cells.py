@@ -24,6 +24,8 @@ from blobsight.scratch import materialise
 SAMPLE, ROUNDS, MOST_CELLS = 20_000, 12, 4096
 #: Records of a part of a cell, and queries that meet it at once.
 CELL_ROWS, QUERY_ROWS = 8192, 8192
+#: Pairs of a query and a cell that a task hands on at once, however many cells a query goes to.
+SENT_ROWS = 8192
 #: Cells that an exact search looks at before it takes its bounds.
 FIRST = 4
 #: Records that the number of cells is measured with, and the share of true neighbours that are to be found.
@@ -51,6 +53,12 @@ def fit(sample: np.ndarray, cells: int, rounds: int = ROUNDS, seed: int = 7) ->
     return found
 
 
+def _sent(queries: pa.RecordBatch, row: np.ndarray, cell: np.ndarray, most: int = SENT_ROWS) -> Iterator[pa.RecordBatch]:
+    """Rows of ``queries`` with their cells, ``most`` at once: a query's vector goes along to each of its cells."""
+    for at in range(0, len(row), most):
+        yield queries.take(pa.array(row[at : at + most])).append_column("cell", pa.array(cell[at : at + most].astype(np.int32)))
+
+
 @dataclass
 class Cells:
     """The index: ``rows`` (cell, id, v) as written, its centroids, and records and angle of each cell by its number."""
@@ -76,8 +84,7 @@ class Cells:
                 for at in range(0, whole.num_rows, 512):
                     batch = whole.slice(at, 512)
                     row, cell = pick(_unit(_same_width(batch.column("v"), len(shared.value[0]))) @ shared.value.T, batch)
-                    own = batch.select(["qid", "v"]).take(pa.array(row))
-                    yield own.append_column("cell", pa.array(cell.astype(np.int32)))
+                    yield from _sent(batch.select(["qid", "v"]), row, cell)
 
         return (queries if self.records.any() else queries.limit(0)).mapInArrow(run, schema)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import duck_rows, spark_rows
 from pyspark.sql import functions as F
@@ -69,3 +70,14 @@ def test_odd_vectors(spark):
     assert nothing.exact(queries, 3).count() == 0 and nothing.probes_for() == 1
     with pytest.raises(ValueError):
         cells.build(rows.unionAll(spark.createDataFrame([(9, [1.0])], "id long, v array<double>")))
+
+
+def test_queries_go_to_cells_in_parts(spark):
+    """However many cells a query goes to, a task holds a bounded number of copies of its vector."""
+    batch = pa.RecordBatch.from_pydict({"qid": [7, 8, 9], "v": [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]]})
+    row, cell = np.repeat(np.arange(3), 4000), np.tile(np.arange(4000), 3)
+    parts = list(cells._sent(batch, row, cell, 1000))
+    assert [p.num_rows for p in parts] == [1000] * 12 and all(p.num_rows <= cells.SENT_ROWS for p in cells._sent(batch, row, cell))
+    whole = pa.Table.from_batches(parts)
+    assert whole["qid"].to_pylist() == [7 + r for r in row] and whole["cell"].to_pylist() == cell.tolist() and whole["v"][8000].as_py() == [1.0, 1.0]
+    assert list(cells._sent(batch, row[:0], cell[:0])) == []
