@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from blobsight.llm.common import fresh, slices, words_of
+from blobsight.scratch import materialise
 
 #: Features are hashed to 2^BITS weights.
 BITS = 18
@@ -104,19 +105,19 @@ class Model:
         return 1 / (1 + np.exp(np.clip(score[:, None] - self.thresholds[None, :], -50, 50)))
 
 
-def telling(feature: np.ndarray, doc: np.ndarray, grades: np.ndarray, levels: int, apart: float = APART) -> np.ndarray:
-    """Which features (each once a document) tell grades apart: a mask. Features that are spread alike over the grades only add noise."""
-    grades = np.asarray(grades, np.int64)
-    by_grade = np.bincount(grades[doc] * SIZE + feature, minlength=levels * SIZE).reshape(levels, SIZE)
-    n = np.bincount(grades, minlength=levels).astype(float)
-    out = np.zeros(SIZE, bool)
+def telling(rated: DataFrame, levels: int, apart: float = APART) -> DataFrame:
+    """(feature) of those in ``rated`` (grade, features: each once a document) that tell grades apart. Features that are spread alike over the grades only add noise."""
+    n = {r["grade"]: float(r["count"]) for r in rated.groupBy("grade").count().collect()}  # a row for each grade
+    each = rated.select("grade", F.explode("features").alias("feature"))
+    counts = each.groupBy("feature").agg(*[F.count(F.when(F.col("grade") == k, 1)).cast("double").alias(f"n_{k}") for k in range(levels)])
+    tells = F.lit(False)
     for k in range(1, levels):
-        a, b = n[:k].sum(), n[k:].sum()
+        a, b = (sum(n.get(g, 0.0) for g in grades) for grades in (range(k), range(k, levels)))
         if a and b:
-            x, y = by_grade[:k].sum(0), by_grade[k:].sum(0)
-            p = np.clip((x + y) / (a + b), 1e-9, 1 - 1e-9)
-            out |= np.abs(x / a - y / b) >= apart * np.sqrt(p * (1 - p) * (1 / a + 1 / b))
-    return out & (by_grade.sum(0) > 0)
+            x, y = (sum((F.col(f"n_{g}") for g in grades), F.lit(0.0)) for grades in (range(k), range(k, levels)))
+            p = F.least(F.greatest((x + y) / (a + b), F.lit(1e-9)), F.lit(1 - 1e-9))
+            tells |= F.abs(x / a - y / b) >= apart * F.sqrt(p * (1 - p) * (1 / a + 1 / b))
+    return counts.where(tells).select("feature")
 
 
 def fit(docs: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int) -> Model:
@@ -162,24 +163,42 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("grade"), batch.column("o"), pa.array(np.split(feature.astype(np.int32), cut), pa.list_(pa.int32())), pa.array(np.split(value.astype(np.float32), cut), pa.list_(pa.float32()))], ["grade", "o", "features", "values"])
 
 
+def _only(shared):
+    """The rows of ``_vectors`` with the shared features alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        live = np.zeros(SIZE, bool)
+        live[shared.value] = True
+        for batch in batches:
+            lists, values = batch.column("features"), pc.list_flatten(batch.column("values"))
+            feature = pc.list_flatten(lists)
+            kept = live[feature.to_numpy(zero_copy_only=False)]
+            ends = np.r_[0, np.cumsum(kept)][np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]]
+            cut = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x.filter(pa.array(kept))) for x in (feature, values)]
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), batch.column("o"), *cut], ["grade", "o", "features", "values"])
+
+    return run
+
+
 def train(docs: DataFrame, ratings: DataFrame, levels: int = 3, most: int = MOST_RATED) -> Model:
     """Fit on ``docs`` (doc_id, text) rated by ``ratings`` (doc_id, grade from 0 to levels - 1).
 
     Of several ratings of a document the lowest counts, of several rows of a rated id the one with the least text; grades
-    out of range are left out. The sample of ratings has a fixed bound, so it is broadcast to the documents; only the
-    features of its documents, one row each, reach the driver. Without ratings all documents get the same odds.
+    out of range are left out. The sample of ratings has a fixed bound, so it is broadcast to the documents. Which features
+    tell is found in the tasks; the driver gets those of each document that do, which are few, and no others. Without
+    ratings all documents get the same odds.
     """
     graded = ratings.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, levels - 1)).groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     some = graded.withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(most)
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("grade").alias("grade"), F.first("o").alias("o")).drop("doc_id")
-    found = rows.mapInArrow(_vectors, "grade int, o long, features array<int>, values array<float>").toArrow().sort_by("o").combine_chunks()
+    schema = "grade int, o long, features array<int>, values array<float>"
+    rated = materialise(rows.mapInArrow(_vectors, schema), "rated")
+    told = rated.sparkSession.sparkContext.broadcast(np.sort(telling(rated, levels).toArrow()["feature"].to_numpy()))
+    found = rated.mapInArrow(_only(told), schema).toArrow().sort_by("o").combine_chunks()
     grades, lists = found["grade"].to_numpy(), found["features"]
-    doc = np.repeat(np.arange(len(found), dtype=np.int32), pc.list_value_length(lists).to_numpy())
-    feature, value = pc.list_flatten(lists).to_numpy(), pc.list_flatten(found["values"]).to_numpy()
-    told = telling(feature, doc, grades, levels)[feature]
-    cut = np.searchsorted(doc[told], np.arange(1, len(found)))
-    vectors = zip(np.split(feature[told], cut), np.split(value[told], cut), strict=True) if len(found) else ()
+    cut = np.cumsum(pc.list_value_length(lists).to_numpy())[:-1]
+    vectors = zip(*(np.split(pc.list_flatten(x).to_numpy(), cut) for x in (lists, found["values"])), strict=True) if len(found) else ()
     return fit(list(vectors), grades, levels)
 
 

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -664,6 +665,32 @@ def test_quality_training_takes_a_document_once(spark, monkeypatch):
     assert sorted(seen[0].tolist()) == [0, 0, 1]
 
 
+def test_quality_training_sends_the_driver_only_features_that_tell(spark, monkeypatch):
+    """400 documents with 300 words of their own each, some of which are in two features of one document: 3 MB if all are sent."""
+    docs = spark.createDataFrame([(i, ("fine " if i % 3 else "poor ") * (i % 5 + 1) + " ".join(f"w{i}x{j}" for j in range(300)) if i else None) for i in range(400)], "doc_id long, text string")
+    ratings = docs.select("doc_id", (F.col("doc_id") % 3).cast("int").alias("grade"))
+    sent, seen, arrow = [], [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: sent.append(arrow(self)) or sent[-1])
+    monkeypatch.setattr(quality, "fit", lambda docs, grades, levels: seen.append((docs, grades)) or quality.Model(np.zeros(quality.SIZE), np.zeros(levels - 1)))
+    quality.train(docs, ratings)
+    assert sum(x.nbytes for x in sent) < 100_000
+    order = docs.select(F.col("doc_id"), "text", F.xxhash64("doc_id").alias("o")).orderBy("o").collect()
+    grades = np.array([r.doc_id % 3 for r in order])
+    doc, feature, value = quality.Features().rows(pa.array([r.text for r in order], pa.string()))
+    have = np.bincount(grades[doc] * quality.SIZE + feature, minlength=3 * quality.SIZE).reshape(3, -1)
+    n = np.bincount(grades, minlength=3)
+    told = np.zeros(quality.SIZE, bool)
+    for k in (1, 2):
+        a, b, x, y = n[:k].sum(), n[k:].sum(), have[:k].sum(0), have[k:].sum(0)
+        p = np.clip((x + y) / (a + b), 1e-9, 1 - 1e-9)
+        told |= np.abs(x / a - y / b) >= quality.APART * np.sqrt(p * (1 - p) * (1 / a + 1 / b))
+    told &= have.sum(0) > 0
+    assert told.any() and (seen[0][1] == grades).all() and len(seen[0][0]) == len(order)
+    for i, (f, v) in enumerate(seen[0][0]):
+        own = (doc == i) & told[feature]
+        assert f.tolist() == feature[own].tolist() and v.tolist() == value[own].astype(np.float32).tolist()
+
+
 def test_quality_classifier_on_edges(spark, edge, clashing, empty):
     grades = edge.where("doc_id is not null").select("doc_id", (F.col("doc_id") % 3).cast("int").alias("grade"))
     model = quality.train(edge, grades)
