@@ -538,3 +538,38 @@ def test_lines_are_dealt_by_their_number(spark):
     counts = dealt(rows, 5000, "k", most=100).groupBy(F.spark_partition_id()).count().collect()
     assert len(counts) == 50 and max(r["count"] for r in counts) < 200
     assert dealt(rows.limit(0), 0, "k").count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 2, 64])
+def test_lines_match_as_each_by_itself(spark, most):
+    """Whatever is settled in the join and whatever is dealt by sub-blob: the best match of each CVE among all of a sub-blob's."""
+    rng = random.Random(most)
+    vectors = [[1.0, x] for x in (0.0, 0.3, 0.6, 0.9)]
+    records = [(f"CVE-{rng.randint(0, 7)}", f"cpe:{rng.randint(0, 9)}", rng.choice([None, "f"]), rng.choice(vectors)) for _ in range(25)]
+    corpus_rows = spark.createDataFrame(sorted(set((a, b, "f", tuple(v)) for a, b, _, v in records)), "cve_id string, cpe_string string, family string, embedding array<double>").dropDuplicates(["cve_id", "cpe_string"]).localCheckpoint()
+    parts = [(i, [f"CPE:{rng.randint(0, 30)}" for _ in range(rng.randint(0, 2))], rng.choice([None, "f"]), rng.choice([*vectors, None])) for i in range(40)]
+    comps = spark.createDataFrame([*parts, (3, ["cpe:1"], None, None)], "seq int, cpes array<string>, family string, v array<double>")
+    held = {(f"s{rng.randint(0, 20)}", rng.randint(0, 41)) for _ in range(90)}
+    lines = spark.createDataFrame([*held, (None, 1), ("s1", None)], "sub_blob_id string, seq int")
+    found = matching.found_matches(comps.withColumn("sub_blob_id", F.lit("")), corpus_rows).drop("sub_blob_id")
+    want = matching.ordered(matching.best_per_cve(lines.join(found, "seq").select(*matching.MATCH)))
+    got = matching.match_lines(lines, comps, corpus_rows, most=most)
+    rows = lambda df: sorted((tuple(r) for r in df.select(*matching.MATCH, "place").collect()), key=repr)
+    assert rows(got) == rows(want) and {r.matched_via for r in got.collect()} == {"exact_cpe", "embedding_similarity"}
+
+
+def test_matched_lines_are_not_dealt_out(spark):
+    """30 components and 30 records under one name: 30 times 30 matches of each line's sub-blobs are made, but only lines are shuffled."""
+    key = "cpe:2.3:a:busybox:busybox:1.31.1:*:*:*:*:*:*:*"
+    records = spark.range(30).select(F.concat(F.lit("CVE-"), "id").alias("cve_id"), F.lit(key).alias("cpe_string"), F.lit("busybox").alias("family"), F.array(F.lit(1.0)).alias("embedding"))
+    comps = spark.range(30).select(F.col("id").alias("seq"), F.array(F.lit(key)).alias("cpes"), F.lit("busybox").alias("family"), F.array(F.lit(1.0)).alias("v"))
+    lines = spark.range(600).select(F.col("id").alias("sub_blob_id"), (F.col("id") % 30).alias("seq"))
+    found = matching.match_lines(lines, comps, records).select("sub_blob_id", "cve_id")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    spark.sparkContext.setJobGroup("lines", "lines")
+    assert len(set(found.collect())) == 600 * 30
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("lines") for s in tracker.getJobInfo(j).stageIds}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages) <= 4 * 600
